@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, langid
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op10_langid": langid.op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
