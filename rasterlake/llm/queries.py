@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid
+from . import bpe, langid, pii
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
 }
 
