@@ -111,6 +111,7 @@ def _homoglyphs() -> dict[int, str]:
 
 
 _GLYPHS = _homoglyphs()
+_GLYPH_CHARS = frozenset(map(chr, _GLYPHS))
 _GLYPH = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_GLYPHS)) + "]")
 
 #: Words for the digits in the corpus's languages.
@@ -206,7 +207,7 @@ def _fold_spelled(s: str) -> list[tuple[int, int, str]] | None:
 def rewrite(text: str) -> Rewritten | None:
     """The text without its disguises; None where it has none."""
     r = Rewritten(text)
-    if not text.isascii() and _GLYPH.search(text):
+    if not text.isascii() and not _GLYPH_CHARS.isdisjoint(text):
         r = r.replace([(m.start(), m.end(), _GLYPHS[ord(m[0])]) for m in _GLYPH.finditer(text)])
     low = r.text.lower()
     if "(" in low or "[" in low or "{" in low or "<" in low:
