@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, pii
+from . import bpe, fingerprint, langid, pii
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
 }
