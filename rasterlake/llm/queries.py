@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, pii
+from . import bpe, fingerprint, langid, neardup, pii
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_neardup": neardup.op3_neardup,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
 }
