@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, neardup, pii
+from . import bpe, fingerprint, langid, lines, neardup, pii
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_neardup": neardup.op3_neardup,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
 }
