@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, lines, neardup, pii
+from . import bpe, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_neardup": neardup.op3_neardup,
+    "op4_topk": topk.op4_topk,
+    "op5_token_counts": tokencounts.op5_token_counts,
+    "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.OP4_SQL,
+    "op5_token_counts": tokencounts.OP5_SQL,
+}
