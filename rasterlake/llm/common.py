@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space that ends a word: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bounds of an Arrow batch while a stage is written.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "5000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; only Spark reads it, so any file system will do."""
@@ -40,7 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small Arrow batches while it runs: a worker holds a batch several times over
+    before = {k: spark.conf.get(k) for k in ARROW_BATCH}
+    try:
+        for k, v in ARROW_BATCH.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
