@@ -250,11 +250,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return (langs, train(words, np.array(labels), len(langs))) if words else ([], {})
 
 
-def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Language and score of every document: the id, the columns of ``keep``, ``lang_pred``, ``score``.  A map over the rows, without a shuffle."""
+def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The columns of ``keep`` (default: ``doc_id``) with ``lang_pred`` and ``score`` of every document.  A map over the rows, without a shuffle."""
     langs, params = model
-    source = docs.select(F.col(id_col), *[F.col(c) for c in keep or []], text_of(text_col).alias("__lid_text"))
-    out = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = ["doc_id"] if keep is None else keep
+    named = [c for c in keep if c not in ("lang_pred", "score")]
+    at = named.index(text_col) if text_col in named else len(named)
+    source = docs.select(*[F.col(c) for c in named], *[text_of(text_col).alias("__text")] * (at == len(named)))
+    out = T.StructType([*source.schema.fields[: len(named)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     key = str(hash((tuple(langs), *(v.tobytes() for v in params.values()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,10 +266,10 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
             _workers[key] = Labeller(langs, params)
         work = _workers[key]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in slices(texts):
                 found = work(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(named)]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
 
     return source.mapInArrow(run, out)
 

@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from . import bpe, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
 
+
+
+def pipeline(spark, sf_dir: str):
+    """The whole corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprint.op2_fingerprints,
@@ -15,6 +24,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
