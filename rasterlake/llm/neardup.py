@@ -46,6 +46,8 @@ BASE = 256
 SPARSE = 8
 #: Shingles of a block: 1 MB.
 BLOCK = 125_000
+#: Bits of the filter that keeps most documents without a candidate out of the shuffle of sets: 1 MB at any size.
+FILTER_BITS = 1 << 23
 
 _rng = np.random.default_rng(52)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -267,16 +269,23 @@ def _links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Dat
     sizes = members.groupBy("region").agg(F.sum("n_shingles").alias("total"))
     placed = members.join(sizes, "region").select("rep", "region", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("region", "blocks", "block", "rep", "text")
-    set_schema = T.StructType([*texts.schema.fields[:-1], T.StructField("shingles", T.BinaryType())])
+    placed = staged(placed, "placed")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words_set["word"].to_numpy()] = words_set["bits"].to_numpy().astype(np.uint32)
+    set_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(4).to_pylist()
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[at // 32] >> (at % 32).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            found = batch.column(1).to_pylist()
             for a, b in slices(found, 1_000_000):
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:4]), pa.array([s.tobytes() for s in shingle_sets(found[a:b], words)], pa.binary())], names=set_schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(found[a:b], words)], pa.binary())], names=set_schema.names)
 
-    packed = texts.mapInArrow(sets, set_schema).groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("sets"))
+    shingled = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(sets, set_schema)
+    packed = shingled.join(placed, shingled["doc_id"] == placed["rep"]).groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("sets"))
     packed = staged(packed.repartition(partitions(spark), "region", "block"), "blocks")
     single = packed.filter("blocks = 1").select("sets", F.lit(None).cast(packed.schema["sets"].dataType).alias("others"))
     # each block meets itself and every later one
