@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 WINDOW = 16
 #: A cut every 256 bytes on average.
 CUT_MASK = 0xFF
 #: Bounds of a worker's tables, in entries of the word table and bytes of the chunk table.
-MAX_WORDS = 500_000
-MAX_CHUNK_BYTES = 48_000_000
+MAX_WORDS = 300_000
+MAX_CHUNK_BYTES = 24_000_000
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -187,6 +187,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A map over the rows: no shuffle, and a row's result depends on its text alone.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer_path()
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     id_type = source.schema[0]
@@ -195,7 +196,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         enc = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1_000_000):
                 ids = enc.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,19 @@ from pyspark.sql import functions as F
 #: White space that ends a word: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Bounds of an Arrow batch while a stage is written.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "5000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Bounds of an Arrow batch: a Python worker holds a batch several times over.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 5000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to those above, where they are higher.
+
+    Plans are lazy and take the bounds when they run, so they stay lowered.
+    """
+    for key, most in ARROW_BATCH.items():
+        now = re.match(r"(\d+)b?$", spark.conf.get(key, None) or "")
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +55,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    # small Arrow batches while it runs: a worker holds a batch several times over
-    before = {k: spark.conf.get(k) for k in ARROW_BATCH}
-    try:
-        for k, v in ARROW_BATCH.items():
-            spark.conf.set(k, v)
-        df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    small_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

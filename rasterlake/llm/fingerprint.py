@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import partitions, table, text_of
+from .common import partitions, small_batches, table, text_of
 
 K, S = 16, 5
 SIZE = 64
@@ -126,6 +126,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_chars`` and ``fingerprint`` of every document.  A map over the rows, without a shuffle."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     schema = T.StructType([source.schema[0], T.StructField("n_chars", T.LongType()), T.StructField("fingerprint", T.StringType())])
 
@@ -164,6 +165,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     range they stream in order, and only the first document of each range is sent to the
     range before as well.  What the driver sees is one id for each range.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     placed, _ = in_buckets(source, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     heads = sorted((r["__bucket"], r["head"]) for r in placed.groupBy("__bucket").agg(F.max("__key").alias("head")).collect())

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import held_out, text_of
+from .common import held_out, small_batches, text_of
 
 EMBED, HIDDEN = 12, 16
 SEGMENT = 24
 TRAIN_WORDS = 48_000
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -252,6 +252,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` (default: ``doc_id``) with ``lang_pred`` and ``score`` of every document.  A map over the rows, without a shuffle."""
+    small_batches(docs.sparkSession)
     langs, params = model
     keep = ["doc_id"] if keep is None else keep
     named = [c for c in keep if c not in ("lang_pred", "score")]
@@ -267,7 +268,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | N
         work = _workers[key]
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 500_000):
                 found = work(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(named)]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
 

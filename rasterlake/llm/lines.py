@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import staged, table, text_of
+from .common import small_batches, staged, table, text_of
 
 MIN_CHARS = 16
 #: Rows (of a few longs) that a broadcast may have; beyond it the join is shuffled.
@@ -178,6 +178,7 @@ def _near(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines`` and ``n_dropped`` (input columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
     base = docs.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")])
     whole = text_of(text_col)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(whole).alias("digest"), whole.alias("text"))

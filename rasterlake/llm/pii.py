@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import text_of
+from .common import small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -254,6 +254,7 @@ def detect(text: str) -> list[tuple[int, int, int, bool]]:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``spans``: an array of (kind, start, end, base) by start, then kind.  A map over the rows."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     schema = T.StructType([source.schema[0], T.StructField("spans", SPANS)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, staged, table
+from .common import partitions, small_batches, staged, table
 
 LISTS = 4
 ROWS, QUERIES = 2048, 512
@@ -82,6 +82,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best rows of each query."""
+    small_batches(rows.sparkSession)
     spark = rows.sparkSession
     vectors = staged(quantised(rows, id_col, vector_col), "vectors")
     asked = staged(quantised(queries, id_col, vector_col), "queries")
