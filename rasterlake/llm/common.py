@@ -47,13 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a staged table's file, where the number of rows is known to be small.
+ROWS_A_FILE = 100_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     The written table cuts the lineage: a lost executor costs the tasks that it
-    ran, never the stages before.
+    ran, never the stages before.  ``rows``, a bound of its rows, keeps tables of few
+    rows out of many small files: one for each core, or for each ``ROWS_A_FILE`` rows.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)

@@ -24,13 +24,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return both.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the smallest id of its component, for every node that has an edge (columns a < b, no nulls)."""
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``node`` and ``root``, the smallest id of its component, for every node that has an edge (columns a < b, no nulls; ``rows`` of them at most)."""
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    edges = staged(edges.select("a", "b").distinct(), "edges")
+    edges = staged(edges.select("a", "b").distinct(), "edges", rows)
     before = state(edges)
     while before[0]:
-        edges = staged(_star(_star(edges, True).distinct(), False).distinct(), "edges")
+        edges = staged(_star(_star(edges, True).distinct(), False).distinct(), "edges", before[0])
         after = state(edges)
         if after == before:
             break

@@ -119,7 +119,7 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
     shared = rows.select(key, "h1").groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
     wanted = rows.select("h1", "h2", key).join(shared, "key", "left_semi").select("h1", "h2", "half").distinct()
     wanted = wanted.join(groups.select("h1", "h2", F.col("first").alias("doc")), ["h1", "h2"]).groupBy("doc", "h1", "h2").agg(F.collect_set("half").alias("halves"))
-    wanted = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "halves")).alias("wanted")), "wanted")
+    wanted = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "halves")).alias("wanted")), "wanted", groups.count())
     small = wanted.count() <= BROADCAST_ROWS
     found = keyed.join(F.broadcast(wanted) if small else wanted, "doc").select("doc", "text", "wanted")
     schema = T.StructType(
@@ -150,7 +150,8 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
 
     order = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast(_ORDER)
-    return staged(found.mapInArrow(run, schema).withColumn("order", order).drop("doc", "line_no"), "candidates")
+    out = found.mapInArrow(run, schema).withColumn("order", order).drop("doc", "line_no")
+    return staged(out, "candidates")
 
 
 def _near(lines: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = text_of(text_col)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(whole).alias("digest"), whole.alias("text"))
     rows = staged(_rows(keyed), "lines")
-    groups = staged(rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups")
+    groups = staged(rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups", rows.count())
     near = _near(_candidates(keyed, rows, groups))
     # only lines that occur again or have an earlier near one can go
     verdict = groups.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))

@@ -98,8 +98,8 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     marks = {"__source": key, "__size": F.col(size_col), "__draw": draw, "__bucket": F.pmod(F.shiftrightunsigned(draw, 40), F.lit(BUCKETS)).cast("int")}
     marked = rows.withColumns(marks)
     counted = (rows if statistics is None else statistics).withColumns(marks)
-    goal = staged(targets(counted, weights, most, share), "targets")
-    cells = staged(counted.groupBy("__source", "__size", "__bucket").agg(F.count("*").alias("n")), "cells")
+    goal = staged(targets(counted, weights, most, share), "targets", 0)
+    cells = staged(counted.groupBy("__source", "__size", "__bucket").agg(F.count("*").alias("n")), "cells", counted.count())
     lengths = cells.groupBy("__source", "__size").agg(F.sum("n").alias("n")).filter("__size > 0").join(goal, "__source")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

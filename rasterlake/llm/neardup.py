@@ -209,7 +209,7 @@ def _regions(reps: DataFrame, depth: int) -> DataFrame:
         if p // 2 != q // 2 and _prefix(*(np.frombuffer(bytes(v), np.uint8)[None] for v in (y, x)))[0] >= depth - 1:
             bridges.append((min(a, b), max(a, b)))
     edges = found.filter("place is null").select("a", "b").unionByName(spark.createDataFrame(bridges, "a long, b long"))
-    return connected_components(edges.filter("a < b"))
+    return connected_components(edges.filter("a < b"), found.count())
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -263,13 +263,13 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray
     return (common > 0) & (100 * common >= percent * union)
 
 
-def _links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives of one region: a spanning forest of each comparison of blocks."""
     spark = docs.sparkSession
     sizes = members.groupBy("region").agg(F.sum("n_shingles").alias("total"))
     placed = members.join(sizes, "region").select("rep", "region", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = staged(placed, "placed")
+    placed = staged(placed, "placed", number)
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
     words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
     bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -286,7 +286,7 @@ def _links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Dat
 
     shingled = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(sets, set_schema)
     packed = shingled.join(placed, shingled["doc_id"] == placed["rep"]).groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("sets"))
-    packed = staged(packed.repartition(partitions(spark), "region", "block"), "blocks")
+    packed = staged(packed, "blocks", 10 * number)  # a block holds many rows
     single = packed.filter("blocks = 1").select("sets", F.lit(None).cast(packed.schema["sets"].dataType).alias("others"))
     # each block meets itself and every later one
     meets = packed.filter("blocks > 1").withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -321,10 +321,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     depth = max(3, math.floor(math.log(0.3) / math.log(percent / 100))) if percent < 100 else 12
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     signed = staged(_signatures(source, words, depth), "signatures")
-    reps = staged(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")), "representatives")
+    reps = staged(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")), "representatives", signed.count())
     regions = _regions(reps, depth)
-    members = staged(reps.select("rep", "n_shingles").join(regions, reps["rep"] == regions["node"]).select("rep", "n_shingles", F.col("root").alias("region")), "members")
-    roots = connected_components(_links(source, members, words, percent))
+    members = staged(reps.select("rep", "n_shingles").join(regions, reps["rep"] == regions["node"]).select("rep", "n_shingles", F.col("root").alias("region")), "members", reps.count())
+    number = members.count()
+    roots = connected_components(_links(source, members, number, words, percent), number)
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
