@@ -215,3 +215,22 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: lines, dropped lines and the digest of the text that is left, of every document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS ls FROM documents
+), l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS x FROM d
+), e AS (SELECT doc_id, n, x, doc_id * 1000000 + n AS pos FROM l WHERE length(x) >= 16
+), f AS (SELECT x, min(pos) AS pos FROM e GROUP BY x
+), h AS (SELECT x, pos, length(x) - z AS k FROM f, range(2) t(z)
+), k AS (SELECT x, pos, k, 0 AS side, right(x, k - k // 2) AS half FROM h UNION ALL SELECT x, pos, k, 1, left(x, k // 2) FROM h
+), near AS (
+  SELECT DISTINCT b.x FROM k a JOIN k b ON a.k = b.k AND a.side = b.side AND a.half = b.half AND a.pos < b.pos AND abs(length(a.x) - length(b.x)) <= 1
+  WHERE len(list_filter(range(0, least(length(a.x), length(b.x)) + 1), lambda i: left(a.x, i) = left(b.x, i)
+    AND (substr(a.x, i + 2) = substr(b.x, i + 2) OR substr(a.x, i + 1) = substr(b.x, i + 2) OR substr(a.x, i + 2) = substr(b.x, i + 1)))) > 0
+), gone AS (SELECT e.doc_id, e.n FROM e JOIN f ON e.x = f.x LEFT JOIN near ON near.x = e.x WHERE e.pos > f.pos OR near.x IS NOT NULL
+), kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.n) AS text FROM l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.n = l.n GROUP BY l.doc_id
+), c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_dropped, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""

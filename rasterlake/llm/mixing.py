@@ -36,13 +36,14 @@ def word_count(col: str = "text") -> Column:
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take (at most ``counts``) so that the words come as near to ``budget`` from below as can be."""
+    """How many documents of each length to take (at most ``counts``) so that the words come as near to ``budget`` as can be (from below where two sums are equally near)."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     budget = max(0, min(int(budget), total))
     if not budget:
         return np.zeros_like(counts)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    slack = min(budget, 8 * int(lengths.max()), DP_WORDS // 2)  # words left to the dynamic programme in any case
+    take = np.array([int(c) * (budget - slack) // total for c in counts], np.int64)
     left = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if left <= DP_WORDS:
@@ -50,10 +51,11 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         n = min(int(counts[i] - take[i]), (left - DP_WORDS) // int(lengths[i]) + 1, left // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
-    mask = (1 << (left + 1)) - 1
+    top = left + int(lengths.max())  # a sum above the budget may be the nearest
+    mask = (1 << (top + 1)) - 1
     reach, steps = 1, []
     for i in np.argsort(lengths, kind="stable"):
-        n, unit = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+        n, unit = min(int(counts[i] - take[i]), top // int(lengths[i])), 1
         while n > 0 and not reach >> left & 1:
             k = min(unit, n)
             steps.append((int(i), k, reach))
@@ -62,7 +64,10 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             unit *= 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    if above := reach >> (left + 1):
+        over = left + (above & -above).bit_length()
+        at = over if over - left < left - at else at
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k

@@ -28,6 +28,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_neardup": neardup.OP3_SQL,
     "op4_topk": topk.OP4_SQL,
     "op5_token_counts": tokencounts.OP5_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
 }

@@ -13,7 +13,8 @@ partial scores, one for each group.
    go on, and the best k of those are the result.
 
 Queries and rows meet in blocks of bounded size.  Integers stay exact: products go
-through doubles while all sums stay below 2^53, and through Python integers beyond.
+through doubles while all sums stay below 2^53, and through Python integers beyond; a
+score beyond 64 bits fails.
 
 Defined cases: vectors that are null or empty, or hold a null or non-finite component,
 take no part; shorter vectors count as filled up with zeros; ties go to the smaller id;
