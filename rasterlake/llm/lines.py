@@ -188,6 +188,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = _near(_candidates(keyed, rows, groups))
     # only lines that occur again or have an earlier near one can go
     verdict = groups.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = staged(verdict, "verdict", groups.count())  # both sides of the next join are plain exchanges: Spark splits a very common line
     gone = rows.select("doc", "digest", "line_no", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or doc > first").select("doc", "digest", F.array("line_no").alias("at"))
     again = rows.filter(F.size("again") > 0).select("doc", "digest", F.col("again").alias("at"))
     drops = gone.unionByName(again).groupBy("doc", "digest").agg(F.flatten(F.collect_list("at")).alias("__drops"))
