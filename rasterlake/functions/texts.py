@@ -117,6 +117,33 @@ def without_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
+_PARTS = "array<struct<type:string,text:string,image:string>>"
+
+
+def answer_text(response: Column) -> Column:
+    """A response's text (as JSON) from the first shape that has one: output_text, output items, choices; the response itself without any."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    lines = lambda parts: some(F.array_join(F.filter(parts, lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n"))
+    items = F.from_json(F.get_json_object(response, "$.output"), f"array<struct<content:{_PARTS}>>")
+    output = F.flatten(F.transform(items, lambda i: F.coalesce(F.transform(i["content"], lambda p: p["text"]), F.array().cast("array<string>"))))
+    choices = F.from_json(F.get_json_object(response, "$.choices"), "array<struct<message:struct<content:string>>>")
+
+    def said(choice: Column) -> Column:
+        content = choice["message"]["content"]
+        listed = F.transform(F.from_json(content, _PARTS), lambda p: p["text"])
+        return F.when(content.startswith("["), lines(listed)).otherwise(content)
+
+    return F.coalesce(some(F.get_json_object(response, "$.output_text")), lines(output), lines(F.transform(choices, said)), response)
+
+
+def image_url(response: Column) -> Column:
+    """The first image of a response's choices; raises without any."""
+    shape = f"struct<output:struct<choices:array<struct<message:struct<content:{_PARTS}>>>>>"
+    parts = F.flatten(F.transform(F.from_json(response, shape)["output"]["choices"], lambda c: F.coalesce(c["message"]["content"], F.array().cast(_PARTS))))
+    found = F.get(F.filter(F.transform(parts, lambda p: p["image"]), lambda u: F.coalesce(F.length(u), F.lit(0)) > 0), F.lit(0))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no image in response: "), F.substring(response, 1, 200))).cast("string"))
+
+
 def _answer(text: str | None) -> tuple[str | None, str | None]:
     """An answer's JSON object, canonical, or the error."""
     text = (text or "").strip()

@@ -43,6 +43,19 @@ def kendall(rows: DataFrame, keys: list[str], height: int, width: int, max_pixel
     return map_stacks(rows, keys, height, width, ["gt", "pred"], make, T.StructField("tau", T.DoubleType()))
 
 
+def sampled_kendall(rows: DataFrame, name: str, height: int, width: int, pairs: int = 200_000, seed: int = 0) -> DataFrame:
+    """Mean agreement in sign over seeded random pairs of pixels; an image's seed comes from its name."""
+    seeded = rows.withColumn("__seed", F.array(F.pmod(F.crc32(F.col(name).cast("string")) + seed, F.lit(1 << 32)).cast("long")))
+    schema = T.StructType([rows.schema[name], T.StructField("tau", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tau = [kernels.sampled_tau(np.asarray(g, float), np.asarray(p, float), pairs, int(s[0])) for g, p, s in zip(pdf["gt"], pdf["pred"], pdf["__seed"], strict=True)]
+            yield pdf[[name]].assign(tau=np.array(tau, float))
+
+    return seeded.select(name, "gt", "pred", "__seed").mapInPandas(run, schema)
+
+
 def boundary_f1(rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """Weighted multi-threshold boundary F1 of depths ``pred`` against ``gt`` within ``valid``."""
 

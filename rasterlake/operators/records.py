@@ -67,3 +67,14 @@ def complete(rows: DataFrame, fields: list[str]) -> DataFrame:
 def baseline_records(rows: DataFrame) -> DataFrame:
     """Records under the names that comparisons use."""
     return rows.select(F.col("sample_id").alias("id"), F.col("image_path").alias("image"), F.col("physical_properties").alias("targets"))
+
+
+def baseline_metrics(metrics: Column) -> dict[str, Column]:
+    """A comparison's two metrics from JSON text; missing ones are 0."""
+    return {m: F.coalesce(F.get_json_object(metrics, f"$.{m}").try_cast("double"), F.lit(0.0)) for m in ("mae", "rmse")}
+
+
+def completed_scene(text: Column) -> Column:
+    """Whether a scene's saved answer is an object without an error."""
+    error = F.coalesce(F.get_json_object(text, "$.error"), F.lit(""))
+    return F.json_object_keys(text).isNotNull() & error.isin("", "false", "0", "[]", "{}")

@@ -190,6 +190,43 @@ def resized(raster: Column, height: int, width: int, method: str = "bilinear") -
     return run(raster)
 
 
+BOXED = T.StructType([T.StructField("raster", RASTER), T.StructField("box", T.ArrayType(T.IntegerType()))])
+
+
+def letterboxed(raster: Column, height: int, width: int) -> Column:
+    """A raster struct fitted into a canvas with stretched edges, and the content's box (left, top, right, bottom)."""
+    from ..functions.kernels import letterbox
+
+    @F.pandas_udf(BOXED)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rasters, boxes = [], []
+        for h, w, c, data, error in rows.itertuples(index=False):
+            if error is None:
+                canvas, box = letterbox(np.array(data).reshape(int(h), int(w), int(c)), height, width)
+                rasters.append(dict(zip(RASTER.names, (height, width, int(c), canvas.ravel().tolist(), None), strict=True)))
+                boxes.append(list(box))
+            else:
+                rasters.append(dict.fromkeys(RASTER.names[:4]) | {"error": error})
+                boxes.append(None)
+        return pd.DataFrame({"raster": rasters, "box": boxes})
+
+    return run(raster)
+
+
+def cropped_back(raster: Column, box: Column, canvas: tuple[int, int], height: int, width: int) -> Column:
+    """The content's box cut from an answer of any size and resized to the source's; ``canvas`` is (width, height)."""
+    from ..functions.kernels import crop_back
+
+    @F.pandas_udf(RASTER)
+    def run(rows: pd.DataFrame, boxes: pd.Series) -> pd.DataFrame:
+        out = []
+        for (h, w, c, data, error), b in zip(rows.itertuples(index=False), boxes, strict=True):
+            out.append((height, width, c, crop_back(np.array(data).reshape(int(h), int(w), int(c)), tuple(map(int, b)), canvas, height, width).ravel(), None) if error is None else (None, None, None, None, error))
+        return pd.DataFrame(out, columns=RASTER.names)
+
+    return run(raster, box)
+
+
 def png(raster: Column) -> Column:
     """A raster struct of values in 0..1 as PNG bytes."""
 

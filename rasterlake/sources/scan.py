@@ -30,10 +30,10 @@ def with_suffix(rows: DataFrame, suffix: str) -> DataFrame:
 
 
 def preferred_inputs(rows: DataFrame, per_folder: bool = True, staged: bool = False) -> DataFrame:
-    """Per folder (or in all) only ``*_im`` files where there are any, else ``Image_*``; with ``staged``, those at the top come before deeper ones."""
-    name = F.lower(P.stem(F.col("path")))
+    """Per folder (or in all) only ``*_im.png`` files where there are any, else ``Image_*.png``; with ``staged``, those at the top come before deeper ones."""
+    name = F.lower(P.name(F.col("path")))
     deep = F.when(F.lit(staged) & F.col("path").contains("/"), 1).otherwise(0)
-    rank = F.when(name.endswith("_im"), F.lit(0) + deep).when(name.startswith("image_"), F.lit(2) + deep)
+    rank = F.when(name.endswith("_im.png"), F.lit(0) + deep).when(name.startswith("image_") & name.endswith(".png"), F.lit(2) + deep)
     return preferred_class(rows.withColumn("__folder", P.parent(F.col("path")) if per_folder else F.lit("")), "__folder", rank).drop("__folder")
 
 

@@ -101,3 +101,28 @@ def test_constant_prediction_and_empty_mask(spark):
     assert [(r.image, r.polarity, r.scale, r["shift"]) for r in out] == [(1, "far_white", 0.0, 2.0)]
     rows = {r.image: r for r in pixels.masked_errors(px, ["image"]).collect()}
     assert rows[2].valid_pixels == 0 and rows[2].mae is None and rows[1].mae == pytest.approx(2 / 3)
+
+
+def test_answers_and_urls(spark):
+    p = F.col("p")
+    shapes = ['{"output_text": "a"}', '{"output": [{"content": [{"text": "b"}, {"text": ""}, {"text": "c"}]}, {}]}', '{"choices": [{"message": {"content": "d"}}]}', '{"choices": [{"message": {"content": [{"type": "text", "text": "e"}]}}]}', '{"x": 1}']
+    assert values(spark, X.answer_text(p), *shapes) == ["a", "b\nc", "d", "e", '{"x": 1}']
+    assert values(spark, X.image_url(p), '{"output": {"choices": [{"message": {}}, {"message": {"content": [{"text": "t"}, {"image": "u"}]}}]}}') == ["u"]
+    with pytest.raises(Exception, match="no image"):
+        values(spark, X.image_url(p), "{}")
+    assert values(spark, records.completed_scene(p), '{"a": 1}', '{"error": "x"}', '{"error": null}', "[]", "nonsense") == [True, False, True, False, False]
+    assert values(spark, records.baseline_metrics(p)["mae"], '{"mae": 0.5}', "{}") == [0.5, 0.0]
+
+
+def test_sampled_tau_is_seeded_by_name(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ("b", [1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "image string, gt array<double>, pred array<double>")
+    assert sorted((r.image, r.tau) for r in images.sampled_kendall(df, "image", 1, 3, 500).collect()) == [("a", 1.0), ("b", -1.0)]
+
+
+def test_settings_are_checked():
+    from rasterlake.operators.settings import DepthSettings
+
+    assert DepthSettings().thresholds == 10
+    for bad in ({"width": 0}, {"mask_threshold": 2}, {"t_min": 1.0}, {"max_pixels": -1}, {"polarity": "x"}, {"resize": "x"}):
+        with pytest.raises(ValueError):
+            DepthSettings(**bad)

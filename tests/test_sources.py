@@ -120,3 +120,11 @@ def test_manifest_stream_survives_a_repeated_batch(spark, tmp_path):
         q = manifest_stream.start(spark.readStream.schema("k string, seq int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), ["k"], "seq")
         q.awaitTermination(60)
     assert sorted((r.k, r.seq) for r in manifest_stream.manifest(spark, str(tmp_path / "out"), ["k"], "seq").collect()) == [("a", 3), ("b", 2)]
+
+
+def test_letterbox_and_crop_columns(spark):
+    df = spark.createDataFrame([(rasters.encode_png(np.full((4, 8, 3), 51, np.uint8)),), (b"bad",)], "content binary")
+    boxed = df.select(rasters.letterboxed(rasters.decoded(F.col("content"), "rgb"), 16, 16).alias("b"))
+    out = boxed.select("b.box", rasters.cropped_back(F.col("b.raster"), F.coalesce("b.box", F.array(*[F.lit(0)] * 4)), (16, 16), 4, 8).alias("r")).collect()
+    assert list(out[0]["box"]) == [0, 4, 16, 12] and out[0]["r"]["height"] == 4 and np.allclose(out[0]["r"]["data"], 0.2)
+    assert out[1]["r"]["error"]
