@@ -15,8 +15,8 @@
    links, at most one row for each document.
 4. The links' components are the result.
 
-A pair at the threshold t shares a tree's prefix with probability t^depth, about 0.3; 48
-trees miss it with a probability of some 1e-8, and a region is joined by many pairs.
+A pair at the threshold t shares a tree's prefix with probability t^depth, about 0.32; 48
+trees miss it with a probability of some 1e-6, and a region is joined by many pairs.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are
 linked with nothing; a null id is joined only to equal sets and counts after all ids;
