@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dealt_anew, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     back = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     seen = back.unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))) if large else back
     least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    both = seen.join(least, "u")
+    both = seen.join(dealt_anew(least, "u"), "u")
     if large:
         return both.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return both.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import small_batches, staged, table, text_of
+from .common import dealt_anew, small_batches, staged, table, text_of
 
 MIN_CHARS = 16
 #: Rows (of a few longs) that a broadcast may have; beyond it the join is shuffled.
@@ -117,7 +117,7 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
     """Lines that share a half key with another line: ``order`` (their earliest place), hash, text, and the variants within that half."""
     key = F.posexplode("keys").alias("half", "key")
     shared = rows.select(key, "h1").groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
-    wanted = rows.select("h1", "h2", key).join(shared, "key", "left_semi").select("h1", "h2", "half").distinct()
+    wanted = rows.select("h1", "h2", key).join(dealt_anew(shared, "key"), "key", "left_semi").select("h1", "h2", "half").distinct()
     wanted = wanted.join(groups.select("h1", "h2", F.col("first").alias("doc")), ["h1", "h2"]).groupBy("doc", "h1", "h2").agg(F.collect_set("half").alias("halves"))
     wanted = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "halves")).alias("wanted")), "wanted", groups.count())
     small = wanted.count() <= BROADCAST_ROWS
@@ -159,7 +159,7 @@ def _near(lines: DataFrame) -> DataFrame:
     gone = lines.select("order", F.explode(F.arrays_zip("gone", "place")).alias("v")).select("order", F.col("v.gone").alias("variant"), F.col("v.place").alias("place"))
     # one substitution: the same variant with the same place deleted; all of a class are an edit apart
     classes = gone.groupBy("variant", "place").agg(F.min("order").alias("earlier"), F.max("order").alias("top")).filter("earlier < top").select("variant", "place", "earlier")
-    swapped = gone.join(classes, ["variant", "place"]).filter("order > earlier").select("order", "earlier")
+    swapped = gone.join(dealt_anew(classes, "variant"), ["variant", "place"]).filter("order > earlier").select("order", "earlier")
     # one insertion: a line that is another's variant
     own = lines.select(F.col("own").alias("variant"), F.col("order").alias("whole"))
     grown = gone.join(own, "variant").filter("order <> whole").select(F.greatest("order", "whole").alias("order"), F.least("order", "whole").alias("earlier"))
