@@ -23,6 +23,7 @@ columns of the input are neither read nor returned; repeated rows are encoded ea
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,13 @@ WINDOW = 16
 #: A cut every 256 bytes on average.
 CUT_MASK = 0xFF
 #: Bounds of a worker's tables, in entries of the word table and bytes of the chunk table.
-MAX_WORDS = 300_000
+MAX_WORDS = 400_000
 MAX_CHUNK_BYTES = 24_000_000
 
+#: Words that are encoded as one text.
+JOINED = 48
+_ASCII_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -76,6 +81,8 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ending = np.array([bool(suffix) and t is not None and t.endswith(suffix) for t in self.tokens])
         self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
@@ -95,6 +102,45 @@ class ChunkEncoder:
         tail = parts.pop() if parts and not chunk[-1:].isspace() else b""
         return head, parts, tail
 
+    def _learn(self, missing: list[bytes]) -> None:
+        """Encode words that the table doesn't hold.
+
+        Joined by line feeds, a few dozen at a time, which costs the library less; the
+        ids are cut apart after the tokens that end a pre-token.  That needs the number
+        of pre-tokens of every word: known for ASCII words without an apostrophe, and at
+        least one for each word of letters, so that equal totals prove one each.
+        """
+        alone: list[bytes] = []
+        groups: list[tuple[list[bytes], list[int]]] = [([], []), ([], [])]
+        for w in missing:
+            if w.isascii():
+                if b"'" in w or b"<|" in w:
+                    alone.append(w)
+                else:
+                    groups[0][0].append(w)
+                    groups[0][1].append(len(_ASCII_PARTS.findall(w)))
+            elif w.decode("utf-8", "replace").isalpha():
+                groups[1][0].append(w)
+                groups[1][1].append(1)
+            else:
+                alone.append(w)
+        for members, counts in groups:
+            starts = range(0, len(members), JOINED)
+            joined = [b"\n".join(members[k : k + JOINED]).decode("utf-8", "replace") for k in starts]
+            for k, e in zip(starts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.ending[ids]) + 1
+                n = counts[k : k + JOINED]
+                if len(ends) != sum(n) or (len(ids) and ends[-1] != len(ids)):
+                    alone += members[k : k + JOINED]
+                    continue
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(members[k : k + JOINED], ends[np.cumsum(n) - 1].tolist(), strict=True):
+                    self.words[w] = raw[4 * at : 4 * end]
+                    at = end
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.chunk_bytes > MAX_CHUNK_BYTES:
@@ -137,9 +183,7 @@ class ChunkEncoder:
             plans.append(plan)
         missing = [w for w in wanted if w not in words]
         if missing:
-            out = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, out, strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(missing)
         for key, entry in fresh.items():
             if entry is not None:
                 entry = (entry[0], b"".join([words[w] for w in entry[1]]), entry[2])
