@@ -1 +1 @@
-"""See the package README section."""
+"""Column expressions and numpy kernels."""

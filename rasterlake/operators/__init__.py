@@ -1 +1 @@
-"""See the package README section."""
+"""Operators on maps, pairs, manifests and records."""

@@ -112,11 +112,8 @@ def affine_metrics(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def depth_summary(rows: DataFrame, *levels: list[str]) -> DataFrame:
     """Macro means of depth metrics at several levels in one pass; a level's missing keys are null."""
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    sets = ", ".join("(" + ", ".join(level) + ")" for level in levels)
-    names = ["absrel", "rmse", "mae", "delta1", "log10", "rho"]
-    rows.createOrReplaceTempView("__depth_rows")
-    means = ", ".join(f"avg(CASE WHEN NOT isnan({m}) AND abs({m}) < double('infinity') THEN {m} END) AS {m}_mean" for m in names)
-    return rows.sparkSession.sql(f"SELECT {', '.join(keys)}, count(*) AS n_images, count_if(mask_used) AS masks_used, {means} FROM __depth_rows GROUP BY GROUPING SETS ({sets})")
+    means = [F.avg(finite(F.col(m))).alias(f"{m}_mean") for m in ("absrel", "rmse", "mae", "delta1", "log10", "rho")]
+    return rows.groupingSets([list(level) for level in levels], *keys).agg(F.count("*").alias("n_images"), F.count_if("mask_used").alias("masks_used"), *means)
 
 
 def unit_scale(values: DataFrame, keys: list[str], value: str = "depth") -> DataFrame:

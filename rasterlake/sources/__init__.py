@@ -1 +1 @@
-"""See the package README section."""
+"""Tables, scans, decoders, JSON reads and sinks."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Structured Streaming forms."""
