@@ -20,6 +20,8 @@ columns pass through stages 1 to 4; a null id is kept apart by text alone.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,30 +31,48 @@ from rasterlake.llm.common import WORD_PATTERN, staged, table
 MIN_LANGUAGE_SCORE = 0.4
 
 
+#: Columns of ``documents``; others are set aside while a stage runs.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def aside(stage):
+    """The stage with all other columns under names that no operator uses; it returns the columns that it was given."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        away = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = stage(spark, docs.withColumnsRenamed(away), sf_dir)
+        return out.select(*[away.get(c, c) for c in docs.columns]).toDF(*docs.columns)
+
+    return run
+
+
+@aside
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), langid.fit(docs), keep=[f"__own_{c}" if c in ("lang_pred", "score") else c for c in docs.columns])
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"__own_{c}": c for c in ("lang_pred", "score") if c in docs.columns}).select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs), keep=docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
 
 
+@aside
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(docs)
     left = F.col("text").rlike(WORD_PATTERN)
-    return out.filter((F.col("n_dropped") == 0) | left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.filter((F.col("n_dropped") == 0) | left).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@aside
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs, percent=80)
     stays = found.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
-    return rows.join(stays, F.col("__key").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    return rows.join(stays, F.col("__key").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__key", "__text"])
 
 
+@aside
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = staged(docs.select("doc_id", "source", mixing.word_count().alias("__words")), "sizes")
     taken = mixing.mix(docs.withColumn("__words", mixing.word_count()), size_col="__words", statistics=sizes)
-    kept = [c for c in docs.columns if c in taken.columns]
-    return taken.filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*kept)
+    return taken.filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,6 +272,7 @@ def test_pipeline_stages(spark, tricky, empty):
             assert {r.doc_id for r in docs.collect() if r.text and r.doc_id} <= {*want, 3, 4}
         if name != "encode":
             assert docs.columns == tricky.columns
+            assert {(r.n_lines, r.score, r.target, r.size) for r in docs.collect()} == {(3, 7, "z", "y")}  # extra columns keep their values
         if name == "language":
             assert {100, 101, 102}.isdisjoint(r.doc_id for r in docs.collect())
         if name == "near_duplicates":
