@@ -37,6 +37,21 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
     return (pairs - tx - ty + both - 2 * discordant) / den if den > 0 else math.nan
 
 
+def kendall_stack(x: np.ndarray, y: np.ndarray, block: int = 4_000_000) -> np.ndarray:
+    """Tau-b of each row of (n, pixels) stacks by the signs of all pairs: for small images."""
+    a, b = np.triu_indices(x.shape[1], 1)
+    out = np.full(len(x), math.nan)
+    if not len(a):
+        return out
+    step = max(1, block // len(a))
+    for k in range(0, len(x), step):
+        sx, sy = (np.sign(v[k : k + step][:, a] - v[k : k + step][:, b]) for v in (x, y))
+        nx, ny = np.count_nonzero(sx, 1), np.count_nonzero(sy, 1)
+        den = np.sqrt(nx.astype(float) * ny)
+        out[k : k + step] = np.where(den > 0, (sx * sy).sum(1) / np.where(den > 0, den, 1), math.nan)
+    return out
+
+
 def sampled_tau(x: np.ndarray, y: np.ndarray, pairs: int, seed: int) -> float:
     """Mean agreement in sign over seeded random pairs that differ in both."""
     if len(x) < 2 or pairs <= 0:

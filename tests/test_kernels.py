@@ -15,6 +15,7 @@ def test_kendall_equals_all_pairs():
         nx, ny = (sum(v[i] != v[j] for i, j in itertools.combinations(range(n), 2)) for v in (x, y))
         if nx and ny:
             assert K.kendall_tau_b(x, y) == pytest.approx(s / math.sqrt(nx * ny))
+            assert K.kendall_stack(np.stack([x, x]), np.stack([y, x]), 50) == pytest.approx([s / math.sqrt(nx * ny), 1])
     assert math.isnan(K.kendall_tau_b(np.ones(5), np.arange(5.0)))
     assert math.isnan(K.kendall_tau_b(np.array([1.0, np.nan]), np.array([1.0, 2.0])))
 
