@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import keep_last
 
+T = TypeVar("T")
+
 
 def upsert(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last entry of each key by ``seq``; entries with a null key are all kept."""
@@ -58,17 +64,35 @@ def skip_state(inputs: DataFrame, previous: DataFrame, keys: list[str], signatur
     return out.select(*inputs.columns, F.when(F.col("__old").isNull(), "new").when(same, "current").otherwise("changed").alias("state"))
 
 
-def retry_schedule(failures: DataFrame, retries: int, exponential: bool = True, base: float = 5.0, cap: float = 60.0) -> DataFrame:
-    """Each failure's attempts with the seconds waited before each: doubling up to a cap, or in proportion to the attempt."""
-    out = failures.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1))))
-    wait = F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.col("attempt"))) if exponential else base * (F.col("attempt") + 1)
-    return out.withColumn("wait_seconds", wait.cast("double"))
-
-
-def progress(inputs: DataFrame, done: DataFrame, group: str, keys: list[str]) -> DataFrame:
-    """Inputs, done, remaining and percent for each group, and in total (group TOTAL)."""
-    flags = inputs.join(done.select(*keys).distinct().withColumn("__done", F.lit(1)), keys, "left")
-    n, d = F.count("*"), F.count("__done")
-    out = flags.rollup(group).agg(n.alias("n_input"), d.alias("n_done"), F.grouping(group).alias("__all"))
+def retry_schedule(failures: DataFrame, retries: int, kind: str = "exponential", base: float = 5.0, cap: float = 60.0) -> DataFrame:
+    """Each failure's attempts with the seconds waited before each: doubling up to a cap (exponential), in proportion to the attempt (linear) or always the same (fixed)."""
+    attempt = F.col("attempt")
+    waits = {"exponential": F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), attempt)), "linear": base * (attempt + 1), "fixed": F.lit(float(base))}
+    if kind not in waits:
+        raise ValueError(f"kind must be one of {', '.join(waits)}")
+    return failures.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1)))).withColumn("wait_seconds", waits[kind].cast("double"))
+
+
+def with_retries(call: Callable[[], T], retries: int, wait: Callable[[int], float], retryable: Callable[[Exception], bool], sleep: Callable[[float], None] = time.sleep) -> T:
+    """A driver-side call, tried again after errors that allow it; the last error is raised."""
+    for attempt in range(retries + 1):
+        try:
+            return call()
+        except Exception as e:
+            if attempt == retries or not retryable(e):
+                raise
+            sleep(wait(attempt))
+    raise AssertionError("unreachable")
+
+
+def progress(inputs: DataFrame, done: DataFrame, group: str, keys: list[str], skipped: DataFrame | None = None) -> DataFrame:
+    """Inputs, done (and skipped), remaining and percent for each group, and in total (group TOTAL)."""
+    mark = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(1))
+    flags = inputs.join(mark(done, "__done"), keys, "left")
+    extra = [] if skipped is None else [F.count(F.when(F.col("__done").isNull(), F.col("__skipped"))).alias("n_skipped")]
+    if skipped is not None:
+        flags = flags.join(mark(skipped, "__skipped"), keys, "left")
+    out = flags.rollup(group).agg(F.count("*").alias("n_input"), F.count("__done").alias("n_done"), *extra, F.grouping(group).alias("__all"))
+    gone = F.col("n_done") + (F.col("n_skipped") if extra else F.lit(0))
     percent = F.when(F.col("n_input") > 0, F.col("n_done") * 100.0 / F.col("n_input")).otherwise(0.0)
-    return out.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n_input", "n_done", F.greatest(F.lit(0), F.col("n_input") - F.col("n_done")).cast("long").alias("n_remaining"), F.round(percent, 2).alias("percent"))
+    return out.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n_input", "n_done", *(["n_skipped"] if extra else []), F.greatest(F.lit(0), F.col("n_input") - gone).cast("long").alias("n_remaining"), F.round(percent, 2).alias("percent"))

@@ -379,7 +379,7 @@ def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def retry_backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _messages(spark, sf_dir).filter(X.retryable(F.col("message"))).select("event_id")
-    two = manifest.retry_schedule(failed, 5).withColumn("kind", F.lit("exponential")).unionByName(manifest.retry_schedule(failed, 3, exponential=False, base=3.0).withColumn("kind", F.lit("linear")))
+    two = manifest.retry_schedule(failed, 5).withColumn("kind", F.lit("exponential")).unionByName(manifest.retry_schedule(failed, 3, "linear", 3.0).withColumn("kind", F.lit("linear")))
     return two.groupBy("kind", "attempt").agg(F.count("*").alias("n"), F.sum("wait_seconds").alias("wait_seconds"))
 
 

@@ -126,3 +126,24 @@ def test_settings_are_checked():
     for bad in ({"width": 0}, {"mask_threshold": 2}, {"t_min": 1.0}, {"max_pixels": -1}, {"polarity": "x"}, {"resize": "x"}):
         with pytest.raises(ValueError):
             DepthSettings(**bad)
+
+
+def test_retries_and_progress(spark):
+    one = spark.createDataFrame([("x", "s")], "k string, g string")
+    assert [r.wait_seconds for r in manifest.retry_schedule(one, 3, "fixed", 3.0).orderBy("attempt").collect()] == [3, 3, 3]
+    with pytest.raises(ValueError):
+        manifest.retry_schedule(one, 3, "other")
+    slept, tries = [], iter([OSError("timed out"), OSError("timed out"), "done"])
+
+    def call():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert manifest.with_retries(call, 5, lambda n: min(60, 5 * 2**n), lambda e: "timed out" in str(e), slept.append) == "done" and slept == [5, 10]
+    with pytest.raises(KeyError):
+        manifest.with_retries(lambda: {}["k"], 5, float, lambda e: isinstance(e, OSError))
+    inputs = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "s")], "k string, g string")
+    out = {r.g: r for r in manifest.progress(inputs, inputs.filter("k = 'a'"), "g", ["k"], inputs.filter("k <> 'c'")).collect()}
+    assert (out["TOTAL"].n_done, out["s"].n_skipped, out["s"].n_remaining, out["s"].percent) == (1, 1, 1, 33.33)
