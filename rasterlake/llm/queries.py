@@ -5,7 +5,6 @@ from __future__ import annotations
 from . import bpe, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
 
 
-
 def pipeline(spark, sf_dir: str):
     """The whole corpus pipeline over ``documents``."""
     import corpus_pipeline
