@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, trim, worker_table
 
 WINDOW = 16
 #: A cut every 256 bytes on average.
 CUT_MASK = 0xFF
-#: Bounds of a worker's tables, in entries of the word table and bytes of the chunk table.
-MAX_WORDS = 400_000
-MAX_CHUNK_BYTES = 24_000_000
+#: Bounds of a worker's tables, in entries of a generation of words (there are two) and bytes of chunks.
+MAX_WORDS = 110_000
+MAX_CHUNK_BYTES = 16_000_000
 
 #: Words that are encoded as one text.
 JOINED = 48
@@ -84,6 +84,7 @@ class ChunkEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ending = np.array([bool(suffix) and t is not None and t.endswith(suffix) for t in self.tokens])
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before: words in use move on, others go
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         self.chunk_hits = self.chunk_misses = 0
@@ -147,8 +148,8 @@ class ChunkEncoder:
             self.chunks.clear()
             self.chunk_bytes = 0
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        chunks, words = self.chunks, self.words
+            self.words, self.older = {}, self.words
+        chunks, words, older = self.chunks, self.words, self.older
         fresh: dict[bytes, tuple | None] = {}
         plans: list[list] = []
         wanted: set[bytes] = set()
@@ -181,7 +182,13 @@ class ChunkEncoder:
                 plan.append([window])
             wanted.update(x[0] for x in plan if type(x) is list)
             plans.append(plan)
-        missing = [w for w in wanted if w not in words]
+        missing = []
+        for w in wanted:
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    missing.append(w)
         if missing:
             self._learn(missing)
         for key, entry in fresh.items():
@@ -201,17 +208,12 @@ class ChunkEncoder:
         return self.tokenizer.decode(found, skip_special_tokens=False)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_table(("bpe", path), lambda: ChunkEncoder(path))
 
 
 def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -251,6 +253,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ],
                     names=[id_col, "ids", "n_tokens", "decoded"],
                 )
+        trim()
 
     from pyspark.sql import types as T
 

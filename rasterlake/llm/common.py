@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +100,23 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     makes it so.
     """
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
+_tables: dict[Hashable, Any] = {}
+
+
+def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one table at a time, so that operators that follow each other don't add up."""
+    if key not in _tables:
+        _tables.clear()
+        trim()
+        _tables[key] = make()
+    return _tables[key]
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    gc.collect()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import partitions, small_batches, table, text_of
+from .common import partitions, small_batches, table, text_of, trim
 
 K, S = 16, 5
 SIZE = 64
@@ -211,6 +211,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield compare(held)
                     held = held[-1:]
         # the last row of a partition is a guest: it ends its range
+        trim()
 
     return rows.mapInArrow(run, schema)
 

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import held_out, small_batches, text_of
+from .common import held_out, small_batches, text_of, trim, worker_table
 
 EMBED, HIDDEN = 12, 16
 SEGMENT = 24
 TRAIN_WORDS = 48_000
-MAX_WORDS = 150_000
+MAX_WORDS = 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -219,9 +219,6 @@ class Labeller:
         return out
 
 
-_workers: dict[str, Labeller] = {}
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 160, seed: int = 11) -> tuple[list[str], dict]:
     """Learn from the rows that aren't held out: languages (sorted) and weights.
 
@@ -262,15 +259,13 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | N
     key = str(hash((tuple(langs), *(v.tobytes() for v in params.values()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Labeller(langs, params)
-        work = _workers[key]
+        work = worker_table(("language", key), lambda: Labeller(langs, params))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in slices(texts, 500_000):
                 found = work(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(named)]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
+        trim()
 
     return source.mapInArrow(run, out)
 

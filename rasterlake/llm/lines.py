@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import dealt_anew, small_batches, staged, table, text_of
+from .common import dealt_anew, small_batches, staged, table, text_of, trim
 
 MIN_CHARS = 16
 #: Rows (of a few longs) that a broadcast may have; beyond it the join is shuffled.
@@ -109,6 +109,7 @@ def _rows(keyed: DataFrame) -> DataFrame:
                             col.append(v)
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+        trim()
 
     return keyed.select("doc", "digest", "text").mapInArrow(run, schema)
 
@@ -208,6 +209,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 counts.append(len(lines))
                 dropped.append(len(out))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
+        trim()
 
     return joined.mapInArrow(rebuild, schema).select(*base.columns, "n_lines", "n_dropped")
 

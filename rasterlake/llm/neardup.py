@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import partitions, staged, table, text_of
+from .common import partitions, staged, table, text_of, trim
 from .components import connected_components
 
 TREES = 48
@@ -146,6 +146,7 @@ def _signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
                     ],
                     names=schema.names,
                 )
+        trim()
 
     return docs.mapInArrow(run, schema)
 
