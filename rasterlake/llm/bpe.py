@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut where a rolling hash of the last 16 bytes hits a mask, so
 a passage that many documents share is cut into the same chunks wherever it stands.
-Every distinct chunk is encoded once in a worker and kept in a bounded table; the
-table lives as long as the worker, across batches and tasks.
+Every distinct chunk is encoded once in a task and kept in a bounded table, across
+documents and batches; an idle worker holds no table.
 
 A cut may fall inside a word, so a chunk is kept in three parts: the bytes before its
 first white space (head), the ids of the whole words between, and the bytes after its
@@ -14,7 +14,7 @@ this kind of tokenizer neither normalises nor merges across white space (probed
 the tokenizer is loaded; one that does is refused).  Words are encoded in batches, each
 distinct one once.
 
-The chunk table is a worker's own: one for the whole cluster would move all text
+The chunk table is a task's own: one for the whole cluster would move all text
 through a shuffle twice to save what the word table saves already.
 
 Defined cases: null and empty texts have no ids, and decode to the empty text; other
@@ -36,9 +36,9 @@ from .common import small_batches, text_of, trim, worker_table
 WINDOW = 16
 #: A cut every 256 bytes on average.
 CUT_MASK = 0xFF
-#: Bounds of a worker's tables, in entries of a generation of words (there are two) and bytes of chunks.
-MAX_WORDS = 110_000
-MAX_CHUNK_BYTES = 16_000_000
+#: Bounds of a task's tables, in entries of a generation of words (there are two) and bytes of chunks.
+MAX_WORDS = 90_000
+MAX_CHUNK_BYTES = 10_000_000
 
 #: Words that are encoded as one text.
 JOINED = 48
@@ -83,15 +83,19 @@ class ChunkEncoder:
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ending = np.array([bool(suffix) and t is not None and t.endswith(suffix) for t in self.tokens])
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # the generation before: words in use move on, others go
-        self.chunks: dict[bytes, tuple] = {}
-        self.chunk_bytes = 0
+        self.clear()
         self.chunk_hits = self.chunk_misses = 0
         direct = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         if any(direct(f"b,a{w}1c{v}́x") != [*direct("b,a"), *direct("1c"), *direct("́x")] for w in " \t\n\r\x0b\x0c" for v in (" ", "\n ")):
             raise ValueError("chunk reuse needs a tokenizer that drops white space and never merges across it")
 
+    def clear(self) -> None:
+        """Empty the tables."""
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before: words in use move on, others go
+        self.chunks: dict[bytes, tuple] = {}
+        self.chunk_bytes = 0
+
     def _split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
         """Head, whole words, tail; None if the chunk has no white space."""
         parts = chunk.split()
@@ -253,6 +257,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ],
                     names=[id_col, "ids", "n_tokens", "decoded"],
                 )
+        enc.clear()
         trim()
 
     from pyspark.sql import types as T

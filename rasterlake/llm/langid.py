@@ -3,7 +3,7 @@
 The network reads the lower-cased UTF-8 bytes of a word and the space that ends it,
 forwards and backwards, and gives every position a probability for each language; a
 document's probabilities are the mean over all its positions.  White space resets the
-state, so equal words have equal labels: a worker runs the network once for each
+state, so equal words have equal labels: a task runs the network once for each
 distinct word and weighs the result by the word's count.  Whole texts are labelled; a
 word of over ``SEGMENT`` bytes is run in segments, all of them.
 
@@ -34,7 +34,7 @@ from .common import held_out, small_batches, text_of, trim, worker_table
 EMBED, HIDDEN = 12, 16
 SEGMENT = 24
 TRAIN_WORDS = 48_000
-MAX_WORDS = 100_000
+MAX_WORDS = 80_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -265,6 +265,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | N
             for a, b in slices(texts, 500_000):
                 found = work(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(named)]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
+        work.clear()  # an idle worker holds no table
         trim()
 
     return source.mapInArrow(run, out)
