@@ -5,8 +5,8 @@ folder; the next one reads it from there, so a lost executor costs single tasks.
 
 1. ``language``: documents without a letter, or in which no language has at least 40 %
    of the positions' probability, go.
-2. ``lines``: lines that repeat an earlier one, or are one edit from it, go; a document
-   of which no word is left goes.
+2. ``lines``: lines that repeat an earlier one, of any length, or (from 16 code points
+   on) are one edit from it, go; a document of which no word is left goes.
 3. ``near_duplicates``: of documents that share 80 % of their five-word shingles,
    directly or by others, the smallest id stays; of rows that repeat it, one.
 4. ``mix``: sources get 1, 2 or 3 parts of all words, at most three times their own; a
@@ -55,7 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @aside
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, short_repeats=True)
     left = F.col("text").rlike(WORD_PATTERN)
     return out.filter((F.col("n_dropped") == 0) | left).withColumn("n_chars", F.length("text").cast("long"))
 

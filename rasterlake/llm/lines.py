@@ -2,8 +2,9 @@
 
 Lines follow each other by document id, then by place.  A line of at least
 ``MIN_CHARS`` code points is dropped when an earlier one, dropped or not, is equal to it
-or differs by one insertion, deletion or substitution of a code point; shorter lines
-stay.
+or differs by one insertion, deletion or substitution of a code point.  Shorter lines
+that are not empty go with ``short_repeats`` when an earlier one is equal, and stay
+without it.
 
 Two lines one edit apart share a variant: the shorter one itself, or both with the code
 point at one place deleted.  Variants of all lines would be as many as the corpus has
@@ -86,8 +87,8 @@ def one_edit_apart(x: str, y: str) -> bool:
     return x[i:] == y[i + 1 :] or (len(x) == len(y) and x[i + 1 :] == y[i + 1 :])
 
 
-def _rows(keyed: DataFrame) -> DataFrame:
-    """One row for each document and distinct line: first place, other places, 128-bit hash, half keys."""
+def _rows(keyed: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """One row for each document and distinct line of at least ``least`` code points: first place, other places, 128-bit hash, half keys (none under ``MIN_CHARS``)."""
     schema = T.StructType(
         [*(T.StructField(c, T.LongType()) for c in ("doc", "digest")), T.StructField("line_no", T.IntegerType()), T.StructField("again", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("keys", T.ArrayType(T.LongType()))]
     )
@@ -101,11 +102,11 @@ def _rows(keyed: DataFrame) -> DataFrame:
                 for i in range(a, b):
                     places: dict[str, list[int]] = {}
                     for n, line in enumerate(lines_of(texts[i])):
-                        if len(line) >= MIN_CHARS:
+                        if len(line) >= least:
                             places.setdefault(line, []).append(n)
                     for line, at in places.items():
                         h = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for col, v in zip(cols, (ids[i], digests[i], at[0], at[1:], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), half_keys(line)), strict=True):
+                        for col, v in zip(cols, (ids[i], digests[i], at[0], at[1:], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), half_keys(line) if len(line) >= MIN_CHARS else []), strict=True):
                             col.append(v)
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
@@ -178,13 +179,16 @@ def _near(lines: DataFrame) -> DataFrame:
     return lines.select("order", "h1", "h2").join(late, "order", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left, and ``n_lines`` and ``n_dropped`` (input columns of these names are replaced)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
+    """``docs`` with the text that is left, and ``n_lines`` and ``n_dropped`` (input columns of these names are replaced).
+
+    ``short_repeats``: exact repeats of lines of under ``MIN_CHARS`` code points go as well.
+    """
     small_batches(docs.sparkSession)
     base = docs.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")])
     whole = text_of(text_col)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(whole).alias("digest"), whole.alias("text"))
-    rows = staged(_rows(keyed), "lines")
+    rows = staged(_rows(keyed, 1 if short_repeats else MIN_CHARS), "lines")
     groups = staged(rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups", rows.count())
     near = _near(_candidates(keyed, rows, groups))
     # only lines that occur again or have an earlier near one can go

@@ -134,6 +134,25 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_short_repeats_go_in_the_pipeline(spark):
+    rng = random.Random(21)
+    pool = ["Les.", "Les,", "Menu", "日本語の短い文", "x", " ", "", "exactly sixteen!", "exactly sixteen?", "a line of more than sixteen"]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 5))) + f"\nown line of document {i:04d}{i:04d}") for i in range(40)]
+    first, want = {}, {}
+    for i, t in rows:
+        left = []
+        for x in t.split("\n"):
+            near = len(x) >= lines.MIN_CHARS and any(distance_one(x, y) for y in first if len(y) >= lines.MIN_CHARS)
+            if x not in first and not near or not x:
+                left.append(x)
+            first.setdefault(x, i)
+        want[i] = "\n".join(left)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs, short_repeats=True).collect()}
+    assert got == want
+
+
 def test_lines_on_odd_rows(tricky, empty):
     out = lines.dedup_lines(tricky)
     assert out.count() == tricky.count() and out.columns == [*[c for c in tricky.columns if c != "n_lines"], "n_lines", "n_dropped"]
