@@ -3,10 +3,12 @@
 A source's target is its share of all words by weight, at most ``most`` times its size;
 what is above is shared again by weight among the others until none is above.  The mix
 takes every document of a source as many whole times as fit, and fits the rest of the
-budget as a subset sum: documents are counted by their exact length, each length gives
-its proportional part, and a bounded-knapsack dynamic programme over lengths (bitsets)
-chooses the counts that fill what is left.  Within a length, documents are taken in the
-order of a seeded hash, so reruns agree.
+budget as a subset sum: documents are counted by their exact length, and along the
+lengths every document has the same chance (systematic sampling from a seeded start), so
+each length and each run of near ones gives its proportional part, at every size of
+source.  That misses the budget by about one document; a dynamic programme (bitsets)
+over lengths in a seeded order puts documents in or takes them out until the sum is met.
+Within a length, documents are taken in the order of a seeded hash, so reruns agree.
 
 Only counts by source and length meet in one task.  A length that a great many
 documents share is dealt into hash buckets: whole buckets are taken by their counts, and
@@ -19,6 +21,8 @@ alike, so which of them counts makes no difference; other columns pass through.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, staged, table, text_of
 
 BUCKETS = 256
-#: Words that the dynamic programme fills; beyond it, the longest lengths are taken first.
+#: Words on either side of the budget that the dynamic programme's sums may reach, besides the longest document.
 DP_WORDS = 1 << 17
 
 
@@ -35,39 +39,44 @@ def word_count(col: str = "text") -> Column:
     return F.regexp_count(text_of(col), F.lit(WORD_PATTERN)).cast("long")
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 5) -> np.ndarray:
     """How many documents of each length to take (at most ``counts``) so that the words come as near to ``budget`` as can be (from below where two sums are equally near)."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     budget = max(0, min(int(budget), total))
     if not budget:
         return np.zeros_like(counts)
-    slack = min(budget, 8 * int(lengths.max()), DP_WORDS // 2)  # words left to the dynamic programme in any case
-    take = np.array([int(c) * (budget - slack) // total for c in counts], np.int64)
+    rng = np.random.default_rng(seed)
+    rising = np.argsort(lengths, kind="stable")
+    parts = np.floor(np.cumsum(counts[rising]) * (budget / total) + rng.random()).astype(np.int64)
+    take = np.zeros_like(counts)
+    take[rising] = np.minimum(np.diff(parts, prepend=0), counts[rising])
     left = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= DP_WORDS:
-            break
-        n = min(int(counts[i] - take[i]), (left - DP_WORDS) // int(lengths[i]) + 1, left // int(lengths[i]))
-        take[i] += n
-        left -= n * int(lengths[i])
-    top = left + int(lengths.max())  # a sum above the budget may be the nearest
-    mask = (1 << (top + 1)) - 1
-    reach, steps = 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        n, unit = min(int(counts[i] - take[i]), top // int(lengths[i])), 1
-        while n > 0 and not reach >> left & 1:
-            k = min(unit, n)
-            steps.append((int(i), k, reach))
-            reach |= reach << (k * int(lengths[i])) & mask
-            n -= k
-            unit *= 2
-        if reach >> left & 1:
-            break
-    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
-    if above := reach >> (left + 1):
-        over = left + (above & -above).bit_length()
-        at = over if over - left < left - at else at
+    # place ``zero`` of the bitset is the sum so far; a sum above the budget may be the nearest
+    zero = min(total, DP_WORDS + int(lengths.max()) + abs(left))
+    goal, mask = zero + left, (1 << (2 * zero + 1)) - 1
+    step = int(np.gcd.reduce(lengths))  # all sums are multiples of it
+    best = goal - left % step if 2 * (left % step) <= step else goal + step - left % step
+    reach, steps = 1 << zero, []
+    order = np.argsort(rng.exponential(size=len(counts)) / np.maximum(counts, 1), kind="stable")  # as the first of each length comes in a shuffle of all documents
+    into, out = counts - take, take.copy()
+    for most in (1, total):  # one document of each length, then all
+        for i in order:
+            for sign, room in ((1, into), (-1, out)):
+                n, unit = min(int(room[i]), most, 2 * zero // int(lengths[i])), 1
+                room[i] -= n
+                while n > 0 and not reach >> best & 1:
+                    k = min(unit, n)
+                    steps.append((int(i), sign * k, reach))
+                    reach |= reach << (k * int(lengths[i])) & mask if sign > 0 else reach >> (k * int(lengths[i]))
+                    n -= k
+                    unit *= 2
+            if reach >> best & 1:
+                break
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    if above := reach >> (goal + 1):
+        over = goal + (above & -above).bit_length()
+        at = over if at < 0 or over - goal < goal - at else at
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k
@@ -112,7 +121,7 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         size, goal = int(pdf["source_size"][0]), float(pdf["target"][0])
         full = min(most, int(goal // size))
         rest = 0 if full == most else int(round(goal - full * size))
-        pdf["quota"] = fit_counts(pdf["__size"].to_numpy(), pdf["n"].to_numpy(), rest)
+        pdf["quota"] = fit_counts(pdf["__size"].to_numpy(), pdf["n"].to_numpy(), rest, zlib.crc32(f"{seed} {pdf['__source'][0]}".encode()))
         pdf["full"] = full
         return pdf[["__source", "__size", "full", "quota"]]
 

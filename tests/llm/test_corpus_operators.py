@@ -182,6 +182,23 @@ def test_fit_counts_finds_the_best_sum():
     assert (big * np.arange(1, 3000)).sum() == 2_000_000_001
 
 
+@pytest.mark.parametrize("scale", (1, 40))  # below and above what the dynamic programme reaches
+def test_every_length_gives_its_share(scale):
+    rng = np.random.default_rng(17)
+    lengths, n = np.unique(rng.lognormal(6, 1, 400).astype(np.int64) + 1, return_counts=True)
+    counts = n * scale
+    total, takes = int((lengths * counts).sum()), []
+    for seed in range(60):
+        take = mixing.fit_counts(lengths, counts, int(0.53 * total), seed)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == int(0.53 * total)
+        takes.append(take)
+    assert len({t.tobytes() for t in takes}) > 30
+    assert (mixing.fit_counts(lengths, counts, int(0.53 * total), 3) == takes[3]).all()
+    for part in np.array_split(np.arange(len(lengths)), 8):  # from the shortest to the longest
+        share = np.mean([t[part].sum() / counts[part].sum() for t in takes])
+        assert abs(share - 0.53) < 0.06, (part[0], share)
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}
