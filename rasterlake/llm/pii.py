@@ -8,6 +8,11 @@ spelled digits and disguised at, dot and plus signs.  The same recognisers run o
 rewritten text, and a span that rests on at least one rewritten character is mapped
 back to source offsets and added.  Plain spans always stay.
 
+Runs of at least four spelled digits are folded first.  Then every run of numerals,
+digit words and said dots that holds a digit word or a said dot is folded, however few,
+and what the recognisers find in it is added where no span stands yet: an address or
+number that is complete does not grow by the digit words after it.
+
 Offsets count code points of the source, ends exclusive.  Texts are searched whole; no
 recogniser goes back over a text more than once, so very long runs stay linear.
 
@@ -127,6 +132,8 @@ _ONE = rf"(?:{_WORDS}|[0-9]+)"
 _POINT = r"(?:dot|point|punkt|punto)"
 #: At least four spelled digits in a row, with dots and a leading plus where they are said.
 _SPELLED = re.compile(rf"(?:(?:plus|\+){_GAP})?(?<![^\W_]){_ONE}(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})*(?:{_GAP}(?:{_POINT}{_GAP})?(?:{_WORDS}))(?![^\W_])|(?:(?:plus|\+){_GAP})?(?<![^\W_])(?:{_WORDS})(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})+(?![^\W_])", re.I)
+#: Numerals, digit words and said dots in a row, in any number.
+_MIXED = re.compile(rf"(?:(?:plus|\+){_GAP}?)?(?<![^\W_]){_ONE}(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})+(?![^\W_])", re.I)
 #: What can stand in a spelled run; two neighbours of it make a text worth the slower search.
 _SPOKEN = frozenset([*_DIGIT_WORDS, "dot", "point", "punkt", "punto", "plus"])
 _SAID_POINTS = frozenset(["dot", "point", "punkt", "punto"])
@@ -184,10 +191,10 @@ class Rewritten:
         return out
 
 
-def _fold_spelled(s: str) -> list[tuple[int, int, str]] | None:
-    """Edits within a spelled run, or None where it holds fewer than four spelled digits."""
+def _fold_spelled(s: str, least: int = 4) -> list[tuple[int, int, str]] | None:
+    """Edits within a spelled run, or None where it holds fewer than ``least`` spelled digits; 0: where it holds none and no said dot or plus."""
     pieces = [(m.lastgroup, m.start(), m.end(), m[0]) for m in _PIECE.finditer(s)]
-    if sum(k == "d" for k, *_ in pieces) < 4:
+    if sum(k == "d" for k, *_ in pieces) < least or all(k in ("n", "gap") or t == "+" for k, _, _, t in pieces):
         return None
     edits = []
     for i, (kind, a, b, t) in enumerate(pieces):
@@ -204,15 +211,15 @@ def _fold_spelled(s: str) -> list[tuple[int, int, str]] | None:
     return edits
 
 
-def rewrite(text: str) -> Rewritten | None:
-    """The text without its disguises; None where it has none."""
+def rewrite(text: str) -> list[Rewritten]:
+    """The text without its disguises: with runs of four spelled digits folded, and where that differs, with all runs."""
     r = Rewritten(text)
     if not text.isascii() and not _GLYPH_CHARS.isdisjoint(text):
         r = r.replace([(m.start(), m.end(), _GLYPHS[ord(m[0])]) for m in _GLYPH.finditer(text)])
     low = r.text.lower()
     if "(" in low or "[" in low or "{" in low or "<" in low:
         r = r.replace([(m.start(), m.end(), "@" if m.lastgroup == "at" else ".") for m in _SIGN.finditer(r.text)])
-    for c in ",.-_;/":
+    for c in ",.-_;/+·":
         low = low.replace(c, " ")
     words = low.split()
     spoken = _SPOKEN.intersection(words)
@@ -226,29 +233,32 @@ def rewrite(text: str) -> Rewritten | None:
                 elif r.text[a:b] != "@":
                     edits.append((a, b, "@"))
         r = r.replace(edits)
+    forms = [r]
     if spoken and b"\1\1" in bytes([w in _SPOKEN or w.isdigit() for w in words]):
-        edits = []
-        for m in _SPELLED.finditer(r.text):
-            edits += [(m.start() + a, m.start() + b, s) for a, b, s in _fold_spelled(m[0]) or []]
-        r = r.replace(edits)
-    if _LEET_HINT.search(r.text):
-        r = r.replace([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LEET.finditer(r.text)])
-    return None if isinstance(r.at, range) else r
+        folds = [[(m.start() + a, m.start() + b, s) for m in runs.finditer(r.text) for a, b, s in _fold_spelled(m[0], least) or []] for runs, least in ((_SPELLED, 4), (_MIXED, 0))]
+        forms = [r.replace(edits) for edits in folds[: 1 + (folds[0] != folds[1])]]
+    forms = [f.replace([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LEET.finditer(f.text)]) if _LEET_HINT.search(f.text) else f for f in forms]
+    return forms
 
 
 def detect(text: str) -> list[tuple[int, int, int, bool]]:
     """All spans: (start, number of the kind, end, plain), sorted.  Added ones rest on a rewritten character."""
     base = find(text)
     out = [(*x, True) for x in base]
-    if (r := rewrite(text)) is not None:
-        seen = set(base)
+    seen = set(base)
+    for n, r in enumerate(rewrite(text)):
+        if isinstance(r.at, range):  # nothing to rewrite
+            continue
+        taken = bytearray(len(text) if n else 0)  # where spans stand that came before the folding of all runs
+        for a, _, b in seen if n else ():
+            taken[a:b] = b"\1" * (b - a)
         for a, kind, b in find(r.text):
             if b"\1" in r.new[a:b]:
                 span = (r.at[a], kind, r.to[b - 1])
-                if span not in seen:
+                if span not in seen and 1 not in taken[span[0] : span[2]]:
                     seen.add(span)
                     out.append((*span, False))
-        out.sort()
+    out.sort()
     return out
 
 

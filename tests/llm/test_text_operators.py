@@ -152,6 +152,27 @@ def test_disguises_map_back_to_source_offsets(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b, plain in pii.detect(text) if not plain] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("at 192 dot 168 dot 1 dot 10 now", "ip", "192 dot 168 dot 1 dot 10"),
+        ("10 dot 0 dot zero dot one", "ip", "10 dot 0 dot zero dot one"),
+        ("call +1 555 one two three 4567", "phone", "+1 555 one two three 4567"),
+        ("call plus 1 555 123 4567", "phone", "plus 1 555 123 4567"),
+        ("+one 555 123 4567", "phone", "+one 555 123 4567"),
+        ("card 4111 1111 one one 11 1111", "card", "4111 1111 one one 11 1111"),
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ],
+)
+def test_few_spelled_digits_and_said_dots_are_folded(text, kind, span):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b, plain in pii.detect(text) if not plain] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", ["host 10.0.0.1 one of two", "bob@mail.org one two", "one two@site.org", "call +1 555 123 4567 un", "version 3 point 1 dot 4", "300 dot 1 dot 1 dot one", "1999, 2000, two 5", "one two " * 20_000])
+def test_complete_numbers_do_not_grow_by_digit_words(text):
+    assert [s for s in pii.detect(text) if not s[3]] == []
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "we met at noon dot", "one two of four", "Été à 5 h, 10 % – 20 %", "the point at hand", "dos o tres", "x (at) y"])
 def test_ordinary_text_gains_nothing(text):
     assert [s for s in pii.detect(text) if not s[3]] == []
