@@ -2,13 +2,13 @@
 
 A k-mer of code points is an anchor when the smallest hash among its s-mers stands at
 its first or last place.  Whether it is depends on the k-mer alone, so a passage keeps
-its anchors wherever it is moved.  A fingerprint holds the ``SIZE`` anchors of smallest
-hash, each with the place where it first stands, as base64 of (hash, place) pairs.
+its anchors wherever it is moved.  A fingerprint holds all distinct anchors, each with
+the place where it first stands, as base64 of (hash, place) pairs by rising hash; it
+grows with the text, so a passage that long texts share stays visible.
 
-The likeness of two fingerprints is the share, among the smallest ``SIZE`` hashes of
-both together, of anchors that both hold in the same order: the longest chain whose
-places rise on both sides (inserted or removed text shifts places, not their order).
-It is exact for texts of up to ``SIZE`` anchors and an estimate beyond.
+The likeness of two fingerprints is the share, among the hashes of both together, of
+anchors that both hold in the same order: the longest chain whose places rise on both
+sides (inserted or removed text shifts places, not their order).
 
 Defined cases: null counts as the empty text; texts too short for an anchor have one,
 of the whole text; the empty text's fingerprint is the empty string, like another empty
@@ -32,7 +32,6 @@ from .bpe import slices
 from .common import partitions, small_batches, table, text_of, trim
 
 K, S = 16, 5
-SIZE = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -89,7 +88,7 @@ def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def sketch(texts: list[str]) -> list[np.ndarray]:
     """Each text's fingerprint as rows of (hash, place)."""
-    return [np.stack([h[:SIZE], p[:SIZE].astype(np.uint32)], 1) for h, p in anchors(texts)]
+    return [np.stack([h, p.astype(np.uint32)], 1) for h, p in anchors(texts)]
 
 
 def encoded(rows: np.ndarray) -> str:
@@ -108,10 +107,6 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
         return 0.0
     common, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     distinct = len(x) + len(y) - len(common)
-    if distinct > SIZE:
-        last = np.partition(np.concatenate([x[:, 0], np.setdiff1d(y[:, 0], common, assume_unique=True)]), SIZE - 1)[SIZE - 1]
-        keep = common <= last
-        i, j, distinct = i[keep], j[keep], SIZE
     if not len(i):
         return 0.0
     tails: list[int] = []  # longest chain of places that rise on both sides

@@ -91,6 +91,19 @@ def test_likeness():
     assert (fingerprint.decoded(fingerprint.encoded(a)) == a).all()
 
 
+def test_long_texts_keep_shared_passages():
+    rng = random.Random(18)
+    say = lambda letters, n: "".join(rng.choices(letters, k=n))
+    passage = say("abcdefgh", 300)
+    texts = [say("ijklmnop", 60_000) + passage + say("ijklmnop", 9_000), say("qrstuvwx", 20_000) + passage + say("qrstuvwx", 30_000)]
+    x, y = fingerprint.sketch(texts)
+    inside = {int(h) for h in fingerprint.anchors([passage])[0][0]}
+    assert len(inside) > 30 and inside <= set(x[:, 0].tolist()) & set(y[:, 0].tolist())
+    together = len(set(x[:, 0].tolist()) | set(y[:, 0].tolist()))
+    assert len(inside) / together <= fingerprint.likeness(x, y) <= (len(inside) + 5) / together
+    assert [len(f) for f in (x, y)] == [len(h) for h, _ in fingerprint.anchors(texts)]
+
+
 def test_fingerprint_query(spark, tricky, empty):
     rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in tricky.collect()), key=lambda r: (-r[0], r[1]))
     got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in fingerprint.edited_neighbours(tricky).collect())
