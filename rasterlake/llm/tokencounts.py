@@ -20,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import WORD_PATTERN, shared_dir, staged, table, text_of
 
 KEYS = ("source", "lang", "tokenizer")
@@ -99,6 +100,35 @@ def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def total_counts(docs: DataFrame) -> DataFrame:
+    """Totals of all documents by source, language and tokenizer version: ``words-1``, ``bytes-1`` and ``bpe-1`` (ids of ``encode_documents``).
+
+    Batches 0 and 1 enter and revise as in ``op5_token_counts``; batch 2 deletes documents
+    of under five words from every version, batch 3 enters them again.  All come twice.
+    """
+    text, spark = text_of(), docs.sparkSession
+    row = F.struct(
+        "source", "lang", F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("words"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("spaces"), F.octet_length(text).cast("long").alias("bytes")
+    )
+    counts = staged(encode_documents(docs.select(row.alias("__row"), "text"), "__row").select("__row.*", F.col("n_tokens").alias("bpe")), "counts")
+    versions = {count: counts.withColumn("tokenizer", F.lit(f"{count}-1")) for count in ("words", "bytes", "bpe")}
+
+    def of_all(change, first: str, only: str = "true") -> DataFrame:
+        words, raw, bpe = (change(rows.filter(only), first if count == "words" else count) for count, rows in versions.items())
+        return words.unionByName(raw).unionByName(bpe)
+
+    batches = [of_all(inserted, "spaces"), revised(versions["words"], "spaces", "words"), of_all(deleted, "words", "words < 5"), of_all(inserted, "words", "words < 5")]
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}")
+    for number, changes in [*enumerate(batches), *enumerate(batches)]:
+        ledger.apply(number, changes)
+    return ledger.totals()
+
+
+def op5_token_counts_all(spark, sf_dir: str) -> DataFrame:
+    """Query: totals of all documents, tokens of the tokenizer among them."""
+    return total_counts(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT source, lang,

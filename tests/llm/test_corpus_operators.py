@@ -256,6 +256,26 @@ def test_ledger_is_idempotent(spark, tmp_path):
     assert {r.n_tokens for r in ledger.totals().collect()} == {9, 0}
 
 
+def test_total_counts_cover_every_document(spark, tricky, empty):
+    from tokenizers import Tokenizer
+
+    from rasterlake.llm import bpe
+
+    t = Tokenizer.from_file(bpe.default_tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    rows = tricky.withColumn("lang", F.when(F.col("doc_id").isin(101, 102), "short").otherwise(F.col("lang")))  # a group of short texts alone
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in rows.collect():
+        text = r.text or ""
+        for version, n in (("words-1", len(WORD.findall(text))), ("bytes-1", len(text.encode())), ("bpe-1", len(t.encode(text, add_special_tokens=False).ids))):
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in tokencounts.total_counts(rows).collect()}
+    assert got == dict(want) and ("s0", "short", "bpe-1") in got
+    assert tokencounts.total_counts(empty).count() == 0
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(14)
     v = rng.normal(0, 0.3, (300, 10)).astype(np.float32)
