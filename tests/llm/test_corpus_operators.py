@@ -280,23 +280,48 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(14)
     v = rng.normal(0, 0.3, (300, 10)).astype(np.float32)
     v[50:120] = v[7]  # ties
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, None), (1001, []), (1002, [float("nan")] * 10), (1003, [None] * 10), (1004, [float("inf")] * 10), (1005, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    monkeypatch.setattr(topk, "ROWS", 64)
-    monkeypatch.setattr(topk, "QUERIES", 4)
-    q = np.zeros((301, 10), np.int64)
+    more = [(1000, None), (1001, []), (1050, []), (1002, [float("nan")] * 10), (1003, [None] * 10), (1004, [float("inf")] * 10), (1005, [1.0, 2.0]), (None, [1.0] * 10)]
+    rows = [(i, [float(x) for x in r], "s", i) for i, r in enumerate(v)] + [(i, x, "s", 0) for i, x in more]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, tile int").repartition(3)
+    q = np.zeros((303, 10), np.int64)
     q[:300] = np.floor(v.astype(np.float64) * 256)
-    q[300, :2] = [256, 512]
-    ids = np.array([*range(300), 1005])
-    for k in (1, 5, 400):
+    q[302, :2] = [256, 512]
+    ids = np.array([*range(300), 1001, 1050, 1005])
+    for k, least in ((1, 32), (5, 32), (5, 1024), (400, 32)):
+        monkeypatch.setattr(topk, "LEAST", least)
         got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), k).collect())
         want = []
-        for i in range(0, 300, 50):
-            s = q @ q[i]
+        for i, vector in [*((i, q[i]) for i in range(0, 300, 50)), (1050, q[301])]:  # the empty query scores 0 with all
+            s = q @ vector
             order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
             want += [(i, n + 1, int(ids[j]), int(s[j])) for n, j in enumerate(order)]
         assert got == sorted(want)
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df.limit(0), df).count() == 0
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.25, 1.0]), (1, [0.5, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id = 0"), 3).collect())
+    assert got == [(0, 1, 1, 32768), (0, 1, 1, 65536), (0, 2, 1, 0), (0, 2, 1, 32768), (0, 3, 1, 0), (0, 3, 1, 16384)]
+
+
+def test_top_k_makes_few_whole_scores():
+    rng = np.random.default_rng(15)
+    unit = lambda v: np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    x, ids = unit(rng.normal(size=(8000, 64))), np.arange(8000)
+    q, q_ids = x[::50], ids[::50]
+    cut = topk.gather(q_ids, q, ids[:2000], x[:2000], 5)
+    made = 0
+    for a in range(0, 8000, 2000):
+        found, n = topk.collect(q_ids, q, cut, ids[a : a + 2000], x[a : a + 2000], *topk.summary(x[a : a + 2000])[:2], 5)
+        made += n
+    assert np.isfinite(cut).all() and 0 < made < len(q) * len(x) / 10
+    # far groups are not scored at all
+    centres = unit(rng.normal(size=(2, 64)))
+    near, far = (np.floor(256 * rng.normal(0, 0.01, (500, 64))).astype(np.int64) + c for c in (centres[0], -centres[0]))
+    cut = topk.gather(np.arange(500), near, np.arange(500), near, 5)
+    assert topk.collect(np.arange(500), near, cut, np.arange(500, 1000), far, *topk.summary(far)[:2], 5) == ([], 0)
 
 
 def test_top_k_stays_exact_beyond_doubles(spark):
