@@ -13,8 +13,10 @@ digit words and said dots that holds a digit word or a said dot is folded, howev
 and what the recognisers find in it is added where no span stands yet: an address or
 number that is complete does not grow by the digit words after it.
 
-Offsets count code points of the source, ends exclusive.  Texts are searched whole; no
-recogniser goes back over a text more than once, so very long runs stay linear.
+Offsets count code points of the source, ends exclusive.  Texts are searched whole.
+Spelled runs are found by one pass over their tokens and bracketed signs from their
+brackets outwards, so that no run of digits, words, separators or spaces, however long,
+is gone over again from each of its places.
 
 Defined cases: null and empty texts have no spans; repeated rows are searched each;
 other columns are not read.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,24 +130,19 @@ _DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_GAP = r"[ \t\n,;.·/_-]{1,3}"
-_ONE = rf"(?:{_WORDS}|[0-9]+)"
 _POINT = r"(?:dot|point|punkt|punto)"
-#: At least four spelled digits in a row, with dots and a leading plus where they are said.
-_SPELLED = re.compile(rf"(?:(?:plus|\+){_GAP})?(?<![^\W_]){_ONE}(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})*(?:{_GAP}(?:{_POINT}{_GAP})?(?:{_WORDS}))(?![^\W_])|(?:(?:plus|\+){_GAP})?(?<![^\W_])(?:{_WORDS})(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})+(?![^\W_])", re.I)
-#: Numerals, digit words and said dots in a row, in any number.
-_MIXED = re.compile(rf"(?:(?:plus|\+){_GAP}?)?(?<![^\W_]){_ONE}(?:{_GAP}(?:{_POINT}{_GAP})?{_ONE})+(?![^\W_])", re.I)
+#: What may part the tokens of a spelled run, up to three of it.
+_GAP = frozenset(" \t\n,;.·/_-")
+_TOKEN = re.compile(rf"(?<![^\W_])(?:(?P<d>{_WORDS})|(?P<n>[0-9]+)|(?P<p>{_POINT})|(?P<plus>plus))(?![^\W_])", re.I)
 #: What can stand in a spelled run; two neighbours of it make a text worth the slower search.
 _SPOKEN = frozenset([*_DIGIT_WORDS, "dot", "point", "punkt", "punto", "plus"])
 _SAID_POINTS = frozenset(["dot", "point", "punkt", "punto"])
-_PIECE = re.compile(rf"(?P<d>{_WORDS})|(?P<n>[0-9]+)|(?P<p>{_POINT})|(?P<plus>plus|\+)|(?P<gap>[^\w]+|_)", re.I)
 
-_OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
-_AT_SIGN = rf"[ \t]*{_OPEN}[ \t]*(?:at|@|ät|arroba|arobase)[ \t]*{_CLOSE}[ \t]*"
-_DOT_SIGN = rf"[ \t]*{_OPEN}[ \t]*(?:dot|\.|punkt|point|punto)[ \t]*{_CLOSE}[ \t]*"
+_BRACKET = re.compile(r"[(\[{<]")
+#: A bracketed sign from its bracket on.
+_SIGN = re.compile(r"[(\[{<][ \t]*(?:(?P<at>at|@|ät|arroba|arobase)|dot|\.|punkt|point|punto)[ \t]*[)\]}>][ \t]*", re.I)
 _SAID_AT = r"(?:[ \t]+(?:at|arroba|arobase)[ \t]+|_at_|-at-)"
 _SAID_DOT = rf"(?:[ \t]+{_POINT}[ \t]+|_{_POINT}_|-{_POINT}-)"
-_SIGN = re.compile(rf"(?P<at>{_AT_SIGN})|(?P<dot>{_DOT_SIGN})", re.I)
 _NAME = r"[A-Za-z0-9][A-Za-z0-9%+]*"
 #: A said at counts only in a whole said address: name, at, name and a said dot.
 _SAID = re.compile(rf"(?<![A-Za-z0-9%+])(?P<local>{_NAME}(?:(?:[._-]|{_SAID_DOT}){_NAME}){{0,6}}?)(?P<at>{_SAID_AT}|[ \t]*@[ \t]*)(?P<host>[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?:{_SAID_DOT}[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)+)", re.I)
@@ -158,56 +156,97 @@ class Rewritten:
 
     def __init__(self, text: str):
         self.text = text
-        self.at = range(len(text))
-        self.to = range(1, len(text) + 1)
-        self.new = bytes(len(text))
+        self.changed = False
 
     def replace(self, edits: list[tuple[int, int, str]]) -> Rewritten:
         """Replace ranges (sorted, apart) by texts; every written character stands for the whole range."""
         if not edits:
             return self
+        if not self.changed:
+            at, to, new = np.arange(len(self.text)), np.arange(1, len(self.text) + 1), np.zeros(len(self.text), bool)
+        else:
+            at, to, new = self.at, self.to, self.new
         text: list[str] = []
-        at: list[int] = []
-        to: list[int] = []
-        new = bytearray()
+        ats, tos, news = [], [], []
         done = 0
         for a, b, s in edits:
             text += [self.text[done:a], s]
-            at += self.at[done:a]
-            to += self.to[done:a]
-            new += self.new[done:a]
-            at += [self.at[a]] * len(s)
-            to += [self.to[b - 1]] * len(s)
-            new += b"\1" * len(s)
-            if not s and new and a == done:  # something invisible went: its neighbour counts as rewritten
-                new[-1] = 1
-            elif not s and new:
-                new[-1] = 1
+            ats += [at[done:a], np.full(len(s), at[a])]
+            tos += [to[done:a], np.full(len(s), to[b - 1])]
+            news += [new[done:a].copy(), np.ones(len(s), bool)]
+            if not s:  # something went: the character before counts as rewritten
+                last = next((x for x in reversed(news) if len(x)), None)
+                if last is not None:
+                    last[-1] = True
             done = b
-        out = Rewritten("")
-        out.text = "".join([*text, self.text[done:]])
-        out.at, out.to = [*at, *self.at[done:]], [*to, *self.to[done:]]
-        out.new = bytes(new + self.new[done:])
+        out = Rewritten("".join([*text, self.text[done:]]))
+        out.at, out.to, out.new = (np.concatenate([*x, rest[done:]]) for x, rest in ((ats, at), (tos, to), (news, new)))
+        out.changed = True
         return out
 
 
-def _fold_spelled(s: str, least: int = 4) -> list[tuple[int, int, str]] | None:
-    """Edits within a spelled run, or None where it holds fewer than ``least`` spelled digits; 0: where it holds none and no said dot or plus."""
-    pieces = [(m.lastgroup, m.start(), m.end(), m[0]) for m in _PIECE.finditer(s)]
-    if sum(k == "d" for k, *_ in pieces) < least or all(k in ("n", "gap") or t == "+" for k, _, _, t in pieces):
-        return None
+def signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits of bracketed at and dot signs, with the spaces around them."""
+    out: list[tuple[int, int, str]] = []
+    done = 0
+    for bracket in _BRACKET.finditer(text):
+        if bracket.start() >= done and (m := _SIGN.match(text, bracket.start())):
+            start = m.start()
+            while start > done and text[start - 1] in " \t":
+                start -= 1
+            done = m.end()
+            out.append((start, done, "@" if m.lastgroup == "at" else "."))
+    return out
+
+
+Piece = tuple[str, int, int, str]
+
+
+def spoken_runs(text: str) -> Iterator[list[Piece]]:
+    """Maximal runs of numerals and digit words, with said dots between them and a plus before: (kind, start, end, text) of each token."""
+    run: list[Piece] = []
+
+    def ended() -> list[Piece]:
+        while run and run[-1][0] == "p":
+            run.pop()
+        return run if sum(p[0] in "dn" for p in run) > 1 else []
+
+    for m in _TOKEN.finditer(text):
+        kind, (a, b) = m.lastgroup, m.span()
+        joined = bool(run) and 0 < a - run[-1][2] <= 3 and _GAP.issuperset(text[run[-1][2] : a])
+        if not joined or kind == "plus" or (kind == "p" and run[-1][0] not in "dn"):
+            if found := ended():
+                yield found
+            run = []
+        if not run:
+            if kind == "p":
+                continue
+            plus = text.rfind("+", max(0, a - 4), a)
+            if kind != "plus" and plus >= 0 and _GAP.issuperset(text[plus + 1 : a]):
+                run = [("plus", plus, plus + 1, "+")]
+        run.append((kind, a, b, m[0]))
+    if found := ended():
+        yield found
+
+
+def fold(text: str, run: list[Piece], least: int) -> list[tuple[int, int, str]]:
+    """Edits of a spelled run: with ``least``, up to its last digit word where it has that many; with 0, whole where it has a digit word, said dot or said plus."""
+    if least:
+        spelled = [i for i, p in enumerate(run) if p[0] == "d"]
+        if len(spelled) < least:
+            return []
+        run = run[: spelled[-1] + 1]
+    elif all(kind == "n" or t == "+" for kind, _, _, t in run):
+        return []
     edits = []
-    for i, (kind, a, b, t) in enumerate(pieces):
-        if kind == "d":
-            edits.append((a, b, _DIGIT_WORDS[t.lower()]))
-        elif kind == "p":
-            edits.append((a, b, "."))
-        elif kind == "plus":
-            edits.append((a, b, "+"))
-        elif kind == "gap":
-            edits.append((a, b, "." if t.strip() == "." and t != ". " and "." in t else ""))
-        elif kind == "n":
-            continue
+    before = None
+    for kind, a, b, t in run:
+        if before is not None and before < a:
+            gap = text[before:a]
+            edits.append((before, a, "." if gap.strip() == "." and gap != ". " else ""))
+        if kind != "n":
+            edits.append((a, b, _DIGIT_WORDS[t.lower()] if kind == "d" else "." if kind == "p" else "+"))
+        before = b
     return edits
 
 
@@ -218,7 +257,7 @@ def rewrite(text: str) -> list[Rewritten]:
         r = r.replace([(m.start(), m.end(), _GLYPHS[ord(m[0])]) for m in _GLYPH.finditer(text)])
     low = r.text.lower()
     if "(" in low or "[" in low or "{" in low or "<" in low:
-        r = r.replace([(m.start(), m.end(), "@" if m.lastgroup == "at" else ".") for m in _SIGN.finditer(r.text)])
+        r = r.replace(signs(r.text))
     for c in ",.-_;/+·":
         low = low.replace(c, " ")
     words = low.split()
@@ -235,7 +274,8 @@ def rewrite(text: str) -> list[Rewritten]:
         r = r.replace(edits)
     forms = [r]
     if spoken and b"\1\1" in bytes([w in _SPOKEN or w.isdigit() for w in words]):
-        folds = [[(m.start() + a, m.start() + b, s) for m in runs.finditer(r.text) for a, b, s in _fold_spelled(m[0], least) or []] for runs, least in ((_SPELLED, 4), (_MIXED, 0))]
+        runs = list(spoken_runs(r.text))
+        folds = [[e for run in runs for e in fold(r.text, run, least)] for least in (4, 0)]
         forms = [r.replace(edits) for edits in folds[: 1 + (folds[0] != folds[1])]]
     forms = [f.replace([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LEET.finditer(f.text)]) if _LEET_HINT.search(f.text) else f for f in forms]
     return forms
@@ -247,14 +287,14 @@ def detect(text: str) -> list[tuple[int, int, int, bool]]:
     out = [(*x, True) for x in base]
     seen = set(base)
     for n, r in enumerate(rewrite(text)):
-        if isinstance(r.at, range):  # nothing to rewrite
+        if not r.changed:
             continue
         taken = bytearray(len(text) if n else 0)  # where spans stand that came before the folding of all runs
         for a, _, b in seen if n else ():
             taken[a:b] = b"\1" * (b - a)
         for a, kind, b in find(r.text):
-            if b"\1" in r.new[a:b]:
-                span = (r.at[a], kind, r.to[b - 1])
+            if r.new[a:b].any():
+                span = (int(r.at[a]), kind, int(r.to[b - 1]))
                 if span not in seen and 1 not in taken[span[0] : span[2]]:
                     seen.add(span)
                     out.append((*span, False))
@@ -279,12 +319,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, schema)
 
 
-def op9_pii(spark, sf_dir: str) -> DataFrame:
+def op9_pii(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Query: counts of the plain spans, their digest, and all spans, of every document."""
     from .common import table
 
-    out = find_personal_data(table(spark, sf_dir, "documents"))
+    out = find_personal_data(docs if docs is not None else table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))

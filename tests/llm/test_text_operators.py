@@ -191,6 +191,38 @@ def test_ordinary_text_gains_nothing(text):
     assert [s for s in pii.detect(text) if not s[3]] == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "dos tres x " + "7 " * 500_000, "( at " + " " * 1_000_000 + "(", " " * 500_000 + "(" + " " * 500_000, "(dot) " + "one, " * 200_000, "one dot " * 120_000, "7" * 1_000_000 + " one two",
+        "a-" * 500_000 + " dot at one two", "a dot " * 160_000 + "at", "plus + " * 140_000 + "one two", "x" * 1_000_000 + " at y dot z one two", "9" + " -" * 500_000 + "one two", "[ " * 500_000, "a" + " " * 1_000_000 + "dot b one two",
+    ],
+    ids=range(13),
+)
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.detect(text)
+    assert time.process_time() - began < 8
+
+
+def test_pii_query_equals_the_patterns(spark, tricky):
+    rows = [(i, "".join(random.Random(i).choices("ab@@..-+ 0123455()%\né", k=300)), "en", "s") for i in range(60)]
+    rows += [(900, "mail x@y.org at 10.0.0.1 card 4111 1111 1111 1111 tel +1 555 123 4567", "en", "s"), (901, "bob (at) site (dot) org and x@y.org", "en", "s"), (902, "🎉 10.0.0.1", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").unionByName(tricky.select("doc_id", "text", "lang", "source"))
+    digest = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    want = []
+    for r in docs.collect():
+        base = brute_spans(r.text or "")
+        spans = sorted({x[:3] for x in pii.detect(r.text or "")})
+        assert set(base) <= set(spans)
+        want.append((r.doc_id, *(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans), len(spans) - len(base)))
+    got = [tuple(r) for r in pii.op9_pii(spark, "", docs=docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r[6] for r in got if r[0] == 901} == {"email:0:23,email:28:35"}
+
+
 def test_pii_over_odd_rows(tricky, empty):
     assert pii.find_personal_data(tricky).count() == tricky.count()
     assert pii.find_personal_data(empty).count() == 0
