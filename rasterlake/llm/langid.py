@@ -1,45 +1,50 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the lower-cased UTF-8 bytes of a word and the space that ends it,
-forwards and backwards, and gives every position a probability for each language; a
-document's probabilities are the mean over all its positions.  White space resets the
-state, so equal words have equal labels: a task runs the network once for each
-distinct word and weighs the result by the word's count.  Whole texts are labelled; a
-word of over ``SEGMENT`` bytes is run in segments, all of them.
-
-Training is backpropagation through time in numpy on the driver, on a bounded sample
-of labelled rows (``per_lang`` documents for each language, ``TRAIN_WORDS`` word
-occurrences); nothing else has a bound.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0; a null
-id is a training row like any other; without any labelled row everything is ``und``;
-repeated rows are labelled each; other columns are not read.
+The network reads the lower-cased UTF-8 bytes of a whole text, forwards and backwards,
+and gives every position a probability for each language; a document's probabilities
+are the mean over all its positions.
+
+The state is carried through the text.  To run many places at a time, a text is dealt
+into chunks of ``CHUNK`` bytes, each of which starts ``WARM`` bytes early (in reverse:
+late) from a zero state.  What state the chunk then has is compared with the one that
+its neighbour ended with; where any unit differs by more than ``TOLERANCE``, the chunk
+is run again from the neighbour's state, until all agree.
+
+Training is backpropagation through time in numpy on the driver.  It is the only part
+with bounds: windows of ``WINDOW`` bytes, ``PER_DOC`` at random places of each of
+``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages, cut in the
+tasks, so that no whole text comes to the driver.
+
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und``
+with score 0; a null id is a training row like any other; without any labelled row
+everything is ``und``; repeated rows are labelled each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import held_out, small_batches, text_of, trim, worker_table
+from .common import held_out, small_batches, text_of, trim
 
 EMBED, HIDDEN = 12, 16
-SEGMENT = 24
-TRAIN_WORDS = 48_000
-MAX_WORDS = 80_000
-_LETTER = re.compile(r"[^\W\d_]")
+CHUNK, WARM, TOLERANCE = 512, 64, 0.02
+#: Chunks that are run at a time, and the multiple that their number is filled up to.
+BATCH, PAD = 1024, 32
+WINDOW, PER_DOC, MAX_LANGS = 64, 12, 256
+_WORDY = re.compile(r"[^\W\d_]")
 
 
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-x))
+def _soft(x):
+    """The softsign, in place of tanh and (moved to 0..1) of the logistic function: it needs no exponential."""
+    return x / (1 + np.abs(x))
 
 
 def init_direction(rng) -> dict[str, np.ndarray]:
@@ -59,10 +64,10 @@ def forward(p: dict, xs: np.ndarray, keep: bool = False):
     kept = []
     for t in range(steps):
         hu = h @ p["u"]
-        gates = _sigmoid(xs[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+        gates = 0.5 + 0.5 * _soft(xs[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         hc = hu[:, 2 * HIDDEN :]
-        n = np.tanh(xs[t, :, 2 * HIDDEN :] + r * hc)
+        n = _soft(xs[t, :, 2 * HIDDEN :] + r * hc)
         new = n + z * (h - n)
         if keep:
             kept.append((h, z, r, hc, n))
@@ -79,9 +84,9 @@ def backward(p: dict, kept: list, dout: np.ndarray):
     for t in reversed(range(steps)):
         h, z, r, hc, n = kept[t]
         d = dh + dout[t]
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h - n) * z * (1 - z)
-        dr = dn * hc * r * (1 - r)
+        dn = d * (1 - z) * (1 - np.abs(n)) ** 2
+        dz = d * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+        dr = dn * hc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
         dhu = np.concatenate([dz, dr, dn * r], 1)
         dxs[t] = np.concatenate([dz, dr, dn], 1)
         du += h.T @ dhu
@@ -89,8 +94,8 @@ def backward(p: dict, kept: list, dout: np.ndarray):
     return dxs, du
 
 
-def train(words: list[bytes], labels: np.ndarray, n_langs: int, epochs: int = 5, batch: int = 256, rate: float = 0.006, seed: int = 7) -> dict:
-    """Fit the network to words (their bytes) and their language numbers by per-position cross-entropy."""
+def train(words: list[bytes], labels: np.ndarray, n_langs: int, epochs: int = 6, batch: int = 256, rate: float = 0.006, seed: int = 7) -> dict:
+    """Fit the network to pieces of text (their bytes) and their language numbers by per-position cross-entropy."""
     rng = np.random.default_rng(seed)
     p = {"e": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), "o": rng.normal(0, 0.2, (2 * HIDDEN, n_langs)).astype(np.float32), "ob": np.zeros(n_langs, np.float32)}
     for side in "fb":
@@ -151,121 +156,178 @@ def train(words: list[bytes], labels: np.ndarray, n_langs: int, epochs: int = 5,
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def label(p: dict, words: list[bytes]) -> np.ndarray:
-    """For words of one length: sums over the positions of the languages' probabilities."""
-    x = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).T
-    both = []
-    for side in "fb":
-        table = p["e"] @ p[f"{side}w"] + p[f"{side}b"]
-        o = forward({"u": p[f"{side}u"]}, table[x if side == "f" else x[::-1]])
-        both.append(o if side == "f" else o[::-1])
-    logits = np.concatenate(both, 2) @ p["o"] + p["ob"]
-    logits -= logits.max(2, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(2, keepdims=True)
-    return logits.sum(0)
-
-
-class Labeller:
-    """Pools the labels of a document's positions, with a bounded table of words seen."""
+class Network:
+    """A trained network, ready to label texts."""
 
     def __init__(self, langs: list[str], params: dict):
-        self.langs, self.params = langs, params
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.sums = np.zeros((4096, len(self.langs) + 1), np.float32)
-
-    def learn(self, words: list[str]) -> None:
-        """Run the network over words that the table doesn't hold."""
-        base = len(self.index)
-        for w in words:
-            self.index[w] = len(self.index)
-        while len(self.index) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        by_len: dict[int, tuple[list, list]] = {}
-        for i, w in enumerate(words):
-            raw = w.encode("utf-8", "surrogatepass") + b" "
-            for k in range(0, len(raw), SEGMENT):
-                piece = raw[k : k + SEGMENT]
-                at, pieces = by_len.setdefault(len(piece), ([], []))
-                at.append(base + i)
-                pieces.append(piece)
-        for n, (at, pieces) in by_len.items():
-            for k in range(0, len(pieces), 4096):
-                rows = np.array(at[k : k + 4096])
-                np.add.at(self.sums, (rows, slice(0, -1)), label(self.params, pieces[k : k + 4096]))
-                np.add.at(self.sums[:, -1], rows, n)
+        self.langs = langs
+        cuts = [slice(i * HIDDEN, (i + 1) * HIDDEN) for i in range(3)]
+        self.sides = []
+        for i, side in enumerate("fb" if params else ""):
+            table = params["e"] @ params[f"{side}w"] + params[f"{side}b"]
+            inputs = [np.ascontiguousarray(table[:, c]) for c in cuts]
+            recurrent = [np.ascontiguousarray(params[f"{side}u"][:, c] * f) for c, f in zip(cuts, (1, 1, 0.5), strict=True)]  # half for the reset gate, which is left at 0..2
+            self.sides.append((inputs, recurrent, params["o"][i * HIDDEN : (i + 1) * HIDDEN]))
+        self.bias = params.get("ob")
+
+    def states(self, side: int, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States (T, B, H) over bytes ``x`` (T, B) from the states ``h``."""
+        (tz, tr, tn), (uz, ur, un), _ = self.sides[side]
+        out = np.empty((*x.shape, HIDDEN), np.float32)
+        z, r, n, size = (np.empty_like(h) for _ in range(4))
+
+        def soft(v: np.ndarray) -> None:
+            np.abs(v, out=size)
+            np.add(size, 1, out=size)
+            np.divide(v, size, out=v)
+
+        for t in range(len(x)):
+            at = x[t]
+            for v, u, table in ((z, uz, tz), (r, ur, tr)):
+                np.matmul(h, u, out=v)
+                v += table.take(at, 0)
+                soft(v)
+                v += 1
+            np.matmul(h, un, out=n)
+            n *= r
+            n += tn.take(at, 0)
+            soft(n)
+            h = np.subtract(h, n, out=out[t])
+            h *= z
+            h *= 0.5
+            h += n
+        return out
+
+    def logits(self, side: int, raw: np.ndarray, before: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """One direction's part of the logits at every place of ``raw``.
+
+        Chunks ``start`` to ``end`` read from ``before`` on; ``first`` marks those that
+        begin a text.  The reverse direction passes everything reversed.
+        """
+        weights = self.sides[side][2]
+        out = np.empty((len(raw), weights.shape[1]), np.float32)
+        warm, last = (np.zeros((len(start), HIDDEN), np.float32) for _ in range(2))
+
+        def run(which: np.ndarray, begin: np.ndarray, h0: np.ndarray) -> None:
+            sizes = end[which] - begin
+            order = np.argsort(-sizes, kind="stable")
+            for k in range(0, len(order), BATCH):
+                at = order[k : k + BATCH]
+                chunk, lo, n = which[at], begin[at], sizes[at]
+                places = lo[None] + np.arange(n[0])[:, None]
+                inside = places < end[chunk][None]
+                x = raw[np.where(inside, places, lo[None])]
+                spare = -len(at) % PAD  # whole blocks of rows, so that a text's result doesn't hang on its company
+                h = np.concatenate([h0[at], np.zeros((spare, HIDDEN), np.float32)])
+                x = np.concatenate([x, np.zeros((len(x), spare), np.uint8)], 1)
+                states = self.states(side, x, h)[:, : len(at)]
+                own = inside & (places >= start[chunk][None])
+                out[places[own]] = states[own] @ weights
+                last[chunk] = states[n - 1, np.arange(len(at))]
+                early = start[chunk] - lo
+                warmed = np.flatnonzero(early > 0)
+                warm[chunk[warmed]] = states[early[warmed] - 1, warmed]
+
+        every = np.arange(len(start))
+        run(every, before, np.zeros((len(start), HIDDEN), np.float32))
+        inner = every[~first]
+        while len(inner):  # chunks that don't carry on from where their neighbour ended
+            inner = inner[(np.abs(warm[inner] - last[inner - 1]) > TOLERANCE).any(1)]
+            if len(inner):
+                carried = last[inner - 1]
+                warm[inner] = carried
+                run(inner, start[inner], carried)
+                inner = every[~first]
+        return out
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
-        if len(self.index) > MAX_WORDS:
-            self.clear()
-        counts = [Counter(t.lower().split()) if t and _LETTER.search(t) and self.langs else None for t in texts]
-        fresh = {w for c in counts if c for w in c if w not in self.index}
-        if fresh:
-            self.learn(sorted(fresh))
-        out = []
-        get = self.index.__getitem__
-        for c in counts:
-            if c is None:
-                out.append(("und", 0.0))
-                continue
-            rows = np.fromiter(map(get, c), np.int64, len(c))
-            total = np.fromiter(c.values(), np.float64, len(c)) @ self.sums[rows]
-            prob = total[:-1] / total[-1]
-            best = int(prob.argmax())
-            out.append((self.langs[best], float(min(1.0, prob[best]))))
+        parts = [t.lower().encode("utf-8", "surrogatepass") if self.langs and has_letter(t) else b"" for t in texts]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        live = np.flatnonzero(lengths)
+        if not len(live):
+            return out
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        lengths = lengths[live]
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        chunks = -(-lengths // CHUNK)
+        of = np.repeat(np.arange(len(live)), chunks)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        start = begins[of] + number * CHUNK
+        end = np.minimum(start + CHUNK, ends[of])
+        logits = self.logits(0, raw, np.maximum(start - WARM, begins[of]), start, end, number == 0)
+        total = len(raw)
+        back = self.logits(1, raw[::-1], (total - np.minimum(end + WARM, ends[of]))[::-1], (total - end)[::-1], (total - start)[::-1], (number == chunks[of] - 1)[::-1])
+        logits += back[::-1]
+        logits += self.bias
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(1, keepdims=True)
+        prob = np.round(np.add.reduceat(logits, begins, 0, np.float64) / lengths[:, None], 6)
+        for i, row in zip(live, prob, strict=True):
+            best = int(row.argmax())
+            out[i] = (self.langs[best], float(min(1.0, row[best])))
         return out
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 160, seed: int = 11) -> tuple[list[str], dict]:
     """Learn from the rows that aren't held out: languages (sorted) and weights.
 
-    ``per_lang`` bounds the documents of each language that come to the driver: those
-    with the smallest hashes of their ids, out of all rows.
+    ``per_lang`` bounds the documents of each language: those with the smallest hashes
+    of their ids and texts, out of all rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out("id") & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], {}
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    hashed = rows.withColumn("h", F.xxhash64("id", "text", F.lit(seed)))
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_lang / sizes[k] + 20 / sizes[k])))])
-    sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64("id", F.lit(seed)).alias("h")).toPandas()
-    rng = np.random.default_rng(seed)
-    words: list[bytes] = []
+    drawn = hashed.filter(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "h", "text")
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.LongType()), T.StructField("windows", T.ArrayType(T.BinaryType()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = []
+            for h, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = text.lower().encode("utf-8", "surrogatepass")
+                places = np.random.default_rng(h & 0xFFFFFFFF).integers(0, max(1, len(raw) - WINDOW + 1), min(PER_DOC, 1 + len(raw) // WINDOW))
+                windows.append([raw[p : p + WINDOW] for p in places.tolist()] if raw else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.binary()))], names=schema.names)
+
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    found = drawn.mapInArrow(cut, schema).withColumn("place", first).filter(F.col("place") <= per_lang).select("lang", "windows").collect()
+    windows: list[bytes] = []
     labels: list[int] = []
-    for k, lang in enumerate(langs):
-        mine = sample[sample["lang"] == lang].sort_values(["h", "text"])[:per_lang]
-        found = [w for t in mine["text"] for w in t.lower().split()]
-        if not found:
-            continue
-        for i in rng.integers(0, len(found), TRAIN_WORDS // len(langs)):
-            words.append(found[i].encode("utf-8", "surrogatepass")[: SEGMENT - 1] + b" ")
-            labels.append(k)
-    return (langs, train(words, np.array(labels), len(langs))) if words else ([], {})
+    for lang, mine in sorted((r["lang"], [bytes(w) for w in r["windows"]]) for r in found):
+        windows += mine
+        labels += [langs.index(lang)] * len(mine)
+    return (langs, train(windows, np.array(labels), len(langs))) if windows else ([], {})
 
 
 def identify(docs: DataFrame, model: tuple[list[str], dict], keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` (default: ``doc_id``) with ``lang_pred`` and ``score`` of every document.  A map over the rows, without a shuffle."""
     small_batches(docs.sparkSession)
-    langs, params = model
     keep = ["doc_id"] if keep is None else keep
     named = [c for c in keep if c not in ("lang_pred", "score")]
     at = named.index(text_col) if text_col in named else len(named)
     source = docs.select(*[F.col(c) for c in named], *[text_of(text_col).alias("__text")] * (at == len(named)))
     out = T.StructType([*source.schema.fields[: len(named)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    key = str(hash((tuple(langs), *(v.tobytes() for v in params.values()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = worker_table(("language", key), lambda: Labeller(langs, params))
+        network = Network(*model)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in slices(texts, 500_000):
-                found = work(texts[a:b])
+                found = network(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(named)]), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=out.names)
-        work.clear()  # an idle worker holds no table
         trim()
 
     return source.mapInArrow(run, out)

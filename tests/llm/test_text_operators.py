@@ -258,14 +258,34 @@ def test_language_accuracy_and_odd_rows(spark, tricky, empty):
     assert set(langid.identify(tricky, ([], {})).toPandas().lang_pred) == {"und"}
 
 
-def test_equal_texts_have_equal_labels_whatever_came_before():
+@pytest.fixture(scope="module")
+def network():
     rng = np.random.default_rng(8)
-    words = [bytes(rng.integers(97, 123, 5).astype(np.uint8)) + b" " for _ in range(300)]
-    model = langid.train(words, rng.integers(0, 2, 300), 2, epochs=1)
-    a, b = langid.Labeller(["x", "y"], model), langid.Labeller(["x", "y"], model)
-    b(["something else entirely " * 50])
+    words = [bytes(rng.integers(97 + 9 * (i % 2), 110 + 9 * (i % 2), 20).astype(np.uint8)) for i in range(600)]
+    return langid.Network(["x", "y"], langid.train(words, np.arange(600) % 2, 2, epochs=2))
+
+
+def test_equal_texts_have_equal_labels_whatever_their_company(network):
     t = "word " * 10 + "w" * 200
-    assert a([t]) == b([t])
+    alone = network([t])
+    assert all(network([*["something else entirely " * k] * k, t])[-1] == alone[0] for k in (1, 7, 50))
+
+
+def test_chunks_carry_the_state_through_the_text(network):
+    rng = random.Random(19)
+    some = ["".join(rng.choices("abcdefghijklmnopqrs é日", k=n)) for n in (1, 40, langid.CHUNK - 1, langid.CHUNK, langid.CHUNK + 1, 5000)]
+    some += ["m" * 4000, "ab" * 3000, " " * 600 + "q", "b" + " " * 3000 + "q"]  # what a state forgets slowly
+    for text, (lang, score) in zip(some, network(some), strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ways = [network.states(side, x[:, None], np.zeros((1, langid.HIDDEN), np.float32))[:, 0] @ network.sides[side][2] for side, x in ((0, raw), (1, raw[::-1]))]
+        z = ways[0] + ways[1][::-1] + network.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True)).mean(0)
+        assert score == pytest.approx(p.max(), abs=2e-3) and (lang == "xy"[p.argmax()] or abs(p[0] - p[1]) < 4e-3)
+
+
+def test_letters_are_letters():
+    assert [langid.has_letter(t) for t in ("½ ² Ⅷ ① 12 _ !", "", "日", "ª", "12 a", "́")] == [False, False, True, True, True, False]
 
 
 def test_quality(spark, tricky, empty):
