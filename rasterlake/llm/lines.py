@@ -1,10 +1,10 @@
 """Line dedup within an edit bound, by a deletion-neighbourhood join.
 
-Lines follow each other by document id, then by place.  A line of at least
-``MIN_CHARS`` code points is dropped when an earlier one, dropped or not, is equal to it
-or differs by one insertion, deletion or substitution of a code point.  Shorter lines
-that are not empty go with ``short_repeats`` when an earlier one is equal, and stay
-without it.
+Lines follow each other by document, then by place; documents follow by id, nulls last,
+and rows of one id by the MD5 of their texts.  A line that is not empty is dropped when
+an earlier one, dropped or not, is equal to it; one of at least ``MIN_CHARS`` code points
+also when an earlier one of that length differs by one insertion, deletion or
+substitution of a code point (below it, any two short words would be near).
 
 Two lines one edit apart share a variant: the shorter one itself, or both with the code
 point at one place deleted.  Variants of all lines would be as many as the corpus has
@@ -15,11 +15,12 @@ deletion at the same place are all one substitution apart, so each needs to meet
 earliest alone; a line that equals others' variant meets each of those.  No list of
 pairs within a group is made.  Every candidate is verified on its text.
 
-Keys are 64-bit hashes; equal lines are grouped by 128 bits.
+Keys are 64-bit hashes; equal lines are grouped by 128 bits, documents of one id told
+apart by 60.
 
-Defined cases: null and empty texts have no lines; a null id comes after all others;
-lines at one place of rows that repeat an id and a text do not count as earlier than
-each other; a document all of whose lines go keeps the empty text.
+Defined cases: null and empty texts have no lines; rows that repeat an id and a text are
+one document, so that lines at the same place of theirs stay or go together; a document
+all of whose lines go keeps the empty text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +38,22 @@ from .bpe import slices
 from .common import dealt_anew, small_batches, staged, table, text_of, trim
 
 MIN_CHARS = 16
-#: Rows (of a few longs) that a broadcast may have; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Lines (of some 100 bytes) that a broadcast may have; beyond it the join is shuffled.
+BROADCAST_LINES = 250_000
 
-_LAST = (1 << 63) - 1
 _R = 0xA24BAED4963EE407
 _RINV = np.uint64(pow(_R, -1, 1 << 64))
 _MIX = np.uint64(0x9FB21C651E98DF25)
-_ORDER = "decimal(38,0)"
+_PLACE = T.DecimalType(38, 0)
+
+
+def place_of(doc_id: Column, text: Column) -> Column:
+    """A document's place among all: id (null last), then 60 bits of its text's MD5, as one number below 2^125."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    rank = F.coalesce(wide(doc_id.cast("long")) + number(1 << 63), number(1 << 64))
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
+    return (rank.cast(_PLACE) * number(1 << 60) + wide(digest)).cast(_PLACE)
 
 
 def lines_of(text: str) -> list[str]:
@@ -87,32 +96,31 @@ def one_edit_apart(x: str, y: str) -> bool:
     return x[i:] == y[i + 1 :] or (len(x) == len(y) and x[i + 1 :] == y[i + 1 :])
 
 
-def _rows(keyed: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """One row for each document and distinct line of at least ``least`` code points: first place, other places, 128-bit hash, half keys (none under ``MIN_CHARS``)."""
+def _rows(keyed: DataFrame) -> DataFrame:
+    """One row for each document and distinct line that is not empty: first place, other places, 128-bit hash, half keys (none under ``MIN_CHARS``)."""
     schema = T.StructType(
-        [*(T.StructField(c, T.LongType()) for c in ("doc", "digest")), T.StructField("line_no", T.IntegerType()), T.StructField("again", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("keys", T.ArrayType(T.LongType()))]
+        [T.StructField("doc", _PLACE), T.StructField("line_no", T.IntegerType()), T.StructField("again", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("keys", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            ids, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 cols: list[list] = [[] for _ in schema]
                 for i in range(a, b):
                     places: dict[str, list[int]] = {}
                     for n, line in enumerate(lines_of(texts[i])):
-                        if len(line) >= least:
+                        if line:
                             places.setdefault(line, []).append(n)
                     for line, at in places.items():
                         h = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for col, v in zip(cols, (ids[i], digests[i], at[0], at[1:], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), half_keys(line) if len(line) >= MIN_CHARS else []), strict=True):
+                        for col, v in zip(cols, (i, at[0], at[1:], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), half_keys(line) if len(line) >= MIN_CHARS else []), strict=True):
                             col.append(v)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+                types = [pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=schema.names)
         trim()
 
-    return keyed.select("doc", "digest", "text").mapInArrow(run, schema)
+    return keyed.select("doc", "text").mapInArrow(run, schema)
 
 
 def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -122,15 +130,15 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
     wanted = rows.select("h1", "h2", key).join(dealt_anew(shared, "key"), "key", "left_semi").select("h1", "h2", "half").distinct()
     wanted = wanted.join(groups.select("h1", "h2", F.col("first").alias("doc")), ["h1", "h2"]).groupBy("doc", "h1", "h2").agg(F.collect_set("half").alias("halves"))
     wanted = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "halves")).alias("wanted")), "wanted", groups.count())
-    small = wanted.count() <= BROADCAST_ROWS
+    small = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
     found = keyed.join(F.broadcast(wanted) if small else wanted, "doc").select("doc", "text", "wanted")
     schema = T.StructType(
-        [*(T.StructField(c, T.LongType()) for c in ("doc",)), T.StructField("line_no", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("line", T.StringType()), T.StructField("own", T.LongType()), T.StructField("gone", T.ArrayType(T.LongType())), T.StructField("place", T.ArrayType(T.IntegerType()))]
+        [T.StructField("doc", _PLACE), T.StructField("line_no", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("line", T.StringType()), T.StructField("own", T.LongType()), T.StructField("gone", T.ArrayType(T.LongType())), T.StructField("place", T.ArrayType(T.IntegerType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for place, (text, wants) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 halves = {(w["h1"], w["h2"]): w["halves"] for w in wants}
                 cols: list[list] = [[] for _ in schema]
                 for n, line in enumerate(lines_of(text)):
@@ -145,14 +153,13 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
                     first = 0 if any(k % 2 == 0 for k in kinds) else max(0, middle - 3)
                     last = len(line) if any(k % 2 for k in kinds) else min(len(line), middle + 2)
                     own, gone = deletions(line, first, last)
-                    for col, v in zip(cols, (doc, n, *key, line, own, gone, np.arange(first, last, dtype=np.int32)), strict=True):
+                    for col, v in zip(cols, (place, n, *key, line, own, gone, np.arange(first, last, dtype=np.int32)), strict=True):
                         col.append(v)
                 if cols[0]:
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
+                    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=schema.names)
 
-    order = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast(_ORDER)
-    out = found.mapInArrow(run, schema).withColumn("order", order).drop("doc", "line_no")
+    out = found.mapInArrow(run, schema).withColumn("order", F.struct("doc", "line_no")).drop("doc", "line_no")
     return staged(out, "candidates")
 
 
@@ -168,7 +175,7 @@ def _near(lines: DataFrame) -> DataFrame:
     pairs = swapped.unionByName(grown).distinct()
     texts = lines.select("order", "line")
     both = pairs.join(texts, "order").join(texts.select(F.col("order").alias("earlier"), F.col("line").alias("before")), "earlier").select("order", "line", "before")
-    schema = T.StructType([T.StructField("order", T.DecimalType(38, 0))])
+    schema = T.StructType([T.StructField("order", lines.schema["order"].dataType)])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,27 +186,23 @@ def _near(lines: DataFrame) -> DataFrame:
     return lines.select("order", "h1", "h2").join(late, "order", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
-    """``docs`` with the text that is left, and ``n_lines`` and ``n_dropped`` (input columns of these names are replaced).
-
-    ``short_repeats``: exact repeats of lines of under ``MIN_CHARS`` code points go as well.
-    """
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text that is left, and ``n_lines`` and ``n_dropped`` (input columns of these names are replaced)."""
     small_batches(docs.sparkSession)
     base = docs.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")])
     whole = text_of(text_col)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(whole).alias("digest"), whole.alias("text"))
-    rows = staged(_rows(keyed, 1 if short_repeats else MIN_CHARS), "lines")
+    place = place_of(F.col(id_col), whole)
+    keyed = docs.select(place.alias("doc"), whole.alias("text"))
+    rows = staged(_rows(keyed), "lines")
     groups = staged(rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups", rows.count())
     near = _near(_candidates(keyed, rows, groups))
     # only lines that occur again or have an earlier near one can go
     verdict = groups.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     verdict = staged(verdict, "verdict", groups.count())  # both sides of the next join are plain exchanges: Spark splits a very common line
-    gone = rows.select("doc", "digest", "line_no", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or doc > first").select("doc", "digest", F.array("line_no").alias("at"))
-    again = rows.filter(F.size("again") > 0).select("doc", "digest", F.col("again").alias("at"))
-    drops = gone.unionByName(again).groupBy("doc", "digest").agg(F.flatten(F.collect_list("at")).alias("__drops"))
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__doc"), F.xxhash64(whole).alias("__digest")]
-    drops = drops.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), "__drops")
-    joined = base.select("*", *keys).join(drops, ["__doc", "__digest"], "left").select(*[F.col(c) for c in base.columns if c != text_col], "__drops", whole.alias("__text"))
+    gone = rows.select("doc", "line_no", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or doc > first").select("doc", F.array("line_no").alias("at"))
+    again = rows.filter(F.size("again") > 0).select("doc", F.col("again").alias("at"))
+    drops = gone.unionByName(again).groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("__drops")).withColumnRenamed("doc", "__doc")
+    joined = base.select("*", place.alias("__doc")).join(drops, "__doc", "left").select(*[F.col(c) for c in base.columns if c != text_col], "__drops", whole.alias("__text"))
     schema = T.StructType([*joined.schema.fields[:-2], T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,19 +228,21 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS ls FROM documents
-), l AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS x FROM d
-), e AS (SELECT doc_id, n, x, doc_id * 1000000 + n AS pos FROM l WHERE length(x) >= 16
+WITH d AS (
+  SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id NULLS LAST, substr(md5(coalesce(text, '')), 1, 15)) AS place, doc_id,
+    CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS ls FROM documents
+), l AS (SELECT r, place, unnest(range(0, len(ls))) AS n, unnest(ls) AS x FROM d
+), e AS (SELECT r, n, x, place * 10000000 + n AS pos FROM l WHERE x <> ''
 ), f AS (SELECT x, min(pos) AS pos FROM e GROUP BY x
-), h AS (SELECT x, pos, length(x) - z AS k FROM f, range(2) t(z)
+), h AS (SELECT x, pos, length(x) - z AS k FROM f, range(2) t(z) WHERE length(x) >= 16
 ), k AS (SELECT x, pos, k, 0 AS side, right(x, k - k // 2) AS half FROM h UNION ALL SELECT x, pos, k, 1, left(x, k // 2) FROM h
 ), near AS (
   SELECT DISTINCT b.x FROM k a JOIN k b ON a.k = b.k AND a.side = b.side AND a.half = b.half AND a.pos < b.pos AND abs(length(a.x) - length(b.x)) <= 1
   WHERE len(list_filter(range(0, least(length(a.x), length(b.x)) + 1), lambda i: left(a.x, i) = left(b.x, i)
     AND (substr(a.x, i + 2) = substr(b.x, i + 2) OR substr(a.x, i + 1) = substr(b.x, i + 2) OR substr(a.x, i + 2) = substr(b.x, i + 1)))) > 0
-), gone AS (SELECT e.doc_id, e.n FROM e JOIN f ON e.x = f.x LEFT JOIN near ON near.x = e.x WHERE e.pos > f.pos OR near.x IS NOT NULL
-), kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.n) AS text FROM l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.n = l.n GROUP BY l.doc_id
-), c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+), gone AS (SELECT e.r, e.n FROM e JOIN f ON e.x = f.x LEFT JOIN near ON near.x = e.x WHERE e.pos > f.pos OR near.x IS NOT NULL
+), kept AS (SELECT l.r, string_agg(l.x, chr(10) ORDER BY l.n) AS text FROM l ANTI JOIN gone g ON g.r = l.r AND g.n = l.n GROUP BY l.r
+), c AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_dropped, sha256(coalesce(kept.text, '')) AS text_sha256
-FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN c ON c.r = d.r
 """
