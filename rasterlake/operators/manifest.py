@@ -9,6 +9,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .matching import keep_last
 
 T = TypeVar("T")
@@ -26,11 +27,12 @@ def ranks(rows: DataFrame, *order: str, buckets: int | None = None) -> DataFrame
     """``position``: 0-based place of each row in the whole order, without one task that sees all rows.
 
     Rows are sorted into ranges; a range's first place is the number of rows before it.
+    The sorted ranges are staged: a lost task reads them again rather than deal anew.
     """
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    dealt = dealt.persist()
+    dealt = staged(dealt, "ranges")
     offsets = dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("__part", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
