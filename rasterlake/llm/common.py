@@ -5,14 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import staging
+from ..sources.staging import shared_dir  # noqa: F401
+
 #: White space that ends a word: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -36,46 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = getattr(spark.sparkContext, "_rasterlake_shared", None)
-        if not found:
-            found = spark.sparkContext._rasterlake_shared = "file://" + tempfile.mkdtemp(prefix="rasterlake-")
-    return found.rstrip("/")
-
-
-#: Rows of a staged table's file, where the number of rows is known to be small.
-ROWS_A_FILE = 100_000
-
-
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    The written table cuts the lineage: a lost executor costs the tasks that it
-    ran, never the stages before.  ``rows``, a bound of its rows, keeps tables of few
-    rows out of many small files: one for each core, or for each ``ROWS_A_FILE`` rows.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of the shared folder (call it between jobs)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")
-    path.getFileSystem(conf).delete(path, True)
+    """``df`` staged, with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return staging.staged(df, name, rows)
 
 
 def text_of(col: str = "text") -> Column:

@@ -5,9 +5,12 @@ what is above is shared again by weight among the others until none is above.  T
 takes every document of a source as many whole times as fit, and fits the rest of the
 budget as a subset sum: documents are counted by their exact length, and along the
 lengths every document has the same chance (systematic sampling from a seeded start), so
-each length and each run of near ones gives its proportional part, at every size of
-source.  That misses the budget by about one document; a dynamic programme (bitsets)
-over lengths in a seeded order puts documents in or takes them out until the sum is met.
+each length and each run length and each run of near ones gives its proportional part, at every size of
+source.  That misses the budget by about one document; a dynamic programme over lengths
+in a seeded order puts documents in or takes them out until the sum is met.  For every
+sum within ``DP_WORDS`` and the longest document of the budget it keeps the one step
+that first reached it, so its memory doesn't grow with the number of lengths; where no
+sum meets the budget, the nearest of those sums is taken.
 Within a length, documents are taken in the order of a seeded hash, so reruns agree.
 
 Only counts by source and length meet in one task.  A length that a great many
@@ -28,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.manifest import ranks
 from .common import WORD_PATTERN, staged, table, text_of
 
 BUCKETS = 256
@@ -52,12 +56,15 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     take = np.zeros_like(counts)
     take[rising] = np.minimum(np.diff(parts, prepend=0), counts[rising])
     left = budget - int((take * lengths).sum())
-    # place ``zero`` of the bitset is the sum so far; a sum above the budget may be the nearest
+    # place ``zero`` stands for the sum so far; a sum above the budget may be the nearest
     zero = min(total, DP_WORDS + int(lengths.max()) + abs(left))
-    goal, mask = zero + left, (1 << (2 * zero + 1)) - 1
+    goal = zero + left
     step = int(np.gcd.reduce(lengths))  # all sums are multiples of it
     best = goal - left % step if 2 * (left % step) <= step else goal + step - left % step
-    reach, steps = 1 << zero, []
+    reach = np.zeros(2 * zero + 1, bool)
+    reach[zero] = True
+    by = np.full(2 * zero + 1, -1, np.int32)  # the step that first reached a sum: its own sum before was reached by an earlier one
+    steps: list[tuple[int, int]] = []
     order = np.argsort(rng.exponential(size=len(counts)) / np.maximum(counts, 1), kind="stable")  # as the first of each length comes in a shuffle of all documents
     into, out = counts - take, take.copy()
     for most in (1, total):  # one document of each length, then all
@@ -65,41 +72,53 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
             for sign, room in ((1, into), (-1, out)):
                 n, unit = min(int(room[i]), most, 2 * zero // int(lengths[i])), 1
                 room[i] -= n
-                while n > 0 and not reach >> best & 1:
+                while n > 0 and not reach[best]:
                     k = min(unit, n)
-                    steps.append((int(i), sign * k, reach))
-                    reach |= reach << (k * int(lengths[i])) & mask if sign > 0 else reach >> (k * int(lengths[i]))
+                    shift = k * int(lengths[i])
+                    fresh = np.zeros_like(reach)
+                    if shift < len(reach):
+                        if sign > 0:
+                            fresh[shift:] = reach[:-shift]
+                        else:
+                            fresh[:-shift] = reach[shift:]
+                    fresh &= ~reach
+                    by[fresh] = len(steps)
+                    reach |= fresh
+                    steps.append((int(i), sign * k))
                     n -= k
                     unit *= 2
-            if reach >> best & 1:
+            if reach[best]:
                 break
-    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    if above := reach >> (goal + 1):
-        over = goal + (above & -above).bit_length()
-        at = over if at < 0 or over - goal < goal - at else at
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(lengths[i])
+    under, over = np.flatnonzero(reach[: goal + 1]), np.flatnonzero(reach[goal + 1 :])
+    at = int(under[-1]) if len(under) else -1
+    if len(over) and (at < 0 or int(over[0]) + 1 < goal - at):
+        at = goal + 1 + int(over[0])
+    while at != zero:
+        i, k = steps[by[at]]
+        take[i] += k
+        at -= k * int(lengths[i])
     return take
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, share: float = 1.0) -> DataFrame:
     """``__source``, ``source_size`` and ``target`` of every source, from rows (``__source``, ``__size``).
 
-    Filling levels: with the sources in order of cap over weight, those below the final
-    level are capped.  The windows run over one row for each source and spill if need be.
+    Filling levels: the sources below the level are capped and what they leave raises it,
+    until no more fall below.  Each round is one sum over the table of sources, which is
+    ranked by ranges, so that no task sees all sources.
     """
-    sources = sizes.groupBy("__source").agg(F.sum("__size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy("__source")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    rows = sources.withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("w"), "__source").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("all", F.sum("source_size").over(everything) * float(min(share, most))).withColumn("ws", F.sum("w").over(everything))
-    rows = rows.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("ws") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    rows = rows.withColumn("top", F.max("level").over(everything))
-    return rows.select("__source", "source_size", F.least("cap", F.col("w") * F.col("top")).alias("target"))
+    ranked = ranks(staged(sizes.groupBy("__source").agg(F.sum("__size").alias("source_size")), "sources", 0), "__source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
+    rows = staged(ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * float(most)), "sources", 0)
+    everything = float(rows.agg(F.sum("source_size")).first()[0] or 0) * float(min(share, most))
+    level, below = 0.0, -1
+    while True:
+        low = F.col("cap") < F.col("w") * level
+        n, capped, open_ = rows.agg(F.count_if(low), F.sum(F.when(low, F.col("cap"))), F.sum(F.when(~low, F.col("w")))).first()
+        if n == below or not open_:
+            break
+        below, level = n, (everything - (capped or 0.0)) / open_
+    return rows.select("__source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: int = 5, statistics: DataFrame | None = None) -> DataFrame:
@@ -137,7 +156,8 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     return out.select(*[F.col(c) for c in kept], "source_size", "target", "repeats", (F.col("repeats") * F.col("__size")).alias("taken"))
 
 
-def op6_mixing(spark, sf_dir: str) -> DataFrame:
+def op6_mixing(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Query: what the mix takes of every document."""
-    rows = staged(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")), "sizes")
+    docs = docs if docs is not None else table(spark, sf_dir, "documents")
+    rows = staged(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken")

@@ -218,15 +218,55 @@ def test_targets_fill_levels(spark):
         assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
-def test_mixing_meets_targets_and_repeats_itself(spark, tricky, empty):
-    rows = tricky.drop("size").withColumn("size", mixing.word_count())
-    once, twice = (mixing.mix(rows).select("doc_id", "source", "size", "source_size", "target", "taken").toPandas() for _ in range(2))
-    key = lambda d: sorted(map(repr, d.itertuples(index=False)))
-    assert key(once) == key(twice) and len(once) == tricky.count() and (once.taken <= 3 * once["size"]).all()
-    assert sorted(once["size"]) == sorted(len(WORD.findall(r.text or "")) for r in tricky.collect())
-    by = once.groupby(once.source.fillna("~")).agg({"taken": "sum", "target": "first"})
-    assert ((by.taken - by.target).abs()[["s1", "~"]] <= 40).all() and abs(by.taken["s0"] - by.target["s0"]) < 4500  # half of s0 is one document
-    assert mixing.mix(empty.drop("size").withColumn("size", F.lit(1).cast("long"))).count() == 0
+def subset_sums(sizes, limit):
+    reach = 1
+    for n in sizes:
+        reach |= reach << n
+        reach &= (1 << (limit + 1)) - 1
+    return reach
+
+
+def test_mixing_query_meets_targets_and_repeats_itself(spark, tricky, empty):
+    once, twice = (mixing.op6_mixing(spark, "", tricky).collect() for _ in range(2))
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(once) == key(twice)
+    source = {}
+    for r in tricky.collect():
+        source.setdefault(r.doc_id, r.source)  # rows of one id share a source, but for the repeated one
+    want = collections.Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in tricky.collect())
+    assert collections.Counter((r.doc_id, r["size"]) for r in once) == want
+    sizes = collections.defaultdict(list)
+    for r in tricky.collect():
+        sizes[r.source].append(len(WORD.findall(r.text or "")))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    goal = brute_targets({i: sum(sizes[s]) for i, s in enumerate(order)})
+    taken = collections.Counter()
+    at = {(sum(sizes[s]), round(goal[i], 6)): i for i, s in enumerate(order)}
+    for r in once:
+        assert 0 <= r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[at[r.source_size, round(r.target, 6)]] += r.taken
+    for i, s in enumerate(order):
+        full, total = divmod(goal[i], sum(sizes[s]))[0], sum(sizes[s])
+        rest = round(goal[i] - min(3, full) * total)
+        reach = subset_sums(sizes[s], total)
+        best = min(abs(x - rest) for x in range(total + 1) if reach >> x & 1)
+        assert abs(taken[i] - full * total - rest) == best, s
+    assert mixing.op6_mixing(spark, "", empty).count() == 0
+
+
+def test_fitting_many_lengths_without_an_exact_sum_is_bounded():
+    import tracemalloc
+
+    lengths = np.arange(2, 40_002, 2)
+    lengths[-1] = 40_001  # one odd length, so that the gcd doesn't tell
+    counts = np.full(len(lengths), 3)
+    counts[-1] = 0
+    tracemalloc.start()
+    budget = int((lengths * counts).sum() * 0.37) | 1
+    take = mixing.fit_counts(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs((take * lengths).sum() - budget) == 1 and peak < 30e6
 
 
 def test_hot_lengths_are_taken_by_buckets(spark):
