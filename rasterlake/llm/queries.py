@@ -18,7 +18,6 @@ QUERIES = {
     "op3_neardup": neardup.op3_neardup,
     "op4_topk": topk.op4_topk,
     "op5_token_counts": tokencounts.op5_token_counts,
-    "op5_token_counts_all": tokencounts.op5_token_counts_all,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality": quality.op8_quality,
@@ -30,6 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_neardup": neardup.OP3_SQL,
     "op4_topk": topk.OP4_SQL,
-    "op5_token_counts": tokencounts.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
 }

@@ -284,13 +284,18 @@ def test_ledger_is_idempotent(spark, tmp_path):
     assert ledger.apply(3, tokencounts.revised(rows.filter("n_tokens = 7").withColumn("new", F.lit(9)), "n_tokens", "new"))
     assert ledger.apply(4, tokencounts.inserted(rows.limit(0)))
     assert {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == {("s", 1, 9), (None, 1, 0)}
-    (tmp_path / "ledger" / "batch=3" / "_SUCCESS").unlink()  # a failed attempt
-    assert {r.n_tokens for r in ledger.totals().collect()} == {7, 0}
-    assert ledger.apply(3, tokencounts.revised(rows.filter("n_tokens = 7").withColumn("new", F.lit(9)), "n_tokens", "new"))
-    assert {r.n_tokens for r in ledger.totals().collect()} == {9, 0}
-
-
-def test_total_counts_cover_every_document(spark, tricky, empty):
+    totals = lambda: {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()}
+    tokencounts.inserted(rows).write.parquet(str(tmp_path / "ledger" / "attempt-of-a-lost-driver"))
+    assert totals() == {("s", 1, 9), (None, 1, 0)}
+    assert not ledger._commit(rows.limit(1), "batch=3") and totals() == {("s", 1, 9), (None, 1, 0)}  # two writers of one number
+    ledger.compact()
+    assert totals() == {("s", 1, 9), (None, 1, 0)} and ledger._names("batch") == []
+    assert not ledger.apply(3, tokencounts.inserted(rows)) and ledger.apply(9, tokencounts.inserted(rows.filter("n_tokens = 5")))
+    ledger.compact()
+    assert totals() == {("s", 2, 14), (None, 1, 0)} and not ledger.apply(9, tokencounts.inserted(rows)) and ledger._names("base") == ["base=1"]
+
+
+def test_total_counts_cover_every_document(spark, tricky, empty, tmp_path):
     from tokenizers import Tokenizer
 
     from rasterlake.llm import bpe
@@ -305,8 +310,9 @@ def test_total_counts_cover_every_document(spark, tricky, empty):
         for version, n in (("words-1", len(WORD.findall(text))), ("bytes-1", len(text.encode())), ("bpe-1", len(t.encode(text, add_special_tokens=False).ids))):
             want[r.source, r.lang, version][0] += 1
             want[r.source, r.lang, version][1] += n
-    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in tokencounts.total_counts(rows).collect()}
-    assert got == dict(want) and ("s0", "short", "bpe-1") in got
+    for _ in range(2):  # the second time on the same ledger
+        got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in tokencounts.total_counts(rows, str(tmp_path / "ledger")).collect()}
+        assert got == dict(want) and ("s0", "short", "bpe-1") in got
     assert tokencounts.total_counts(empty).count() == 0
 
 
@@ -368,6 +374,7 @@ def test_registered_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     for name, sql in queries.ORACLE_SQL.items():
         a, b = queries.QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         cols = sorted(a.columns)
