@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
+from . import bpe, bpe_sql, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
 
 
 def pipeline(spark, sf_dir: str):
@@ -27,7 +27,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_bpe": bpe_sql.OP1_SQL,
     "op3_neardup": neardup.OP3_SQL,
     "op4_topk": topk.OP4_SQL,
+    "op5_token_counts": bpe_sql.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
 }
