@@ -2,7 +2,8 @@
 
 The network reads the lower-cased UTF-8 bytes of a whole text, forwards and backwards,
 and gives every position a probability for each language; a document's probabilities
-are the mean over all its positions.
+are the mean over all its positions.  Its units have an update gate and a candidate (the
+light form of the gated unit, without a reset gate), both squashed by softsigns.
 
 The state is carried through the text.  To run many places at a time, a text is dealt
 into chunks of ``CHUNK`` bytes, each of which starts ``WARM`` bytes early (in reverse:
@@ -37,7 +38,7 @@ from .common import held_out, small_batches, text_of, trim
 EMBED, HIDDEN = 12, 16
 CHUNK, WARM, TOLERANCE = 512, 64, 0.02
 #: Chunks that are run at a time, and the multiple that their number is filled up to.
-BATCH, PAD = 1024, 32
+BATCH, PAD = 512, 32
 WINDOW, PER_DOC, MAX_LANGS = 64, 12, 256
 _WORDY = re.compile(r"[^\W\d_]")
 
@@ -48,49 +49,43 @@ def _soft(x):
 
 
 def init_direction(rng) -> dict[str, np.ndarray]:
-    """Weights of one direction: input, recurrent, bias; columns for update gate, reset gate, candidate."""
+    """Weights of one direction: input, recurrent, bias; columns for update gate, then candidate."""
     return {
-        "w": rng.normal(0, 0.3, (EMBED, 3 * HIDDEN)).astype(np.float32),
-        "u": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
-        "b": np.zeros(3 * HIDDEN, np.float32),
+        "w": rng.normal(0, 0.3, (EMBED, 2 * HIDDEN)).astype(np.float32),
+        "u": (rng.normal(0, 1, (HIDDEN, 2 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
+        "b": np.zeros(2 * HIDDEN, np.float32),
     }
 
 
 def forward(p: dict, xs: np.ndarray, keep: bool = False):
-    """States (T, B, H) of one direction for inputs ``xs`` (T, B, 3H); with ``keep`` also what the backward pass needs."""
+    """States (T, B, H) of one direction for inputs ``xs`` (T, B, 2H); with ``keep`` also what the backward pass needs."""
     steps, batch, _ = xs.shape
     h = np.zeros((batch, HIDDEN), np.float32)
     out = np.empty((steps, batch, HIDDEN), np.float32)
     kept = []
     for t in range(steps):
-        hu = h @ p["u"]
-        gates = 0.5 + 0.5 * _soft(xs[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        hc = hu[:, 2 * HIDDEN :]
-        n = _soft(xs[t, :, 2 * HIDDEN :] + r * hc)
-        new = n + z * (h - n)
+        v = _soft(xs[t] + h @ p["u"])
+        z, n = 0.5 + 0.5 * v[:, :HIDDEN], v[:, HIDDEN:]
         if keep:
-            kept.append((h, z, r, hc, n))
-        out[t] = h = new
+            kept.append((h, z, n))
+        out[t] = h = n + z * (h - n)
     return (out, kept) if keep else out
 
 
 def backward(p: dict, kept: list, dout: np.ndarray):
     """Gradients of inputs and recurrent weights from those of the states, through time."""
     steps, batch, _ = dout.shape
-    dxs = np.empty((steps, batch, 3 * HIDDEN), np.float32)
+    dxs = np.empty((steps, batch, 2 * HIDDEN), np.float32)
     du = np.zeros_like(p["u"])
     dh = np.zeros((batch, HIDDEN), np.float32)
     for t in reversed(range(steps)):
-        h, z, r, hc, n = kept[t]
+        h, z, n = kept[t]
         d = dh + dout[t]
         dn = d * (1 - z) * (1 - np.abs(n)) ** 2
         dz = d * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-        dr = dn * hc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
-        dhu = np.concatenate([dz, dr, dn * r], 1)
-        dxs[t] = np.concatenate([dz, dr, dn], 1)
-        du += h.T @ dhu
-        dh = d * z + dhu @ p["u"].T
+        dxs[t] = dx = np.concatenate([dz, dn], 1)
+        du += h.T @ dx
+        dh = d * z + dx @ p["u"].T
     return dxs, du
 
 
@@ -161,37 +156,26 @@ class Network:
 
     def __init__(self, langs: list[str], params: dict):
         self.langs = langs
-        cuts = [slice(i * HIDDEN, (i + 1) * HIDDEN) for i in range(3)]
         self.sides = []
         for i, side in enumerate("fb" if params else ""):
             table = params["e"] @ params[f"{side}w"] + params[f"{side}b"]
-            inputs = [np.ascontiguousarray(table[:, c]) for c in cuts]
-            recurrent = [np.ascontiguousarray(params[f"{side}u"][:, c] * f) for c, f in zip(cuts, (1, 1, 0.5), strict=True)]  # half for the reset gate, which is left at 0..2
-            self.sides.append((inputs, recurrent, params["o"][i * HIDDEN : (i + 1) * HIDDEN]))
+            halves = lambda m: [np.ascontiguousarray(m[:, :HIDDEN]), np.ascontiguousarray(m[:, HIDDEN:])]
+            self.sides.append((halves(table), halves(params[f"{side}u"]), params["o"][i * HIDDEN : (i + 1) * HIDDEN]))
         self.bias = params.get("ob")
 
     def states(self, side: int, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """States (T, B, H) over bytes ``x`` (T, B) from the states ``h``."""
-        (tz, tr, tn), (uz, ur, un), _ = self.sides[side]
+        (tz, tn), (uz, un), _ = self.sides[side]
         out = np.empty((*x.shape, HIDDEN), np.float32)
-        z, r, n, size = (np.empty_like(h) for _ in range(4))
-
-        def soft(v: np.ndarray) -> None:
-            np.abs(v, out=size)
-            np.add(size, 1, out=size)
-            np.divide(v, size, out=v)
-
+        z, n, size = (np.empty_like(h) for _ in range(3))
         for t in range(len(x)):
-            at = x[t]
-            for v, u, table in ((z, uz, tz), (r, ur, tr)):
+            for v, u, table in ((z, uz, tz), (n, un, tn)):
                 np.matmul(h, u, out=v)
-                v += table.take(at, 0)
-                soft(v)
-                v += 1
-            np.matmul(h, un, out=n)
-            n *= r
-            n += tn.take(at, 0)
-            soft(n)
+                v += table.take(x[t], 0)
+                np.abs(v, out=size)
+                np.add(size, 1, out=size)
+                np.divide(v, size, out=v)
+            z += 1
             h = np.subtract(h, n, out=out[t])
             h *= z
             h *= 0.5
@@ -206,6 +190,7 @@ class Network:
         """
         weights = self.sides[side][2]
         out = np.empty((len(raw), weights.shape[1]), np.float32)
+        padded = np.concatenate([raw, np.zeros(CHUNK + WARM, np.uint8)])
         warm, last = (np.zeros((len(start), HIDDEN), np.float32) for _ in range(2))
 
         def run(which: np.ndarray, begin: np.ndarray, h0: np.ndarray) -> None:
@@ -214,17 +199,16 @@ class Network:
             for k in range(0, len(order), BATCH):
                 at = order[k : k + BATCH]
                 chunk, lo, n = which[at], begin[at], sizes[at]
-                places = lo[None] + np.arange(n[0])[:, None]
-                inside = places < end[chunk][None]
-                x = raw[np.where(inside, places, lo[None])]
                 spare = -len(at) % PAD  # whole blocks of rows, so that a text's result doesn't hang on its company
                 h = np.concatenate([h0[at], np.zeros((spare, HIDDEN), np.float32)])
-                x = np.concatenate([x, np.zeros((len(x), spare), np.uint8)], 1)
-                states = self.states(side, x, h)[:, : len(at)]
-                own = inside & (places >= start[chunk][None])
-                out[places[own]] = states[own] @ weights
-                last[chunk] = states[n - 1, np.arange(len(at))]
+                x = np.zeros((n[0], len(h)), np.uint8)
+                x[:, : len(at)] = np.lib.stride_tricks.sliding_window_view(padded, n[0])[lo].T
+                states = self.states(side, x, h)
+                found = np.ascontiguousarray((states.reshape(-1, HIDDEN) @ weights).reshape(n[0], len(h), -1).transpose(1, 0, 2))
                 early = start[chunk] - lo
+                for i, (a, b, e) in enumerate(zip(start[chunk].tolist(), end[chunk].tolist(), early.tolist(), strict=True)):
+                    out[a:b] = found[i, e : e + b - a]
+                last[chunk] = states[n - 1, np.arange(len(at))]
                 warmed = np.flatnonzero(early > 0)
                 warm[chunk[warmed]] = states[early[warmed] - 1, warmed]
 
@@ -261,9 +245,9 @@ class Network:
         back = self.logits(1, raw[::-1], (total - np.minimum(end + WARM, ends[of]))[::-1], (total - end)[::-1], (total - start)[::-1], (number == chunks[of] - 1)[::-1])
         logits += back[::-1]
         logits += self.bias
-        logits -= logits.max(1, keepdims=True)
+        np.clip(logits, -80, 80, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
+        logits /= logits @ np.ones((logits.shape[1], 1), np.float32)
         prob = np.round(np.add.reduceat(logits, begins, 0, np.float64) / lengths[:, None], 6)
         for i, row in zip(live, prob, strict=True):
             best = int(row.argmax())
