@@ -46,6 +46,8 @@ BASE = 256
 SPARSE = 8
 #: Shingles of a block: 1 MB.
 BLOCK = 125_000
+#: Bytes of labels that a task sorts, about.
+TASK_BYTES = 128 << 20
 #: Bits of the filter that keeps most documents without a candidate out of the shuffle of sets: 1 MB at any size.
 FILTER_BITS = 1 << 23
 
@@ -168,42 +170,67 @@ def _neighbours(sorted_labels: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last = None  # label and its run's smallest id
+        last = None  # the last label that was dealt with, and its run's smallest id
+        dense = 0  # how many labels before it are alike but for one value, where they are too many to be sparse
+        held = np.zeros((0, width), np.uint8), np.zeros(0, np.int64)  # an open run that may still be sparse
+
+        def joined_rows(lab, ids, ends: bool):
+            """Links of all labels but those of a last run that is still open; what is left over."""
+            nonlocal last, dense
+            lcp = _prefix(lab, np.concatenate([(~lab[:1] if last is None else last[0][None]), lab[:-1]]))
+            loose = np.concatenate([np.flatnonzero(np.concatenate([[True], lcp[1:] < depth - 1])), [len(lab)]])
+            sizes = np.diff(loose)
+            if lcp[0] >= depth - 1:
+                sizes[0] += dense
+            stop = len(lab)
+            if not ends and sizes[-1] <= SPARSE:
+                stop = int(loose[-2])
+            sparse = np.repeat(sizes <= SPARSE, np.diff(loose))
+            rest = lab[stop:], ids[stop:]
+            dense = 0 if stop < len(lab) else int(sizes[-1])
+            lab, ids, lcp, sparse = lab[:stop], ids[:stop], lcp[:stop], sparse[:stop]
+            out = []
+            if stop:
+                joined = (lcp >= depth) | ((lcp >= depth - 1) & sparse)
+                starts = np.flatnonzero(np.concatenate([[True], ~joined[1:]]))
+                least = np.minimum.reduceat(ids, starts)
+                if last is not None and joined[0]:
+                    least[0] = min(least[0], last[1])
+                    out.append(rows([least[0]], [last[1]], [None], [None]))
+                root = np.repeat(least, np.diff(np.concatenate([starts, [len(lab)]])))
+                keep = root != ids
+                if keep.any():
+                    n = int(keep.sum())
+                    out.append(rows(root[keep], ids[keep], [None] * n, [None] * n))
+                last = (lab[-1], int(root[-1]))
+            return out, rest
+
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lab = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-            ids = batch.column(1).to_numpy()
-            if last is None:
+            lab = np.concatenate([held[0], np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)])
+            ids = np.concatenate([held[1], batch.column(1).to_numpy()])
+            if first:
                 yield rows([ids[0]], [ids[0]], [lab[0].tobytes()], [2 * part])
-                lcp = _prefix(lab, np.concatenate([~lab[:1], lab[:-1]]))
-            else:
-                lcp = _prefix(lab, np.concatenate([last[0][None], lab[:-1]]))
-            loose = np.concatenate([np.flatnonzero(np.concatenate([[True], lcp[1:] < depth - 1])), [len(lab)]])
-            sparse = np.repeat(np.diff(loose) <= SPARSE, np.diff(loose))
-            joined = (lcp >= depth) | ((lcp >= depth - 1) & sparse)
-            starts = np.flatnonzero(np.concatenate([[True], ~joined[1:]]))
-            least = np.minimum.reduceat(ids, starts)
-            if last is not None and joined[0]:
-                least[0] = min(least[0], last[1])
-                yield rows([least[0]], [last[1]], [None], [None])
-            root = np.repeat(least, np.diff(np.concatenate([starts, [len(lab)]])))
-            keep = root != ids
-            if keep.any():
-                n = int(keep.sum())
-                yield rows(root[keep], ids[keep], [None] * n, [None] * n)
-            last = (lab[-1], int(root[-1]))
+                first = False
+            out, held = joined_rows(lab, ids, False)
+            yield from out
+        if len(held[1]):
+            out, held = joined_rows(*held, True)
+            yield from out
         if last is not None:
             yield rows([last[1]], [last[1]], [last[0].tobytes()], [2 * part + 1])
 
     return sorted_labels.mapInArrow(run, schema)
 
 
-def _regions(reps: DataFrame, depth: int) -> DataFrame:
+def _regions(reps: DataFrame, number: int, depth: int) -> DataFrame:
     """``node`` and ``root`` (region) of every representative that has a candidate."""
     spark, width = reps.sparkSession, 1 + 2 * depth
     labels = reps.filter(F.col("rep").isNotNull()).select(F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(labels, i * {width} + 1, {width}))")).alias("label"), "rep")
-    found = staged(_neighbours(labels.repartitionByRange(partitions(spark), "label", "rep").sortWithinPartitions("label", "rep"), depth), "neighbours")
+    tasks = max(partitions(spark), -(-number * TREES * (width + 24) // TASK_BYTES))
+    found = staged(_neighbours(labels.repartitionByRange(tasks, "label", "rep").sortWithinPartitions("label", "rep"), depth), "neighbours")
     ends = sorted((r["place"], r["label"], r["a"]) for r in found.filter("place is not null").collect())  # two for each task
     bridges = []
     for (p, x, a), (q, y, b) in zip(ends, ends[1:], strict=False):
@@ -292,7 +319,8 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
     # each block meets itself and every later one
     meets = packed.filter("blocks > 1").withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     other = packed.filter("blocks > 1").select("region", F.col("block").alias("other"), F.col("sets").alias("others"))
-    pairs = meets.join(other, ["region", "other"]).select("sets", F.when(F.col("other") != F.col("block"), F.col("others")).alias("others")).repartition(partitions(spark))
+    n_pairs = packed.filter("blocks > 1").agg(F.sum(F.col("blocks") - F.col("block"))).first()[0] or 0
+    pairs = meets.join(other, ["region", "other"]).select("sets", F.when(F.col("other") != F.col("block"), F.col("others")).alias("others")).repartition(max(partitions(spark), n_pairs // 16))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +351,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     signed = staged(_signatures(source, words, depth), "signatures")
     reps = staged(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")), "representatives", signed.count())
-    regions = _regions(reps, depth)
-    members = staged(reps.select("rep", "n_shingles").join(regions, reps["rep"] == regions["node"]).select("rep", "n_shingles", F.col("root").alias("region")), "members", reps.count())
+    number = reps.count()
+    regions = _regions(reps, number, depth)
+    members = staged(reps.select("rep", "n_shingles").join(regions, reps["rep"] == regions["node"]).select("rep", "n_shingles", F.col("root").alias("region")), "members", number)
     number = members.count()
     roots = connected_components(_links(source, members, number, words, percent), number)
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))

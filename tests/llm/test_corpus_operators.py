@@ -80,6 +80,26 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
         assert got == {i: (want[i], len(shingles(t)), want[i] == i) for i, t in rows}
 
 
+def test_runs_are_the_same_however_rows_are_batched(spark):
+    rng = np.random.default_rng(23)
+    depth = 4
+    labels = rng.integers(0, 3, (3000, depth)).astype(">u2").view(np.uint8).reshape(3000, -1)
+    labels[:40] = labels[0]
+    rows = [(b"\0" + x.tobytes(), i) for i, x in enumerate(labels)]
+    tail = [(b"\1" + rng.integers(0, 60, depth).astype(">u2").tobytes(), i) for i in range(3000)]  # sparse runs
+    df = spark.createDataFrame(rows + tail, "label binary, rep long").repartition(1).sortWithinPartitions("label", "rep")
+    found = []
+    for size in ("5000", "7", "64"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = neardup._neighbours(df, depth).filter("place is null").collect()
+        u = Union()
+        for r in out:
+            u.join(r.a, r.b)
+        found.append({i: u.root(i) for i in range(3000)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    assert found[0] == found[1] == found[2]
+
+
 def test_near_duplicates_on_odd_rows(tricky, empty):
     out = neardup.near_duplicates(tricky).collect()
     assert len(out) == tricky.count() and neardup.near_duplicates(empty).count() == 0
