@@ -137,6 +137,102 @@ def fill_regions(values: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return means[root].reshape(values.shape)
 
 
+def average_ranks(v: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """0-based ranks within each row of (n, pixels), of the pixels that are ``ok``; ties share the mean of theirs."""
+    key = np.where(ok, v, np.inf)
+    order = np.argsort(key, 1, kind="stable")
+    ordered = np.take_along_axis(key, order, 1)
+    change = ordered[:, 1:] != ordered[:, :-1]
+    edge = np.ones((len(v), 1), bool)
+    at = np.arange(v.shape[1])
+    first = np.maximum.accumulate(np.where(np.concatenate([edge, change], 1), at, 0), 1)
+    last = np.minimum.accumulate(np.where(np.concatenate([change, edge], 1), at, len(at))[:, ::-1], 1)[:, ::-1]
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last) / 2, 1)
+    return out
+
+
+def _mean(v: np.ndarray, ok: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Means of the ``ok`` values of each row; NaN without any."""
+    return np.where(ok, v, 0).sum(1) / np.where(n > 0, n, np.nan)
+
+
+def spearman(x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Rank correlation of each row: 0 without variance, NaN below two pixels."""
+    n = ok.sum(1)
+    dx, dy = (np.where(ok, average_ranks(v, ok) - (n[:, None] - 1) / 2, 0) for v in (x, y))  # ranks' mean is known
+    den = np.sqrt((dx * dx).sum(1) * (dy * dy).sum(1))
+    return np.where(n < 2, np.nan, np.where(den > 0, (dx * dy).sum(1) / np.where(den > 0, den, 1), 0.0))
+
+
+def depth_metrics(gt: np.ndarray, pred: np.ndarray, valid: np.ndarray, polarity: str = "auto", delta05: float = 1.25**0.5) -> dict[str, np.ndarray]:
+    """Affine-invariant depth metrics of (n, pixels) stacks, one for each image, and the ``oriented`` and ``aligned`` predictions.
+
+    The prediction is scaled to 0..1 within the mask (a constant one to 0), reversed if
+    that correlates strictly better (or as ``polarity`` says), and fitted to the ground
+    truth by least squares of the smallest norm.  Fewer than two pixels give NaN.
+    """
+    valid = valid.astype(bool)
+    ok = valid & np.isfinite(gt) & (gt > 0) & np.isfinite(pred)
+    n = ok.sum(1)
+    gt, pred = np.where(ok, gt, 1.0), np.where(ok, pred, 0.0)
+    lo, hi = np.where(ok, pred, np.inf).min(1, initial=np.inf)[:, None], np.where(ok, pred, -np.inf).max(1, initial=-np.inf)[:, None]
+    norm = np.where(ok & (hi > lo), (pred - np.where(ok, lo, 0)) / np.where(hi > lo, hi - lo, 1), 0.0)
+    rho = spearman(gt, norm, ok)
+    near = rho < 0 if polarity == "auto" else np.full(len(gt), polarity == "near_white")
+    oriented = np.where(near[:, None], 1 - norm, norm)
+    mg, mx = _mean(gt, ok, n), _mean(oriented, ok, n)
+    dx, dg = np.where(ok, oriented - mx[:, None], 0), np.where(ok, gt - mg[:, None], 0)
+    var = (dx * dx).sum(1)
+    flat = ~(var > 0) | (hi <= lo)[:, 0]
+    constant = near.astype(float)  # what a constant prediction is after scaling
+    scale = np.where(flat, mg * constant / (constant**2 + 1), (dx * dg).sum(1) / np.where(flat, 1, var))
+    shift = np.where(flat, mg / (constant**2 + 1), mg - scale * mx)
+    aligned = scale[:, None] * oriented + shift[:, None]
+    g, a, e = np.maximum(gt, 1e-6), np.maximum(aligned, 1e-6), np.abs(aligned - gt)
+    ratio = np.maximum(a / g, g / a)
+    rmse = np.sqrt(_mean(e * e, ok, n))
+    out = {"valid_pixels": n, "mask_excluded": (~valid).sum(1), "polarity": np.where(near, "near_white", "far_white"), "rho": np.where(near, -rho, rho), "scale": scale, "shift": shift, "absrel": _mean(e / g, ok, n), "rmse": rmse, "rms": rmse, "mae": _mean(e, ok, n)}
+    out |= {k: _mean(ratio < t, ok, n) for k, t in (("delta1", 1.25), ("delta2", 1.25**2), ("delta3", 1.25**3), ("delta05", delta05))}
+    out |= {"log10": _mean(np.abs(np.log10(a) - np.log10(g)), ok, n), "mean_oriented": mx}
+    few = n < 2
+    for k, v in out.items():
+        if v.dtype == float:
+            out[k] = np.where(few, np.nan, v)
+    return out | {"ok": ok, "oriented": oriented, "aligned": aligned}
+
+
+#: Thresholds of angular accuracy, in degrees.
+ANGLES = {"acc_5": 5.0, "acc_7_5": 7.5, "acc_11_25": 11.25, "acc_22_5": 22.5, "acc_30": 30.0}
+
+
+def unit_normals(encoded: np.ndarray, flip: tuple[bool, bool, bool] = (False, False, False)) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of normals encoded in 0..1 (..., 3), and which are legal."""
+    v = (encoded * 2 - 1) * np.where(flip, -1, 1)
+    length = np.sqrt((v * v).sum(-1))
+    legal = np.isfinite(length) & (length > 1e-6)
+    return np.where(legal[..., None], v / np.where(legal, length, 1)[..., None], 0.0), legal
+
+
+def angular_metrics(gt: np.ndarray, pred: np.ndarray, valid: np.ndarray | None = None, flip: tuple[bool, bool, bool] = (False, True, True), front_only: bool = False) -> dict[str, np.ndarray]:
+    """Angles between encoded normals of (n, 3 * pixels) stacks, in degrees; with ``front_only``, where the ground truth faces the camera."""
+    (g, g_ok), (p, p_ok) = (unit_normals(v.reshape(len(v), v.shape[1] // 3, 3), f) for v, f in ((gt, (False, False, False)), (pred, flip)))
+    ok = g_ok & p_ok
+    if valid is not None:
+        ok &= valid.astype(bool)
+    if front_only:
+        ok &= g[..., 2] > 0
+    angle = np.degrees(np.arccos(np.clip((g * p).sum(2), -1, 1)))
+    n = ok.sum(1)
+    total, squares = np.where(ok, angle, 0).sum(1), np.where(ok, angle * angle, 0).sum(1)
+    some = np.where(n > 0, n, np.nan)
+    ordered = np.sort(np.where(ok, angle, np.inf), 1)
+    pick = lambda i: np.take_along_axis(ordered, np.clip(i, 0, max(0, angle.shape[1] - 1))[:, None], 1)[:, 0] if angle.shape[1] else np.full(len(n), np.nan)
+    median = np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, np.nan)
+    out = {"valid_pixels": n, "mean_angle": total / some, "median_angle": median, "rms_angle": np.sqrt(squares / some), "sum_angle": total, "sum_sq": squares}
+    return out | {k: (ok & (angle < t)).sum(1) / some for k, t in ANGLES.items()}
+
+
 # resampling: a separable matrix for each axis, widened on reduction
 
 _SUPPORT = {"bilinear": 1.0, "bicubic": 2.0, "lanczos": 3.0}

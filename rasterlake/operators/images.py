@@ -5,6 +5,7 @@ Maps over rows, without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from .settings import DepthSettings
 
 #: Pixels up to which all pairs of an image are compared at once.
 SMALL_IMAGE = 256
+#: Pixels of a stack that is worked on at a time.
+STACK = 4_000_000
 
 
 def map_stacks(rows: DataFrame, keys: list[str], height: int, width: int, arrays: list[str], make: Callable[..., np.ndarray], out: T.StructField) -> DataFrame:
@@ -33,32 +37,113 @@ def map_stacks(rows: DataFrame, keys: list[str], height: int, width: int, arrays
     return source.mapInPandas(run, schema)
 
 
-def kendall(rows: DataFrame, keys: list[str], height: int, width: int, max_pixels: int = 20_000, seed: int = 0) -> DataFrame:
-    """Exact tau-b of ``gt`` and ``pred`` per image; over ``max_pixels``, of a seeded sample of that many."""
+def map_metrics(rows: DataFrame, keys: list[str], arrays: list[str], make: Callable[..., dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
+    """Columns ``out`` (name to type) of ``make``, applied to stacks (n, pixels) of images of one size."""
+    source = rows.select(*keys, *arrays)
+    schema = T.StructType([*source.schema.fields[: len(keys)], *T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in out.items())).fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, same in pdf.groupby(pdf[arrays[0]].map(len), sort=False):
+                step = max(1, STACK // max(1, int(size)))
+                for k in range(0, len(same), step):
+                    part = same.iloc[k : k + step]
+                    found = make(*(np.stack(part[a].to_numpy()) for a in arrays))
+                    yield part[keys].assign(**{c: found[c] for c in out})
+
+    return source.mapInPandas(run, schema)
+
+
+_ROW = dict.fromkeys(("rho", "scale", "shift", "absrel", "rmse", "rms", "mae", "delta1", "delta2", "delta3", "delta05", "log10", "mean_oriented"), "double")
+
+
+def depth_metrics(rows: DataFrame, keys: list[str], settings: DepthSettings, full: bool = False) -> DataFrame:
+    """Affine-invariant depth metrics of ``gt``, ``pred`` and ``valid`` arrays, a row for each image; an image with fewer than two valid pixels has an ``error``.
+
+    ``full`` adds Kendall's ``tau`` of the oriented prediction, exact or over a sample
+    as the settings say, and the boundary F1 of the aligned one.  A map over the rows.
+    """
+
+    def make(gt, pred, valid):
+        found = kernels.depth_metrics(gt, pred, valid, settings.polarity, settings.delta05)
+        found["error"] = np.where(found["valid_pixels"] < 2, "fewer than two valid pixels", None)
+        if full:
+            found["tau"] = _tau(gt, found["oriented"], found["ok"], np.arange(len(gt)), settings.max_pixels, 0)
+            shape = (len(gt), settings.height, settings.width)
+            found["boundary_f1"] = kernels.boundary_f1(found["aligned"].reshape(shape), np.where(found["ok"], gt, 1.0).reshape(shape), found["ok"].reshape(shape), settings.t_min, settings.t_max, settings.thresholds)
+        return found
+
+    more = {"tau": "double", "boundary_f1": "double"} if full else {}
+    return map_metrics(rows, keys, ["gt", "pred", "valid"], make, {"valid_pixels": "long", "mask_excluded": "long", "polarity": "string", **_ROW, **more, "error": "string"})
+
+
+def spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spearman's rho of ``gt`` and ``pred`` per image, over finite pixels."""
 
     def make(gt, pred):
-        g, p = gt.reshape(len(gt), -1), pred.reshape(len(pred), -1)
-        if g.shape[1] > max_pixels:
-            at = np.random.default_rng(seed).choice(g.shape[1], max_pixels, replace=False)
-            g, p = g[:, at], p[:, at]
-        if g.shape[1] <= SMALL_IMAGE and np.isfinite(g).all() and np.isfinite(p).all():
-            return kernels.kendall_stack(g, p)
-        return np.array([kernels.kendall_tau_b(a, b) for a, b in zip(g, p, strict=True)], float)
+        ok = np.isfinite(gt) & np.isfinite(pred)
+        return {"n": ok.sum(1), "rho": kernels.spearman(gt, pred, ok)}
+
+    return map_metrics(rows, keys, ["gt", "pred"], make, {"n": "long", "rho": "double"})
+
+
+def angular_metrics(rows: DataFrame, keys: list[str], valid: str | None = None, flip: tuple[bool, bool, bool] = (False, True, True), front_only: bool = False) -> DataFrame:
+    """Angular errors of encoded normals ``gt`` and ``pred`` (three values a pixel) per image: mean, exact median, root mean square, sums and five accuracies."""
+    out = {"valid_pixels": "long", **dict.fromkeys(("mean_angle", "median_angle", "rms_angle", "sum_angle", "sum_sq", *kernels.ANGLES), "double")}
+    return map_metrics(rows, keys, ["gt", "pred", *([valid] if valid else [])], lambda g, p, v=None: kernels.angular_metrics(g, p, v, flip, front_only), out)
+
+
+def _tau(gt: np.ndarray, pred: np.ndarray, ok: np.ndarray, names, max_pixels: int, seed: int) -> np.ndarray:
+    """Tau-b of each row over its ``ok`` pixels: filtered first, then sampled where they are more than ``max_pixels``."""
+    if gt.shape[1] <= min(SMALL_IMAGE, max_pixels) and ok.all():
+        return kernels.kendall_stack(gt, pred)
+    out = []
+    for g, p, use, name in zip(gt, pred, ok, names, strict=True):
+        g, p = g[use], p[use]
+        if len(g) > max_pixels:
+            at = np.random.default_rng((seed + zlib.crc32(str(name).encode())) & 0xFFFFFFFF).choice(len(g), max_pixels, replace=False)
+            g, p = g[at], p[at]
+        out.append(kernels.kendall_tau_b(g, p))
+    return np.array(out, float)
+
+
+def kendall(rows: DataFrame, keys: list[str], max_pixels: int = 20_000, seed: int = 0, valid: str | None = None) -> DataFrame:
+    """Exact tau-b of the finite pixels of ``gt`` and ``pred`` (within ``valid``) per image; over ``max_pixels``, of a sample of that many, seeded by the first key."""
 
-    return map_stacks(rows, keys, height, width, ["gt", "pred"], make, T.StructField("tau", T.DoubleType()))
+    def make(gt, pred, mask=None):
+        ok = np.isfinite(gt) & np.isfinite(pred)
+        return {"use": ok if mask is None else ok & mask.astype(bool), "gt": gt, "pred": pred}
 
+    source = rows.select(*keys, "gt", "pred", *([valid] if valid else []))
+    schema = T.StructType([*source.schema.fields[: len(keys)], T.StructField("tau", T.DoubleType())])
+    arrays = source.columns[len(keys) :]
 
-def sampled_kendall(rows: DataFrame, name: str, height: int, width: int, pairs: int = 200_000, seed: int = 0) -> DataFrame:
-    """Mean agreement in sign over seeded random pairs of pixels; an image's seed comes from its name."""
-    seeded = rows.withColumn("__seed", F.array(F.pmod(F.crc32(F.col(name).cast("string")) + seed, F.lit(1 << 32)).cast("long")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, same in pdf.groupby(pdf["gt"].map(len), sort=False):
+                found = make(*(np.stack(same[c].to_numpy()) for c in arrays))
+                yield same[keys].assign(tau=_tau(found["gt"], found["pred"], found["use"], same[keys[0]], max_pixels, seed))
+
+    return source.mapInPandas(run, schema)
+
+
+def sampled_kendall(rows: DataFrame, name: str, pairs: int = 200_000, seed: int = 0, valid: str | None = None) -> DataFrame:
+    """Mean agreement in sign over seeded random pairs of finite pixels (within ``valid``); an image's seed comes from its name."""
+    source = rows.select(name, "gt", "pred", *([valid] if valid else []))
     schema = T.StructType([rows.schema[name], T.StructField("tau", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tau = [kernels.sampled_tau(np.asarray(g, float), np.asarray(p, float), pairs, int(s[0])) for g, p, s in zip(pdf["gt"], pdf["pred"], pdf["__seed"], strict=True)]
+            tau = []
+            for image, g, p, *mask in pdf.itertuples(index=False):
+                g, p = np.asarray(g, float), np.asarray(p, float)
+                use = np.isfinite(g) & np.isfinite(p)
+                if mask:
+                    use &= np.asarray(mask[0], bool)
+                tau.append(kernels.sampled_tau(g[use], p[use], pairs, seed + zlib.crc32(str(image).encode())))
             yield pdf[[name]].assign(tau=np.array(tau, float))
 
-    return seeded.select(name, "gt", "pred", "__seed").mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)
 
 
 def boundary_f1(rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

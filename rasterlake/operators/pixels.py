@@ -2,8 +2,8 @@
 
 A pixel table has the image's key columns, ``y``, ``x``, ``gt``, ``pred`` and ``valid``.
 Sums per image are partial aggregates: a map that is exploded and summed in one task
-sends one row on.  Operators that rank pixels window over one partitioning by image,
-and all windows and the final aggregate share that one exchange.
+sends one row on.  What ranks or fits an image's pixels sees the image whole
+(``images``), so that no pixel is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import ANGLES
 from ..functions.numeric import finite, psnr, safe_div
 
 
@@ -26,11 +27,20 @@ def valid_pixels(pixels: DataFrame) -> DataFrame:
     return pixels.filter(F.col("valid") & finite(F.col("gt")).isNotNull() & finite(F.col("pred")).isNotNull())
 
 
-def masked_errors(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums and means of absolute and squared error per image; an image without valid pixels keeps nulls."""
-    ok = F.col("valid") & finite(F.col("gt")).isNotNull() & finite(F.col("pred")).isNotNull()
-    e = F.when(ok, F.col("pred") - F.col("gt"))
-    out = pixels.groupBy(*keys).agg(F.count(e).alias("valid_pixels"), F.sum(F.abs(e)).alias("sum_abs"), F.sum(e * e).alias("sum_sq"))
+def masked_errors(pixels: DataFrame, keys: list[str], channels: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Sums and means of absolute and squared error per image; an image without valid pixels keeps nulls.
+
+    ``channels`` names pairs of ground truth and prediction (default: ``gt``, ``pred``);
+    a pixel's errors are the means over its channels.
+    """
+    pairs = channels or [("gt", "pred")]
+    ok = F.col("valid")
+    for c in [c for pair in pairs for c in pair]:
+        ok = ok & finite(F.col(c)).isNotNull()
+    mean = lambda parts: sum(parts[1:], parts[0]) / len(parts) if len(parts) > 1 else parts[0]
+    errors = [F.col(p) - F.col(g) for g, p in pairs]
+    size, square = F.when(ok, mean([F.abs(e) for e in errors])), F.when(ok, mean([e * e for e in errors]))
+    out = pixels.groupBy(*keys).agg(F.count(size).alias("valid_pixels"), F.sum(size).alias("sum_abs"), F.sum(square).alias("sum_sq"))
     mse = safe_div(F.col("sum_sq"), F.col("valid_pixels"))
     return out.withColumns({"mae": safe_div(F.col("sum_abs"), F.col("valid_pixels")), "mse": mse, "rmse": F.sqrt(mse), "psnr": psnr(mse)})
 
@@ -43,76 +53,30 @@ def macro(name: str, stats: str = "mean median std") -> list[Column]:
 
 
 def error_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Macro means over images and micro means over pixels (sums over sums)."""
-    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mae"), *macro("rmse"), *macro("psnr", "mean"), F.sum("sum_abs").alias("__abs"), F.sum("sum_sq").alias("__sq"))
+    """Macro means over images and micro means over pixels (sums over sums); of ``ssim`` and ``lpips``, where rows have them, the macro statistics."""
+    more = [c for m in ("ssim", "lpips") if m in rows.columns for c in macro(m)]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mae"), *macro("rmse"), *macro("psnr", "mean"), *more, F.sum("sum_abs").alias("__abs"), F.sum("sum_sq").alias("__sq"))
     mse = safe_div(F.col("__sq"), F.col("valid_total"))
     return out.withColumns({"mae_micro": safe_div(F.col("__abs"), F.col("valid_total")), "mse_micro": mse, "psnr_micro": psnr(mse)}).drop("__abs", "__sq")
 
 
-# depth
-
-
-def normalise_minmax(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``norm``: the prediction scaled to 0..1 within its image; a constant one becomes 0."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min("pred").over(w), F.max("pred").over(w)
-    return pixels.withColumns({"__lo": lo, "__hi": hi}).withColumn("norm", F.when(F.col("__hi") > F.col("__lo"), F.try_divide(F.col("pred") - F.col("__lo"), F.col("__hi") - F.col("__lo"))).otherwise(0.0)).drop("__lo", "__hi")
-
-
-def average_rank(keys: list[str], value: str) -> Column:
-    """0-based rank within the image; ties share the mean of theirs."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
-def correlation(x: Column, y: Column, over=None) -> Column:
-    """Pearson correlation as an aggregate (or over a window): 0 without variance, null below two rows."""
-    on = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    den = F.sqrt(on(F.var_pop(x)) * on(F.var_pop(y)))
-    return F.when(on(F.count("*")) >= 2, F.when(den > 0, F.try_divide(on(F.covar_pop(x, y)), den)).otherwise(0.0))
-
+def macro_summary(rows: DataFrame, by: list[str], groups: DataFrame, metrics: tuple[str, ...] = ("mae", "rmse", "psnr", "ssim", "lpips")) -> DataFrame:
+    """Mean, median and deviation of each metric for every row of the fixed ``groups``, also the empty ones."""
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), *[c for m in metrics for c in macro(m)])
+    return groups.join(out, by, "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)).cast("long"))
 
-def spearman(pixels: DataFrame, keys: list[str], x: str = "gt", y: str = "pred") -> DataFrame:
-    """Spearman's rho per image over valid pixels."""
-    ranked = pixels.withColumns({"__rx": average_rank(keys, x), "__ry": average_rank(keys, y)})
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
 
-
-def choose_polarity(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``polarity``, ``score`` and ``oriented``: the normalised prediction as it is (far_white), or reversed if that correlates strictly better."""
-    w = Window.partitionBy(*keys)
-    ranked = normalise_minmax(pixels, keys).withColumns({"__rg": average_rank(keys, "gt"), "__rn": average_rank(keys, "norm")})
-    out = ranked.withColumn("__rho", correlation(F.col("__rg"), F.col("__rn"), w))
-    near = F.col("__rho") < 0
-    return out.withColumns({"polarity": F.when(near, "near_white").otherwise("far_white"), "score": F.abs("__rho"), "oriented": F.when(near, 1 - F.col("norm")).otherwise(F.col("norm"))}).drop("__rg", "__rn", "__rho")
-
-
-def affine_align(pixels: DataFrame, keys: list[str], x: str = "oriented") -> DataFrame:
-    """``scale``, ``shift`` and ``aligned``: least squares of gt on ``x``; a constant ``x`` has scale 0 and the mean as shift."""
-    w = Window.partitionBy(*keys)
-    var = F.var_pop(x).over(w)
-    scale = F.when(var > 0, F.try_divide(F.covar_pop(x, "gt").over(w), var)).otherwise(0.0)
-    out = pixels.withColumns({"scale": scale, "__mg": F.avg("gt").over(w), "__mx": F.avg(x).over(w)})
-    out = out.withColumn("shift", F.col("__mg") - F.col("scale") * F.col("__mx")).drop("__mg", "__mx")
-    return out.withColumn("aligned", F.col("scale") * F.col(x) + F.col("shift"))
+# depth
 
 
-def affine_metrics(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Affine-invariant depth metrics of aligned pixels."""
-    g, a = F.greatest("gt", F.lit(1e-6)), F.greatest("aligned", F.lit(1e-6))
-    e = F.abs(F.col("aligned") - F.col("gt"))
-    ratio = F.greatest(a / g, g / a)
-    share = lambda t: F.avg((ratio < t).cast("double"))
-    return pixels.groupBy(*keys).agg(
-        F.count("*").alias("valid_pixels"), F.first("polarity").alias("polarity"), F.first("score").alias("rho"), F.first("scale").alias("scale"), F.first("shift").alias("shift"),
-        F.avg(e / g).alias("absrel"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mae"),
-        share(1.25).alias("delta1"), share(1.25**2).alias("delta2"), share(1.25**3).alias("delta3"), share(1.25**0.5).alias("delta05"), F.avg(F.abs(F.log10(a) - F.log10(g))).alias("log10"),
-    )
+#: Metrics of a depth row that summaries average.
+DEPTH_MEANS = ("valid_pixels", "mask_excluded", "rho", "tau", "absrel", "rmse", "rms", "mae", "delta1", "delta2", "delta3", "delta05", "log10", "boundary_f1", "scale", "shift")
 
 
 def depth_summary(rows: DataFrame, *levels: list[str]) -> DataFrame:
-    """Macro means of depth metrics at several levels in one pass; a level's missing keys are null."""
+    """Macro means of the depth metrics that rows have, at several levels in one pass; a level's missing keys are null."""
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    means = [F.avg(finite(F.col(m))).alias(f"{m}_mean") for m in ("absrel", "rmse", "mae", "delta1", "log10", "rho")]
+    means = [F.avg(finite(F.col(m).cast("double"))).alias(f"{m}_mean") for m in DEPTH_MEANS if m in rows.columns]
     return rows.groupingSets([list(level) for level in levels], *keys).agg(F.count("*").alias("n_images"), F.count_if("mask_used").alias("masks_used"), *means)
 
 
@@ -126,19 +90,15 @@ def unit_scale(values: DataFrame, keys: list[str], value: str = "depth") -> Data
 # normals
 
 
-def angular_metrics(angles: DataFrame, keys: list[str], value: str = "angle") -> DataFrame:
-    """Mean, exact median, root mean square and shares below five thresholds."""
-    a = F.col(value)
-    shares = {"acc_5": 5.0, "acc_7_5": 7.5, "acc_11_25": 11.25, "acc_22_5": 22.5, "acc_30": 30.0}
-    return angles.groupBy(*keys).agg(
-        F.count(a).alias("valid_pixels"), F.avg(a).alias("mean_angle"), F.median(a).alias("median_angle"), F.sqrt(F.avg(a * a)).alias("rms_angle"), F.sum(a).alias("sum_angle"), F.sum(a * a).alias("sum_sq"), *[F.avg((a < t).cast("double")).alias(n) for n, t in shares.items()]
-    )
-
-
 def angular_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mean_angle"), *macro("median_angle", "mean"), *macro("rms_angle", "mean"), *macro("acc_11_25", "mean"), F.sum("sum_angle").alias("__s"), F.sum("sum_sq").alias("__q"), F.sum(F.col("acc_11_25") * F.col("valid_pixels")).alias("__a"))
+    """Macro means of the eight angular metrics, median and deviation of the mean angle, and micro values over all pixels."""
+    shares = list(ANGLES)
+    micro = [F.sum(F.col(a) * F.col("valid_pixels")).alias(f"__{a}") for a in shares]
+    macros = [c for m in ("median_angle", "rms_angle", *shares) for c in macro(m, "mean")]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mean_angle"), *macros, F.sum("sum_angle").alias("__s"), F.sum("sum_sq").alias("__q"), *micro)
     n = F.col("valid_total")
-    return out.withColumns({"mean_angle_micro": safe_div(F.col("__s"), n), "rmse_angle_micro": F.sqrt(safe_div(F.col("__q"), n)), "acc_11_25_micro": safe_div(F.col("__a"), n)}).drop("__s", "__q", "__a")
+    out = out.withColumns({"mean_angle_micro": safe_div(F.col("__s"), n), "rmse_angle_micro": F.sqrt(safe_div(F.col("__q"), n)), **{f"{a}_micro": safe_div(F.col(f"__{a}"), n) for a in shares}})
+    return out.drop("__s", "__q", *[f"__{a}" for a in shares])
 
 
 # metalness
@@ -165,16 +125,28 @@ def metallic_errors(pixels: DataFrame, keys: list[str], min_weight: float = 10.0
     )
 
 
-def metallic_summary(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """Macro and weighted micro means for every row of the fixed ``groups``, also the empty ones."""
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("valid_pixels").alias("v"), *macro("mae"), *macro("rmse", "mean"), *macro("psnr", "mean"), *macro("metal_mae", "mean"), *macro("nonmetal_mae", "mean"), F.count("metal_mae").alias("nm"), F.count("nonmetal_mae").alias("nn"),
+def metallic_summary(rows: DataFrame, groups: DataFrame | None, *levels: list[str]) -> DataFrame:
+    """Macro and weighted micro means at several levels in one pass, such as overall, by split, by split and lighting.
+
+    A level's missing keys are null.  ``groups`` are rows of keys that appear even where
+    they are empty, and no others of theirs do: of ("mainaxis", null), nothing but that.
+    """
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    present = [m for m in ("ssim", "lpips") if m in rows.columns]
+    out = rows.groupingSets([list(level) for level in levels], *keys).agg(
+        F.count("*").alias("n"), F.sum("valid_pixels").alias("v"), *macro("gt_mean", "mean"), *macro("pred_mean", "mean"), *macro("mae"), *macro("rmse", "mean"), *macro("psnr", "mean"), *[c for m in present for c in macro(m, "mean")],
+        *macro("metal_mae", "mean"), *macro("nonmetal_mae", "mean"), F.count("metal_mae").alias("nm"), F.count("nonmetal_mae").alias("nn"),
         *[F.sum(c).alias(c) for c in ("metal_abs", "metal_weight", "nonmetal_abs", "nonmetal_weight", "over_sum", "under_sum")],
     )
-    out = groups.join(out, by, "left")
+    if groups is not None:
+        same = F.lit(True)
+        renamed = groups.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+        for k in keys:
+            same = same & F.col(f"__k_{k}").eqNullSafe(F.col(k))
+        out = renamed.join(out, same, "left").select(*[F.col(f"__k_{k}").alias(k) for k in keys], *[c for c in out.columns if c not in keys])
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(
-        *by, count("n").alias("n_images"), count("v").alias("valid_total"), "mae_mean", "mae_median", "mae_std", "rmse_mean", "psnr_mean", "metal_mae_mean", "nonmetal_mae_mean",
+        *keys, count("n").alias("n_images"), count("v").alias("valid_total"), "gt_mean_mean", "pred_mean_mean", "mae_mean", "mae_median", "mae_std", "rmse_mean", "psnr_mean", *[f"{m}_mean" for m in present], "metal_mae_mean", "nonmetal_mae_mean",
         safe_div(F.col("metal_abs"), F.col("metal_weight")).alias("metal_mae_micro"), safe_div(F.col("nonmetal_abs"), F.col("nonmetal_weight")).alias("nonmetal_mae_micro"), safe_div(F.col("over_sum"), F.col("v")).alias("over_micro"), safe_div(F.col("under_sum"), F.col("v")).alias("under_micro"),
         count("nm").alias("n_metal_weighted"), count("nn").alias("n_nonmetal_weighted"),
     )

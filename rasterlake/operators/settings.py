@@ -27,6 +27,7 @@ class DepthSettings:
     max_pairs: int = 200_000
     max_images: int = 0
     polarity: str = "auto"
+    delta05: float = 1.25**0.5
     resize: str = "bilinear"
 
     def __post_init__(self):
@@ -35,6 +36,7 @@ class DepthSettings:
             "mask_threshold must be within 0..1": 0 <= self.mask_threshold <= 1,
             "thresholds must rise from above 1": 1 < self.t_min < self.t_max and self.thresholds > 0,
             "counts must not be negative": min(self.max_pixels, self.max_pairs, self.max_images) >= 0,
+            "delta05 must be over 1": self.delta05 > 1,
             "polarity must be auto, far_white or near_white": self.polarity in ("auto", "far_white", "near_white"),
             "resize must be nearest, bilinear, bicubic or lanczos": self.resize in ("nearest", "bilinear", "bicubic", "lanczos"),
         }

@@ -9,6 +9,7 @@ from ..functions import numeric as N
 from ..functions import paths as P
 from ..functions import texts as X
 from ..operators import images, manifest, matching, pixels, records
+from ..operators.settings import DepthSettings
 from ..sources.tables import SIDE, embedding_maps, lineitem_pixels, table
 
 QUERIES: dict = {}
@@ -43,45 +44,106 @@ def error_macro_micro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.error_summary(rows, ["category"]))
 
 
+@query
+def colour_error_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """21 colours of each map; a pixel's error is the mean over its channels."""
+    maps = embedding_maps(spark, sf_dir)
+    at = lambda c, k: F.element_at(c, (F.col("i") * 3 + k).cast("int"))
+    px = maps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).select("image", F.element_at("valid", F.col("i") + 1).alias("valid"), *[at(c, k).alias(f"{c}{k}") for c in ("gt", "pred") for k in (1, 2, 3)])
+    return rounded(pixels.masked_errors(px, ["image"], [(f"gt{k}", f"pred{k}") for k in (1, 2, 3)]))
+
+
+@query
+def albedo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro and micro errors with structural similarity; the learnt distance is null without a model."""
+    rows = pixels.masked_errors(_pixels(spark, sf_dir, 0.0, "category"), ["image", "category"])
+    maps = embedding_maps(spark, sf_dir)
+    rows = rows.join(images.ssim(maps, ["image"], SIDE, SIDE), "image").join(images.perceptual_distance(maps, ["image"]), "image")
+    return rounded(pixels.error_summary(rows, ["category"]))
+
+
 # depth
 
 
-def _depth(spark, sf_dir, *more):
-    keys = ["image", *more]
-    px = pixels.valid_pixels(_pixels(spark, sf_dir, 1.0, *more)).filter("gt > 0")
-    return pixels.affine_metrics(pixels.affine_align(pixels.choose_polarity(px, keys), keys), keys), keys
+SETTINGS = DepthSettings(width=SIDE, height=SIDE)
+
+
+def _depth(spark, sf_dir, *more, full=False, settings=SETTINGS):
+    rows = images.depth_metrics(embedding_maps(spark, sf_dir, 1.0), ["image", *more], settings, full)
+    return rows.filter("valid_pixels > 0").drop("error")
 
 
 @query
 def depth_affine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_depth(spark, sf_dir)[0])
+    return rounded(_depth(spark, sf_dir).drop("mask_excluded", "rms", "mean_oriented"))
 
 
 @query
 def depth_polarity_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels.valid_pixels(_pixels(spark, sf_dir, 1.0)).filter("gt > 0")
-    out = pixels.choose_polarity(px, ["image"]).groupBy("image", "polarity").agg(F.first("score").alias("score"), F.avg("oriented").alias("mean_oriented"))
-    return rounded(out)
+    return rounded(_depth(spark, sf_dir).select("image", "polarity", F.col("rho").alias("score"), "mean_oriented"))
+
+
+@query
+def depth_polarity_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions taken as near = white, whatever correlates better."""
+    rows = _depth(spark, sf_dir, settings=DepthSettings(width=SIDE, height=SIDE, polarity="near_white"))
+    return rounded(rows.select("image", "polarity", "rho", "mean_oriented", "absrel"))
 
 
 @query
 def depth_category_scene_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _depth(spark, sf_dir, "category", "scene")
+    rows = _depth(spark, sf_dir, "category", "scene").select("image", "category", "scene", "valid_pixels", *(c for c in ("absrel", "rmse", "mae", "delta1", "log10", "rho")))
     out = pixels.depth_summary(rows.withColumn("mask_used", F.col("valid_pixels") < SIDE * SIDE), [], ["category"], ["category", "scene"])
-    return rounded(out)
+    return rounded(out.drop("valid_pixels_mean"))
+
+
+@query
+def depth_full_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All means of a depth evaluation, by category and in all."""
+    rows = _depth(spark, sf_dir, "category", full=True)
+    return rounded(pixels.depth_summary(rows.withColumn("mask_used", F.col("mask_excluded") > 0), [], ["category"]))
+
+
+@query
+def depth_too_few_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose mask leaves fewer than two pixels."""
+    maps = embedding_maps(spark, sf_dir, 1.0).withColumn("valid", F.transform("valid", lambda v, i: v & (i < F.col("image") % 5)))
+    return images.depth_metrics(maps, ["image"], SETTINGS).select("image", "valid_pixels", "error")
 
 
 @query
 def spearman_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tied = _pixels(spark, sf_dir).select("image", F.round("gt", 1).alias("gt"), F.round("pred", 1).alias("pred"))
-    return rounded(pixels.spearman(tied, ["image"]))
+    one = lambda c: F.transform(c, lambda v: F.round(v, 1))
+    maps = embedding_maps(spark, sf_dir).select("image", one("gt").alias("gt"), one("pred").alias("pred"))
+    return rounded(images.spearman(maps, ["image"]))
 
 
 @query
 def kendall_tau_b_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c: F.transform(c, lambda v: F.round(v, 1))
     maps = embedding_maps(spark, sf_dir).withColumns({"gt": one("gt"), "pred": one("pred")})
-    return rounded(images.kendall(maps, ["image"], SIDE, SIDE))
+    return rounded(images.kendall(maps, ["image"]))
+
+
+@query
+def kendall_tau_b_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tau-b within the mask, of values some of which are not finite."""
+    odd = lambda c: F.transform(c, lambda v: F.when(v > 0.2, float("nan")).otherwise(F.round(v, 1)))
+    maps = embedding_maps(spark, sf_dir).withColumns({"gt": odd("gt"), "pred": odd("pred")})
+    return rounded(images.kendall(maps, ["image"], valid="valid"))
+
+
+@query
+def kendall_sampled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tau-b of 40 of each map's pixels, a sample that other engines can't draw."""
+    return rounded(images.kendall(embedding_maps(spark, sf_dir), ["image"], max_pixels=40, valid="valid"))
+
+
+@query
+def kendall_random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement over random pairs, of maps that agree or disagree in all pairs."""
+    maps = embedding_maps(spark, sf_dir).withColumn("pred", F.transform("gt", lambda v: F.when(F.col("image") % 2 == 0, v * 3).otherwise(-v)))
+    return rounded(images.sampled_kendall(maps, "image", 500, valid="valid"))
 
 
 @query
@@ -103,24 +165,27 @@ def unit_scale_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # normals
 
 
-def _angles(spark, sf_dir):
+def _angles(spark, sf_dir, *more, **options):
     """21 encoded normals from each map, against the next one's."""
-    triples = lambda c: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice(c, i * 3 + 1, F.lit(3)), lambda v: v + 0.5))
-    maps = embedding_maps(spark, sf_dir).select("image", "category", F.explode(F.arrays_zip(triples(F.col("gt")).alias("g"), triples(F.col("pred")).alias("p"))).alias("t"))
-    at = lambda side, i: F.element_at(F.col(f"t.{side}"), i)
-    gx, gy, gz, g_ok = N.unit_normal(*(at("g", i) for i in (1, 2, 3)))
-    px, py, pz, p_ok = N.unit_normal(*(at("p", i) for i in (1, 2, 3)), flip=(False, True, True))
-    return maps.select("image", "category", F.when(g_ok & p_ok, N.angle(gx * px + gy * py + gz * pz)).alias("angle"))
+    encoded = lambda c: F.transform(F.slice(c, 1, 63), lambda v: v + 0.5)
+    maps = embedding_maps(spark, sf_dir).withColumns({"gt": encoded("gt"), "pred": encoded("pred")})
+    return images.angular_metrics(maps, ["image", *more], **options)
 
 
 @query
 def normal_angular_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pixels.angular_metrics(_angles(spark, sf_dir), ["image"]))
+    return rounded(_angles(spark, sf_dir))
+
+
+@query
+def normal_front_facing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pixels whose ground truth faces the camera."""
+    return rounded(_angles(spark, sf_dir, front_only=True).select("image", "valid_pixels", "mean_angle", "acc_30"))
 
 
 @query
 def normal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pixels.angular_summary(pixels.angular_metrics(_angles(spark, sf_dir), ["image", "category"]), ["category"]))
+    return rounded(pixels.angular_summary(_angles(spark, sf_dir, "category"), ["category"]))
 
 
 # metalness, roughness
@@ -136,8 +201,9 @@ def metallic_split_lighting_summary(spark: SparkSession, sf_dir: str) -> DataFra
     rows = pixels.metallic_errors(lineitem_pixels(spark, sf_dir), ["image"], min_weight=5.0)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.concat_ws("/", F.when(F.col("p_size") <= 25, "mainaxis").otherwise("stresstest"), F.concat(F.lit("room_L"), (F.col("p_size") % 8).cast("string"), F.lit("_a")), "p_name").alias("path"))
     part = part.withColumn("split", P.split_of(F.col("path"))).withColumn("lighting", P.lighting_of(F.col("path"), F.col("split")))
-    groups = spark.createDataFrame([("mainaxis", ""), *[("stresstest", f"L{i}") for i in range(6)], ("stresstest", "unknown")], "split string, lighting string")
-    return rounded(pixels.metallic_summary(rows.join(part.select("image", "split", "lighting"), "image"), groups, ["split", "lighting"]))
+    rows = rows.join(part.select("image", "split", "lighting"), "image")
+    groups = spark.createDataFrame([(None, None), ("mainaxis", None), ("stresstest", None), *[("stresstest", f"L{i}") for i in range(6)], ("stresstest", "unknown")], "split string, lighting string")
+    return rounded(pixels.metallic_summary(rows, groups, [], ["split"], ["split", "lighting"]))
 
 
 @query
@@ -146,9 +212,18 @@ def roughness_summary_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = li.select(F.col("l_orderkey").alias("image"), "o_orderstatus", (F.col("l_quantity") / 50).alias("gt"), (F.col("l_discount") * 10).alias("pred"), (F.col("l_tax") > 0.02).alias("valid"))
     rows = pixels.masked_errors(px, ["image", "o_orderstatus"]).filter("valid_pixels > 0")
     rows = rows.withColumn("split", F.when(F.col("o_orderstatus") == "F", "mainaxis").when(F.col("o_orderstatus") == "O", "stresstest").otherwise("unknown"))
-    out = rows.groupBy("split").agg(F.count("*").alias("n"), *pixels.macro("mae"), *pixels.macro("rmse"), *pixels.macro("psnr"))
     groups = spark.createDataFrame([("mainaxis",), ("stresstest",)], "split string")
-    return rounded(groups.join(out, "split", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
+    return rounded(pixels.macro_summary(rows, ["split"], groups, ("mae", "rmse", "psnr")))
+
+
+@query
+def roughness_summary_with_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median and deviation of five metrics by split, similarity within the mask's box."""
+    maps = embedding_maps(spark, sf_dir)
+    rows = pixels.masked_errors(_pixels(spark, sf_dir), ["image"]).join(images.masked_ssim(maps, ["image"], SIDE, SIDE), "image").join(images.perceptual_distance(maps, ["image"]), "image")
+    rows = rows.withColumn("split", F.when(F.col("image") % 3 == 0, "mainaxis").when(F.col("image") % 3 == 1, "stresstest").otherwise("unknown"))
+    groups = spark.createDataFrame([("mainaxis",), ("stresstest",)], "split string")
+    return rounded(pixels.macro_summary(rows, ["split"], groups))
 
 
 # colour and lighting
@@ -223,8 +298,10 @@ def pair_inner_left_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"))
-    return matching.match_report(gt, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), ["key"])
+    """Orders' customers and all customers: some order nothing, and none is unknown; suppliers' keys lack on both sides."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    have = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 7).alias("key"))
+    return matching.match_report(orders, have, ["key"])
 
 
 def _events(spark, sf_dir):

@@ -54,17 +54,18 @@ SELECT * EXCLUDE (sa, mse), {r("sa / valid_total", "mae_micro")}, {r("mse", "mse
 """
 
 
-def depth(keys: str) -> str:
+def depth(keys: str, polarity: str = "") -> str:
+    near = "rho < 0" if not polarity else str(polarity == "near_white")
     w = f"OVER (PARTITION BY {keys})"
-    return f"""{px(1.0)}, v AS (SELECT {keys}, gt, pred FROM px WHERE valid AND gt > 0
+    return f"""{px(1.0)}, v AS (SELECT {keys}, pos, gt, pred FROM px WHERE valid AND gt > 0
 ), n0 AS (SELECT *, min(pred) {w} AS lo, max(pred) {w} AS hi FROM v
-), n AS (SELECT {keys}, gt, CASE WHEN hi > lo THEN (pred - lo) / (hi - lo) ELSE 0.0 END AS norm FROM n0
+), n AS (SELECT {keys}, pos, gt, CASE WHEN hi > lo THEN (pred - lo) / (hi - lo) ELSE 0.0 END AS norm FROM n0
 ), k AS (
   SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY gt) - 1 + (count(*) OVER (PARTITION BY {keys}, gt) - 1) / 2.0 AS rg,
          rank() OVER (PARTITION BY {keys} ORDER BY norm) - 1 + (count(*) OVER (PARTITION BY {keys}, norm) - 1) / 2.0 AS rn FROM n
 ), c AS (SELECT *, count(*) {w} AS cnt, var_pop(rg) {w} AS vg, var_pop(rn) {w} AS vn, covar_pop(rg, rn) {w} AS cv FROM k
 ), h AS (SELECT *, CASE WHEN cnt >= 2 THEN CASE WHEN sqrt(vg * vn) > 0 THEN cv / sqrt(vg * vn) ELSE 0.0 END END AS rho FROM c
-), o AS (SELECT {keys}, gt, CASE WHEN rho < 0 THEN 'near_white' ELSE 'far_white' END AS polarity, abs(rho) AS score, CASE WHEN rho < 0 THEN 1 - norm ELSE norm END AS oriented FROM h
+), o AS (SELECT {keys}, gt, pos, CASE WHEN {near} THEN 'near_white' ELSE 'far_white' END AS polarity, CASE WHEN {near} THEN -rho ELSE rho END AS score, CASE WHEN {near} THEN 1 - norm ELSE norm END AS oriented FROM h
 ), f AS (SELECT *, CASE WHEN var_pop(oriented) {w} > 0 THEN covar_pop(oriented, gt) {w} / var_pop(oriented) {w} ELSE 0.0 END AS scale, avg(gt) {w} AS mg, avg(oriented) {w} AS mx FROM o
 ), a AS (SELECT *, mg - scale * mx AS shift, scale * oriented + mg - scale * mx AS aligned FROM f
 ), q AS (SELECT *, greatest(gt, 1e-6) AS gp, greatest(aligned, 1e-6) AS ap, abs(aligned - gt) AS err FROM a
@@ -82,6 +83,11 @@ WITH {depth("image")}
 SELECT image, valid_pixels, polarity, {", ".join(r(f'"{c}"', f'"{c}"') for c in ("rho", "scale", "shift", "absrel", "rmse", "mae", "delta1", "delta2", "delta3", "delta05", "log10"))} FROM d
 """
 
+ORACLE_SQL["depth_polarity_forced"] = f"""
+WITH {depth("image", "near_white")}
+SELECT d.image, polarity, {r("rho", "rho")}, {r("mo", "mean_oriented")}, {r("absrel", "absrel")} FROM d JOIN (SELECT image, avg(oriented) AS mo FROM o GROUP BY image) USING (image)
+"""
+
 ORACLE_SQL["depth_polarity_choice"] = f"""
 WITH {depth("image")}
 SELECT image, polarity, {r("any_value(score)", "score")}, {r("avg(oriented)", "mean_oriented")} FROM o GROUP BY image, polarity
@@ -111,19 +117,54 @@ WITH {px()}, t AS (SELECT image, pos, round(gt, 1) AS gt, round(pred, 1) AS pred
 SELECT image, {r("CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END", "tau")} FROM s
 """
 
-ORACLE_SQL["boundary_f1_weighted"] = f"""
-WITH {px(1.0)}, v AS (SELECT image, y, x, 1 / greatest(gt, 1e-6) AS g, 1 / greatest(pred, 1e-6) AS p, valid AND gt > 0 AS ok FROM px
-), nb AS (
+def boundary(source: str) -> str:
+    """Boundary F1 by image from (image, y, x, g, p, ok) with inverse depths."""
+    return f"""nb AS (
   SELECT a.image, CASE WHEN b.x > a.x THEN 'h' ELSE 'v' END AS axis, b.g / a.g AS gf, a.g / b.g AS gb, b.p / a.p AS pf, a.p / b.p AS pb
-  FROM v a JOIN v b ON a.image = b.image AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)) AND a.ok AND b.ok
+  FROM {source} a JOIN {source} b ON a.image = b.image AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)) AND a.ok AND b.ok
 ), sides AS (SELECT image, axis || 'f' AS side, gf AS g, pf AS p FROM nb UNION ALL SELECT image, axis || 'b', gb, pb FROM nb
 ), th AS (SELECT 1.05 + 0.2 * i / 9.0 AS t FROM range(10) q(i)
-), c AS (
+), bc AS (
   SELECT image, t, side, count(*) FILTER (WHERE g > t AND p > t) AS hit, count(*) FILTER (WHERE g > t) AS ng, count(*) FILTER (WHERE p > t) AS np FROM sides, th GROUP BY ALL
-), pr AS (SELECT image, t, sum(hit / greatest(ng, 1)) / 4 AS rec, sum(hit / greatest(np, 1)) / 4 AS prec FROM c GROUP BY image, t
-), f AS (SELECT image, sum(t * CASE WHEN rec + prec > 0 THEN 2 * rec * prec / (rec + prec) ELSE 0 END) / 11.5 AS f1 FROM pr GROUP BY image
-), n AS (SELECT image, count(*) FILTER (WHERE ok) AS n FROM v GROUP BY image)
-SELECT n.image, CASE WHEN n >= 2 THEN round(coalesce(f1, 0), 6) + 0.0 END AS boundary_f1 FROM n LEFT JOIN f USING (image)
+), pr AS (SELECT image, t, sum(hit / greatest(ng, 1)) / 4 AS rec, sum(hit / greatest(np, 1)) / 4 AS prec FROM bc GROUP BY image, t
+), bf AS (SELECT image, sum(t * CASE WHEN rec + prec > 0 THEN 2 * rec * prec / (rec + prec) ELSE 0 END) / 11.5 AS f1 FROM pr GROUP BY image
+), bn AS (SELECT image, count(*) FILTER (WHERE ok) AS n FROM {source} GROUP BY image
+), edges AS (SELECT bn.image, CASE WHEN n >= 2 THEN coalesce(f1, 0) END AS boundary_f1 FROM bn LEFT JOIN bf USING (image))"""
+
+
+ORACLE_SQL["boundary_f1_weighted"] = f"""
+WITH {px(1.0)}, v AS (SELECT image, y, x, 1 / greatest(gt, 1e-6) AS g, 1 / greatest(pred, 1e-6) AS p, valid AND gt > 0 AS ok FROM px), {boundary("v")}
+SELECT image, round(boundary_f1, 6) + 0.0 AS boundary_f1 FROM edges
+"""
+
+_SIXTEEN = ("valid_pixels", "mask_excluded", "rho", "tau", "absrel", "rmse", "rms", "mae", "delta1", "delta2", "delta3", "delta05", "log10", "boundary_f1", "scale", "shift")
+ORACLE_SQL["depth_full_summary"] = f"""
+WITH {depth("image, category")}, bv AS (SELECT image, pos // 8 AS y, pos % 8 AS x, 1 / greatest(gt, 1e-6) AS g, 1 / greatest(aligned, 1e-6) AS p, true AS ok FROM a), {boundary("bv")}, ks AS (
+  SELECT a.image, sum(sign(a.gt - b.gt) * sign(a.oriented - b.oriented)) AS s, count(*) FILTER (WHERE a.gt <> b.gt) AS nx, count(*) FILTER (WHERE a.oriented <> b.oriented) AS ny
+  FROM o a JOIN o b ON a.image = b.image AND a.pos < b.pos GROUP BY a.image
+), t AS (SELECT image, CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END AS tau FROM ks
+), me AS (SELECT image, count(*) FILTER (WHERE NOT valid) AS mask_excluded FROM px GROUP BY image
+), al AS (SELECT d.*, rmse AS rms, tau, mask_excluded, boundary_f1 FROM d LEFT JOIN t USING (image) JOIN me USING (image) LEFT JOIN edges USING (image))
+SELECT category, count(*) AS n_images, count(*) FILTER (WHERE mask_excluded > 0) AS masks_used, {", ".join(r(f'avg("{c}")', f"{c}_mean") for c in _SIXTEEN)} FROM al GROUP BY GROUPING SETS ((), (category))
+"""
+
+ORACLE_SQL["depth_too_few_pixels"] = f"""
+WITH {px(1.0)}, n AS (SELECT image, count(*) FILTER (WHERE valid AND gt > 0 AND pos < image % 5) AS valid_pixels FROM px GROUP BY image)
+SELECT image, valid_pixels, CASE WHEN valid_pixels < 2 THEN 'fewer than two valid pixels' END AS error FROM n
+"""
+
+ORACLE_SQL["kendall_tau_b_masked"] = f"""
+WITH {px()}, t AS (SELECT image, pos, round(gt, 1) AS gt, round(pred, 1) AS pred FROM px WHERE valid AND NOT gt > 0.2 AND NOT pred > 0.2
+), s AS (
+  SELECT a.image, sum(sign(a.gt - b.gt) * sign(a.pred - b.pred)) AS s, count(*) FILTER (WHERE a.gt <> b.gt) AS nx, count(*) FILTER (WHERE a.pred <> b.pred) AS ny
+  FROM t a JOIN t b ON a.image = b.image AND a.pos < b.pos GROUP BY a.image
+)
+SELECT image, {r("CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END", "tau")} FROM (SELECT DISTINCT image FROM px) LEFT JOIN s USING (image)
+"""
+
+ORACLE_SQL["kendall_random_pairs"] = f"""
+WITH {px()}
+SELECT image, CASE WHEN count(DISTINCT gt) FILTER (WHERE valid) > 1 THEN CASE WHEN image % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END END AS tau FROM px GROUP BY image
 """
 
 ORACLE_SQL["ssim_8x8"] = f"""
@@ -135,6 +176,43 @@ WITH {px()}, z AS (SELECT image, y, x, CASE WHEN valid THEN gt ELSE 0 END AS a,
 SELECT image, {r("avg(((2 * ma * mb + 0.0001) * (2 * vab + 0.0009)) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)))", "ssim")} FROM w GROUP BY image
 """
 
+_SSIM = "avg(((2 * ma * mb + 0.0001) * (2 * vab + 0.0009)) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)))"
+ORACLE_SQL["albedo_summary"] = f"""
+WITH {px()}, {errors("px", "image, category")}, z AS (SELECT image, y, x, CASE WHEN valid THEN gt ELSE 0 END AS a, CASE WHEN valid THEN pred ELSE 0 END AS b FROM px
+), w AS (
+  SELECT image, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM z, range(2) p(cy), range(2) q(cx) WHERE y BETWEEN cy AND cy + 6 AND x BETWEEN cx AND cx + 6 GROUP BY ALL
+), si AS (SELECT image, {_SSIM} AS ssim FROM w GROUP BY image
+), g AS (
+  SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse")}, {macro("psnr", "mean")}, {macro("ssim")}, NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std,
+         sum(sum_abs) AS sa, sum(sum_sq) / sum(valid_pixels) AS mse FROM e JOIN si USING (image) GROUP BY category
+)
+SELECT * EXCLUDE (sa, mse), {r("sa / valid_total", "mae_micro")}, {r("mse", "mse_micro")}, {r(PSNR, "psnr_micro")} FROM g
+"""
+
+ORACLE_SQL["colour_error_per_image"] = f"""
+WITH {px()}, c AS (
+  SELECT image, k[i + 1] > 0 AS valid, g[3 * i + 1]::DOUBLE AS g1, g[3 * i + 2]::DOUBLE AS g2, g[3 * i + 3]::DOUBLE AS g3, p[3 * i + 1]::DOUBLE AS p1, p[3 * i + 2]::DOUBLE AS p2, p[3 * i + 3]::DOUBLE AS p3 FROM m, range(21) t(i)
+), s AS (
+  SELECT image, count(*) FILTER (WHERE valid) AS valid_pixels, sum((abs(p1 - g1) + abs(p2 - g2) + abs(p3 - g3)) / 3) FILTER (WHERE valid) AS sum_abs,
+         sum(((p1 - g1) * (p1 - g1) + (p2 - g2) * (p2 - g2) + (p3 - g3) * (p3 - g3)) / 3) FILTER (WHERE valid) AS sum_sq FROM c GROUP BY image
+), e AS (SELECT *, sum_abs / valid_pixels AS mae, sum_sq / valid_pixels AS mse FROM s)
+SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "mae", "mse"))}, {r("sqrt(mse)", "rmse")}, {r(PSNR, "psnr")} FROM e
+"""
+
+ORACLE_SQL["roughness_summary_with_similarity"] = f"""
+WITH {px()}, {errors("px", "image")}, bx AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px WHERE valid GROUP BY image
+), z AS (SELECT image, y - y0 AS y, x - x0 AS x, y1 - y0 + 1 AS h, x1 - x0 + 1 AS wd, gt AS a, CASE WHEN valid THEN pred ELSE gt END AS b FROM px JOIN bx USING (image) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1
+), w AS (
+  SELECT image, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM z, range(2) p(cy), range(2) q(cx)
+  WHERE cy + 7 <= h AND cx + 7 <= wd AND y BETWEEN cy AND cy + 6 AND x BETWEEN cx AND cx + 6 GROUP BY ALL
+), si AS (SELECT image, {_SSIM} AS ssim FROM w GROUP BY image
+), g AS (
+  SELECT CASE image % 3 WHEN 0 THEN 'mainaxis' WHEN 1 THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")}, {macro("psnr")}, {macro("ssim")}, NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std
+  FROM e LEFT JOIN si USING (image) GROUP BY 1
+)
+SELECT * FROM (SELECT 'mainaxis' AS split UNION ALL SELECT 'stresstest') k LEFT JOIN g USING (split)
+"""
+
 ORACLE_SQL["unit_scale_detection"] = f"""
 WITH d AS (SELECT l_suppkey % 10 AS image, l_quantity * CASE WHEN l_suppkey % 2 = 0 THEN 10.0::DOUBLE ELSE 0.1::DOUBLE END AS depth FROM lineitem
 ), p AS (SELECT image, quantile_cont(depth, 0.95) AS p95 FROM d WHERE depth > 0 GROUP BY image)
@@ -142,14 +220,14 @@ SELECT image, {r("p95", "p95")}, CASE WHEN p95 > 100 THEN 0.001::DOUBLE ELSE 1.0
 """
 
 
-def angles(keys: str) -> str:
+def angles(keys: str, also: str = "") -> str:
     def unit(side: str, signs: str) -> str:
         return ", ".join(f"{s}(2 * ({side}[3 * i + {k}]::DOUBLE + 0.5) - 1) AS {side}{k}" for k, s in zip((1, 2, 3), signs, strict=True))
 
     return f"""{px()}, t AS (SELECT image, category, {unit("g", "+++")}, {unit("p", "+--")} FROM m, range(21) q(i)
 ), u AS (SELECT *, sqrt(g1 * g1 + g2 * g2 + g3 * g3) AS ng, sqrt(p1 * p1 + p2 * p2 + p3 * p3) AS np FROM t
 ), an AS (
-  SELECT image, category, CASE WHEN ng > 1e-6 AND np > 1e-6 THEN degrees(acos(greatest(-1, least(1, g1 / ng * (p1 / np) + g2 / ng * (p2 / np) + g3 / ng * (p3 / np))))) END AS a FROM u
+  SELECT image, category, CASE WHEN ng > 1e-6 AND np > 1e-6 {also} THEN degrees(acos(greatest(-1, least(1, g1 / ng * (p1 / np) + g2 / ng * (p2 / np) + g3 / ng * (p3 / np))))) END AS a FROM u
 ), mt AS (
   SELECT {keys}, count(a) AS valid_pixels, avg(a) AS mean_angle, median(a) AS median_angle, sqrt(avg(a * a)) AS rms_angle, sum(a) AS sum_angle, sum(a * a) AS sum_sq,
          avg((a < 5)::INT) AS acc_5, avg((a < 7.5)::INT) AS acc_7_5, avg((a < 11.25)::INT) AS acc_11_25, avg((a < 22.5)::INT) AS acc_22_5, avg((a < 30)::INT) AS acc_30
@@ -162,10 +240,16 @@ WITH {angles("image")}
 SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("mean_angle", "median_angle", "rms_angle", "sum_angle", "sum_sq", "acc_5", "acc_7_5", "acc_11_25", "acc_22_5", "acc_30"))} FROM mt
 """
 
+ORACLE_SQL["normal_front_facing"] = f"""
+WITH {angles("image", "AND g3 > 0")}
+SELECT image, coalesce(valid_pixels, 0) AS valid_pixels, {r("mean_angle", "mean_angle")}, {r("acc_30", "acc_30")} FROM (SELECT DISTINCT image FROM m) LEFT JOIN mt USING (image)
+"""
+
+_SHARES = ("acc_5", "acc_7_5", "acc_11_25", "acc_22_5", "acc_30")
 ORACLE_SQL["normal_summary"] = f"""
 WITH {angles("image, category")}
-SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mean_angle")}, {macro("median_angle", "mean")}, {macro("rms_angle", "mean")}, {macro("acc_11_25", "mean")},
-       {r("sum(sum_angle) / sum(valid_pixels)", "mean_angle_micro")}, {r("sqrt(sum(sum_sq) / sum(valid_pixels))", "rmse_angle_micro")}, {r("sum(acc_11_25 * valid_pixels) / sum(valid_pixels)", "acc_11_25_micro")}
+SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mean_angle")}, {macro("median_angle", "mean")}, {macro("rms_angle", "mean")}, {", ".join(macro(a, "mean") for a in _SHARES)},
+       {r("sum(sum_angle) / sum(valid_pixels)", "mean_angle_micro")}, {r("sqrt(sum(sum_sq) / sum(valid_pixels))", "rmse_angle_micro")}, {", ".join(r(f"sum({a} * valid_pixels) / sum(valid_pixels)", f"{a}_micro") for a in _SHARES)}
 FROM mt GROUP BY category
 """
 
@@ -188,21 +272,22 @@ SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "m
 ORACLE_SQL["metallic_split_lighting_summary"] = f"""
 WITH {METALLIC}, pt AS (
   SELECT p_partkey AS image, CASE WHEN p_size <= 25 THEN 'mainaxis' ELSE 'stresstest' END AS split, CASE WHEN p_size <= 25 THEN '' WHEN p_size % 8 <= 5 THEN 'L' || p_size % 8 ELSE 'unknown' END AS lighting FROM part
-), gr AS (SELECT 'mainaxis' AS split, '' AS lighting UNION ALL SELECT 'stresstest', 'L' || i FROM range(6) q(i) UNION ALL SELECT 'stresstest', 'unknown'
+), gr AS (SELECT NULL AS split, NULL AS lighting UNION ALL SELECT 'mainaxis', NULL UNION ALL SELECT 'stresstest', NULL UNION ALL SELECT 'stresstest', 'L' || i FROM range(6) q(i) UNION ALL SELECT 'stresstest', 'unknown'
 ), ag AS (
-  SELECT split, lighting, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse", "mean")}, {macro("psnr", "mean")}, {macro("metal_mae", "mean")}, {macro("nonmetal_mae", "mean")},
+  SELECT split, lighting, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("gt_mean", "mean")}, {macro("pred_mean", "mean")}, {macro("mae")}, {macro("rmse", "mean")}, {macro("psnr", "mean")}, {macro("metal_mae", "mean")}, {macro("nonmetal_mae", "mean")},
          {r("sum(metal_abs) / sum(metal_weight)", "metal_mae_micro")}, {r("sum(nonmetal_abs) / sum(nonmetal_weight)", "nonmetal_mae_micro")}, {r("sum(over_sum) / sum(valid_pixels)", "over_micro")}, {r("sum(under_sum) / sum(valid_pixels)", "under_micro")},
          count(metal_mae) AS n_metal_weighted, count(nonmetal_mae) AS n_nonmetal_weighted
-  FROM mm JOIN pt USING (image) GROUP BY split, lighting
+  FROM mm JOIN pt USING (image) GROUP BY GROUPING SETS ((), (split), (split, lighting))
 )
-SELECT * REPLACE (coalesce(n_images, 0) AS n_images, coalesce(valid_total, 0) AS valid_total, coalesce(n_metal_weighted, 0) AS n_metal_weighted, coalesce(n_nonmetal_weighted, 0) AS n_nonmetal_weighted) FROM gr LEFT JOIN ag USING (split, lighting)
+SELECT gr.split, gr.lighting, ag.* EXCLUDE (split, lighting) REPLACE (coalesce(n_images, 0) AS n_images, coalesce(valid_total, 0) AS valid_total, coalesce(n_metal_weighted, 0) AS n_metal_weighted, coalesce(n_nonmetal_weighted, 0) AS n_nonmetal_weighted)
+FROM gr LEFT JOIN ag ON ag.split IS NOT DISTINCT FROM gr.split AND ag.lighting IS NOT DISTINCT FROM gr.lighting
 """
 
 ORACLE_SQL["roughness_summary_by_split"] = f"""
 WITH li AS (SELECT l_orderkey AS image, o_orderstatus AS st, l_quantity / 50 AS gt, l_discount * 10 AS pred, l_tax > 0.02::DOUBLE AS valid FROM lineitem JOIN orders ON l_orderkey = o_orderkey), {errors("li", "image, st")}, g AS (
-  SELECT CASE st WHEN 'F' THEN 'mainaxis' WHEN 'O' THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n, {macro("mae")}, {macro("rmse")}, {macro("psnr")} FROM e WHERE valid_pixels > 0 GROUP BY 1
+  SELECT CASE st WHEN 'F' THEN 'mainaxis' WHEN 'O' THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")}, {macro("psnr")} FROM e WHERE valid_pixels > 0 GROUP BY 1
 )
-SELECT * REPLACE (coalesce(n, 0) AS n) FROM (SELECT 'mainaxis' AS split UNION ALL SELECT 'stresstest') k LEFT JOIN g USING (split)
+SELECT * REPLACE (coalesce(n_images, 0) AS n_images) FROM (SELECT 'mainaxis' AS split UNION ALL SELECT 'stresstest') k LEFT JOIN g USING (split)
 """
 
 
@@ -275,8 +360,8 @@ FROM documents d JOIN labels l ON l.doc_id = d.doc_id
 """
 
 ORACLE_SQL["missing_and_extra"] = """
-SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'matched' END AS status
-FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
+WITH g AS (SELECT DISTINCT o_custkey AS key FROM orders), p AS (SELECT c_custkey + 7 AS key FROM customer)
+SELECT coalesce(g.key, p.key) AS key, CASE WHEN p.key IS NULL THEN 'missing' WHEN g.key IS NULL THEN 'extra' ELSE 'matched' END AS status FROM g FULL JOIN p ON g.key = p.key
 """
 
 

@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import numeric as N
 from rasterlake.functions import paths as P
 from rasterlake.functions import texts as X
+from rasterlake.operators.settings import DepthSettings
 from rasterlake.operators import images, manifest, matching, pixels, records
 
 
@@ -97,10 +99,26 @@ def test_missing_metric_model_gives_nulls(spark):
 
 def test_constant_prediction_and_empty_mask(spark):
     px = spark.createDataFrame([(1, float(g), 2.0, True) for g in (1, 2, 3)] + [(2, 1.0, 1.0, False)], "image int, gt double, pred double, valid boolean")
-    out = pixels.affine_metrics(pixels.affine_align(pixels.choose_polarity(pixels.valid_pixels(px), ["image"]), ["image"]), ["image"]).collect()
-    assert [(r.image, r.polarity, r.scale, r["shift"]) for r in out] == [(1, "far_white", 0.0, 2.0)]
     rows = {r.image: r for r in pixels.masked_errors(px, ["image"]).collect()}
     assert rows[2].valid_pixels == 0 and rows[2].mae is None and rows[1].mae == pytest.approx(2 / 3)
+    maps = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [2.0, 2.0, 2.0], [True] * 3), (2, [1.0], [1.0], [False]), (3, [1.0, 2.0], [float("nan"), 1.0], [True, True])], "image int, gt array<double>, pred array<double>, valid array<boolean>")
+    out = {r.image: r for r in images.depth_metrics(maps, ["image"], DepthSettings(width=3, height=1)).collect()}
+    assert (out[1].polarity, out[1].scale, out[1]["shift"], out[1].error) == ("far_white", 0.0, 2.0, None)
+    assert out[2].error and out[3].error and out[2].valid_pixels == 0 and out[3].valid_pixels == 1
+    near = images.depth_metrics(maps, ["image"], DepthSettings(polarity="near_white")).filter("image = 1").first()
+    assert (near.scale, near["shift"], near.mae) == (1.0, 1.0, pytest.approx(2 / 3))
+
+
+def test_taus_are_masked_before_they_are_sampled(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = np.where(np.arange(400) % 2, x, -x)
+    y[1] = np.nan
+    df = spark.createDataFrame([("a", x.tolist(), y.tolist(), (np.arange(400) % 2 == 1).tolist())], "image string, gt array<double>, pred array<double>, valid array<boolean>")
+    for most in (20, 150, 1000):
+        assert images.kendall(df, ["image"], most, valid="valid").first().tau == 1.0
+    assert images.sampled_kendall(df, "image", 300, valid="valid").first().tau == 1.0
+    assert -0.2 < images.kendall(df, ["image"], 300).first().tau < 0.2
 
 
 def test_answers_and_urls(spark):
@@ -116,7 +134,7 @@ def test_answers_and_urls(spark):
 
 def test_sampled_tau_is_seeded_by_name(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ("b", [1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "image string, gt array<double>, pred array<double>")
-    assert sorted((r.image, r.tau) for r in images.sampled_kendall(df, "image", 1, 3, 500).collect()) == [("a", 1.0), ("b", -1.0)]
+    assert sorted((r.image, r.tau) for r in images.sampled_kendall(df, "image", 500).collect()) == [("a", 1.0), ("b", -1.0)]
 
 
 def test_settings_are_checked():
