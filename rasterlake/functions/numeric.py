@@ -44,6 +44,12 @@ def inverse_depth(d: Column) -> Column:
     return 1.0 / F.greatest(d, F.lit(1e-6))
 
 
+def pseudo_rgb(depth: Column) -> Column:
+    """Three equal channels for each value of a depth map, scaled to 0..1 within the map (0 where it is constant)."""
+    lo, hi = F.array_min(depth), F.array_max(depth)
+    return F.flatten(F.transform(depth, lambda v: F.array_repeat(F.when(hi > lo, F.try_divide(v - lo, hi - lo)).otherwise(0.0), 3)))
+
+
 def over(e: Column) -> Column:
     return F.greatest(e, F.lit(0.0))
 

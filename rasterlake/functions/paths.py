@@ -135,6 +135,37 @@ def candidate_names(stem_: Column, folders: list[str], suffixes: list[str], exte
     return F.array_distinct(F.array(*[F.concat(F.lit(f"{d}/" if d else ""), stem_, F.lit(s + e)) for d in folders for s in suffixes for e in extensions]))
 
 
+# fixed values: suffixes, tails and extensions of segmentation names
+SEGMENT_SUFFIXES = ["_seg", "_mask", "_sam", "_semantic", "_label", ""]
+SEGMENT_TAILS = ["_im", "_rgb", "_image"]
+SEGMENT_EXTENSIONS = [".png", ".jpg", ".jpeg", ".webp", ".bmp"]
+
+
+def segment_names(path: Column, folders: list[str], suffixes: list[str] | None = None) -> Column:
+    """Paths of an image's segmentation to try, in order, the image itself never.
+
+    First folder, suffix and extension (the image's own, then the known ones); then
+    ``Image_x`` as ``ObjectSegmentation_x`` in each folder; then, of a stem that ends
+    with a known tail, its root with the suffixes.
+    """
+    suffixes = suffixes or SEGMENT_SUFFIXES
+    at = lambda folder, last: F.concat(F.lit(f"{folder}/" if folder else ""), last)
+    base, file = stem(path), name(path)
+    own = F.regexp_extract(file, r"(?<=.)\.[^.]*$", 0)
+    tries = [at(d, F.concat(base, F.lit(s), e)) for d in folders for s in suffixes for e in (own, *map(F.lit, SEGMENT_EXTENSIONS))]
+    tries += [F.when(F.lower(file).startswith("image_"), at(d, F.concat(F.lit("ObjectSegmentation_"), F.substring(file, F.lit(7), F.length(file))))) for d in folders]
+    for tail in SEGMENT_TAILS:
+        root = F.when(base.endswith(tail), F.substring(base, F.lit(1), F.length(base) - len(tail)))
+        tries += [at(d, F.concat(root, F.lit(s + e))) for d in folders for s in suffixes for e in SEGMENT_EXTENSIONS]
+    return F.array_remove(F.array_distinct(F.array_compact(F.array(*tries))), path)
+
+
+def mask_paths(path: Column) -> Column:
+    """Paths of a mask to try: the image's own name, then its stem with every image extension."""
+    base = joined(parent(path), stem(path))
+    return F.array_distinct(F.array(path, *[F.concat(base, F.lit(e)) for e in (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")]))
+
+
 def mime_type(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return F.when(ext == "png", "image/png").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "webp", "image/webp").when(ext == "bmp", "image/bmp").when(ext.isin("tif", "tiff"), "image/tiff").otherwise("application/octet-stream")

@@ -56,6 +56,11 @@ def pending(inputs: DataFrame, done: DataFrame, keys: list[str], complete: Colum
     return inputs.join((done if complete is None else done.filter(complete)).select(*keys), keys, "left_anti")
 
 
+def previously_skipped(rows: DataFrame, log: DataFrame, keys: list[str], again: bool = False) -> DataFrame:
+    """Rows with an entry in the skip log, or (``again``) those without one."""
+    return rows.join(log.select(*keys), keys, "left_anti" if again else "left_semi")
+
+
 def skip_state(inputs: DataFrame, previous: DataFrame, keys: list[str], signature: str, fingerprint: str | None = None) -> DataFrame:
     """``state``: new (no earlier run), changed (another signature, or fingerprint) or current (to be skipped)."""
     old = previous.select(*keys, F.col(signature).alias("__sig"), *([F.col(fingerprint).alias("__fp")] if fingerprint else []), F.lit(True).alias("__old"))

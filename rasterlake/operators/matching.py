@@ -52,15 +52,19 @@ def match_report(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return g.join(p, keys, "full").select(*keys, status.alias("status"))
 
 
-def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame, path: str = "path", order: tuple[str, ...] = ()) -> DataFrame:
+def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame, path: str = "path", order: tuple[str, ...] = (), never: str | None = None, otherwise: str | None = None) -> DataFrame:
     """For each row the earliest of its candidate paths that exists (and further columns of that file); rows without one are kept with nulls.
 
-    ``order`` may name columns of ``files`` that come before the candidates' own order.
+    ``order`` may name columns of ``files`` that come before the candidates' own order;
+    ``never`` a column of ``rows`` whose path is not to be chosen; ``otherwise`` one whose
+    path is taken where no candidate exists.
     """
-    tries = rows.select(key, F.posexplode(candidates).alias("place", path)).join(files, path)
+    tries = rows.select(key, *([never] if never else []), F.posexplode(candidates).alias("place", path))
+    tries = (tries.filter(~F.col(path).eqNullSafe(F.col(never))) if never else tries).join(files, path)
     extra = [c for c in files.columns if c != path]
     best = tries.groupBy(key).agg(F.min(F.struct(*order, "place", path, *[c for c in extra if c not in order])).alias("best"))
-    return rows.join(best, key, "left").select(*rows.columns, F.col(f"best.{path}").alias(path), *[F.col(f"best.{c}").alias(c) for c in extra], F.col("best.place").alias("place"))
+    chosen = F.coalesce(F.col(f"best.{path}"), F.col(otherwise)) if otherwise else F.col(f"best.{path}")
+    return rows.join(best, key, "left").select(*rows.columns, chosen.alias(path), *[F.col(f"best.{c}").alias(c) for c in extra], F.col("best.place").alias("place"))
 
 
 def two_lookups(preds: DataFrame, gts: DataFrame, masks: DataFrame, gt_key: str, mask_key: str) -> DataFrame:
@@ -108,7 +112,7 @@ def top_per_group(rows: DataFrame, keys: list[str], k: int, *order: str) -> Data
 
 def sampled(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """``n`` rows without replacement in the order of a seeded hash."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *keys).limit(n)
 
 
 def with_variants(rows: DataFrame, variants: DataFrame) -> DataFrame:

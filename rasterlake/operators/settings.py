@@ -13,6 +13,34 @@ METRIC_GROUPS = {
 }
 
 
+def metric_groups(spark):
+    """The groups as rows (``name``, ``place``, ``metric``)."""
+    return spark.createDataFrame([(g, i, m) for g, ms in METRIC_GROUPS.items() for i, m in enumerate(ms)], "name string, place int, metric string")
+
+
+@dataclass(frozen=True)
+class MatchSettings:
+    """Settings of how images are paired; a value out of range raises."""
+
+    mode: str = "stem"
+    suffix: str = ""
+    dropped_part: str = ""
+    mask_threshold: float = 0.5
+    backbone: str = "alex"
+
+    def __post_init__(self):
+        checks = {
+            "mode must be stem or name": self.mode in ("stem", "name"),
+            "a suffix goes with mode stem": not self.suffix or self.mode == "stem",
+            "a dropped part is one part of a path": "/" not in self.dropped_part,
+            "mask_threshold must be within 0..1": 0 <= self.mask_threshold <= 1,
+            "backbone must be alex, vgg or squeeze": self.backbone in ("alex", "vgg", "squeeze"),
+        }
+        for message, ok in checks.items():
+            if not ok:
+                raise ValueError(message)
+
+
 @dataclass(frozen=True)
 class DepthSettings:
     """Settings of a depth evaluation; a value out of range raises."""

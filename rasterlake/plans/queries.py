@@ -11,6 +11,7 @@ from ..functions import texts as X
 from ..operators import images, manifest, matching, pixels, records
 from ..operators.settings import DepthSettings
 from ..sources.tables import SIDE, embedding_maps, lineitem_pixels, table
+from . import file_queries, more_queries
 
 QUERIES: dict = {}
 
@@ -510,3 +511,6 @@ def letterbox_box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37 + 100).alias("w"), (F.col("p_partkey") % 900 + 120).alias("h"))
     p = p.withColumns(letterbox_box(F.col("w"), F.col("h"), 1536, 1024))
     return p.withColumns(scaled_box("left", "top", "right", "bottom", 1536, 1024, F.col("w") * 2, F.col("h") * 2)).drop("w", "h")
+
+
+QUERIES |= file_queries.QUERIES | more_queries.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import file_queries, more_queries
+
 ORACLE_SQL: dict[str, str] = {}
 
 
@@ -506,3 +508,5 @@ WITH p AS (SELECT p_partkey, p_size * 37 + 100 AS w, p_partkey % 900 + 120 AS h
 SELECT p_partkey, l::BIGINT AS left, t::BIGINT AS top, r::BIGINT AS right, bt::BIGINT AS bottom, cl AS crop_left, ct AS crop_top,
        greatest(cl + 1, least(round_even(r * (iw / 1536), 0)::BIGINT, iw)) AS crop_right, greatest(ct + 1, least(round_even(bt * (ih / 1024), 0)::BIGINT, ih)) AS crop_bottom FROM d
 """
+
+ORACLE_SQL |= file_queries.ORACLE_SQL | more_queries.ORACLE_SQL

@@ -40,6 +40,13 @@ def missing_config_keys(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.get_json_object(text, f"$.{k}").isNull(), k) for k in CONFIG_KEYS]))
 
 
+def checked_configs(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Configurations; one that lacks required keys raises."""
+    missing = missing_config_keys(F.col(text))
+    failed = F.raise_error(F.concat(F.lit("missing config keys: "), F.array_join(missing, ", "))).cast("boolean")
+    return rows.filter(F.when(F.size(missing) > 0, failed).otherwise(True))
+
+
 def manifest_entries(rows: DataFrame, text: str = "text", key: str = "relative_image_path") -> DataFrame:
     """Entries of manifests (JSON lists) as ``key`` and ``entry``; of equal keys the last."""
     out = rows.select("path", F.posexplode(parsed_list(F.col(text), "string")).alias("place", "entry"))

@@ -1,4 +1,4 @@
-"""Decoders of raster files from bytes, in numpy: PNG, NPY and DAT.  EXR needs a library that may be missing."""
+"""Decoders of raster files from bytes, in numpy: PNG, BMP, NPY and DAT.  JPEG, WebP, TIFF and EXR need libraries that may be missing."""
 
 from __future__ import annotations
 
@@ -85,9 +85,38 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
+def decode_bmp(content: bytes) -> np.ndarray:
+    """(h, w, 3) of an uncompressed bitmap of 8 (palette), 24 or 32 bits."""
+    start, _, width, height, _, bits, packed = struct.unpack("<10xIIiiHHI", content[:34])
+    if packed or bits not in (8, 24, 32):
+        raise ValueError(f"bitmap of {bits} bits, compression {packed}")
+    stride = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(content, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * bits // 8]
+    rows = rows[::-1] if height > 0 else rows
+    if bits == 8:
+        (header,) = struct.unpack("<I", content[14:18])
+        palette = np.frombuffer(content[14 + header : start], np.uint8).reshape(-1, 4)
+        return palette[rows][..., 2::-1]
+    return rows.reshape(abs(height), width, bits // 8)[..., 2::-1]
+
+
+def decode(content: bytes) -> np.ndarray:
+    """(h, w, c) of an image file by its first bytes; formats beyond PNG and BMP by Pillow, where it is installed."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_png(content)
+    if content[:2] == b"BM":
+        return decode_bmp(content)
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise ValueError("image formats other than PNG and BMP need the Pillow library") from e
+    image = np.asarray(Image.open(io.BytesIO(content)))
+    return image if image.ndim == 3 else image[..., None]
+
+
 def read_rgb(content: bytes) -> np.ndarray:
     """Three channels in 0..1."""
-    image = decode_png(content)
+    image = decode(content)
     image = (image >> 8 if image.dtype == np.uint16 else image).astype(np.float64)
     image = image[..., :3] if image.shape[2] >= 3 else np.repeat(image[..., :1], 3, 2)
     return image / 255
@@ -101,7 +130,7 @@ def read_gray(content: bytes) -> np.ndarray:
 
 def read_depth(content: bytes) -> np.ndarray:
     """The first channel as stored, of gray images; luma of colour ones without alpha."""
-    image = decode_png(content)
+    image = decode(content)
     return image[..., :1].astype(np.float64) if image.shape[2] in (1, 2, 4) else read_gray(content) * 255
 
 
@@ -190,6 +219,25 @@ def resized(raster: Column, height: int, width: int, method: str = "bilinear") -
     return run(raster)
 
 
+def limited(raster: Column, most: int) -> Column:
+    """A raster struct whose longer side is at most ``most``."""
+    from ..functions.kernels import resize
+
+    @F.pandas_udf(RASTER)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for h, w, c, data, error in rows.itertuples(index=False):
+            if error is not None or max(h, w) <= most:
+                out.append((h, w, c, data, error))
+                continue
+            scale = most / max(h, w)
+            height, width = max(1, round(h * scale)), max(1, round(w * scale))
+            out.append((height, width, c, resize(np.array(data).reshape(int(h), int(w), int(c)), height, width, "lanczos").ravel(), None))
+        return pd.DataFrame(out, columns=RASTER.names)
+
+    return run(raster)
+
+
 BOXED = T.StructType([T.StructField("raster", RASTER), T.StructField("box", T.ArrayType(T.IntegerType()))])
 
 

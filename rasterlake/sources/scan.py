@@ -1,4 +1,4 @@
-"""Scans of image folders.  Contents are never read here: paths first, bytes after matching."""
+"""Scans of image folders: paths first, bytes after matching."""
 
 from __future__ import annotations
 
@@ -42,6 +42,13 @@ def by_mode(rows: DataFrame, segmented: bool) -> DataFrame:
     return rows.filter(P.stem(F.col("path")).endswith("_im")) if segmented else rows
 
 
+def by_format(rows: DataFrame, kind: str = "auto") -> DataFrame:
+    """Ground truth of one raw format (dat or exr), or of both."""
+    if kind not in ("auto", "dat", "exr"):
+        raise ValueError("kind must be auto, dat or exr")
+    return rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*(("dat", "exr") if kind == "auto" else (kind,))))
+
+
 def scenes(rows: DataFrame) -> DataFrame:
     """Sub-folders at the top, each once."""
     return rows.filter(F.col("path").contains("/")).select(F.element_at(P.parts(F.col("path")), 1).alias("scene")).distinct()
@@ -57,7 +64,15 @@ def completed(rows: DataFrame) -> DataFrame:
     return rows.filter("length > 0")
 
 
+#: Locations that the driver hands to a scan by name.
+MOST_LISTED = 50_000
+
+
 def contents(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    """Bytes of chosen files: the matched locations joined to a scan that reads contents only for them."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("location"), "content")
-    return rows.join(scan, "location")
+    """Bytes of chosen files.  Up to ``MOST_LISTED`` are read by name, so that no other file is opened; more are joined to a scan of the whole root."""
+    reader = spark.read.format("binaryFile")
+    chosen = [r["location"] for r in rows.select("location").distinct().limit(MOST_LISTED + 1).collect()]
+    if not chosen:
+        return rows.withColumn("content", F.lit(None).cast("binary"))
+    scan = reader.load(chosen) if len(chosen) <= MOST_LISTED else reader.option("recursiveFileLookup", "true").load(root)
+    return rows.join(scan.select(F.col("path").alias("location"), "content"), "location")

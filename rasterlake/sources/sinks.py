@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import finite
 from ..operators.manifest import upsert
 
 
+def _sane(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return finite(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: _sane(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _sane(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_sane(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def sanitised(df: DataFrame) -> DataFrame:
-    """Non-finite doubles as null."""
-    return df.select(*[finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    """Non-finite numbers as null, also within structs, lists and maps."""
+    return df.select(*[_sane(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -40,9 +53,20 @@ def rewrite_manifest(old: DataFrame | None, new: DataFrame, path: str, keys: lis
     upsert(both, keys, seq).write.mode("errorifexists").parquet(path)
 
 
+#: Records of a manifest that is one list.
+MOST_RECORDS = 100_000
+
+
+def manifest_rows(df: DataFrame) -> DataFrame:
+    """Records cut to (sample_id, image_path, physical_properties), a row each."""
+    return df.select("sample_id", "image_path", "physical_properties")
+
+
 def manifest_projection(df: DataFrame) -> DataFrame:
-    """Records as one list of (sample_id, image_path, physical_properties)."""
-    return df.groupBy().agg(F.array_sort(F.collect_list(F.struct("sample_id", "image_path", "physical_properties"))).alias("records"))
+    """Such records as one list, for a small manifest; over ``MOST_RECORDS`` it raises: write ``manifest_rows`` instead."""
+    if df.limit(MOST_RECORDS + 1).count() > MOST_RECORDS:
+        raise ValueError(f"a manifest of one list holds at most {MOST_RECORDS} records")
+    return manifest_rows(df).groupBy().agg(F.array_sort(F.collect_list(F.struct("sample_id", "image_path", "physical_properties"))).alias("records"))
 
 
 def failure_rows(df: DataFrame, error: str = "error") -> DataFrame:

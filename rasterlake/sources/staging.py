@@ -52,6 +52,18 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_files(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """A few small files in a new folder of the shared one; the folder."""
+    root = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    for name, content in files.items():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
+        out.write(bytearray(content))
+        out.close()
+    return root
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -70,5 +82,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table and ledger of the shared folder (call it between jobs)."""
-    for folder in ("staged", "ledgers"):
+    for folder in ("staged", "ledgers", "files"):
         delete(spark, f"{shared_dir(spark)}/{folder}")
