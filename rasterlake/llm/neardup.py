@@ -8,12 +8,17 @@
    less) a shorter prefix will do, so the depth adapts to each region and never falls
    below what the recall is set for.  The sort is dealt by ranges of (label, id), so one
    label can fill many tasks; the runs that tasks share are joined by their ends.
-3. Candidates join up to regions (connected components).  A region's sets are packed
-   into blocks of bounded size, and every block is compared with itself and each other
-   block of its region by exact intersection counts: within a region no pair is left
-   out and no list of pairs is made.  A comparison gives back a spanning forest of its
-   links, at most one row for each document.
-4. The links' components are the result.
+3. Candidates join up to regions (connected components).  Sets can only be linked if
+   their sizes are alike, so a region is dealt into size classes, of which a set meets its
+   own and the two beside it, and a class into blocks of bounded size.
+4. Blocks are compared by exact intersection counts, in two rounds.  First each with
+   itself and with its class's first block: what is linked there is one component, and a
+   group of near copies, however large, mostly ends as one.  Then only sets of different
+   components are compared: those outside of their class's largest component with all of
+   their class, and classes beside each other unless both are wholly one component.  No
+   pair that could join two components is left out, and no list of pairs is made: a
+   comparison gives back a spanning forest of its links.
+5. The links' components are the result.
 
 A pair at the threshold t shares a tree's prefix with probability t^depth, about 0.32; 48
 trees miss it with a probability of some 1e-6, and a region is joined by many pairs.
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -291,36 +296,14 @@ def linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray
     return (common > 0) & (100 * common >= percent * union)
 
 
-def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives of one region: a spanning forest of each comparison of blocks."""
-    spark = docs.sparkSession
-    sizes = members.groupBy("region").agg(F.sum("n_shingles").alias("total"))
-    placed = members.join(sizes, "region").select("rep", "region", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = staged(placed, "placed", number)
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    bitmap[words_set["word"].to_numpy()] = words_set["bits"].to_numpy().astype(np.uint32)
-    set_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``blocks``, how many blocks of bounded size their key has, and their ``block``."""
+    totals = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int").alias("blocks"))
+    return rows.join(totals, list(keys)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(len(keys))), F.col("blocks")).cast("int"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bitmap[at // 32] >> (at % 32).astype(np.uint32) & np.uint32(1)).astype(bool)))
-            found = batch.column(1).to_pylist()
-            for a, b in slices(found, 1_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(found[a:b], words)], pa.binary())], names=set_schema.names)
 
-    shingled = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(sets, set_schema)
-    packed = shingled.join(placed, shingled["doc_id"] == placed["rep"]).groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("rep", "shingles")).alias("sets"))
-    packed = staged(packed, "blocks", 10 * number)  # a block holds many rows
-    single = packed.filter("blocks = 1").select("sets", F.lit(None).cast(packed.schema["sets"].dataType).alias("others"))
-    # each block meets itself and every later one
-    meets = packed.filter("blocks > 1").withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    other = packed.filter("blocks > 1").select("region", F.col("block").alias("other"), F.col("sets").alias("others"))
-    n_pairs = packed.filter("blocks > 1").agg(F.sum(F.col("blocks") - F.col("block"))).first()[0] or 0
-    pairs = meets.join(other, ["region", "other"]).select("sets", F.when(F.col("other") != F.col("block"), F.col("others")).alias("others")).repartition(max(partitions(spark), n_pairs // 16))
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from pairs of blocks ``sets`` and ``others`` (null: the block with itself), a spanning forest of each."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +325,78 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
                     edges += forest(linked(x, x, percent), ids)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=schema.names)
 
-    return single.unionByName(pairs).mapInArrow(compare, schema)
+    return pairs.select("sets", "others").mapInArrow(compare, schema)
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Classes of set sizes: sets that may be linked are at most one class apart."""
+    return F.floor(F.log(n) / (math.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else n.cast("long")
+
+
+def open_pairs(blocks: DataFrame) -> DataFrame:
+    """Which blocks (region, size, rest, block; ``lo`` and ``hi`` of their components) can still hold links between components: keys of both sides, b's prefixed."""
+    key = ["region", "size", "rest", "block"]
+    other = blocks.select("region", *[F.col(c).alias(f"b_{c}") for c in ("size", "rest", "block", "lo", "hi")])
+    same = F.col("lo").eqNullSafe(F.col("hi")) & F.col("b_lo").eqNullSafe(F.col("b_hi")) & F.col("lo").eqNullSafe(F.col("b_lo"))
+    # a class that was one block has met itself
+    own = blocks.filter("rest = 1 and several").join(other.withColumn("size", F.col("b_size")), ["region", "size"]).filter("b_rest = 0 or b_block >= block")
+    beside = blocks.join(other.withColumn("size", F.col("b_size") - 1), ["region", "size"])
+    names = [*key, "b_size", "b_rest", "b_block"]
+    return own.select(*names, same.alias("same")).unionByName(beside.select(*names, same.alias("same"))).filter("not same").drop("same")
+
+
+def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between representatives of one region that join up all its components."""
+    spark = docs.sparkSession
+    placed = staged(_dealt(members.withColumn("size", size_class(F.col("n_shingles"), percent)), "region", "size"), "placed", number)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words_set["word"].to_numpy()] = words_set["bits"].to_numpy().astype(np.uint32)
+    set_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[at // 32] >> (at % 32).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            found = batch.column(1).to_pylist()
+            for a, b in slices(found, 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(found[a:b], words)], pa.binary())], names=set_schema.names)
+
+    shingled = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(sets, set_schema)
+    member = F.collect_list(F.struct("rep", "shingles")).alias("sets")
+    packed = staged(shingled.join(placed, shingled["doc_id"] == placed["rep"]).groupBy("region", "size", "blocks", "block").agg(member), "blocks", 10 * number)  # a block holds many rows
+
+    # first round
+    nothing = F.lit(None).cast(packed.schema["sets"].dataType)
+    first = packed.filter("blocks > 1 and block = 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).select("region", "size", "block", F.col("sets").alias("others"))
+    n_blocks = packed.count()
+    tasks = max(partitions(spark), n_blocks // 32)
+    with_first = packed.filter("block > 0").join(first, ["region", "size", "block"]).select("sets", "others").repartition(tasks)
+    links = staged(_compared(packed.select("sets", nothing.alias("others")).unionByName(with_first), percent), "links")
+    roots = staged(connected_components(links, number), "roots", number)
+
+    # second round: regions of several blocks and several components
+    joined = placed.join(roots, placed["rep"] == roots["node"], "left").select("region", "size", "blocks", "block", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    place = F.struct("size", "block")
+    left_open = joined.groupBy("region").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), (F.min(place) != F.max(place)).alias("__several")).filter("__lo <> __hi and __several").select("region")
+    joined = staged(joined.join(left_open, "region"), "open", number)
+    n_open = joined.count()
+    if not n_open:
+        return links
+    main = joined.groupBy("region", "size", "root").agg(F.count("*").alias("n")).groupBy("region", "size").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"))
+    again = joined.join(main, ["region", "size"]).withColumns({"rest": (F.col("root") != F.col("main")).cast("int"), "several": F.col("blocks") > 1}).drop("blocks", "block", "main")
+    again = staged(_dealt(again, "region", "size", "rest"), "dealt", n_open)
+    taken = packed.join(again.select("region", "size").distinct(), ["region", "size"], "left_semi").select(F.explode("sets").alias("s")).select(F.col("s.rep").alias("__rep"), "s.shingles")
+    again = again.dropDuplicates(["rep"])  # rows that share an id have one root
+    key = ["region", "size", "rest", "block"]
+    packed = staged(taken.join(again, F.col("__rep") == F.col("rep")).groupBy(*key).agg(member, F.first("several").alias("several"), F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks", 10 * n_open)
+    pairs = staged(open_pairs(packed.drop("sets")), "pairs", 10 * n_open)
+    n_pairs = pairs.count()
+    right = packed.select("region", *[F.col(c).alias(f"b_{c}") for c in key[1:]], F.col("sets").alias("others"))
+    itself = (F.col("b_size") == F.col("size")) & (F.col("b_rest") == F.col("rest")) & (F.col("b_block") == F.col("block"))
+    met = pairs.join(packed.select(*key, "sets"), key).join(right, ["region", "b_size", "b_rest", "b_block"]).select("sets", F.when(~itself, F.col("others")).alias("others"))
+    return links.unionByName(_compared(met.repartition(max(partitions(spark), n_pairs // 16)), percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -80,6 +80,36 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
         assert got == {i: (want[i], len(shingles(t)), want[i] == i) for i, t in rows}
 
 
+def test_one_large_group_is_compared_in_proportion_to_its_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    pairs = []
+    monkeypatch.setattr(neardup, "_compared", lambda df, percent, f=neardup._compared: pairs.append(df.count()) or f(df, percent))
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(200)]
+    made = []
+    for n in (120, 480):
+        pairs.clear()
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[rng.randrange(200)] = word()
+            rows.append((i, " ".join(w)))
+        rows += [(n + i, " ".join(base[: 150 - 2 * i] + [word() for _ in range(50)])) for i in range(4)]  # at and beyond the edge of the group
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = brute_components(rows, 80)
+        assert got == want
+        made.append(sum(pairs))
+    assert made[1] < 6 * made[0]
+
+
+def test_size_classes_keep_linked_sizes_near(spark):
+    for percent in (50, 80, 85, 99):
+        sizes = spark.range(1, 3000).select(F.col("id").alias("n"), neardup.size_class(F.col("id"), percent).alias("c")).collect()
+        by = {r.n: r.c for r in sizes}
+        assert all(by[min(2999, 100 * n // percent)] - by[n] <= 1 for n in by)
+
+
 def test_runs_are_the_same_however_rows_are_batched(spark):
     rng = np.random.default_rng(23)
     depth = 4
