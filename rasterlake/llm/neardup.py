@@ -136,7 +136,7 @@ def labels_of(shingles: np.ndarray, plan: np.ndarray) -> bytes:
 
 
 def _signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("labels", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("labels", T.BinaryType())])
     plan = tree_plan(depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +147,7 @@ def _signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([labels_of(s, plan) if len(s) else None for s in sets], pa.binary()),
@@ -155,7 +156,7 @@ def _signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
                 )
         trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def _prefix(rows: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -400,7 +401,7 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document; links have a Jaccard similarity of at least ``percent`` / 100."""
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document, with its ``text_hash`` and its set's ``digest``; links have a Jaccard similarity of at least ``percent`` / 100."""
     depth = max(3, math.floor(math.log(0.3) / math.log(percent / 100))) if percent < 100 else 12
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     signed = staged(_signatures(source, words, depth), "signatures")
@@ -411,13 +412,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     number = members.count()
     roots = connected_components(_links(source, members, number, words, percent), number)
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "digest")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
     """Query: components of documents that share 85 % of their word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP3_SQL = r"""

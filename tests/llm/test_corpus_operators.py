@@ -434,27 +434,77 @@ def test_registered_sql(spark):
 
 
 def test_pipeline_stages(spark, tricky, empty):
+    from tokenizers import Tokenizer
+
+    from rasterlake.llm import bpe, langid
     from rasterlake.llm.common import staged
 
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
     docs = tricky
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, staged(stage(spark, docs, ""), name)
-        if name == "lines":
-            want = [(i, t) for i, _, n, t in brute_lines([(r.doc_id, r.text) for r in before.collect()]) if not n or WORD.search(t)]
-            assert sorted(want, key=repr) == sorted([(r.doc_id, r.text) for r in docs.collect()], key=repr)
+        was = before.collect()
         if name != "encode":
             assert docs.columns == tricky.columns
             assert {(r.n_lines, r.score, r.target, r.size) for r in docs.collect()} == {(3, 7, "z", "y")}  # extra columns keep their values
         if name == "language":
+            network = langid.Network(*langid.fit(before))
+            said = [(r.doc_id, r.text, *network([r.text or ""])[0]) for r in was]
+            assert plain(docs) == sorted([(i, t) for i, t, lang, score in said if lang != "und" and score >= 0.4], key=repr)
             assert {100, 101, 102}.isdisjoint(r.doc_id for r in docs.collect())
+        if name == "lines":
+            assert plain(docs) == sorted([(i, t) for i, _, n, t in brute_lines([(r.doc_id, r.text) for r in was]) if not n or WORD.search(t)], key=repr)
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
         if name == "near_duplicates":
-            ids = [r.doc_id for r in docs.collect() if r.doc_id is not None]
-            kept = brute_components([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 80)
-            assert all(kept[i] == i for i in ids)
+            sets = {}
+            for r in was:
+                if s := shingles(r.text):
+                    sets.setdefault(s, []).append(r.doc_id)
+            rep = {s: min((i for i in ids if i is not None), default=None) for s, ids in sets.items()}
+            u = Union()
+            for x, y in itertools.combinations([s for s in sets if rep[s] is not None], 2):
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    u.join(rep[x], rep[y])
+            want = collections.Counter({u.root(i) for s, i in rep.items() if i is not None})
+            want[None] = sum(i is None for i in rep.values())
+            assert collections.Counter(r.doc_id for r in docs.collect()) == +want
+            assert all(r.doc_id is None or u.root(rep[shingles(r.text)]) == r.doc_id for r in docs.collect())
         if name == "mix":
-            assert docs.count() > 0
+            sizes, taken = collections.defaultdict(list), collections.Counter()
+            for r in was:
+                sizes[r.source].append(len(WORD.findall(r.text)))
+            for r in docs.collect():
+                taken[r.source] += len(WORD.findall(r.text))
+            order = sorted(sizes, key=lambda s: (s is None, s))
+            goal = brute_targets({i: sum(sizes[s]) for i, s in enumerate(order)})
+            for i, s in enumerate(order):
+                total = sum(sizes[s])
+                full = min(3, int(goal[i] // total))
+                reach = subset_sums(sizes[s], total)
+                rest = 0 if full == 3 else round(goal[i] - full * total)
+                assert abs(taken[s] - full * total - rest) == min(abs(x - rest) for x in range(total + 1) if reach >> x & 1)
+            assert {x for x, n in collections.Counter(plain(docs)).items() if n > 3} == set()
+            assert set(plain(docs)) <= set(plain(before))
+        if name == "encode":
+            t = Tokenizer.from_file(bpe.default_tokenizer_path())
+            t.no_truncation()
+            t.no_padding()
+            ids = [(r.doc_id, t.encode(r.text, add_special_tokens=False).ids) for r in was]
+            assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in docs.collect()), key=repr) == sorted(ids, key=repr)
     assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, ""), "empty")
     assert docs.count() == 0
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    from pathlib import Path
+
+    from rasterlake.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:").replace("//", "/", 1)) / "staged"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+    (left,) = set(folder.iterdir()) - before
+    assert [p.name for p in left.iterdir()] == ["encode"]
