@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of a staged table's file, where the number of rows is known to be small.
 ROWS_A_FILE = 100_000
 
+#: Bytes that a writer of a staged table holds before it writes them.
+ROW_GROUP = 32 << 20
+
 _scopes: list[list[str]] = []
 
 
@@ -46,7 +49,7 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
