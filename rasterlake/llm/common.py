@@ -18,7 +18,7 @@ from ..sources.staging import shared_dir  # noqa: F401
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bounds of an Arrow batch: a Python worker holds a batch several times over.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 5000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:

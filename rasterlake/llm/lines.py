@@ -158,6 +158,7 @@ def _candidates(keyed: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFra
                 if cols[0]:
                     types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=schema.names)
+        trim()
 
     out = found.mapInArrow(run, schema).withColumn("order", F.struct("doc", "line_no")).drop("doc", "line_no")
     return staged(out, "candidates")
@@ -181,6 +182,7 @@ def _near(lines: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [one_edit_apart(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["order"])
+        trim()
 
     late = both.mapInArrow(verify, schema).distinct()
     return lines.select("order", "h1", "h2").join(late, "order", "left_semi").select("h1", "h2", F.lit(True).alias("near"))

@@ -227,6 +227,7 @@ def _neighbours(sorted_labels: DataFrame, depth: int) -> DataFrame:
             yield from out
         if last is not None:
             yield rows([last[1]], [last[1]], [last[0].tobytes()], [2 * part + 1])
+        trim()
 
     return sorted_labels.mapInArrow(run, schema)
 
@@ -325,6 +326,7 @@ def _compared(pairs: DataFrame, percent: int) -> DataFrame:
                 else:
                     edges += forest(linked(x, x, percent), ids)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=schema.names)
+        trim()
 
     return pairs.select("sets", "others").mapInArrow(compare, schema)
 
@@ -363,6 +365,7 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
             found = batch.column(1).to_pylist()
             for a, b in slices(found, 1_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(found[a:b], words)], pa.binary())], names=set_schema.names)
+        trim()
 
     shingled = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(sets, set_schema)
     member = F.collect_list(F.struct("rep", "shingles")).alias("sets")
@@ -375,6 +378,8 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
     tasks = max(partitions(spark), n_blocks // 32)
     with_first = packed.filter("block > 0").join(first, ["region", "size", "block"]).select("sets", "others").repartition(tasks)
     links = staged(_compared(packed.select("sets", nothing.alias("others")).unionByName(with_first), percent), "links")
+    if placed.groupBy("region").agg((F.min(F.struct("size", "block")) != F.max(F.struct("size", "block"))).alias("several")).filter("several").isEmpty():
+        return links
     roots = staged(connected_components(links, number), "roots", number)
 
     # second round: regions of several blocks and several components
