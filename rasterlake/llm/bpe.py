@@ -5,14 +5,21 @@ a passage that many documents share is cut into the same chunks wherever it stan
 Every distinct chunk is encoded once in a task and kept in a bounded table, across
 documents and batches; an idle worker holds no table.
 
-A cut may fall inside a word, so a chunk is kept in three parts: the bytes before its
-first white space (head), the ids of the whole words between, and the bytes after its
-last white space (tail).  A join is repaired by encoding the window from the left
-chunk's last white space to the right chunk's first one anew; the window takes in
-further chunks until it ends at white space, and there both sides agree exactly, since
-this kind of tokenizer neither normalises nor merges across white space (probed when
-the tokenizer is loaded; one that does is refused).  Words are encoded in batches, each
-distinct one once.
+A cut may fall inside a word, so the tokens beside a join are not to be trusted.  Every
+join is repaired: the text from the last whole word before it to the first whole word
+after it is encoded anew, and must begin and end with exactly the ids that the two chunks
+have for these words.  What stands between them replaces the join; where an end does not
+agree, the document goes to the general repair.
+
+The general repair serves every tokenizer, also those that keep white space or merge
+across it.  Chunks are encoded whole, as pre-tokens with their places.  A window around a
+join is encoded anew and grows, to the left until it starts with three pre-tokens that the
+text before it has at the same places, to the right until it meets three of the chunk
+there; a window that reaches the text's ends needs no agreement.  It at least doubles when
+it takes in further chunks, so a text without any boundary costs its length twice.
+
+Tokenizers that drop white space (probed when one is loaded) have the whole words inside
+of a chunk encoded in batches, each distinct word once.
 
 The chunk table is a task's own: one for the whole cluster would move all text
 through a shuffle twice to save what the word table saves already.
@@ -42,11 +49,18 @@ MAX_CHUNK_BYTES = 10_000_000
 
 #: Words that are encoded as one text.
 JOINED = 48
+#: Pre-tokens that must agree at an end of a window, and on either side of a join at first.
+AGREE = 3
+NEAR = 6
 _ASCII_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+#: A pre-token: its ids and its place in the text's characters.
+Unit = tuple[tuple[int, ...], int, int]
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -84,28 +98,32 @@ class ChunkEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ending = np.array([bool(suffix) and t is not None and t.endswith(suffix) for t in self.tokens])
         self.clear()
-        self.chunk_hits = self.chunk_misses = 0
+        self.chunk_hits = self.chunk_misses = self.disagreed = 0
         direct = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        if any(direct(f"b,a{w}1c{v}́x") != [*direct("b,a"), *direct("1c"), *direct("́x")] for w in " \t\n\r\x0b\x0c" for v in (" ", "\n ")):
-            raise ValueError("chunk reuse needs a tokenizer that drops white space and never merges across it")
+        #: White space is dropped and nothing merges across it, so words are encoded apart.
+        self.by_words = all(direct(f"b,a{w}1c{v}́x") == [*direct("b,a"), *direct("1c"), *direct("́x")] for w in " \t\n\r\x0b\x0c" for v in (" ", "\n "))
 
     def clear(self) -> None:
         """Empty the tables."""
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before: words in use move on, others go
         self.chunks: dict[bytes, tuple] = {}
+        self.joins: dict[bytes, bytes] = {}
+        self.spans: dict[bytes, list[Unit]] = {}
         self.chunk_bytes = 0
 
-    def _split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
-        """Head, whole words, tail; None if the chunk has no white space."""
+    def _split(self, chunk: bytes) -> tuple[list[bytes], int, int] | None:
+        """Whole words, where the last one starts and the first one ends; None if there is no whole word."""
         parts = chunk.split()
-        if not parts:
-            return b"", [], b""
-        head = parts.pop(0) if not chunk[:1].isspace() else b""
-        if not parts and head and not chunk[-1:].isspace() and len(head) == len(chunk):
+        head = len(parts[0]) if parts and not chunk[:1].isspace() else 0
+        whole = parts[1:] if head else parts
+        tail = len(whole[-1]) if whole and not chunk[-1:].isspace() else 0
+        if tail:
+            whole = whole[:-1]
+        if not whole:
             return None
-        tail = parts.pop() if parts and not chunk[-1:].isspace() else b""
-        return head, parts, tail
+        last = len(chunk[: len(chunk) - tail].rstrip()) - len(whole[-1])
+        return whole, last, len(chunk) - len(chunk[head:].lstrip()) + len(whole[0])
 
     def _learn(self, missing: list[bytes]) -> None:
         """Encode words that the table doesn't hold.
@@ -149,21 +167,24 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.chunk_bytes > MAX_CHUNK_BYTES:
-            self.chunks.clear()
+            self.chunks, self.joins, self.spans = {}, {}, {}
             self.chunk_bytes = 0
+        return self._encode_words(texts) if self.by_words else [self._repaired(t) for t in texts]
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for tokenizers that drop white space."""
         if len(self.words) > MAX_WORDS:
             self.words, self.older = {}, self.words
         chunks, words, older = self.chunks, self.words, self.older
         fresh: dict[bytes, tuple | None] = {}
-        plans: list[list] = []
+        plans: list[list] = []  # of each text: join, chunk, join, ..., chunk, join
         wanted: set[bytes] = set()
         for text in texts:
             data = text.encode("utf-8", "surrogatepass")
-            plan: list = []  # chunks' keys, and the windows around their joins as one-item lists
-            start, window = 0, b""
+            plan: list = []
+            start = since = 0  # since: where the last whole word so far starts
             for end in cut_points(data):
                 key = data[start:end]
-                start = end
                 if key in chunks:
                     entry = chunks[key]
                     self.chunk_hits += 1
@@ -174,17 +195,12 @@ class ChunkEncoder:
                     self.chunk_misses += 1
                     entry = fresh[key] = self._split(key)
                     if entry:
-                        wanted.update(entry[1])
-                if entry is None:
-                    window += key  # no white space: the window grows over the whole chunk
-                    continue
-                if window or entry[0]:
-                    plan.append([window + entry[0]])
-                plan.append(key)
-                window = entry[2]
-            if window:
-                plan.append([window])
-            wanted.update(x[0] for x in plan if type(x) is list)
+                        wanted.update(entry[0])
+                if entry is not None:
+                    plan += [data[since : start + entry[2]], key]
+                    since = start + entry[1]
+                start = end
+            plan.append(data[since:])
             plans.append(plan)
         missing = []
         for w in wanted:
@@ -197,11 +213,100 @@ class ChunkEncoder:
             self._learn(missing)
         for key, entry in fresh.items():
             if entry is not None:
-                entry = (entry[0], b"".join([words[w] for w in entry[1]]), entry[2])
-                self.chunk_bytes += len(entry[1]) + len(key)
+                found = [words[w] for w in entry[0]]
+                # ids, those of the first and the last word, and the places of both
+                entry = (b"".join(found), entry[1], entry[2], found[0], found[-1])
+                self.chunk_bytes += len(entry[0]) + len(key)
             chunks[key] = entry
-            self.chunk_bytes += len(key) + 200
-        return [b"".join([words[x[0]] if type(x) is list else chunks[x][1] for x in plan]) for plan in plans]
+            self.chunk_bytes += len(key) + 250
+        joins = self.joins
+        unknown = list({x for plan in plans for x in plan[::2] if x not in joins})
+        for x, e in zip(unknown, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in unknown], add_special_tokens=False), strict=True):
+            joins[x] = np.array(e.ids, "<u4").tobytes()
+            self.chunk_bytes += len(x) + len(joins[x]) + 150
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            ids, left = [], b""
+            for k in range(0, len(plan), 2):
+                join = joins[plan[k]]
+                entry = chunks[plan[k + 1]] if k + 1 < len(plan) else None
+                right = entry[3] if entry else b""
+                if len(join) < len(left) + len(right) or not (join.startswith(left) and join.endswith(right)):
+                    self.disagreed += 1
+                    ids = [self._repaired(text)]
+                    break
+                ids.append(join[len(left) : len(join) - len(right)])
+                if entry:
+                    ids.append(entry[0])
+                    left = entry[4]
+            out.append(b"".join(ids))
+        return out
+
+    def _units(self, text: str, start: int = 0) -> list[Unit]:
+        """The pre-tokens of a text that stands at ``start``: ids and place."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        out: list[Unit] = []
+        before = None
+        for i, word, (a, b) in zip(e.ids, e.word_ids, e.offsets, strict=True):
+            if out and word is not None and word == before:
+                ids, first, last = out[-1]
+                out[-1] = ((*ids, i), first, max(last, start + b))
+            else:
+                out.append(((i,), start + a, start + b))
+            before = word
+        return out
+
+    def _chunk_units(self, key: bytes, start: int) -> list[Unit]:
+        if key in self.spans:
+            self.chunk_hits += 1
+        else:
+            self.chunk_misses += 1
+            self.spans[key] = self._units(key.decode("utf-8", "replace"))
+            self.chunk_bytes += len(key) + 300 * len(self.spans[key])
+        return [(ids, a + start, b + start) for ids, a, b in self.spans[key]]
+
+    def _repaired(self, text: str) -> bytes:
+        """The ids of a text by any tokenizer: chunks, and windows around joins that grow until both ends agree."""
+        data = text.encode("utf-8", "surrogatepass")
+        keys, ends, at = [], [], 0
+        for end in cut_points(data):
+            keys.append(data[at:end])
+            ends.append((ends[-1] if ends else 0) + len(keys[-1].decode("utf-8", "replace")))
+            at = end
+        done = self._chunk_units(keys[0], 0) if keys else []
+        c = 1
+        while c < len(keys):
+            back, ahead = NEAR, NEAR
+            while True:
+                i = max(0, len(done) - back)
+                while i and done[i - 1][1] >= done[i - 1][2]:  # a pre-token without a place
+                    i -= 1
+                begin = done[i - 1][2] if i else 0
+                right = self._chunk_units(keys[c], ends[c - 1])
+                whole = ahead >= len(right)
+                stop = ends[c] if whole else right[ahead - 1][2]
+                window = self._units(text[begin:stop], begin)
+                if i and window[:AGREE] != done[i : i + AGREE]:
+                    back *= 2
+                    continue
+                if whole and c == len(keys) - 1:
+                    done[i:] = window
+                    break
+                places = {u[1:]: j for j, u in enumerate(right) if u[1] < u[2]}
+                met = ((k, places[u[1:]]) for k, u in enumerate(window[: 1 - AGREE]) if u[1:] in places)
+                found = next(((k, j) for k, j in met if window[k : k + AGREE] == right[j : j + AGREE]), None)
+                if found:
+                    done[i:] = window[: found[0]] + right[found[1] :]
+                    break
+                if whole:
+                    goal = begin + 2 * (stop - begin)
+                    while c < len(keys) - 1 and ends[c] < goal:
+                        c += 1
+                    ahead = len(keys[c])
+                else:
+                    ahead *= 2
+            c += 1
+        return np.array([x for ids, _, _ in done for x in ids], "<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """As ``decode(ids, skip_special_tokens=False)``: without a decoder, tokens joined by spaces."""

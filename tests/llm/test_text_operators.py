@@ -48,11 +48,39 @@ def test_bpe_cuts_are_the_same_in_a_shared_passage_and_whole_characters():
     assert b"".join(passage[a:b].decode().encode() for a, b in zip([0, *cuts], cuts)) == passage
 
 
-def test_bpe_refuses_tokenizers_that_keep_white_space():
+def test_bpe_joins_agree_with_both_chunks(tokenizer):
+    enc = bpe.ChunkEncoder(bpe.default_tokenizer_path())
+    odd = ["<|startof text|> <|endoftext|>x", "e \u0301 e\u0301 " * 400, "x" * 5000, " " * 3000 + "a" + "\n" * 3000, "it's they'll 'S 's" * 300, "\u3000a\u00a0b\u0085c " * 300, ""]
+    some = texts(3, 300) + odd
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(some)] == want
+    assert enc.by_words and enc.disagreed == 0 and enc.joins
+    # chunks that hold wrong ids at their ends are found out, and the document is repaired in general
+    wrong = bpe.ChunkEncoder(bpe.default_tokenizer_path())
+    learn = wrong._learn
+    wrong._learn = lambda missing: (learn(missing), wrong.words.update({w: b"\0\0\0\0" for w in missing}))
+    long = next(t for t in some if len(t) > 2000 and len(t.split()) > 300)
+    assert [np.frombuffer(x, "<u4").tolist() for x in wrong.encode([long])] == [tokenizer.encode(long, add_special_tokens=False).ids]
+    assert wrong.disagreed == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_general_repair_equals_the_library(name):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    with pytest.raises(ValueError):
-        bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    enc = bpe.ChunkEncoder(public_tokenizers.path(name))
+    assert enc.by_words == (name == "word_bpe_49k.json")
+    rng = random.Random(7)
+    pieces = ["they're", " ", "  ", "\n", "\n\n ", "don't", "'", "r", "e", "12345", "日本語", "é", "e\u0301", "!?", "<|endoftext|>", "Word", " word", "\u00a0", "🙂", "\t"]
+    some = texts(4, 150) + ["".join(rng.choices(pieces, k=rng.randint(0, 1500))) for _ in range(60)]
+    some += ["x" * 20_000, " " * 20_000, "x " * 5000 + "y" * 9000 + " z" * 5000, "日" * 7000, ""]
+    for t in some:
+        assert np.frombuffer(enc._repaired(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:200]
+    assert enc.chunk_hits > 0
+    got = enc.encode(some[:40])
+    assert [enc.decode(x) for x in got] == [library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in some[:40]]
 
 
 def test_bpe_query(spark, tricky, empty, tokenizer):
