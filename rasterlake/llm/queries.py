@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bpe_sql, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
+from . import bpe, bpe_sql, divergence, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
+    "op11_divergence": divergence.op11_divergence,
     "pipeline": pipeline,
 }
 
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
     "op5_token_counts": bpe_sql.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
