@@ -242,6 +242,38 @@ class ChunkEncoder:
             out.append(b"".join(ids))
         return out
 
+    def encode_flat(self, texts: list[str], most_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; words are looked up once a call.
+
+        For callers that need no chunks: tokenizers that drop white space encode each
+        distinct word once, others the whole texts.
+        """
+        if not self.by_words:
+            found = self.encode(texts)
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        if len(self.words) > most_words:
+            self.words, self.older = {}, self.words
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        spelled = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
+        distinct = spelled.dictionary.to_pylist()
+        words, older, missing = self.words, self.older, []
+        for w in distinct:
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    missing.append(w)
+        if missing:
+            self._learn(missing)
+        ids = [words[w] for w in distinct]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        codes = spelled.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        shift = np.cumsum(sizes)[codes] - np.cumsum(each)  # from a place in the result to one among the distinct words' ids
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(shift, each) + np.arange(int(each.sum()))] if len(each) else np.zeros(0, "<u4")
+        bounds = np.concatenate([[0], np.cumsum(each)])[np.cumsum([0, *(len(ws) for ws in split)])]
+        return flat, np.diff(bounds)
+
     def _units(self, text: str, start: int = 0) -> list[Unit]:
         """The pre-tokens of a text that stands at ``start``: ids and place."""
         e = self.tokenizer.encode(text, add_special_tokens=False)

@@ -18,6 +18,10 @@ Spelled runs are found by one pass over their tokens and bracketed signs from th
 brackets outwards, so that no run of digits, words, separators or spaces, however long,
 is gone over again from each of its places.
 
+Bounds of what counts as a disguise (plain spans have none): a said address has at most
+seven parts before its at, the nearest ones; the tokens of a spelled run stand at most
+three characters of space and punctuation apart.
+
 Defined cases: null and empty texts have no spans; repeated rows are searched each;
 other columns are not read.
 """
@@ -166,21 +170,34 @@ class Rewritten:
             at, to, new = np.arange(len(self.text)), np.arange(1, len(self.text) + 1), np.zeros(len(self.text), bool)
         else:
             at, to, new = self.at, self.to, self.new
+        begin = np.array([e[0] for e in edits])
+        end = np.array([e[1] for e in edits])
+        size = np.array([len(e[2]) for e in edits])
+        # kept stretches and written texts take turns; a written character takes its edit's ends
+        bounds = np.zeros(len(self.text) + 1, np.int64)
+        bounds[begin] += 1  # edits are apart
+        bounds[end] -= 1
+        kept = np.cumsum(bounds[:-1]) == 0
+        shift = np.cumsum(size) - np.cumsum(end - begin)  # of the text after an edit
+        place = np.flatnonzero(kept)
+        target = place + np.concatenate([[0], shift])[np.searchsorted(end, place, "right")]
+        length = len(self.text) + int(shift[-1])
+        out = Rewritten("")
+        out.at, out.to, out.new = np.empty(length, at.dtype), np.empty(length, to.dtype), np.ones(length, bool)
+        out.at[target], out.to[target], out.new[target] = at[place], to[place], new[place]
+        start = begin + np.concatenate([[0], shift[:-1]])
+        written = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        out.at[written], out.to[written] = np.repeat(at[begin], size), np.repeat(to[end - 1], size)
+        gone = start[(size == 0) & (start > 0)]
+        out.new[gone - 1] = True  # something went: the character before counts as rewritten
         text: list[str] = []
-        ats, tos, news = [], [], []
         done = 0
         for a, b, s in edits:
-            text += [self.text[done:a], s]
-            ats += [at[done:a], np.full(len(s), at[a])]
-            tos += [to[done:a], np.full(len(s), to[b - 1])]
-            news += [new[done:a].copy(), np.ones(len(s), bool)]
-            if not s:  # something went: the character before counts as rewritten
-                last = next((x for x in reversed(news) if len(x)), None)
-                if last is not None:
-                    last[-1] = True
+            text.append(self.text[done:a])
+            text.append(s)
             done = b
-        out = Rewritten("".join([*text, self.text[done:]]))
-        out.at, out.to, out.new = (np.concatenate([*x, rest[done:]]) for x, rest in ((ats, at), (tos, to), (news, new)))
+        text.append(self.text[done:])
+        out.text = "".join(text)
         out.changed = True
         return out
 

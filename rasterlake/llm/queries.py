@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bpe_sql, divergence, fingerprint, langid, lines, mixing, neardup, pii, quality, tokencounts, topk
+from . import bpe, bpe_sql, divergence, fingerprint, langid, lines, mixing, neardup, packing, pii, prefixtrie, quality, tokencounts, topk
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,6 +24,8 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_langid": langid.op10_langid,
     "op11_divergence": divergence.op11_divergence,
+    "op12_packing": packing.op12_packing,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_token_counts": bpe_sql.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }

@@ -235,6 +235,27 @@ def test_long_runs_take_linear_time(text):
     assert time.process_time() - began < 8
 
 
+@pytest.mark.parametrize("unit", ["one, ", "one dot ", "[at] one "])
+def test_twice_the_length_takes_twice_the_time(unit):
+    import time
+
+    def took(n):
+        best = float("inf")
+        for _ in range(3):
+            began = time.process_time()
+            pii.detect("(dot) " + unit * n)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(60_000) < 3 * took(30_000)
+
+
+def test_bounds_of_disguises():
+    address = " dot ".join("abcdefghij") + " at example dot com"
+    assert [address[a:b] for a, _, b, _ in pii.detect(address)] == [address[address.index("d dot e") :]]
+    assert pii.detect("192     dot 168 dot 1 dot 10") == []
+
+
 def test_pii_query_equals_the_patterns(spark, tricky):
     rows = [(i, "".join(random.Random(i).choices("ab@@..-+ 0123455()%\né", k=300)), "en", "s") for i in range(60)]
     rows += [(900, "mail x@y.org at 10.0.0.1 card 4111 1111 1111 1111 tel +1 555 123 4567", "en", "s"), (901, "bob (at) site (dot) org and x@y.org", "en", "s"), (902, "🎉 10.0.0.1", "en", "s")]
