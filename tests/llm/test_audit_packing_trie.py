@@ -189,7 +189,7 @@ def test_combinations_depend_on_lengths_not_on_documents():
     many = {x: n * 10**9 + rng.randint(0, 9) for x, n in few.items()}
     found = packing.combinations(many)
     assert len(found) < 20_000
-    assert sum(t for _, t in found) <= -(-sum(x * n for x, n in many.items()) // 2048) * 1.001 + 1
+    assert sum(t for _, t in found) <= -(-sum(x * n for x, n in many.items()) // 2048) * 1.005 + 1
 
 
 def test_ranks_fill_every_place_once():
