@@ -1,7 +1,7 @@
 """Registered queries over files: scans, decoders, JSON reads and sinks, each with its SQL.
 
-``nation`` has 25 rows at every scale; each query writes one small file for each of
-them to the shared folder, with names and contents that the SQL can work out.
+Each query writes a small file for every supplier to the shared folder, in tasks, with
+names and contents that the SQL can work out, so its work grows with the table.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..sources import json_files, rasters, scan, sinks, staging
-from ..sources.tables import table
+from ..sources.files import write_files
+from ..sources.tables import embedding_maps, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,8 +32,22 @@ def query(sql: str):
     return register
 
 
-def nations(spark: SparkSession, sf_dir: str) -> list:
-    return sorted(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect())  # 25 rows at every scale
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).cast("int").alias("region"))
+
+
+def made_files(spark: SparkSession, sf_dir: str, make, name) -> str:
+    """A folder with a file for every supplier, written in tasks: ``make`` and ``name`` (or a pattern) take key, name and region."""
+    named = name if callable(name) else lambda k, n, r: name.format(k=k, name=n.replace("#", "_"), region=r)
+
+    @F.pandas_udf("path string, content binary")
+    def file(k: pd.Series, n: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = list(zip(k.tolist(), n, r.tolist(), strict=True))
+        return pd.DataFrame({"path": [named(*x) for x in rows], "content": [make(*x) for x in rows]})
+
+    root = staging.new_folder(spark)
+    write_files(suppliers(spark, sf_dir).select(file("k", "name", "region").alias("f")).select("f.*"), root)
+    return root
 
 
 # names
@@ -39,19 +55,20 @@ def nations(spark: SparkSession, sf_dir: str) -> list:
 EXTENSION = {4: ".PNG", 5: ".jpg", 6: ".txt"}
 NAMES = """
 n AS (
-  SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 <> 0 THEN 'r' || n_regionkey || '/s' || n_nationkey % 3 || '/' ELSE '' END AS folder,
-         CASE n_nationkey % 4 WHEN 1 THEN 'Image_' ELSE '' END || replace(n_name, ' ', '_') || CASE n_nationkey % 4 WHEN 0 THEN '_im' WHEN 2 THEN '_depth' ELSE '' END AS stem,
-         CASE n_nationkey % 7 WHEN 4 THEN '.PNG' WHEN 5 THEN '.jpg' WHEN 6 THEN '.txt' ELSE '.png' END AS ext FROM nation
+  SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 <> 0 THEN 'r' || (s_nationkey % 5) || '/s' || s_suppkey % 3 || '/' ELSE '' END AS folder,
+         CASE s_suppkey % 4 WHEN 1 THEN 'Image_' ELSE '' END || replace(s_name, '#', '_') || CASE s_suppkey % 4 WHEN 0 THEN '_im' WHEN 2 THEN '_depth' ELSE '' END AS stem,
+         CASE s_suppkey % 7 WHEN 4 THEN '.PNG' WHEN 5 THEN '.jpg' WHEN 6 THEN '.txt' ELSE '.png' END AS ext FROM supplier
 ), f AS (SELECT k, folder, stem, lower(stem || ext) AS low, folder || stem || ext AS path FROM n WHERE ext <> '.txt')"""
 
 
+def file_name(k: int, name: str, region: int) -> str:
+    folder = f"r{region}/s{k % 3}/" if k % 5 else ""
+    stem = ("Image_" if k % 4 == 1 else "") + name.replace("#", "_") + {0: "_im", 2: "_depth"}.get(k % 4, "")
+    return f"{folder}{stem}{EXTENSION.get(k % 7, '.png')}"
+
+
 def named_files(spark, sf_dir) -> DataFrame:
-    files = {}
-    for k, name, region in nations(spark, sf_dir):
-        folder = f"r{region}/s{k % 3}/" if k % 5 else ""
-        stem = ("Image_" if k % 4 == 1 else "") + name.replace(" ", "_") + {0: "_im", 2: "_depth"}.get(k % 4, "")
-        files[f"{folder}{stem}{EXTENSION.get(k % 7, '.png')}"] = b"x" * (k + 1)
-    return scan.files(spark, staging.put_files(spark, files))
+    return scan.files(spark, made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1), file_name))
 
 
 @query(f"WITH {NAMES} SELECT path, (k + 1)::BIGINT AS length FROM f")
@@ -97,18 +114,17 @@ def scan_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NAMES} SELECT path, repeat('x', k + 1) AS text FROM f WHERE ends_with(path, '.jpg')")
 def scan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of the matched files alone."""
-    rows = named_files(spark, sf_dir)
-    root = rows.first()["location"].rsplit("/files/", 1)
-    chosen = rows.filter(F.col("path").endswith(".jpg"))
-    return scan.contents(spark, chosen, f"{root[0]}/files/{root[1].split('/')[0]}").select("path", F.col("content").cast("string").alias("text"))
+    root = made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1), file_name)
+    chosen = scan.files(spark, root).filter(F.col("path").endswith(".jpg"))
+    return scan.contents(spark, chosen, root).select("path", F.col("content").cast("string").alias("text"))
 
 
 # rasters: 4 x 6 images of (31 k + 17 y + 7 x + 3 c) mod 256
 
 H, W = 4, 6
-PIXELS = f"p AS (SELECT n_nationkey AS k, y, x, c, (31 * n_nationkey + 17 * y + 7 * x + 3 * c) % 256 AS v FROM nation, range({H}) a(y), range({W}) b(x), range(3) d(c))"
+PIXELS = f"p AS (SELECT s_suppkey AS k, y, x, c, (31 * s_suppkey + 17 * y + 7 * x + 3 * c) % 256 AS v FROM supplier, range({H}) a(y), range({W}) b(x), range(3) d(c))"
 GRAY = f"g AS (SELECT k, y, x, floor((299 * max(v) FILTER (WHERE c = 0) + 587 * max(v) FILTER (WHERE c = 1) + 114 * max(v) FILTER (WHERE c = 2) + 500) / 1000) AS v FROM p GROUP BY k, y, x)"
-GT = f"z AS (SELECT n_nationkey AS k, y, x, (n_nationkey + 1) * 0.5 + y + x * 0.25 AS v FROM nation, range({H}) a(y), range({W}) b(x))"
+GT = f"z AS (SELECT s_suppkey AS k, y, x, (s_suppkey % 25 + 1) * 0.5 + y + x * 0.25 AS v FROM supplier, range({H}) a(y), range({W}) b(x))"
 
 
 def image(k: int, channels: int = 3) -> np.ndarray:
@@ -118,7 +134,7 @@ def image(k: int, channels: int = 3) -> np.ndarray:
 
 def depths(k: int) -> np.ndarray:
     y, x = np.mgrid[0:H, 0:W]
-    return (k + 1) * 0.5 + y + x * 0.25
+    return (k % 25 + 1) * 0.5 + y + x * 0.25
 
 
 def bitmap(pixels: np.ndarray) -> bytes:
@@ -127,7 +143,7 @@ def bitmap(pixels: np.ndarray) -> bytes:
 
 
 def raster_files(spark, sf_dir, make, extension: str) -> DataFrame:
-    root = staging.put_files(spark, {f"{k}.{extension}": make(k) for k, _, _ in nations(spark, sf_dir)})
+    root = made_files(spark, sf_dir, lambda k, n, r: make(k), f"{{k}}.{extension}")
     rows = scan.files(spark, root, extensions=(extension,))
     return scan.contents(spark, rows, root).select(F.regexp_extract("path", r"^(\d+)", 1).cast("int").alias("k"), "content")
 
@@ -173,7 +189,7 @@ def npy(k: int) -> bytes:
     return out.getvalue()
 
 
-@query(f"WITH {GT} SELECT k, y, x, round(v, 6)::DOUBLE AS v, NULL AS error FROM z WHERE k % 2 = 1 OR k % 3 <> 0 UNION ALL SELECT n_nationkey, NULL, NULL, NULL, 'ValueError: expected a 2-D array, found shape (4, 6, 2)' FROM nation WHERE n_nationkey % 6 = 0")
+@query(f"WITH {GT} SELECT k, y, x, round(v, 6)::DOUBLE AS v, NULL AS error FROM z WHERE k % 2 = 1 OR k % 3 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'ValueError: expected a 2-D array, found shape (4, 6, 2)' FROM supplier WHERE s_suppkey % 6 = 0")
 def read_npy_squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of one channel, and those that aren't, with the error in place of values."""
     rows = decoded_files(spark, sf_dir, npy, "npy", "npy")
@@ -185,7 +201,7 @@ def dat(k: int) -> bytes:
     return struct.pack("<II", H, W + (k % 5 == 0)) + (depths(k) * (1000 if k % 2 else 1)).astype("<f4").tobytes()
 
 
-@query(f"WITH {GT} SELECT k, y, x, v::DOUBLE AS v, NULL AS error FROM z WHERE k % 5 <> 0 UNION ALL SELECT n_nationkey, NULL, NULL, NULL, 'ValueError: header says 4 x 7, the file has 24 values' FROM nation WHERE n_nationkey % 5 = 0")
+@query(f"WITH {GT} SELECT k, y, x, v::DOUBLE AS v, NULL AS error FROM z WHERE k % 5 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'ValueError: header says 4 x 7, the file has 24 values' FROM supplier WHERE s_suppkey % 5 = 0")
 def read_dat_in_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw depths with a header; millimetres are recognised, a wrong size is an error of that file alone."""
     rows = decoded_files(spark, sf_dir, dat, "dat", "dat")
@@ -194,7 +210,7 @@ def read_dat_in_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(rows.filter("r.error is not null").select("k", F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("double").alias("v"), "r.error"))
 
 
-@query("SELECT n_nationkey AS k, 'ValueError: EXR files need the OpenEXR library' AS error FROM nation")
+@query("SELECT s_suppkey AS k, 'ValueError: EXR files need the OpenEXR library' AS error FROM supplier")
 def read_exr_without_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded_files(spark, sf_dir, lambda k: b"v/1\x01", "exr", "exr").select("k", "r.error")
 
@@ -206,11 +222,14 @@ def mask_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", count(rasters.masked(F.col("r.data"))).alias("loose"), count(rasters.masked(F.col("r.data"), 128 / 255, strict=True)).alias("strict"))
 
 
-def _axis(size: int, target: int, name: str) -> str:
-    """SQL of the bilinear weights of an axis that shrinks."""
+def _axis(size: int, target: int, name: str, lobes: int = 0) -> str:
+    """SQL of the weights of an axis that shrinks: bilinear, or Lanczos of so many lobes."""
     scale = size / target
-    return f"""{name}0 AS (SELECT i, j, greatest(0, 1 - abs(j + 0.5 - (i + 0.5) * {scale}) / {scale}) AS w FROM range({target}) a(i), range({size}) b(j)
-), {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}0 WHERE w > 0)"""
+    x = f"((j + 0.5 - (i + 0.5) * {scale}) / {scale})"
+    sinc = lambda z: f"(CASE WHEN {z} = 0 THEN 1 ELSE sin(pi() * {z}) / (pi() * {z}) END)"
+    weight = f"CASE WHEN abs({x}) < {lobes} THEN {sinc(x)} * {sinc(f'({x} / {lobes})')} ELSE 0 END" if lobes else f"greatest(0, 1 - abs({x}))"
+    return f"""{name}0 AS (SELECT i, j, {weight} AS w FROM range({target}) a(i), range({size}) b(j)
+), {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}0 WHERE w <> 0)"""
 
 
 @query(f"WITH {PIXELS}, {_axis(H, 2, 'wy')}, {_axis(W, 3, 'wx')} SELECT k, wy.i AS y, wx.i AS x, c, round(sum(v / 255 * wy.w * wx.w), 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
@@ -253,13 +272,15 @@ def gray_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(gray.select("k", rasters.decoded(F.col("content"), "gray").alias("r")))
 
 
-@query("SELECT n_nationkey AS k, 2 AS height, 3 AS width, 'data:image/png;base64,iVBORw0KGgo' AS head FROM nation")
+@query(f"WITH {PIXELS}, {_axis(H, 2, 'wy', 3)}, {_axis(W, 3, 'wx', 3)} SELECT k, wy.i AS y, wx.i AS x, c, round(round(least(1, greatest(0, sum(v / 255 * wy.w * wx.w))) * 255) / 255, 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
 def data_uri_downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of at most three pixels a side as data URIs."""
+    """Images of at most three pixels a side as data URIs, and the pixels that these decode to."""
     from ..functions.texts import data_uri
 
     rows = decoded_files(spark, sf_dir, png, "png", "rgb").select("k", rasters.limited(F.col("r"), 3).alias("r"))
-    return rows.select("k", "r.height", "r.width", F.substring(data_uri(F.lit("image/png"), rasters.png(F.col("r"))), 1, 33).alias("head"))
+    uris = rows.select("k", data_uri(F.lit("image/png"), rasters.png(F.col("r"))).alias("uri"))
+    content = F.unbase64(F.regexp_extract("uri", r"^data:image/png;base64,(.*)$", 1))
+    return pixel_rows(uris.select("k", rasters.decoded(content, "rgb").alias("r")))
 
 
 @query(f"WITH {GT}, s AS (SELECT *, min(v) OVER (PARTITION BY k) AS lo, max(v) OVER (PARTITION BY k) AS hi FROM z) SELECT k, y, x, c, round((v - lo) / (hi - lo), 6)::DOUBLE AS v FROM s, range(3) t(c)")
@@ -272,14 +293,14 @@ def pseudo_rgb_of_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark, sf_dir, make, name: str = "{k}.json") -> str:
-    return staging.put_files(spark, {name.format(k=k, name=n.replace(" ", "_"), region=r): make(k, n, r).encode() for k, n, r in nations(spark, sf_dir)})
+    return made_files(spark, sf_dir, lambda k, n, r: make(k, n, r).encode(), name)
 
 
 def key_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.regexp_extract("path", r"/(\d+)\.[a-z]+$", 1).cast("int"))
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 0 END AS n_items FROM nation")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS name, CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 0 END AS n_items FROM supplier")
 def read_json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects and lists, with nulls and empty lists for what is broken or of another shape."""
     root = text_files(spark, sf_dir, lambda k, n, r: ["{broken", json.dumps({"name": n, "items": ["a", "b"]}), json.dumps({"name": n, "items": "x"})][k % 3])
@@ -287,24 +308,24 @@ def read_json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "o.name", F.size(json_files.parsed_list(F.get_json_object("text", "$.items"), "string")).alias("n_items"))
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS text FROM nation")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS text FROM supplier")
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts trimmed; blank ones are empty."""
     return key_of(json_files.texts(spark, text_files(spark, sf_dir, lambda k, n, r: "  \n" if k % 4 == 0 else f"  {n} ", "{k}.txt"))).select("k", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text"))
 
 
 def record(k: int, name: str, region: int) -> str:
-    out = {"sample_id": f"sample_{k:04d}", "image_path": f"{name}.png", "physical_properties": {"albedo": name, "roughness": k / 8, "metallic": region / 4}}
+    out = {"sample_id": f"sample_{k:08d}", "image_path": f"{name}.png", "physical_properties": {"albedo": name, "roughness": k / 8, "metallic": region / 4}}
     return json.dumps(out | ({"metadata": {"source": "synthetic"}} if k % 2 else {}))
 
 
-@query("SELECT 'sample_' || lpad(n_nationkey::VARCHAR, 4, '0') AS sample_id, n_name || '.png' AS image_path, n_nationkey / 8 AS roughness, n_regionkey / 4 AS metallic, n_nationkey % 2 AS n_metadata FROM nation")
+@query("SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS sample_id, s_name || '.png' AS image_path, s_suppkey / 8 AS roughness, (s_nationkey % 5) / 4 AS metallic, s_suppkey % 2 AS n_metadata FROM supplier")
 def load_annotation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = json_files.records(json_files.texts(spark, text_files(spark, sf_dir, record)))
     return rows.select("sample_id", "image_path", "physical_properties.roughness", "physical_properties.metallic", F.size("metadata").alias("n_metadata"))
 
 
-@query("SELECT 'sample_' || lpad(n_nationkey::VARCHAR, 4, '0') AS id, n_name || '.png' AS image, n_name AS albedo, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 2 ELSE 0 END AS mae, 0.0::DOUBLE AS rmse FROM nation")
+@query("SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS id, s_name || '.png' AS image, s_name AS albedo, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey / 2 ELSE 0 END AS mae, 0.0::DOUBLE AS rmse FROM supplier")
 def baseline_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and metrics under the names that comparisons use; metrics that lack are 0."""
     from ..operators import records
@@ -315,7 +336,7 @@ def baseline_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.baseline_records(rows).select("id", "image", "targets.albedo", *[c.alias(m) for m, c in records.baseline_metrics(text).items()])
 
 
-@query("SELECT 'g' || n_regionkey AS exp_group, n_name AS run_name, n_nationkey / 4 AS mae, row_number() OVER (ORDER BY 'g' || n_regionkey, n_name) - 1 AS place FROM nation")
+@query("SELECT 'g' || (s_nationkey % 5) AS exp_group, s_name AS run_name, s_suppkey / 4 AS mae, row_number() OVER (ORDER BY 'g' || (s_nationkey % 5), s_name) - 1 AS place FROM supplier")
 def collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metrics.json below a folder, in the order of group and run."""
     from ..operators.manifest import ranks
@@ -324,14 +345,14 @@ def collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks(json_files.metrics(spark, root), "exp_group", "run_name").select("exp_group", "run_name", "mae", F.col("position").alias("place"))
 
 
-@query("SELECT 'r' || n_regionkey AS relative_image_path, max_by('p' || n_nationkey, lpad(n_nationkey::VARCHAR, 2, '0')) AS prompt FROM nation GROUP BY n_regionkey")
+@query("SELECT 'r' || (s_nationkey % 5) AS relative_image_path, max_by('p' || s_suppkey, lpad(s_suppkey::VARCHAR, 8, '0')) AS prompt FROM supplier GROUP BY (s_nationkey % 5)")
 def manifest_prompt_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts by image from many manifests; of equal images the last counts."""
-    root = text_files(spark, sf_dir, lambda k, n, r: json.dumps([{"relative_image_path": f"r{r}", "prompt": "early"}, {"relative_image_path": f"r{r}", "prompt": f"p{k}"}, {"prompt": "no path"}]), "{k:02d}.json")
+    root = text_files(spark, sf_dir, lambda k, n, r: json.dumps([{"relative_image_path": f"r{r}", "prompt": "early"}, {"relative_image_path": f"r{r}", "prompt": f"p{k}"}, {"prompt": "no path"}]), "{k:08d}.json")
     return json_files.manifest_entries(json_files.texts(spark, root)).select("relative_image_path", F.get_json_object("entry", "$.prompt").alias("prompt"))
 
 
-@query("SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'seed' ELSE 'eval,output_dir' END AS missing FROM nation")
+@query("SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'seed' ELSE 'eval,output_dir' END AS missing FROM supplier")
 def config_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that configurations lack; those that lack none pass the check that raises."""
     full = {"dataset": {}, "model": {}, "train": {}, "eval": {}, "output_dir": "o", "seed": 1}
@@ -341,55 +362,60 @@ def config_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.unionByName(rows.filter("k % 3 <> 0").select("k", F.array_join(json_files.missing_config_keys(F.col("text")), ",").alias("missing")))
 
 
-@query("SELECT s.split, 'n' || n_nationkey AS sample_id FROM nation, (VALUES ('train'), ('val'), ('test')) s(split) WHERE (s.split = 'train' AND n_nationkey < 20) OR (s.split = 'val' AND n_nationkey >= 15) OR (s.split = 'test' AND n_nationkey % 5 = 0)")
+@query("SELECT s.split, 's' || s_suppkey AS sample_id FROM supplier, (VALUES ('train'), ('val'), ('test')) s(split) WHERE (s.split = 'train' AND s_suppkey % 25 < 20) OR (s.split = 'val' AND s_suppkey % 25 >= 15) OR (s.split = 'test' AND s_suppkey % 5 = 0)")
 def read_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memberships of a split file; splits overlap."""
-    text = json.dumps({"train": [f"n{k}" for k in range(20)], "val": [f"n{k}" for k in range(15, 25)], "test": [f"n{k}" for k in range(0, 25, 5)]})
-    return json_files.split_members(json_files.texts(spark, staging.put_files(spark, {"split.json": text.encode()})))
+    """Memberships of split files, one for each nation; splits overlap."""
+    k = F.col("s_suppkey")
+    names = lambda chosen: F.array_compact(F.collect_list(F.when(chosen, F.concat(F.lit("s"), k.cast("string")))))
+    text = F.to_json(F.struct(names(k % 25 < 20).alias("train"), names(k % 25 >= 15).alias("val"), names(k % 5 == 0).alias("test")))
+    listed = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(text.alias("content"))
+    root = staging.new_folder(spark)
+    write_files(listed.select(F.format_string("%d/split.json", "s_nationkey").alias("path"), "content"), root)
+    return json_files.split_members(json_files.texts(spark, root))
 
 
 # sinks: what was written is read again
 
 
 def out_folder(spark) -> str:
-    return staging.put_files(spark, {"_of": b""}) + "/out"
+    return staging.new_folder(spark) + "/out"
 
 
 def metric_rows(spark, sf_dir) -> DataFrame:
-    v = F.col("n_nationkey") / 8
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("k"), "n_name", F.when(F.col("n_nationkey") % 4 == 0, float("inf")).otherwise(v).alias("psnr"), F.when(F.col("n_nationkey") % 2 == 0, "mainaxis").when(F.col("n_nationkey") % 3 == 0, "unknown").otherwise("stresstest").alias("split")
+    v = F.col("s_suppkey") / 8
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), "s_name", F.when(F.col("s_suppkey") % 4 == 0, float("inf")).otherwise(v).alias("psnr"), F.when(F.col("s_suppkey") % 2 == 0, "mainaxis").when(F.col("s_suppkey") % 3 == 0, "unknown").otherwise("stresstest").alias("split")
     )
 
 
-@query("SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey / 8 END AS psnr FROM nation")
+@query("SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey / 8 END AS psnr FROM supplier")
 def sink_rows_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
     sinks.write_rows(sinks.sanitised(metric_rows(spark, sf_dir)), path)
-    return spark.read.csv(path, header=True, schema="k int, n_name string, psnr double, split string").drop("split")
+    return spark.read.csv(path, header=True, schema="k int, s_name string, psnr double, split string").drop("split")
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey / 8 END AS psnr, 3 AS n_fields FROM nation")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey / 8 END AS psnr, 3 AS n_fields FROM supplier")
 def sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls in place of non-finite numbers, at any depth, and all fields present."""
     path = out_folder(spark)
-    sinks.write_summary(metric_rows(spark, sf_dir).select("k", "n_name", F.struct(F.array("psnr").alias("values")).alias("inner")), path)
+    sinks.write_summary(metric_rows(spark, sf_dir).select("k", "s_name", F.struct(F.array("psnr").alias("values")).alias("inner")), path)
     rows = spark.read.text(path)
     return rows.select(F.get_json_object("value", "$.k").cast("int").alias("k"), F.get_json_object("value", "$.inner.values[0]").try_cast("double").alias("psnr"), F.size(F.json_object_keys("value")).alias("n_fields"))
 
 
-@query("SELECT n_regionkey AS region, count(*) AS n, max(n_nationkey) AS top FROM nation GROUP BY n_regionkey")
+@query("SELECT (s_nationkey % 5) AS region, count(*) AS n, max(s_suppkey) AS top FROM supplier GROUP BY (s_nationkey % 5)")
 def sink_group_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
-    sinks.write_rows(table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.max("n_nationkey").alias("top")), path)
+    sinks.write_rows(table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).alias("region")).agg(F.count("*").alias("n"), F.max("s_suppkey").alias("top")), path)
     return spark.read.csv(path, header=True, schema="region int, n long, top int")
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'mainaxis' ELSE 'stresstest' END AS split FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 <> 0")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'mainaxis' ELSE 'stresstest' END AS split FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0")
 def sink_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
     sinks.write_by_split(metric_rows(spark, sf_dir), path)
-    return spark.read.schema("k int, n_name string, psnr double, split string").csv(path, header=True).select("k", "split")
+    return spark.read.schema("k int, s_name string, psnr double, split string").csv(path, header=True).select("k", "split")
 
 
 @query("SELECT r_name, count(*) AS n FROM (SELECT r_name FROM region UNION ALL SELECT r_name FROM region WHERE r_regionkey > 1) GROUP BY r_name")
@@ -401,36 +427,82 @@ def sink_append_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("r_name string").json(path).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM nation")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM supplier")
 def sink_manifest_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot in which later entries took the place of earlier ones."""
     path = out_folder(spark)
-    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.lit("old").alias("state"), F.lit(1).alias("seq"))
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("old").alias("state"), F.lit(1).alias("seq"))
     sinks.rewrite_manifest(None, old, f"{path}/1", ["k"], "seq")
     first = spark.read.parquet(f"{path}/1")
     sinks.rewrite_manifest(first, old.filter("k % 3 = 0").withColumns({"state": F.lit("new"), "seq": F.lit(2)}), f"{path}/2", ["k"], "seq")
     return spark.read.parquet(f"{path}/2").select("k", "state")
 
 
-@query("SELECT 0.25::DOUBLE AS mae, 0.5::DOUBLE AS rmse, 'run' AS run_name")
+@query("SELECT avg(s_suppkey % 8) / 8 AS mae, max(s_suppkey % 8) / 4 AS rmse, 'run' AS run_name FROM supplier")
 def sink_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's metrics as JSON and as a summary of one row."""
+    """A run's metrics over all suppliers as JSON and as a summary of one row."""
     path = out_folder(spark)
-    sinks.write_metrics(spark.createDataFrame([("run", 0.25, 0.5)], "run_name string, mae double, rmse double"), path)
+    v = F.col("s_suppkey") % 8
+    sinks.write_metrics(table(spark, sf_dir, "supplier").agg(F.lit("run").alias("run_name"), (F.avg(v) / 8).alias("mae"), (F.max(v) / 4).alias("rmse")), path)
     as_json = spark.read.schema("run_name string, mae double, rmse double").json(f"{path}/metrics")
     return as_json.join(spark.read.csv(f"{path}/summary", header=True, schema="run_name string, mae double, rmse double"), ["run_name", "mae", "rmse"]).select("mae", "rmse", "run_name")
 
 
-@query("SELECT 25 AS n_records, min(n_name) AS first_path, max(n_name) AS last_path FROM nation")
+@query("SELECT count(*)::INTEGER AS n_records, min(s_name) AS first_path, max(s_name) AS last_path FROM supplier")
 def sink_manifest_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id"), F.col("n_name").alias("image_path"), F.struct("n_regionkey").alias("physical_properties"), "n_nationkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("sample_id"), F.col("s_name").alias("image_path"), F.struct("s_nationkey").alias("physical_properties"), "s_suppkey")
     listed = sinks.manifest_projection(rows).select("records")
     return listed.select(F.size("records").alias("n_records"), F.array_min("records.image_path").alias("first_path"), F.array_max("records.image_path").alias("last_path"))
 
 
-@query("SELECT n_nationkey AS scene, n_name AS images, 'failed' AS error FROM nation WHERE n_nationkey % 3 = 0")
+@query("SELECT s_suppkey AS scene, s_name AS images, 'failed' AS error FROM supplier WHERE s_suppkey % 3 = 0")
 def sink_failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scene"), F.col("n_name").alias("images"), F.when(F.col("n_nationkey") % 3 == 0, "failed").alias("error"), F.lit(1).alias("more"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scene"), F.col("s_name").alias("images"), F.when(F.col("s_suppkey") % 3 == 0, "failed").alias("error"), F.lit(1).alias("more"))
     sinks.append_lines(sinks.failure_rows(rows), path)
     return spark.read.schema("scene int, images string, error string").json(path)
+
+
+# images written in tasks: the maps of ``embeddings`` as 8 x 8 gray images
+
+_STORED = "u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE + 0.5 AS v FROM embeddings)"
+_BYTES = "round(least(1, greatest(0, v)) * 255)::BIGINT"
+
+
+def gray_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` (a folder for each label) and the vector as a gray raster around 0.5."""
+    data = F.transform("embedding", lambda v: v.cast("double") + 0.5)
+    size = lambda n, name: F.lit(n).alias(name)
+    raster = F.struct(size(8, "height"), size(8, "width"), size(1, "channels"), data.alias("data"), F.lit(None).cast("string").alias("error"))
+    path = F.format_string("label_%d/%08d.png", "label", "vec_id")
+    return table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", path.alias("path"), raster.alias("raster"))
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """``vec_id`` and the decoded bytes of every image below a folder: their number, sum and sum weighted by place."""
+    found = scan.contents(spark, scan.files(spark, root), root)
+    rows = found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), rasters.decoded(F.col("content"), "gray").alias("r"))
+    values = rows.select("vec_id", F.posexplode("r.data").alias("i", "v")).withColumn("v", F.round(F.col("v") * 255).cast("long"))
+    return values.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("i") + 1)).alias("weighted"))
+
+
+@query(f"WITH {_STORED} SELECT vec_id, count(*) AS n, sum({_BYTES})::BIGINT AS total, sum({_BYTES} * (i + 1))::BIGINT AS weighted FROM u GROUP BY vec_id")
+def sink_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps encoded and written by tasks, in a run that goes on where an earlier one ended, then scanned and decoded again."""
+    root = out_folder(spark)
+    maps = gray_maps(spark, sf_dir)
+    first = sinks.write_images(maps.filter("vec_id % 3 = 0"), root)
+    rest = sinks.write_images(maps, root, overwrite=False)
+    if rest["kept"] != first["files"]:
+        raise RuntimeError(f"{rest['kept']} of {first['files']} files were kept")
+    return read_images(spark, root)
+
+
+@query(f"""WITH {_STORED}, {_axis(8, 4, 'wy')}, {_axis(8, 4, 'wx')}, small AS (
+  SELECT vec_id, wy.i * 4 + wx.i AS i, sum(v * wy.w * wx.w) AS v FROM u JOIN wy ON wy.j = u.i // 8 JOIN wx ON wx.j = u.i % 8 GROUP BY vec_id, wy.i, wx.i
+) SELECT vec_id, count(*) AS n, sum({_BYTES})::BIGINT AS total, sum({_BYTES} * (i + 1))::BIGINT AS weighted FROM small GROUP BY vec_id""")
+def sink_resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions dumped at half their size."""
+    root = out_folder(spark)
+    sinks.write_images(gray_maps(spark, sf_dir), root, size=(4, 4))
+    return read_images(spark, root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators.matching import preferred_class
+from .files import reachable, read_files
 
 # fixed values: extensions of images
 EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
@@ -64,15 +65,12 @@ def completed(rows: DataFrame) -> DataFrame:
     return rows.filter("length > 0")
 
 
-#: Locations that the driver hands to a scan by name.
-MOST_LISTED = 50_000
-
-
 def contents(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    """Bytes of chosen files.  Up to ``MOST_LISTED`` are read by name, so that no other file is opened; more are joined to a scan of the whole root."""
-    reader = spark.read.format("binaryFile")
-    chosen = [r["location"] for r in rows.select("location").distinct().limit(MOST_LISTED + 1).collect()]
-    if not chosen:
-        return rows.withColumn("content", F.lit(None).cast("binary"))
-    scan = reader.load(chosen) if len(chosen) <= MOST_LISTED else reader.option("recursiveFileLookup", "true").load(root)
+    """Bytes of chosen files, opened in the tasks that the files are dealt to; no other file is opened and no name passes through the driver.
+
+    Of a file system that tasks can't open by themselves, the whole root is scanned by Spark and joined.
+    """
+    if reachable(root):
+        return read_files(rows)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return rows.join(scan.select(F.col("path").alias("location"), "content"), "location")

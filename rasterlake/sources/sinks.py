@@ -1,4 +1,4 @@
-"""Writers of metric rows, summaries, logs and manifests.  All are Spark writers, so a failed task leaves no partial file."""
+"""Writers of metric rows, summaries, logs, manifests and images.  All but the images are Spark writers; none leaves a partial file after a failed task."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import finite
 from ..operators.manifest import upsert
+from .files import write_files
+from .rasters import png, resized
 
 
 def _sane(c: Column, kind: T.DataType) -> Column:
@@ -78,3 +80,18 @@ def write_metrics(df: DataFrame, path: str) -> None:
     """A run's metrics as JSON and as a one-row summary."""
     write_summary(df, f"{path}/metrics")
     write_rows(df, f"{path}/summary")
+
+
+def write_images(df: DataFrame, root: str, raster: str | None = "raster", content: str | None = None, path: str = "path", size: tuple[int, int] | None = None, overwrite: bool = True) -> dict[str, int]:
+    """A PNG file below ``root`` for each row: of a raster struct (resized to (height, width) where a size is given), or of bytes that are an image already.
+
+    Encoded and written in tasks (``files.write_files``); rows without a raster or bytes
+    write none.  Returns the numbers of ``files`` and ``bytes`` written and of files ``kept``.
+    """
+    if content is not None:
+        made = F.col(content)
+    else:
+        image = F.col(raster) if size is None else resized(F.col(raster), *size)
+        made = png(image)
+        df = df.filter(F.col(f"{raster}.data").isNotNull())  # a Python function in a branch would run for all rows
+    return write_files(df.select(path, made.alias("__content")), root, path, "__content", overwrite)

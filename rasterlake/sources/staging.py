@@ -55,16 +55,9 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def put_files(spark: SparkSession, files: dict[str, bytes]) -> str:
-    """A few small files in a new folder of the shared one; the folder."""
-    root = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
-    for name, content in files.items():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
-        out.write(bytearray(content))
-        out.close()
-    return root
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder of its own below the shared one, for files."""
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:

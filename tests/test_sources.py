@@ -1,6 +1,7 @@
 import io
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from rasterlake.sources import json_files, rasters, scan, sinks
 from rasterlake.streaming import manifest_stream
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def filtered_png(image, kind):
     """A PNG whose lines all use one filter."""
@@ -128,3 +131,77 @@ def test_letterbox_and_crop_columns(spark):
     out = boxed.select("b.box", rasters.cropped_back(F.col("b.raster"), F.coalesce("b.box", F.array(*[F.lit(0)] * 4)), (16, 16), 4, 8).alias("r")).collect()
     assert list(out[0]["box"]) == [0, 4, 16, 12] and out[0]["r"]["height"] == 4 and np.allclose(out[0]["r"]["data"], 0.2)
     assert out[1]["r"]["error"]
+
+
+def test_written_files_are_whole_and_written_again(spark, tmp_path):
+    import pyarrow as pa
+
+    from rasterlake.sources import files
+
+    root = str(tmp_path / "out")
+    batch = lambda names, body: pa.RecordBatch.from_pydict({"path": names, "content": [body] * len(names)})
+
+    def broken():
+        yield batch(["a/1.bin", "a/2.bin"], b"old")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        list(files.put_batches(broken(), root, "_attempts/x", True))
+    # the task is run again, and once more beside itself
+    for _ in range(2):
+        list(files.put_batches(iter([batch(["a/1.bin", "a/2.bin"], b"new"), batch(["b/3.bin"], b"new")]), root, "_attempts/x", True))
+    found = {p.relative_to(root).as_posix(): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"a/1.bin": b"new", "a/2.bin": b"new", "b/3.bin": b"new"}
+    rows = spark.createDataFrame([("a/1.bin", b"other"), ("c.bin", b"x"), ("empty.bin", None)], "path string, content binary")
+    assert files.write_files(rows, root, overwrite=False) == {"files": 1, "bytes": 1, "kept": 1}
+    assert (tmp_path / "out/a/1.bin").read_bytes() == b"new" and not (tmp_path / "out/empty.bin").exists()
+    assert [p.name for p in (tmp_path / "out/_attempts").iterdir()] == ["x"]  # a job's own folder goes with it
+    with pytest.raises(Exception, match="not below"):
+        files.write_files(spark.createDataFrame([("../x", b"x")], "path string, content binary"), root)
+    with pytest.raises(ValueError, match="viewfs"):
+        files.write_files(rows, "viewfs://store/out")
+
+
+def test_failed_task_is_run_again(tmp_path):
+    """A session whose tasks may fail once: the first attempt of each task dies after its first files."""
+    import subprocess
+    import sys
+
+    program = f'''
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from rasterlake.sources import files
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+def dies(batches):
+    for i, b in enumerate(batches):
+        if i == 2 and TaskContext.get().attemptNumber() == 0:
+            raise RuntimeError("lost")
+        yield b
+rows = spark.range(100).repartition(3).select(F.format_string("d%d/%d.txt", F.col("id") % 7, "id").alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+done = files.write_files(rows.mapInArrow(dies, rows.schema), {str(tmp_path / "out")!r})
+assert done["files"] == 100, done
+'''
+    subprocess.run([sys.executable, "-c", program], check=True, timeout=300, cwd=ROOT)
+    found = {p.name: p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found == {f"{i}.txt": str(i).encode() for i in range(100)}
+
+
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    from rasterlake.sources import scan
+
+    for i in range(20):
+        (tmp_path / f"{i}.png").write_bytes(bytes([i]))
+    listed = scan.files(spark, f"file://{tmp_path}").cache()
+    assert listed.count() == 20
+    for i in range(20):
+        if i % 5:
+            (tmp_path / f"{i}.png").unlink()  # a read of it would fail
+    chosen = listed.filter(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 5 == 0)
+    got = {r.path: r.content for r in scan.contents(spark, chosen, f"file://{tmp_path}").collect()}
+    assert got == {f"{i}.png": bytes([i]) for i in range(0, 20, 5)}
+    with pytest.raises(Exception, match="No such file|not exist|cannot find"):
+        scan.contents(spark, listed, f"file://{tmp_path}").collect()
+    assert scan.contents(spark, chosen.limit(0), f"file://{tmp_path}").count() == 0
