@@ -10,6 +10,24 @@ import numpy as np
 SSIM_WINDOW, SSIM_K1, SSIM_K2 = 7, 0.01, 0.03
 
 
+def mixed(places: np.ndarray, seed: int) -> np.ndarray:
+    """32 bits for each place of an image: a one-to-one mixing of its bits after adding the seed, so no two places below 2^32 share a value."""
+    x = (places.astype(np.uint64) + np.uint64(seed % (1 << 32))) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x45D9F3B)) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+def bottom_k(places: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The ``k`` places with the smallest seeded hash, ascending: a sample without replacement.
+
+    Samples of parts of an image merge: the sample of the whole is that of the parts' samples.
+    """
+    if len(places) <= k:
+        return places
+    return np.sort(places[np.argpartition(mixed(places, seed), k - 1)[:k]])
+
+
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
     """Exact tau-b in n log n: discordant pairs are inversions, counted by merging."""
     keep = np.isfinite(x) & np.isfinite(y)

@@ -115,10 +115,14 @@ def candidate_paths(path: Column, names: list[str]) -> Column:
     return F.array_distinct(F.concat(F.array(path), after, F.transform(F.sequence(F.lit(1), n), tail)))
 
 
+# fixed values: names for no segmentation suffix
+NO_SUFFIX = ["none", "bare", "no_suffix", "nosuffix"]
+
+
 def normalise_suffix(text: Column) -> Column:
     """Segmentation suffix: trimmed, lower case, names for none as '', a leading underscore."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isNull() | t.isin("", "none", "null", "no", "-"), "").when(t.startswith("_"), t).otherwise(F.concat(F.lit("_"), t))
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(t.isNull() | (t == "") | t.isin(NO_SUFFIX), "").when(t.startswith("_"), t).otherwise(F.concat(F.lit("_"), t))
 
 
 def swap_folder(path: Column, old: str, new: str) -> Column:
@@ -168,4 +172,4 @@ def mask_paths(path: Column) -> Column:
 
 def mime_type(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when(ext == "png", "image/png").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "webp", "image/webp").when(ext == "bmp", "image/bmp").when(ext.isin("tif", "tiff"), "image/tiff").otherwise("application/octet-stream")
+    return F.when(ext == "png", "image/png").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "webp", "image/webp").when(ext == "bmp", "image/bmp").otherwise("application/octet-stream")

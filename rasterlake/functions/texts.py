@@ -101,7 +101,8 @@ def backoff(attempt: Column, base: float = 5.0, cap: float = 60.0) -> Column:
 
 
 def data_uri(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """One line, however long; Spark's own encoding breaks lines at 76 characters where it is set to."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def signature(*columns: Column) -> Column:
@@ -113,8 +114,14 @@ def seed_of(name: Column, base: int) -> Column:
     return F.pmod(F.crc32(name) + base, F.lit(1 << 32))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def without_fence(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    """What stands in the first code fence, wherever that is; the text itself without one."""
+    fence = r"(?is)```(?:json)?\s*(.*?)\s*```"
+    return F.when(text.rlike(fence), _stripped(F.regexp_extract(text, fence, 1))).otherwise(_stripped(text))
 
 
 _PARTS = "array<struct<type:string,text:string,image:string>>"
@@ -144,30 +151,48 @@ def image_url(response: Column) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no image in response: "), F.substring(response, 1, 200))).cast("string"))
 
 
-def _answer(text: str | None) -> tuple[str | None, str | None]:
-    """An answer's JSON object, canonical, or the error."""
-    text = (text or "").strip()
-    if not text:
-        return None, "empty_response"
-    try:
-        whole = json.loads(text)
-        if isinstance(whole, dict):
-            return json.dumps(whole, ensure_ascii=False, sort_keys=True), None
-    except ValueError:
-        pass
-    a, b = text.find("{"), text.rfind("}")
-    if a < 0 or b < a:
-        return None, "json_not_found"
+#: Stands behind a text in a list, where the text is one whole JSON value.
+_END = "__end_of_value__"
+
+
+def _strict(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: Spark's parser stops behind the first value, so it must find the next item of a list there."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.coalesce((F.try_variant_get(listed, "$[1]", "string") == _END) & ~F.contains(text, F.lit(_END)), F.lit(False))
+
+
+def _parsed(text: str) -> tuple[str | None, str | None]:
+    """Canonical JSON of what Spark's parser refused, or Python's message."""
     try:
-        return json.dumps(json.loads(text[a : b + 1]), ensure_ascii=False, sort_keys=True), None
-    except ValueError:
-        return None, "json_parse_error"
+        return json.dumps(json.loads(text), ensure_ascii=False), None
+    except ValueError as e:
+        return None, str(e)
 
 
 @F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())]))
-def extract_json(text: pd.Series) -> pd.DataFrame:
-    """The object in a model's answer: the whole text, or from the first brace to the last, parsed strictly.
+def _reparsed(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if t is None else _parsed(t) for t in text], columns=["json", "error"])
+
+
+def extract_json(text: Column) -> Column:
+    """The object in a model's answer (``json``, as it stands there): the whole text, or from the first brace to the last, parsed strictly; or an ``error``.
 
-    Strict parsing needs Python: Spark's JSON functions accept text after the object.
+    Python sees only what Spark's parser refuses (repeated keys, of which the last counts,
+    non-finite numbers, broken objects), for its message.
     """
-    return pd.DataFrame([_answer(t) for t in text], columns=["json", "error"])
+    whole = _stripped(F.coalesce(text, F.lit("")))
+    cut = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
+    found = F.when(whole.startswith("{") & _strict(whole), whole).when((cut != "") & _strict(cut), cut)
+    again = _reparsed(F.when(found.isNull() & (cut != ""), cut))
+    error = F.when(text.isNull() | (text == ""), "empty_response").when(cut == "", "json_not_found").otherwise(F.concat(F.lit("json_parse_error: "), again["error"]))
+    return F.struct(F.coalesce(found, again["json"]).alias("json"), F.when(found.isNull() & again["json"].isNull(), error).alias("error"))
+
+
+def repaired_json(text: Column) -> Column:
+    """The JSON value in an answer (``json``), out of its fence; where that isn't one, from its first brace to its last; else an ``error``."""
+    inside = without_fence(F.coalesce(text, F.lit("")))
+    cut = F.regexp_extract(inside, r"(?s)\{.*\}", 0)
+    found = F.when((inside != "") & _strict(inside), inside).when((cut != "") & _strict(cut), cut)
+    whole, part = _reparsed(F.when(found.isNull(), inside)), _reparsed(F.when(found.isNull() & (cut != ""), cut))
+    got = F.coalesce(found, whole["json"], part["json"])
+    return F.struct(got.alias("json"), F.when(got.isNull(), F.coalesce(part["error"], whole["error"])).alias("error"))

@@ -38,7 +38,7 @@ def map_stacks(rows: DataFrame, keys: list[str], height: int, width: int, arrays
 
 
 def map_metrics(rows: DataFrame, keys: list[str], arrays: list[str], make: Callable[..., dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
-    """Columns ``out`` (name to type) of ``make``, applied to stacks (n, pixels) of images of one size."""
+    """Columns ``out`` (name to type) of ``make``, applied to the first key's values and stacks (n, pixels) of images of one size."""
     source = rows.select(*keys, *arrays)
     schema = T.StructType([*source.schema.fields[: len(keys)], *T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in out.items())).fields])
 
@@ -48,7 +48,7 @@ def map_metrics(rows: DataFrame, keys: list[str], arrays: list[str], make: Calla
                 step = max(1, STACK // max(1, int(size)))
                 for k in range(0, len(same), step):
                     part = same.iloc[k : k + step]
-                    found = make(*(np.stack(part[a].to_numpy()) for a in arrays))
+                    found = make(part[keys[0]], *(np.stack(part[a].to_numpy()) for a in arrays))
                     yield part[keys].assign(**{c: found[c] for c in out})
 
     return source.mapInPandas(run, schema)
@@ -64,11 +64,11 @@ def depth_metrics(rows: DataFrame, keys: list[str], settings: DepthSettings, ful
     as the settings say, and the boundary F1 of the aligned one.  A map over the rows.
     """
 
-    def make(gt, pred, valid):
+    def make(names, gt, pred, valid):
         found = kernels.depth_metrics(gt, pred, valid, settings.polarity, settings.delta05)
         found["error"] = np.where(found["valid_pixels"] < 2, "fewer than two valid pixels", None)
         if full:
-            found["tau"] = _tau(gt, found["oriented"], found["ok"], np.arange(len(gt)), settings.max_pixels, 0)
+            found["tau"] = _tau(gt, found["oriented"], found["ok"], names, settings.max_pixels, settings.seed)
             shape = (len(gt), settings.height, settings.width)
             found["boundary_f1"] = kernels.boundary_f1(found["aligned"].reshape(shape), np.where(found["ok"], gt, 1.0).reshape(shape), found["ok"].reshape(shape), settings.t_min, settings.t_max, settings.thresholds)
         return found
@@ -80,7 +80,7 @@ def depth_metrics(rows: DataFrame, keys: list[str], settings: DepthSettings, ful
 def spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Spearman's rho of ``gt`` and ``pred`` per image, over finite pixels."""
 
-    def make(gt, pred):
+    def make(_, gt, pred):
         ok = np.isfinite(gt) & np.isfinite(pred)
         return {"n": ok.sum(1), "rho": kernels.spearman(gt, pred, ok)}
 
@@ -90,25 +90,24 @@ def spearman(rows: DataFrame, keys: list[str]) -> DataFrame:
 def angular_metrics(rows: DataFrame, keys: list[str], valid: str | None = None, flip: tuple[bool, bool, bool] = (False, True, True), front_only: bool = False) -> DataFrame:
     """Angular errors of encoded normals ``gt`` and ``pred`` (three values a pixel) per image: mean, exact median, root mean square, sums and five accuracies."""
     out = {"valid_pixels": "long", **dict.fromkeys(("mean_angle", "median_angle", "rms_angle", "sum_angle", "sum_sq", *kernels.ANGLES), "double")}
-    return map_metrics(rows, keys, ["gt", "pred", *([valid] if valid else [])], lambda g, p, v=None: kernels.angular_metrics(g, p, v, flip, front_only), out)
+    return map_metrics(rows, keys, ["gt", "pred", *([valid] if valid else [])], lambda _, g, p, v=None: kernels.angular_metrics(g, p, v, flip, front_only), out)
 
 
 def _tau(gt: np.ndarray, pred: np.ndarray, ok: np.ndarray, names, max_pixels: int, seed: int) -> np.ndarray:
-    """Tau-b of each row over its ``ok`` pixels: filtered first, then sampled where they are more than ``max_pixels``."""
-    if gt.shape[1] <= min(SMALL_IMAGE, max_pixels) and ok.all():
+    """Tau-b of each row over its ``ok`` pixels: filtered first, then sampled where they are more than ``max_pixels`` (0: never)."""
+    if gt.shape[1] <= min(SMALL_IMAGE, max_pixels or SMALL_IMAGE) and ok.all():
         return kernels.kendall_stack(gt, pred)
     out = []
     for g, p, use, name in zip(gt, pred, ok, names, strict=True):
-        g, p = g[use], p[use]
-        if len(g) > max_pixels:
-            at = np.random.default_rng((seed + zlib.crc32(str(name).encode())) & 0xFFFFFFFF).choice(len(g), max_pixels, replace=False)
-            g, p = g[at], p[at]
-        out.append(kernels.kendall_tau_b(g, p))
+        at = np.flatnonzero(use)
+        if 0 < max_pixels < len(at):
+            at = kernels.bottom_k(at, max_pixels, seed + zlib.crc32(str(name).encode()))
+        out.append(kernels.kendall_tau_b(g[at], p[at]))
     return np.array(out, float)
 
 
-def kendall(rows: DataFrame, keys: list[str], max_pixels: int = 20_000, seed: int = 0, valid: str | None = None) -> DataFrame:
-    """Exact tau-b of the finite pixels of ``gt`` and ``pred`` (within ``valid``) per image; over ``max_pixels``, of a sample of that many, seeded by the first key."""
+def kendall(rows: DataFrame, keys: list[str], max_pixels: int = 20_000, seed: int = 12345, valid: str | None = None) -> DataFrame:
+    """Exact tau-b of the finite pixels of ``gt`` and ``pred`` (within ``valid``) per image; over ``max_pixels`` (0: never), of those whose seeded hash is smallest (``kernels.bottom_k``), the seed with the first key's CRC."""
 
     def make(gt, pred, mask=None):
         ok = np.isfinite(gt) & np.isfinite(pred)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import mask_paths, match_key
+
 
 def _chosen(rows: DataFrame, keys: list[str], order: list[Column], largest: bool = False) -> DataFrame:
     """One row of each key: the smallest (or largest) in ``order``, which must tell rows apart."""
@@ -52,21 +54,63 @@ def match_report(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return g.join(p, keys, "full").select(*keys, status.alias("status"))
 
 
+def _index(path: Column) -> Column:
+    """A path without its extension: the key of files that differ in it alone."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+
+
 def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame, path: str = "path", order: tuple[str, ...] = (), never: str | None = None, otherwise: str | None = None) -> DataFrame:
     """For each row the earliest of its candidate paths that exists (and further columns of that file); rows without one are kept with nulls.
 
+    Files are keyed by folder and stem, and so are candidates: a row is sent once for each
+    stem that it tries, with the extensions to try there, not once for each path.  What a
+    stem has is ranked by the candidates' order after the join.
+
     ``order`` may name columns of ``files`` that come before the candidates' own order;
     ``never`` a column of ``rows`` whose path is not to be chosen; ``otherwise`` one whose
     path is taken where no candidate exists.
     """
-    tries = rows.select(key, *([never] if never else []), F.posexplode(candidates).alias("place", path))
-    tries = (tries.filter(~F.col(path).eqNullSafe(F.col(never))) if never else tries).join(files, path)
+    tries = F.array_compact(F.col(candidates))
+    placed = F.transform(tries, lambda c, i: F.struct(_index(c).alias("stem"), c.alias("path"), i.alias("place")))
+    if never:
+        placed = F.filter(placed, lambda c: ~c["path"].eqNullSafe(F.col(never)))
+    stems = F.array_distinct(F.transform(placed, lambda c: c["stem"]))
+    of_stem = F.transform(stems, lambda s: F.struct(s.alias("stem"), F.transform(F.filter(placed, lambda c: c["stem"] == s), lambda c: F.struct(F.substring(c["path"], F.length(s) + 1, F.length(c["path"])).alias("ext"), c["place"].alias("place"))).alias("tries")))
+    sent = rows.select(key, F.explode(of_stem).alias("t")).select(key, F.col("t.stem").alias("__stem"), F.col("t.tries").alias("__tries"))
+    met = sent.join(files.withColumn("__stem", _index(F.col(path))), "__stem")
+    ext = F.substring(F.col(path), F.length("__stem") + 1, F.length(path))
+    place = F.array_min(F.transform(F.filter("__tries", lambda t: t["ext"] == ext), lambda t: t["place"]))
+    met = met.withColumn("place", place).filter("place is not null")
     extra = [c for c in files.columns if c != path]
-    best = tries.groupBy(key).agg(F.min(F.struct(*order, "place", path, *[c for c in extra if c not in order])).alias("best"))
+    best = met.groupBy(key).agg(F.min(F.struct(*order, "place", path, *[c for c in extra if c not in order])).alias("best"))
     chosen = F.coalesce(F.col(f"best.{path}"), F.col(otherwise)) if otherwise else F.col(f"best.{path}")
     return rows.join(best, key, "left").select(*rows.columns, chosen.alias(path), *[F.col(f"best.{c}").alias(c) for c in extra], F.col("best.place").alias("place"))
 
 
+def resolved_masks(rows: DataFrame, key: str, rel: str, pair_key: str, files: DataFrame, by_name: bool = False, own: str | None = None, suffix: str = "") -> DataFrame:
+    """``rows`` with ``mask`` and ``tier``: 0 a mask at the image's own path ``rel``, 1 one of its stem with any known extension, 2 one by the keyed map; null without.
+
+    Never the file ``own`` in the first two tiers.  The map keys masks by their stem without
+    ``suffix`` (of equal keys the last path counts), or with ``by_name`` also by their own
+    path, which then comes first.  One join by stem; the map is joined only to rows that it
+    left without a mask.
+    """
+    paths = files.select(F.col(files.columns[0]).alias("mask"))
+    found = first_existing(rows.withColumn("__tries", mask_paths(F.col(rel))), key, "__tries", paths, path="mask", never=own).drop("__tries")
+    tier = F.when(F.col("place") == 0, 0).when(F.col("place") > 0, 1)
+    found = found.withColumn("tier", tier).drop("place")
+    left = found.filter("mask is null").drop("mask", "tier")
+    keyed = paths.groupBy(match_key(F.col("mask"), suffix).alias("__map")).agg(F.max("mask").alias("__mask"))
+    out = left.join(keyed, left[pair_key] == keyed["__map"], "left")
+    mapped = F.col("__mask")
+    if by_name:
+        named = paths.select(F.col("mask").alias("__named")).distinct()
+        out = out.join(named, out[rel] == named["__named"], "left")
+        mapped = F.coalesce("__named", "__mask")
+    out = out.select(*left.columns, mapped.alias("mask"), F.when(mapped.isNotNull(), 2).alias("tier"))
+    return found.filter("mask is not null").unionByName(out)
+
+
 def two_lookups(preds: DataFrame, gts: DataFrame, masks: DataFrame, gt_key: str, mask_key: str) -> DataFrame:
     """Predictions with ``status``: ok, missing_gt or missing_mask, by derived keys that must both exist."""
     g = gts.select(F.col(gts.columns[0]).alias(gt_key)).distinct().withColumn("__g", F.lit(True))

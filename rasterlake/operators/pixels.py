@@ -8,11 +8,14 @@ sends one row on.  What ranks or fits an image's pixels sees the image whole
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ANGLES
 from ..functions.numeric import finite, psnr, safe_div
+from .quantiles import quantiles, summarised
 
 
 def explode_maps(maps: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -45,24 +48,26 @@ def masked_errors(pixels: DataFrame, keys: list[str], channels: list[tuple[str,
     return out.withColumns({"mae": safe_div(F.col("sum_abs"), F.col("valid_pixels")), "mse": mse, "rmse": F.sqrt(mse), "psnr": psnr(mse)})
 
 
-def macro(name: str, stats: str = "mean median std") -> list[Column]:
-    """Mean, median and population deviation of a metric over images, of its finite values."""
+def macro(name: str, stats: str = "mean std") -> list[Column]:
+    """Mean and population deviation of a metric over images, of its finite values."""
     v = finite(F.col(name))
-    make = {"mean": F.avg(v), "median": F.median(v), "std": F.stddev_pop(v)}
+    make = {"mean": F.avg(v), "std": F.stddev_pop(v)}
     return [make[s].alias(f"{name}_{s}") for s in stats.split()]
 
 
 def error_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Macro means over images and micro means over pixels (sums over sums); of ``ssim`` and ``lpips``, where rows have them, the macro statistics."""
-    more = [c for m in ("ssim", "lpips") if m in rows.columns for c in macro(m)]
-    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mae"), *macro("rmse"), *macro("psnr", "mean"), *more, F.sum("sum_abs").alias("__abs"), F.sum("sum_sq").alias("__sq"))
+    more = [m for m in ("ssim", "lpips") if m in rows.columns]
+    sums = [F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), F.sum("sum_abs").alias("__abs"), F.sum("sum_sq").alias("__sq")]
+    macros = [*macro("mae"), *macro("rmse"), *macro("psnr", "mean"), *[c for m in more for c in macro(m)]]
+    out = summarised(rows, [by], [*sums, *macros], ["mae", "rmse", *more])
     mse = safe_div(F.col("__sq"), F.col("valid_total"))
     return out.withColumns({"mae_micro": safe_div(F.col("__abs"), F.col("valid_total")), "mse_micro": mse, "psnr_micro": psnr(mse)}).drop("__abs", "__sq")
 
 
 def macro_summary(rows: DataFrame, by: list[str], groups: DataFrame, metrics: tuple[str, ...] = ("mae", "rmse", "psnr", "ssim", "lpips")) -> DataFrame:
     """Mean, median and deviation of each metric for every row of the fixed ``groups``, also the empty ones."""
-    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), *[c for m in metrics for c in macro(m)])
+    out = summarised(rows, [by], [F.count("*").alias("n_images"), *[c for m in metrics for c in macro(m)]], list(metrics))
     return groups.join(out, by, "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)).cast("long"))
 
 
@@ -81,10 +86,16 @@ def depth_summary(rows: DataFrame, *levels: list[str]) -> DataFrame:
 
 
 def unit_scale(values: DataFrame, keys: list[str], value: str = "depth") -> DataFrame:
-    """Millimetres or metres: 0.001 where the 95th percentile of the valid values is over 100."""
+    """Millimetres or metres: 0.001 where the 95th percentile of the valid values is over 100.
+
+    An exact selection over the pixels: no image's values meet in one buffer.
+    """
     v = F.when(finite(F.col(value)) > 0, F.col(value))
-    p95 = F.percentile(v, F.lit(0.95))
-    return values.groupBy(*keys).agg(p95.alias("p95"), F.when(p95 > 100, 0.001).otherwise(1.0).alias("unit_scale"))
+    found = quantiles(values.select(*keys, v.alias("__value")), {"p95": "__value"}, keys, q=0.95).drop("__level")
+    every = values.select(*keys).distinct().alias("k")
+    same = reduce(lambda a, b: a & b, [F.col(f"k.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys])
+    out = every.join(found.alias("p"), same, "left").select("k.*", "p95")
+    return out.withColumn("unit_scale", F.when(F.col("p95") > 100, 0.001).otherwise(1.0))
 
 
 # normals
@@ -95,7 +106,8 @@ def angular_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     shares = list(ANGLES)
     micro = [F.sum(F.col(a) * F.col("valid_pixels")).alias(f"__{a}") for a in shares]
     macros = [c for m in ("median_angle", "rms_angle", *shares) for c in macro(m, "mean")]
-    out = rows.groupBy(*by).agg(F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), *macro("mean_angle"), *macros, F.sum("sum_angle").alias("__s"), F.sum("sum_sq").alias("__q"), *micro)
+    sums = [F.count("*").alias("n_images"), F.sum("valid_pixels").alias("valid_total"), F.sum("sum_angle").alias("__s"), F.sum("sum_sq").alias("__q")]
+    out = summarised(rows, [by], [*sums, *macro("mean_angle"), *macros, *micro], ["mean_angle"])
     n = F.col("valid_total")
     out = out.withColumns({"mean_angle_micro": safe_div(F.col("__s"), n), "rmse_angle_micro": F.sqrt(safe_div(F.col("__q"), n)), **{f"{a}_micro": safe_div(F.col(f"__{a}"), n) for a in shares}})
     return out.drop("__s", "__q", *[f"__{a}" for a in shares])
@@ -133,11 +145,10 @@ def metallic_summary(rows: DataFrame, groups: DataFrame | None, *levels: list[st
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
     present = [m for m in ("ssim", "lpips") if m in rows.columns]
-    out = rows.groupingSets([list(level) for level in levels], *keys).agg(
-        F.count("*").alias("n"), F.sum("valid_pixels").alias("v"), *macro("gt_mean", "mean"), *macro("pred_mean", "mean"), *macro("mae"), *macro("rmse", "mean"), *macro("psnr", "mean"), *[c for m in present for c in macro(m, "mean")],
-        *macro("metal_mae", "mean"), *macro("nonmetal_mae", "mean"), F.count("metal_mae").alias("nm"), F.count("nonmetal_mae").alias("nn"),
-        *[F.sum(c).alias(c) for c in ("metal_abs", "metal_weight", "nonmetal_abs", "nonmetal_weight", "over_sum", "under_sum")],
-    )
+    macros = [*macro("mae"), *[c for m in ("gt_mean", "pred_mean", "rmse", "psnr", *present, "metal_mae", "nonmetal_mae") for c in macro(m, "mean")]]
+    counts = [F.count("*").alias("n"), F.sum("valid_pixels").alias("v"), F.count("metal_mae").alias("nm"), F.count("nonmetal_mae").alias("nn")]
+    sums = [F.sum(c).alias(c) for c in ("metal_abs", "metal_weight", "nonmetal_abs", "nonmetal_weight", "over_sum", "under_sum")]
+    out = summarised(rows, [list(level) for level in levels], [*counts, *macros, *sums], ["mae"])
     if groups is not None:
         same = F.lit(True)
         renamed = groups.select(*[F.col(k).alias(f"__k_{k}") for k in keys])

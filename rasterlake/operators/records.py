@@ -14,12 +14,18 @@ AUDIT_FIELDS = [
 
 
 def record_errors(record: Column) -> Column:
-    """Ordered errors of a record (``map<string,string>`` of JSON values by key): required keys, properties, numeric ones.  Booleans pass as numbers."""
-    has = lambda k: F.map_contains_key(record, F.lit(k))
-    number = lambda k: record[k].rlike(r"^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false)$")
-    checks = [F.when(~has(k), f"missing key: {k}") for k in ("sample_id", "image_path", "physical_properties")]
-    checks += [F.when(~has(k), f"missing physical property: {k}") for k in ("albedo", "roughness", "metallic")]
-    checks += [F.when(has(k) & ~F.coalesce(number(k), F.lit(False)), f"{k} must be numeric") for k in ("roughness", "metallic")]
+    """Ordered errors of a record (JSON text): required keys, physical properties within that key, numeric ones.
+
+    Booleans pass as numbers, numbers in quotes don't; properties that aren't an object
+    hold none, and text that isn't JSON lacks every key.
+    """
+    whole = F.try_parse_json(record)
+    value = lambda path: F.try_variant_get(whole, path, "variant")
+    number = lambda path: F.coalesce(F.schema_of_variant(value(path)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), F.lit(False))
+    own = "$.physical_properties"
+    checks = [F.when(value(f"$.{k}").isNull(), f"missing key: {k}") for k in ("sample_id", "image_path", "physical_properties")]
+    checks += [F.when(value(f"{own}.{k}").isNull(), f"missing physical property: {k}") for k in ("albedo", "roughness", "metallic")]
+    checks += [F.when(value(f"{own}.{k}").isNotNull() & ~number(f"{own}.{k}"), f"{k} must be numeric") for k in ("roughness", "metallic")]
     return F.array_compact(F.array(*checks))
 
 

@@ -67,34 +67,45 @@ def pending_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done(False).unionByName(done(True))
 
 
-@query("SELECT 'polarity must be auto, far_white or near_white' AS error UNION ALL SELECT 'a suffix goes with mode stem' UNION ALL SELECT 'thresholds must rise from above 1' UNION ALL SELECT 'backbone must be alex, vgg or squeeze'")
+@query("""
+WITH s AS (SELECT p_partkey, p_size % 9 - 4 AS width, 1 + (p_size % 5) * 0.1::DOUBLE AS t_min, CASE p_size % 7 WHEN 0 THEN 'up' WHEN 1 THEN 'near_white' ELSE 'auto' END AS polarity, CASE WHEN p_size % 11 = 0 THEN 'area' ELSE 'bicubic' END AS resize FROM part)
+SELECT p_partkey, array_to_string(list_filter([
+  CASE WHEN width <= 0 THEN 'width and height must be positive' END, CASE WHEN NOT (t_min > 1 AND t_min < 1.25) THEN 'thresholds must rise from above 1' END,
+  CASE WHEN polarity = 'up' THEN 'polarity must be auto, far_white or near_white' END, CASE WHEN resize = 'area' THEN 'resize must be nearest, bilinear, bicubic or lanczos' END
+], lambda x: x IS NOT NULL), '; ') AS depth, CASE WHEN p_partkey % 3 = 0 THEN 'a suffix goes with mode stem' ELSE '' END AS matching FROM s
+""")
 def settings_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What settings out of range raise."""
-    tried = [lambda: settings.DepthSettings(polarity="up"), lambda: settings.MatchSettings(mode="name", suffix="_im"), lambda: settings.DepthSettings(t_min=2.0), lambda: settings.MatchSettings(backbone="resnet"), lambda: settings.DepthSettings(), lambda: settings.MatchSettings()]
-    said = []
-    for make in tried:
-        try:
-            make()
-        except ValueError as e:
-            said.append((str(e),))
-    return spark.createDataFrame(said, "error string")
+    """What is wrong with the settings of every part, by the rules that the settings themselves are checked by."""
+    k = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", (k % 9 - 4).alias("width"), (1 + (k % 5) * F.lit(0.1)).alias("t_min"), F.when(k % 7 == 0, "up").when(k % 7 == 1, "near_white").otherwise("auto").alias("polarity"),
+        F.when(k % 11 == 0, "area").otherwise("bicubic").alias("resize"), F.when(F.col("p_partkey") % 3 == 0, "name").otherwise("stem").alias("mode"), F.lit("_im").alias("suffix"),
+    )
+    said = lambda kind: F.array_join(settings.errors(kind, rows.columns), "; ")
+    return rows.select("p_partkey", said(settings.DepthSettings).alias("depth"), said(settings.MatchSettings).alias("matching"))
 
 
 # lookups
 
 
-@query("""
-WITH f AS (SELECT doc_id, 'd' || doc_id AS stem, quality FROM labels
-), have AS (SELECT stem || CASE WHEN doc_id % 3 = 0 THEN '.png' WHEN doc_id % 3 = 1 THEN '.jpg' ELSE '.tiff' END AS path FROM f)
-SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM f) OR doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'd' || doc_id || '.png' WHEN doc_id % 3 = 1 THEN 'd' || doc_id || '.jpg' ELSE 'd' || doc_id || '.tiff' END AS path FROM documents
+@query(r"""
+WITH m AS (
+  SELECT CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '.png' WHEN 1 THEN 'd' || doc_id || '.jpg' WHEN 2 THEN 'd' || doc_id || '.tiff' WHEN 3 THEN 'd' || doc_id || '_mask.png' ELSE 'd' || doc_id || '_mask.webp' END AS mask FROM labels
+), r AS (SELECT doc_id, 'd' || doc_id || '.png' AS rel, CASE WHEN doc_id % 10 = 0 THEN 'd' || doc_id || '.png' END AS own FROM documents
+), t AS (
+  SELECT doc_id, mask, 0 AS tier, 0 AS place FROM r JOIN m ON mask = rel WHERE mask IS DISTINCT FROM own
+  UNION ALL SELECT doc_id, mask, 1, list_position(['png', 'jpg', 'jpeg', 'webp', 'bmp', 'tif', 'tiff'], string_split(mask, '.')[-1]) FROM r JOIN m ON regexp_replace(mask, '\.[a-z]+$', '') = 'd' || doc_id WHERE mask IS DISTINCT FROM own
+  UNION ALL SELECT doc_id, mask, 2, 0 FROM r JOIN m ON regexp_replace(regexp_replace(mask, '\.[a-z]+$', ''), '_mask$', '') = 'd' || doc_id
+), b AS (SELECT doc_id, min((tier, place, mask)) AS best FROM t GROUP BY doc_id)
+SELECT doc_id, best[3] AS path, best[1] AS tier FROM r LEFT JOIN b USING (doc_id)
 """)
 def mask_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mask of the image's own name, or of its stem with any extension; never the ground truth itself."""
+    """A mask of the image's own name, or of its stem with any extension, or by its key without a suffix; never the ground truth itself in the first two."""
     name = lambda end: F.concat(F.lit("d"), F.col("doc_id").cast("string"), end)
-    k = F.col("doc_id") % 3
-    rows = docs(spark, sf_dir).select("doc_id", name(F.lit(".png")).alias("rel")).withColumns({"own": F.when(F.col("doc_id") % 6 == 0, F.col("rel")), "candidates": P.mask_paths(F.col("rel"))})
-    files = labels(spark, sf_dir).select(name(F.when(k == 0, ".png").when(k == 1, ".jpg").otherwise(".tiff")).alias("path"))
-    return matching.first_existing(rows, "doc_id", "candidates", files, never="own").select("doc_id", "path")
+    k = F.col("doc_id") % 5
+    rows = docs(spark, sf_dir).select("doc_id", name(F.lit(".png")).alias("rel"), name(F.lit("")).alias("pair_key")).withColumn("own", F.when(F.col("doc_id") % 10 == 0, F.col("rel")))
+    files = labels(spark, sf_dir).select(name(F.when(k == 0, ".png").when(k == 1, ".jpg").when(k == 2, ".tiff").when(k == 3, "_mask.png").otherwise("_mask.webp")).alias("path"))
+    return matching.resolved_masks(rows, "doc_id", "rel", "pair_key", files, own="own", suffix="_mask").select("doc_id", F.col("mask").alias("path"), "tier")
 
 
 @query("""
@@ -187,10 +198,16 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.output_path("out/", path, "_depth.png").alias("nested"), P.output_path("out", path, "_depth.png", flat=True).alias("flat"))
 
 
-@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '_seg' WHEN 2 THEN '_mask' WHEN 3 THEN '' ELSE '_' || lower(p_brand) END AS suffix FROM part")
+@query("""
+WITH g AS (SELECT p_partkey, trim(lower(CASE p_size % 10 WHEN 0 THEN ' None ' WHEN 1 THEN '_SEG' WHEN 2 THEN ' mask' WHEN 3 THEN '-' WHEN 4 THEN 'Bare' WHEN 5 THEN 'NO_SUFFIX ' WHEN 6 THEN 'noSuffix' WHEN 7 THEN 'null' WHEN 8 THEN '  ' ELSE p_brand END)) AS t FROM part)
+SELECT p_partkey, CASE WHEN t IN ('', 'none', 'bare', 'no_suffix', 'nosuffix') THEN '' WHEN starts_with(t, '_') THEN t ELSE '_' || t END AS suffix FROM g
+""")
 def segmentation_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_size") % 5
-    given = F.when(k == 0, " None ").when(k == 1, "_SEG").when(k == 2, " mask").when(k == 3, "-").otherwise(F.col("p_brand"))
+    """Given in any case and with spaces; four names and nothing mean none, and any other word is a suffix."""
+    said = {0: " None ", 1: "_SEG", 2: " mask", 3: "-", 4: "Bare", 5: "NO_SUFFIX ", 6: "noSuffix", 7: "null", 8: "  "}
+    given = F.col("p_brand")
+    for k, text in said.items():
+        given = F.when(F.col("p_size") % 10 == k, text).otherwise(given)
     return table(spark, sf_dir, "part").select("p_partkey", P.normalise_suffix(given).alias("suffix"))
 
 
@@ -255,11 +272,19 @@ def crc_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.seed_of(F.col("p_name"), 123456789).cast("long").alias("seed"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN props ELSE 'plain ' || event_type END AS text FROM events""")
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'plain ' || event_type WHEN 4 THEN 'Sure, ' || props || ' it is' WHEN 5 THEN 'see ' || props ELSE props END AS text,
+       CASE WHEN event_id % 6 <> 3 THEN props END AS json, CASE WHEN event_id % 6 = 3 THEN 'Expecting value: line 1 column 1 (char 0)' END AS error FROM events
+""")
 def fence_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    said = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit(" ``` "), "props", F.lit("  ```  "))).otherwise(F.concat(F.lit("plain "), "event_type"))
-    return table(spark, sf_dir, "events").select("event_id", X.without_fence(said).alias("text"))
+    """A fence at either end, around or within prose; without one, an object within prose, or none at all."""
+    k = F.col("event_id") % 6
+    said = (
+        F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit(" ``` "), "props", F.lit("  ```  "))).when(k == 2, F.concat(F.lit("Sure: ```JSON "), "props", F.lit("``` bye ```x```")))
+        .when(k == 3, F.concat(F.lit("plain "), "event_type")).when(k == 4, F.concat(F.lit("Sure, "), "props", F.lit(" it is "))).otherwise(F.concat(F.lit("A ```see "), "props", F.lit("``` fence")))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", X.without_fence(said).alias("text"), X.repaired_json(said).alias("r"))
+    return rows.select("event_id", "text", "r.json", "r.error")
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || 'two' WHEN 2 THEN event_type ELSE 'one' || chr(10) || event_type END AS text, 'http://x/' || event_id AS url FROM events")
@@ -274,12 +299,8 @@ def response_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.answer_text(said).alias("text"), X.image_url(image).alias("url"))
 
 
-@query("""SELECT doc_id, '{"scene_category":"' || source || '","issues":["' || lang || '"],"disagreement_fields":["issues"]}' AS context FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+@query("""SELECT doc_id, '{"scene_category":"' || source || '","issues":["' || lang || '"],"disagreement_fields":["issues"]}' AS context FROM (SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang FROM documents)""")
 def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = docs(spark, sf_dir).filter("lang is not null and source is not null").select("doc_id", F.col("source").alias("scene_category"), F.array("lang").alias("issues"), F.array(F.lit("issues")).alias("disagreement_fields"), F.lit("x").alias("raw"))
+    said = lambda c: F.coalesce(c, F.lit("-"))
+    merged = docs(spark, sf_dir).select("doc_id", said("source").alias("scene_category"), F.array(said("lang")).alias("issues"), F.array(F.lit("issues")).alias("disagreement_fields"), F.lit("x").alias("raw"))
     return merged.select("doc_id", records.review_context(merged, ["scene_category", "issues", "absent"], "disagreement_fields").alias("context"))
-
-
-@query("SELECT * FROM (VALUES ('regression', 0, 'mae'), ('regression', 1, 'rmse'), ('regression', 2, 'psnr'), ('weighted', 0, 'metal_mae'), ('weighted', 1, 'nonmetal_mae'), ('weighted', 2, 'gt_mean'), ('weighted', 3, 'pred_mean'), ('bias', 0, 'signed_mean'), ('bias', 1, 'over_mean'), ('bias', 2, 'under_mean'), ('auxiliary', 0, 'ssim'), ('auxiliary', 1, 'lpips')) t(name, place, metric)")
-def metric_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settings.metric_groups(spark)

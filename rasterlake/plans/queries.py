@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import paths as P
 from ..functions import texts as X
-from ..operators import images, manifest, matching, pixels, records
+from ..operators import images, manifest, matching, pixels, records, settings
 from ..operators.settings import DepthSettings
 from ..sources.tables import SIDE, embedding_maps, lineitem_pixels, table
 from . import file_queries, more_queries
@@ -136,8 +136,8 @@ def kendall_tau_b_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kendall_sampled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tau-b of 40 of each map's pixels, a sample that other engines can't draw."""
-    return rounded(images.kendall(embedding_maps(spark, sf_dir), ["image"], max_pixels=40, valid="valid"))
+    """Tau-b of 20 of each map's masked pixels, those of the smallest seeded hash."""
+    return rounded(images.kendall(embedding_maps(spark, sf_dir), ["image"], max_pixels=20, valid="valid"))
 
 
 @query
@@ -197,6 +197,13 @@ def metallic_weighted_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.metallic_errors(lineitem_pixels(spark, sf_dir), ["image"], min_weight=5.0))
 
 
+@query
+def metric_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each metalness metric is for, and its mean over all images."""
+    rows = pixels.metallic_errors(lineitem_pixels(spark, sf_dir), ["image"], min_weight=5.0)
+    return rounded(settings.metric_groups(rows)).withColumn("noted", F.col("note").isNotNull()).drop("note")
+
+
 @query
 def metallic_split_lighting_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels.metallic_errors(lineitem_pixels(spark, sf_dir), ["image"], min_weight=5.0)
@@ -390,12 +397,17 @@ def analysis_defaulting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_size")
-    pair = lambda key, value, cond: F.when(cond, F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
-    entries = F.array_compact(F.array(
-        pair("sample_id", F.col("p_partkey"), k % 7 != 0), pair("image_path", F.col("p_name"), k % 5 != 0), pair("physical_properties", F.lit("{}"), k % 11 != 0), pair("albedo", F.col("p_brand"), k % 3 != 0),
-        pair("roughness", F.when(k % 2 == 0, F.col("p_size").cast("string")).otherwise("rough"), k % 13 != 0), pair("metallic", F.when(k % 4 == 0, "true").otherwise(F.col("p_size").cast("string")), F.lit(True)),
-    ))
-    return p.select("p_partkey", F.array_join(records.record_errors(F.map_from_entries(entries)), "; ").alias("errors"))
+    said = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    member = lambda key, value, cond: F.when(cond, F.concat(F.lit(f'"{key}": '), value))
+    whole = lambda *members: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ", "), F.lit("}"))
+    number = F.col("p_size").cast("string")
+    properties = whole(
+        member("albedo", said(F.col("p_brand")), k % 3 != 0), member("roughness", F.when(k % 2 == 0, number).when(k % 4 == 1, F.lit('"0.5"')).otherwise("null"), k % 13 != 0),
+        member("metallic", F.when(k % 4 == 0, "true").when(k % 4 == 1, F.lit("0.25")).otherwise(number), F.lit(True)),
+    )
+    # properties of the record itself count for nothing
+    record = whole(member("sample_id", said(F.col("p_partkey")), k % 7 != 0), member("image_path", said(F.col("p_name")), k % 5 != 0), member("physical_properties", properties, k % 11 != 0), member("albedo", F.lit('"x"'), F.lit(True)))
+    return p.select("p_partkey", F.array_join(records.record_errors(record), "; ").alias("errors"))
 
 
 @query

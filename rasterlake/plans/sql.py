@@ -164,6 +164,23 @@ WITH {px()}, t AS (SELECT image, pos, round(gt, 1) AS gt, round(pred, 1) AS pred
 SELECT image, {r("CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END", "tau")} FROM (SELECT DISTINCT image FROM px) LEFT JOIN s USING (image)
 """
 
+_MIX = "((xor({x}, {x} >> 16)) * 73244475) % 4294967296"
+ORACLE_SQL["kendall_sampled_pixels"] = f"""
+WITH {px()}, t8 AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) q(b)
+), named AS (SELECT DISTINCT image, image::VARCHAR AS name FROM px
+), crc AS (
+  SELECT image, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM named, t8
+), x0 AS (SELECT image, pos, gt, pred, ((pos + 12345 + crc) % 4294967296)::BIGINT AS x FROM px JOIN crc USING (image) WHERE valid
+), x1 AS (SELECT * REPLACE ({_MIX.format(x="x")} AS x) FROM x0), x2 AS (SELECT * REPLACE ({_MIX.format(x="x")} AS x) FROM x1
+), t AS (SELECT * FROM x2 QUALIFY row_number() OVER (PARTITION BY image ORDER BY xor(x, x >> 16)) <= 20
+), s AS (
+  SELECT a.image, sum(sign(a.gt - b.gt) * sign(a.pred - b.pred)) AS s, count(*) FILTER (WHERE a.gt <> b.gt) AS nx, count(*) FILTER (WHERE a.pred <> b.pred) AS ny
+  FROM t a JOIN t b ON a.image = b.image AND a.pos < b.pos GROUP BY a.image
+)
+SELECT image, {r("CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END", "tau")} FROM (SELECT DISTINCT image FROM px) LEFT JOIN s USING (image)
+"""
+
 ORACLE_SQL["kendall_random_pairs"] = f"""
 WITH {px()}
 SELECT image, CASE WHEN count(DISTINCT gt) FILTER (WHERE valid) > 1 THEN CASE WHEN image % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END END AS tau FROM px GROUP BY image
@@ -271,6 +288,18 @@ WITH {METALLIC}
 SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "metal_weight", "nonmetal_weight", "metal_abs", "nonmetal_abs", "signed_sum", "over_sum", "under_sum", "pred_mean", "mae", "rmse", "psnr", "gt_mean", "metal_mae", "nonmetal_mae", "signed_mean", "over_mean", "under_mean"))} FROM mm
 """
 
+_GROUPS = {
+    "main_continuous_regression": ["mae:mae", "rmse:rmse", "psnr:psnr"],
+    "weighted_metallicity_diagnostics": ["metal_weighted_mae:metal_mae", "nonmetal_weighted_mae:nonmetal_mae", "gt_metallic_mean:gt_mean", "pred_metallic_mean:pred_mean"],
+    "bias_diagnostics": ["signed_error:signed_mean", "over_metal_error:over_mean", "under_metal_error:under_mean"],
+    "auxiliary_visual_metrics": ["ssim:NULL", "lpips:NULL"],
+}
+ORACLE_SQL["metric_groups"] = f"WITH {METALLIC} " + " UNION ALL ".join(
+    f"SELECT '{g}' AS name, {i} AS place, '{m.split(':')[0]}' AS metric, round(avg({m.split(':')[1]}::DOUBLE), 6) + 0.0 AS mean, {m.split(':')[0] in ('ssim', 'lpips', 'gt_metallic_mean')} AS noted FROM mm"
+    for g, ms in _GROUPS.items()
+    for i, m in enumerate(ms)
+)
+
 ORACLE_SQL["metallic_split_lighting_summary"] = f"""
 WITH {METALLIC}, pt AS (
   SELECT p_partkey AS image, CASE WHEN p_size <= 25 THEN 'mainaxis' ELSE 'stresstest' END AS split, CASE WHEN p_size <= 25 THEN '' WHEN p_size % 8 <= 5 THEN 'L' || p_size % 8 ELSE 'unknown' END AS lighting FROM part
@@ -352,7 +381,7 @@ WITH {PAGES}, st AS (SELECT *, parts[-1] AS name, CASE WHEN length(parts[-1]) >
 SELECT page_id, CASE WHEN parent = '' THEN base ELSE parent || '/' || base END AS key, array_to_string(list_filter(parts, lambda p: p <> 'en'), '/') AS without_en,
        CASE WHEN len(parts) >= 3 THEN parts[1] ELSE '' END AS category, CASE WHEN len(parts) >= 3 THEN parts[2] ELSE parent END AS scene,
        CASE WHEN ends_with(path, '.html') THEN left(path, length(path) - 5) WHEN ends_with(path, '/') THEN left(path, length(path) - 1) ELSE '-' END AS stripped,
-       CASE WHEN ext = 'png' THEN 'image/png' WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext = 'webp' THEN 'image/webp' WHEN ext = 'bmp' THEN 'image/bmp' WHEN ext IN ('tif', 'tiff') THEN 'image/tiff' ELSE 'application/octet-stream' END AS mime
+       CASE WHEN ext = 'png' THEN 'image/png' WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext = 'webp' THEN 'image/webp' WHEN ext = 'bmp' THEN 'image/bmp' ELSE 'application/octet-stream' END AS mime
 FROM k
 """
 
@@ -406,7 +435,8 @@ WITH t AS (
   SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'Answer: ' || props || ' done' WHEN 2 THEN 'no object here' WHEN 3 THEN props || ' y ' || props ELSE '' END AS t FROM events
 ), s AS (SELECT event_id, t, CASE WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\{.*\}') END AS obj FROM t)
 SELECT event_id, CASE WHEN json_valid(obj) AND t <> '' THEN (obj::JSON ->> '$.k')::BIGINT END AS k,
-       CASE WHEN t = '' THEN 'empty_response' WHEN obj = '' THEN 'json_not_found' WHEN NOT json_valid(obj) THEN 'json_parse_error' END AS error
+       CASE WHEN t = '' THEN 'empty_response' WHEN obj = '' THEN 'json_not_found'
+         WHEN NOT json_valid(obj) THEN 'json_parse_error: Extra data: line 1 column ' || (position(' y ' IN obj) + 1) || ' (char ' || position(' y ' IN obj) || ')' END AS error
 FROM s
 """
 
@@ -419,7 +449,8 @@ FROM events
 ORACLE_SQL["validate_records"] = """
 SELECT p_partkey, array_to_string(list_filter([
   CASE WHEN p_size % 7 = 0 THEN 'missing key: sample_id' END, CASE WHEN p_size % 5 = 0 THEN 'missing key: image_path' END, CASE WHEN p_size % 11 = 0 THEN 'missing key: physical_properties' END,
-  CASE WHEN p_size % 3 = 0 THEN 'missing physical property: albedo' END, CASE WHEN p_size % 13 = 0 THEN 'missing physical property: roughness' END, CASE WHEN p_size % 13 <> 0 AND p_size % 2 = 1 THEN 'roughness must be numeric' END
+  CASE WHEN p_size % 3 = 0 OR p_size % 11 = 0 THEN 'missing physical property: albedo' END, CASE WHEN p_size % 13 = 0 OR p_size % 11 = 0 THEN 'missing physical property: roughness' END,
+  CASE WHEN p_size % 11 = 0 THEN 'missing physical property: metallic' END, CASE WHEN p_size % 13 <> 0 AND p_size % 11 <> 0 AND p_size % 2 = 1 THEN 'roughness must be numeric' END
 ], lambda x: x IS NOT NULL), '; ') AS errors FROM part
 """
 

@@ -40,7 +40,7 @@ def test_texts(spark):
     assert values(spark, X.size_alias(p, "1x1", ["2x2"]), None, "2K", "2x2") == ["1x1", "1x1", "2x2"]
     with pytest.raises(Exception, match="unsupported size"):
         values(spark, X.size_alias(p, "1x1", ["2x2"]), "9")
-    assert values(spark, X.extract_json(p), '{"a": 1}', 'x {"a": 1} y', '[{"a": 1}]', "{a}", "no", "", None) == [('{"a": 1}', None), ('{"a": 1}', None), ('{"a": 1}', None), (None, "json_parse_error"), (None, "json_not_found"), (None, "empty_response"), (None, "empty_response")]
+    assert values(spark, X.extract_json(p), '{"a": 1}', 'x {"a": 1} y', '[{"a": 1}]', "{a}", "no", "", None) == [('{"a": 1}', None), ('{"a": 1}', None), ('{"a": 1}', None), (None, "json_parse_error: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"), (None, "json_not_found"), (None, "empty_response"), (None, "empty_response")]
     assert values(spark, X.without_fence(p), "```json\n{}\n```", "{}") == ["{}", "{}"]
     assert values(spark, X.http_summary(F.lit(404), F.lit("NF"), p, 3), "abcd") == ["HTTP 404 NF: abc...<truncated>"]
     assert values(spark, X.append_within(p, F.lit("xx"), 5), "ab", "abcd") == ["ab xx", "abcd"]
