@@ -2,8 +2,9 @@
 
 The network reads the lower-cased UTF-8 bytes of a whole text, forwards and backwards,
 and gives every position a probability for each language; a document's probabilities
-are the mean over all its positions.  Its units have an update gate and a candidate (the
-light form of the gated unit, without a reset gate), both squashed by softsigns.
+are the mean over all its positions.  Its units are gated recurrent units with an update
+gate, a reset gate (on the recurrent part of the candidate) and a candidate, all squashed
+by softsigns.
 
 The state is carried through the text.  To run many places at a time, a text is dealt
 into chunks of ``CHUNK`` bytes, each of which starts ``WARM`` bytes early (in reverse:
@@ -13,8 +14,9 @@ is run again from the neighbour's state, until all agree.
 
 Training is backpropagation through time in numpy on the driver.  It is the only part
 with bounds: windows of ``WINDOW`` bytes, ``PER_DOC`` at random places of each of
-``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages, cut in the
-tasks, so that no whole text comes to the driver.
+``per_lang`` documents of every language (fewer, where all would be over ``MAX_DOCS``),
+cut in the tasks, so that no whole text comes to the driver.  Every language that a
+learnable row names can be predicted.
 
 Defined cases: null texts and texts without a letter (Unicode category L) are ``und``
 with score 0; a null id is a training row like any other; without any labelled row
@@ -39,7 +41,7 @@ EMBED, HIDDEN = 12, 16
 CHUNK, WARM, TOLERANCE = 512, 64, 0.02
 #: Chunks that are run at a time, and the multiple that their number is filled up to.
 BATCH, PAD = 512, 32
-WINDOW, PER_DOC, MAX_LANGS = 64, 12, 256
+WINDOW, PER_DOC, MAX_DOCS = 64, 12, 40_000
 _WORDY = re.compile(r"[^\W\d_]")
 
 
@@ -49,25 +51,27 @@ def _soft(x):
 
 
 def init_direction(rng) -> dict[str, np.ndarray]:
-    """Weights of one direction: input, recurrent, bias; columns for update gate, then candidate."""
+    """Weights of one direction: input, recurrent, bias; columns for update gate, reset gate, candidate."""
     return {
-        "w": rng.normal(0, 0.3, (EMBED, 2 * HIDDEN)).astype(np.float32),
-        "u": (rng.normal(0, 1, (HIDDEN, 2 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
-        "b": np.zeros(2 * HIDDEN, np.float32),
+        "w": rng.normal(0, 0.3, (EMBED, 3 * HIDDEN)).astype(np.float32),
+        "u": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
+        "b": np.zeros(3 * HIDDEN, np.float32),
     }
 
 
 def forward(p: dict, xs: np.ndarray, keep: bool = False):
-    """States (T, B, H) of one direction for inputs ``xs`` (T, B, 2H); with ``keep`` also what the backward pass needs."""
+    """States (T, B, H) of one direction for inputs ``xs`` (T, B, 3H); with ``keep`` also what the backward pass needs."""
     steps, batch, _ = xs.shape
     h = np.zeros((batch, HIDDEN), np.float32)
     out = np.empty((steps, batch, HIDDEN), np.float32)
     kept = []
     for t in range(steps):
-        v = _soft(xs[t] + h @ p["u"])
-        z, n = 0.5 + 0.5 * v[:, :HIDDEN], v[:, HIDDEN:]
+        hu = h @ p["u"]
+        gates = 0.5 + 0.5 * _soft(xs[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+        z, r, hn = gates[:, :HIDDEN], gates[:, HIDDEN:], hu[:, 2 * HIDDEN :]
+        n = _soft(xs[t, :, 2 * HIDDEN :] + r * hn)
         if keep:
-            kept.append((h, z, n))
+            kept.append((h, z, r, hn, n))
         out[t] = h = n + z * (h - n)
     return (out, kept) if keep else out
 
@@ -75,17 +79,19 @@ def forward(p: dict, xs: np.ndarray, keep: bool = False):
 def backward(p: dict, kept: list, dout: np.ndarray):
     """Gradients of inputs and recurrent weights from those of the states, through time."""
     steps, batch, _ = dout.shape
-    dxs = np.empty((steps, batch, 2 * HIDDEN), np.float32)
+    dxs = np.empty((steps, batch, 3 * HIDDEN), np.float32)
     du = np.zeros_like(p["u"])
     dh = np.zeros((batch, HIDDEN), np.float32)
     for t in reversed(range(steps)):
-        h, z, n = kept[t]
+        h, z, r, hn, n = kept[t]
         d = dh + dout[t]
         dn = d * (1 - z) * (1 - np.abs(n)) ** 2
         dz = d * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-        dxs[t] = dx = np.concatenate([dz, dn], 1)
-        du += h.T @ dx
-        dh = d * z + dx @ p["u"].T
+        dr = dn * hn * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+        dxs[t] = np.concatenate([dz, dr, dn], 1)
+        dhu = np.concatenate([dz, dr, dn * r], 1)
+        du += h.T @ dhu
+        dh = d * z + dhu @ p["u"].T
     return dxs, du
 
 
@@ -159,23 +165,31 @@ class Network:
         self.sides = []
         for i, side in enumerate("fb" if params else ""):
             table = params["e"] @ params[f"{side}w"] + params[f"{side}b"]
-            halves = lambda m: [np.ascontiguousarray(m[:, :HIDDEN]), np.ascontiguousarray(m[:, HIDDEN:])]
-            self.sides.append((halves(table), halves(params[f"{side}u"]), params["o"][i * HIDDEN : (i + 1) * HIDDEN]))
+            # the gates side by side, the candidate apart; its recurrent part is halved, as the reset gate is left at 0..2
+            parts = lambda m, f: [np.ascontiguousarray(m[:, : 2 * HIDDEN]), np.ascontiguousarray(m[:, 2 * HIDDEN :] * np.float32(f))]
+            self.sides.append((parts(table, 1), parts(params[f"{side}u"], 0.5), params["o"][i * HIDDEN : (i + 1) * HIDDEN]))
         self.bias = params.get("ob")
 
     def states(self, side: int, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """States (T, B, H) over bytes ``x`` (T, B) from the states ``h``."""
-        (tz, tn), (uz, un), _ = self.sides[side]
+        (tg, tn), (ug, un), _ = self.sides[side]
         out = np.empty((*x.shape, HIDDEN), np.float32)
-        z, n, size = (np.empty_like(h) for _ in range(3))
+        gates, n = np.empty((len(h), 2 * HIDDEN), np.float32), np.empty_like(h)
+        big, size = np.empty_like(gates), np.empty_like(h)
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         for t in range(len(x)):
-            for v, u, table in ((z, uz, tz), (n, un, tn)):
-                np.matmul(h, u, out=v)
-                v += table.take(x[t], 0)
-                np.abs(v, out=size)
-                np.add(size, 1, out=size)
-                np.divide(v, size, out=v)
-            z += 1
+            np.matmul(h, ug, out=gates)
+            gates += tg.take(x[t], 0)
+            np.abs(gates, out=big)
+            big += 1
+            gates /= big
+            gates += 1
+            np.matmul(h, un, out=n)
+            n *= r
+            n += tn.take(x[t], 0)
+            np.abs(n, out=size)
+            size += 1
+            n /= size
             h = np.subtract(h, n, out=out[t])
             h *= z
             h *= 0.5
@@ -267,10 +281,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out("id") & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
         return [], {}
+    per_lang = max(1, min(per_lang, MAX_DOCS // len(langs)))
     hashed = rows.withColumn("h", F.xxhash64("id", "text", F.lit(seed)))
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_lang / sizes[k] + 20 / sizes[k])))])

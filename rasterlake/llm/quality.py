@@ -97,7 +97,7 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000, seed: int = 17) -> dict:
-    """Learn from labelled rows that aren't held out, ``max_rows`` of them at most."""
+    """Learn from labelled rows that aren't held out, ``max_rows`` of them at most; of an id's texts the one of the smallest features."""
     rows = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id", "y").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_rows rows
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], names=schema.names)
 
-    found = sorted((r["id"], r["y"], r["x"]) for r in texts.select("id", "y", "text").mapInArrow(run, schema).collect())
+    # one row of features for each labelled id, however often documents or labels repeat it
+    once = texts.select("id", "y", "text").mapInArrow(run, schema).groupBy("id", "y").agg(F.min("x").alias("x"))
+    found = sorted((r["id"], r["y"], r["x"]) for r in once.collect())
     return fit_pairs(np.array([r[2] for r in found]).reshape(len(found), N_FEATURES), np.array([r[1] for r in found], np.int64))
 
 

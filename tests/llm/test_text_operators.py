@@ -1,10 +1,12 @@
 """BPE, fingerprints, personal data, language and quality against plain versions and on odd input."""
 
+import collections
 import hashlib
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -363,3 +365,89 @@ def test_held_out_rows_are_never_learnt(spark):
 
     got = {r.doc_id: r.h for r in spark.range(300).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in got.items())
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Tables of a few documents and labels, odd ones among them, and the same ones with other held-out texts, labels and languages."""
+    con = duckdb.connect()
+    docs = con.execute("SELECT doc_id, text, lang, source, n_chars FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    docs += [(10_001, None, "en", "s", 0), (10_002, "", None, "s", 0), (10_003, " 12 ", "fr", None, 4), (None, "no id here", "en", "s", 10), (docs[0][0], "another text under a used id", "de", "s", 3)]
+    labels = con.execute("SELECT doc_id, quality FROM '/root/testdata/sf0.001/labels.parquet'").fetchall()
+    labels += [labels[0], (10_001, 0), (None, 1), (99_999, 1)]
+    out = {}
+    for name in ("as_they_are", "changed"):
+        away = lambda i: name == "changed" and zlib.crc32(str(i).encode()) % 3 == 1 and i is not None  # noqa: B023, E731
+        root = str(tmp_path_factory.mktemp(name))
+        rows = [(i, "zzz qqq " * 40 if away(i) else t, "xx" if away(i) else lang, s, n) for i, t, lang, s, n in docs]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame([(i, 1 - q if away(i) else q) for i, q in labels], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
+        out[name] = root, rows
+    return out
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_quality_query_equals_plain_version_and_learns_no_held_out_row(spark, small_tables):
+    root, rows = small_tables["as_they_are"]
+    labels = collections.defaultdict(set)
+    for i, q in duckdb.sql(f"SELECT doc_id, quality FROM '{root}/labels.parquet/*.parquet'").fetchall():
+        if i is not None and not held(i):
+            labels[i].add(q)
+    features = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        features[i].append(quality.features(t or "").tolist())
+    learnt = sorted((i, y, min(features[i])) for i in labels if i in features for y in labels[i])
+    model = quality.fit_pairs(np.array([x for _, _, x in learnt]), np.array([y for _, y, _ in learnt]))
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        score = float(quality.scores(model, quality.features(t or "")[None])[0])
+        want[i, held(i), round(score, 9), int(score >= 0.5)] += 1
+    got = quality.op8_quality(spark, root)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert collections.Counter((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in got.collect()) == want
+    other = small_tables["changed"][0]
+    one, two = (quality.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")) for d in (root, other))
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+
+
+def test_language_query_equals_plain_version_and_learns_no_held_out_row(spark, small_tables):
+    root, rows = small_tables["as_they_are"]
+    model = langid.fit(spark.read.parquet(f"{root}/documents.parquet"))
+    assert set(model[0]) == {r[2] for r in rows if r[2] is not None and not held(r[0])}
+    network = langid.Network(*model)
+    want = collections.Counter((i, held(i), *network([t or ""])[0]) for i, t, *_ in rows)
+    got = langid.op10_langid(spark, root)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    other = langid.fit(spark.read.parquet(f"{small_tables['changed'][0]}/documents.parquet"))
+    assert other[0] == model[0] and all(np.array_equal(other[1][k], model[1][k]) for k in model[1])
+
+
+def test_every_language_can_be_predicted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_DOCS", 50)
+    rows = [(i, f"{chr(0x4E00 + i % 300)}" * 40, f"l{i % 300:03d}") for i in range(900)]
+    langs, params = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == sorted({r[2] for r in rows if not held(r[0])}) and params["o"].shape[1] == len(langs) > 256
+
+
+def test_gated_unit_gradients(network):
+    """Backpropagation through time against differences."""
+    rng = np.random.default_rng(0)
+    q = {"u": rng.normal(0, 0.5, (langid.HIDDEN, 3 * langid.HIDDEN))}
+    xs = rng.normal(0, 1, (5, 3, 3 * langid.HIDDEN)).astype(np.float64)
+    weight = rng.normal(0, 1, (5, 3, langid.HIDDEN))
+    loss = lambda x, u: float((langid.forward({"u": u}, x).astype(np.float64) * weight).sum())
+    _, kept = langid.forward(q, xs, True)
+    dxs, du = langid.backward(q, kept, weight)
+    for _ in range(30):
+        t, b, j = rng.integers(5), rng.integers(3), rng.integers(3 * langid.HIDDEN)
+        step = np.zeros_like(xs)
+        step[t, b, j] = 1e-2
+        assert (loss(xs + step, q["u"]) - loss(xs - step, q["u"])) / 2e-2 == pytest.approx(dxs[t, b, j], abs=2e-2)
+        i = rng.integers(langid.HIDDEN)
+        turn = np.zeros_like(q["u"])
+        turn[i, j] = 1e-2
+        assert (loss(xs, q["u"] + turn) - loss(xs, q["u"] - turn)) / 2e-2 == pytest.approx(du[i, j], abs=5e-2)
