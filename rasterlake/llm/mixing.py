@@ -5,17 +5,19 @@ what is above is shared again by weight among the others until none is above.  T
 takes every document of a source as many whole times as fit, and fits the rest of the
 budget as a subset sum: documents are counted by their exact length, and along the
 lengths every document has the same chance (systematic sampling from a seeded start), so
-each length and each run length and each run of near ones gives its proportional part, at every size of
-source.  That misses the budget by about one document; a dynamic programme over lengths
-in a seeded order puts documents in or takes them out until the sum is met.  For every
-sum within ``DP_WORDS`` and the longest document of the budget it keeps the one step
-that first reached it, so its memory doesn't grow with the number of lengths; where no
-sum meets the budget, the nearest of those sums is taken.
+each length and each run of near ones gives its proportional part, at every size of
+source.  That misses the budget by at most the longest document; a dynamic programme over
+lengths in a seeded order puts documents in or takes them out until the sum is met.  For
+every sum within ``DP_WORDS`` and the longest document of the budget it keeps the one step
+that first reached it, so its memory doesn't grow with the number of lengths.  Where no
+such sum meets the budget, the nearest is taken; what is farther off than that is never
+nearer, so only the sums that lead through a detour beyond the window are left untried.
 Within a length, documents are taken in the order of a seeded hash, so reruns agree.
 
-Only counts by source and length meet in one task.  A length that a great many
-documents share is dealt into hash buckets: whole buckets are taken by their counts, and
-only the last one ranks its documents.
+Only counts by source and length meet in one task.  The documents of a length are dealt
+into hash buckets, which are taken whole or not at all by their counts; a bucket in which
+the quota ends is cut.  Only rows of cut buckets are ranked, over ranges and not in one
+task, so that a bucket of any size (all rows of one id) is no hot spot.
 
 Defined cases: null texts have size 0, and documents of size 0 are never taken; a null
 source is one of its own, after all others; rows that repeat an id and a length are
@@ -147,13 +149,21 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     quotas = lengths.groupBy("__source").applyInPandas(fit, "__source string, __size long, full long, quota long")
     earlier = Window.partitionBy("__source", "__size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = cells.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(quotas, ["__source", "__size"], "left")
-    plan = plan.select("__source", "__size", "__bucket", F.coalesce("full", F.lit(0)).alias("__full"), (F.coalesce("quota", F.lit(0)) - F.col("earlier")).alias("__room")).join(goal, "__source")
-    place = F.row_number().over(Window.partitionBy("__source", "__size", "__bucket").orderBy("__draw", F.col(id_col)))
+    room = F.coalesce("quota", F.lit(0)) - F.col("earlier")
+    plan = plan.select("__source", "__size", "__bucket", F.coalesce("full", F.lit(0)).alias("__full"), room.alias("__room"), "n").join(goal, "__source")
+    plan = staged(plan.withColumn("__cut", (F.col("__room") > 0) & (F.col("__room") < F.col("n"))), "plan", 0)
+    cell = ["__source", "__size", "__bucket"]
     clash = {"source_size", "target", "repeats", "taken"}
     kept = [c for c in rows.columns if c not in clash]
-    out = marked.select(*kept, *marks).join(plan, ["__source", "__size", "__bucket"])
-    out = out.withColumn("repeats", F.col("__full") + (place <= F.col("__room")).cast("long"))
-    return out.select(*[F.col(c) for c in kept], "source_size", "target", "repeats", (F.col("repeats") * F.col("__size")).alias("taken"))
+    out = marked.select(*kept, *marks).join(plan, cell)
+    whole = out.filter("not __cut").withColumn("repeats", F.col("__full") + (F.col("__room") > 0).cast("long"))
+    # a number of the row itself parts rows that share id and draw, once it is written
+    cut = staged(out.filter("__cut").withColumn("__row", F.monotonically_increasing_id()), "cut")
+    ranked = ranks(cut, *cell, "__draw", "__row")
+    first = ranked.groupBy(*cell).agg(F.min("position").alias("__first"))
+    ranked = ranked.join(first, cell).withColumn("repeats", F.col("__full") + (F.col("position") - F.col("__first") < F.col("__room")).cast("long"))
+    named = lambda df: df.select(*[F.col(c) for c in kept], "source_size", "target", "repeats", (F.col("repeats") * F.col("__size")).alias("taken"))
+    return named(whole).unionByName(named(ranked))
 
 
 def op6_mixing(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

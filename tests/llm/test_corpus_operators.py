@@ -304,6 +304,30 @@ def test_mixing_query_meets_targets_and_repeats_itself(spark, tricky, empty):
     assert mixing.op6_mixing(spark, "", empty).count() == 0
 
 
+def test_only_rows_of_cut_buckets_are_ranked(spark, monkeypatch):
+    """A third of all rows share an id, a source and a length; another third have no id."""
+    rows = [(7, "s0", 10)] * 400 + [(None, "s0", 12)] * 400 + [(i, f"s{i % 3}", 5 + i % 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+    seen = []
+    ranks = mixing.ranks
+    monkeypatch.setattr(mixing, "ranks", lambda d, *order: (seen.append(d), ranks(d, *order))[1])
+    got = mixing.mix(df, share=0.5).collect()
+    assert len(got) == len(rows)
+    taken, target, longest = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        longest[r.source] = max(longest[r.source], r.size)
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    cut = next(d for d in seen if "__row" in d.columns)
+    cells = cut.groupBy("__source", "__size", "__bucket").count().collect()
+    assert 0 < cut.count() < len(rows) and all(r["count"] > 1 for r in cells)
+    # one bucket's tied rows are dealt to several tasks
+    dealt = cut.repartitionByRange(4, "__source", "__size", "__bucket", "__draw", "__row").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert dealt > 1
+
+
 def test_fitting_many_lengths_without_an_exact_sum_is_bounded():
     import tracemalloc
 
