@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import texts as X
 from ..operators import manifest, matching, records, settings
-from ..sources import scan, sinks
+from ..operators.manifest_store import ManifestStore
+from ..sources import scan, sinks, staging
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -189,6 +190,32 @@ def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.failure_rows(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scene"), F.col("n_name").alias("images"), F.when(F.col("n_regionkey") == 2, "late").alias("error"), F.lit(1).alias("more")))
 
 
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, event_type, value FROM events)
+SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS place FROM e WHERE user_id IS NOT NULL) WHERE place = 1
+UNION ALL SELECT event_id, user_id, event_type, value FROM e WHERE user_id IS NULL
+""")
+def manifest_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest kept in five batches of all events, two of them tried twice and one late, compacted in between."""
+    log = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_type", "value")
+    store = ManifestStore(spark, staging.new_folder(spark), ["user_id", "event_type"], "event_id", buckets=16)
+    for batch in (0, 1, 1, 3, 2, 3, 4):
+        store.commit(batch, log.filter(F.col("event_id") % 5 == batch))
+        if batch == 3:
+            store.compact()
+    return store.read()
+
+
+@query("SELECT max(event_id) AS event_id, user_id, event_type FROM events WHERE user_id % 97 = 3 GROUP BY user_id, event_type")
+def manifest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of some keys from a store that reads only their buckets."""
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    store = ManifestStore(spark, staging.new_folder(spark), ["user_id", "event_type"], "event_id")
+    store.commit(0, log)
+    store.compact()
+    return store.lookup(log.filter("user_id % 97 = 3"))
+
+
 # paths
 
 

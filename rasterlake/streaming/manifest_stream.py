@@ -1,8 +1,8 @@
-"""A manifest kept from a stream of run entries.
+"""A manifest kept from a stream of run entries, on a store of a bucketed base and deltas.
 
-Each micro-batch is reduced to the last entry of each key and committed as a folder of
-its own, so a batch that is tried again overwrites itself and nothing else; the manifest
-is the last entry of each key over all committed batches.
+Each micro-batch is committed under its number, so one that is tried again changes nothing;
+every ``compact_every`` batches the deltas are folded into the buckets that they touch, so a
+read goes over the base and at most that many deltas.
 """
 
 from __future__ import annotations
@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.manifest import upsert
+from ..operators.manifest_store import ManifestStore
 
 
-def start(entries: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, **trigger) -> StreamingQuery:
+def start(entries: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, buckets: int = 64, compact_every: int = 20, **trigger) -> StreamingQuery:
     """Begin to keep the manifest below ``path``."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        upsert(batch, keys, seq).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store = ManifestStore(batch.sparkSession, path, keys, seq, buckets)
+        store.commit(number, batch)
+        if len(store.version()[1]["deltas"]) >= compact_every:
+            store.compact()
 
     writer = entries.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -26,7 +29,7 @@ def start(entries: DataFrame, path: str, checkpoint: str, keys: list[str], seq:
 
 def manifest(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:
     """The manifest as it stands."""
-    return upsert(spark.read.parquet(path).drop("batch"), keys, seq)
+    return ManifestStore(spark, path, keys, seq).read()
 
 
 def windowed_progress(entries: DataFrame, time: str, group: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
