@@ -20,11 +20,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,45 +136,58 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema)
 
 
-def in_buckets(docs: DataFrame, key: Column, per_partition: int = 4) -> tuple[DataFrame, int]:
-    """``docs`` with ``__bucket``: ranges of ``key`` (a long) of about equal counts, and the number of ranges.
+def in_ranges(docs: DataFrame, key: str, within: str, per_partition: int = 4) -> DataFrame:
+    """``docs`` with ``__range``, which falls along the order by falling ``key`` (a long) and, for equal keys, rising ``within`` (63 bits of a hash).
 
-    A few times as many ranges as shuffle partitions, so that a hash of them deals evenly.
+    Ranges hold about equal counts, a few times as many as there are shuffle partitions,
+    so that a hash of them deals evenly.  A key with the rows of several ranges is cut
+    into as many by ``within``.
     """
     from pyspark.ml.feature import Bucketizer
 
-    wanted = min(8192, max(64, per_partition * partitions(docs.sparkSession)))
-    keyed = docs.withColumn("__key", key)
-    bounds = keyed.agg(F.percentile_approx("__key", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("b")).first()["b"] or []
-    splits = sorted({float(b) for b in bounds})
-    cut = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="__place", outputCol="__cut") if splits else None
-    placed = keyed.withColumn("__place", F.col("__key").cast("double"))
-    placed = cut.transform(placed).withColumn("__bucket", F.col("__cut").cast("int")).drop("__cut") if cut else placed.withColumn("__bucket", F.lit(0))
-    return placed.drop("__place"), len(splits) + 1
+    wanted = max(64, per_partition * partitions(docs.sparkSession))
+    bounds = docs.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 20 * wanted).alias("b")).first()["b"] or []
+    if not bounds:
+        return docs.withColumn("__range", F.lit(0).cast("long"))
+    times = Counter(bounds)
+    cut = Bucketizer(splits=[-float("inf"), *sorted({float(b) for b in bounds}), float("inf")], inputCol="__place", outputCol="__cut")
+    placed = cut.transform(docs.withColumn("__place", F.col(key).cast("double")))
+    # a hot key is the lowest of its range, so its own ranges come after the range's other keys
+    hot = {b: n for b, n in times.items() if n > 1}
+    most = max(times.values()) + 1
+    sub = F.lit(0)
+    if hot:
+        n = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair]), F.col(key))
+        sub = F.coalesce(1 + F.least(n - 1, F.floor(F.col(within) / float(1 << 63) * n)), F.lit(0))
+    return placed.withColumn("__range", F.col("__cut").cast("long") * most + (most - 1 - sub)).drop("__place", "__cut")
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every document, of its text with the latter half taken from the next document, and their likeness.
 
-    Documents follow each other by descending id (null last; equal ids by text), the
-    first after the last.  One shuffle deals the texts out by ranges of ids; within a
-    range they stream in order, and only the first document of each range is sent to the
-    range before as well.  What the driver sees is one id for each range.
+    Documents follow each other by descending id (null last; equal ids by a hash of the
+    text, then the text), the first after the last.  One shuffle deals the texts out by
+    ranges of that order; within a range they stream, and only the first document of each
+    range is sent to the range before as well.  What the driver sees is an id and a hash
+    for each range.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    placed, _ = in_buckets(source, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    heads = sorted((r["__bucket"], r["head"]) for r in placed.groupBy("__bucket").agg(F.max("__key").alias("head")).collect())
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    marked = source.withColumns({"__key": key, "__hash": F.shiftrightunsigned(F.xxhash64("text"), 1), "__order": F.bitwise_not(key)})  # not: rises as the key falls
+    placed = in_ranges(marked, "__key", "__hash").drop("__key")
+    heads = sorted(((r["__range"], *r["head"]) for r in placed.groupBy("__range").agg(F.min(F.struct("__order", "__hash")).alias("head")).collect()), reverse=True)
     spark = docs.sparkSession
-    # the head of a range also goes to the range above it, which comes before it
-    to = spark.createDataFrame([(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)], "__key long, __to int")
-    guests = placed.join(F.broadcast(to), "__key").select("doc_id", "text", "__key", F.col("__to").alias("__bucket"), F.lit(1).alias("__guest"))
+    # the head of a range also goes to the range that comes before it
+    to = spark.createDataFrame([(order, h, heads[i - 1][0]) for i, (_, order, h) in enumerate(heads)], "__order long, __hash long, __to long")
+    guests = placed.join(F.broadcast(to), ["__order", "__hash"]).groupBy("__order", "__hash", F.col("__to").alias("__range")).agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    columns = ["doc_id", "text", "__order", "__hash", "__range"]
     rows = (
-        placed.select("doc_id", "text", "__key", "__bucket", F.lit(0).alias("__guest"))
-        .unionByName(guests)
-        .repartition(partitions(spark), "__bucket")
-        .sortWithinPartitions("__bucket", "__guest", F.desc("__key"), "text")
-        .select("doc_id", "text", "__bucket", "__guest")
+        placed.select(*columns, F.lit(0).alias("__guest"))
+        .unionByName(guests.select(*columns, F.lit(1).alias("__guest")))
+        .repartition(partitions(spark), "__range")
+        .sortWithinPartitions(F.desc("__range"), "__guest", "__order", "__hash", "text")
+        .select("doc_id", "text", "__range", "__guest")
     )
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlake.llm import bpe, fingerprint, langid, pii, quality
 
@@ -135,17 +136,34 @@ def test_long_texts_keep_shared_passages():
 
 
 def test_fingerprint_query(spark, tricky, empty):
-    rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in tricky.collect()), key=lambda r: (-r[0], r[1]))
-    got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in fingerprint.edited_neighbours(tricky).collect())
+    check_fingerprints(fingerprint.edited_neighbours(tricky), [(r.doc_id, r.text) for r in tricky.collect()])
+    assert fingerprint.edited_neighbours(empty).count() == 0
+    assert fingerprint.edited_neighbours(tricky.filter("doc_id = 7")).first()["near_next"] == 1
+    assert fingerprint.fingerprint_documents(tricky).count() == tricky.count()
+
+
+def check_fingerprints(df, docs):
+    import xxhash
+
+    order = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() >> 1
+    rows = sorted(((-(1 << 63) if i is None else i, t or "") for i, t in docs), key=lambda r: (-r[0], order(r[1]), r[1]))
+    got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in df.collect())
     want = []
     for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         x, y = fingerprint.sketch([t, e])
         want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.encoded(x), fingerprint.encoded(y)))
     assert got == sorted(want)
-    assert fingerprint.edited_neighbours(empty).count() == 0
-    assert fingerprint.edited_neighbours(tricky.filter("doc_id = 7")).first()["near_next"] == 1
-    assert fingerprint.fingerprint_documents(tricky).count() == tricky.count()
+
+
+def test_ids_that_hold_most_rows_are_dealt_out(spark):
+    rng = random.Random(23)
+    docs = [(5, f"text {i} " * rng.randint(1, 9)) for i in range(500)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i}") for i in range(200)] + [(9, "same")] * 200
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    marked = df.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.shiftrightunsigned(F.xxhash64("text"), 1)})
+    sizes = fingerprint.in_ranges(marked, "k", "h").groupBy("__range").agg(F.count("*").alias("n"), F.countDistinct("text").alias("d")).collect()
+    assert max(r.n for r in sizes if r.d > 1) < 80  # 500 and 300 rows of one id, in ranges of about 20
+    check_fingerprints(fingerprint.edited_neighbours(df), docs)
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
