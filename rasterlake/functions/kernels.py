@@ -288,6 +288,29 @@ def resize(image: np.ndarray, height: int, width: int, method: str = "bilinear")
     return np.moveaxis(np.tensordot(axis_matrix(image.shape[1], width, method), rows, (1, 1)), 0, 1)
 
 
+#: Bits of the whole numbers that stand for weights in 8-bit resampling: a byte, a weight and two spare bits fill 32.
+WEIGHT_BITS = 22
+
+
+def resize_bytes(image: np.ndarray, height: int, width: int, method: str = "bilinear") -> np.ndarray:
+    """(h, w) or (h, w, c) bytes resampled in whole numbers, as 8-bit image libraries do: across, rounded to bytes, then down.
+
+    A weight is rounded to ``WEIGHT_BITS`` bits, halves away from zero, and a sum is
+    rounded and clipped to a byte after each pass; an axis that keeps its length is left.
+    """
+    out = image.astype(np.int64)
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] != size:
+            if method == "nearest":
+                out = np.moveaxis(np.tensordot(axis_matrix(out.shape[axis], size, method).astype(np.int64), out, (1, axis)), 0, axis)
+                continue
+            exact = axis_matrix(out.shape[axis], size, method) * (1 << WEIGHT_BITS)
+            weights = (np.sign(exact) * np.floor(np.abs(exact) + 0.5)).astype(np.int64)
+            sums = np.moveaxis(np.tensordot(weights, out, (1, axis)), 0, axis) + (1 << WEIGHT_BITS - 1)
+            out = np.clip(sums >> WEIGHT_BITS, 0, 255)
+    return out.astype(np.uint8)
+
+
 def letterbox(image: np.ndarray, height: int, width: int) -> tuple[np.ndarray, tuple[int, int, int, int]]:
     """Fitted into a canvas, the border stretched from the edge pixels; and the content's box (left, top, right, bottom)."""
     h, w = image.shape[:2]

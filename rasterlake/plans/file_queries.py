@@ -222,13 +222,18 @@ def mask_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", count(rasters.masked(F.col("r.data"))).alias("loose"), count(rasters.masked(F.col("r.data"), 128 / 255, strict=True)).alias("strict"))
 
 
-def _axis(size: int, target: int, name: str, lobes: int = 0) -> str:
-    """SQL of the weights of an axis that shrinks: bilinear, or Lanczos of so many lobes."""
+def _axis(size: int, target: int, name: str, kind: str = "bilinear") -> str:
+    """SQL of the weights of an axis: bilinear, bicubic or Lanczos; wider where it shrinks."""
     scale = size / target
-    x = f"((j + 0.5 - (i + 0.5) * {scale}) / {scale})"
+    wide = max(1.0, scale)
+    x = f"abs((j + 0.5 - (i + 0.5) * {scale}) / {wide})"
     sinc = lambda z: f"(CASE WHEN {z} = 0 THEN 1 ELSE sin(pi() * {z}) / (pi() * {z}) END)"
-    weight = f"CASE WHEN abs({x}) < {lobes} THEN {sinc(x)} * {sinc(f'({x} / {lobes})')} ELSE 0 END" if lobes else f"greatest(0, 1 - abs({x}))"
-    return f"""{name}0 AS (SELECT i, j, {weight} AS w FROM range({target}) a(i), range({size}) b(j)
+    weight = {
+        "bilinear": f"greatest(0, 1 - {x})",
+        "bicubic": f"CASE WHEN {x} < 1 THEN (1.5 * {x} - 2.5) * {x} * {x} + 1 WHEN {x} < 2 THEN ((-0.5 * {x} + 2.5) * {x} - 4) * {x} + 2 ELSE 0 END",
+        "lanczos": f"CASE WHEN {x} < 3 THEN {sinc(x)} * {sinc(f'({x} / 3)')} ELSE 0 END",
+    }[kind]
+    return f"""{name}0 AS (SELECT i, j, ({weight})::DOUBLE AS w FROM range({target}) a(i), range({size}) b(j)
 ), {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}0 WHERE w <> 0)"""
 
 
@@ -238,6 +243,30 @@ def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(rows.select("k", rasters.resized(F.col("r"), 2, 3).alias("r")))
 
 
+def _bytes_resized(height: int, width: int, kind: str) -> str:
+    """SQL of 8-bit resampling: weights of 22 bits, rounded to bytes after each pass."""
+    whole = lambda w: f"(sign({w}) * floor(abs({w}) * 4194304 + 0.5))::BIGINT"
+    byte = lambda total: f"greatest(0, least(255, (({total}) + 2097152) >> 22))"
+    return f"""WITH {PIXELS}, {_axis(H, height, 'wy', kind)}, {_axis(W, width, 'wx', kind)}, across AS (
+  SELECT k, y, wx.i AS x, c, {byte(f"sum(v * {whole('w')})::BIGINT")} AS v FROM p JOIN wx ON wx.j = p.x GROUP BY k, y, wx.i, c
+), down AS (SELECT k, wy.i AS y, x, c, {byte(f"sum(v * {whole('w')})::BIGINT")} AS v FROM across JOIN wy ON wy.j = across.y GROUP BY k, wy.i, x, c)
+SELECT k, y, x, c, round(v / 255, 6) + 0.0 AS v FROM down"""
+
+
+@query(_bytes_resized(7, 9, "bicubic"))
+def resize_bytes_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Larger by a bicubic filter, in the whole numbers of 8-bit image libraries."""
+    rows = decoded_files(spark, sf_dir, png, "png", "rgb")
+    return pixel_rows(rows.select("k", rasters.resized(F.col("r"), 7, 9, "bicubic", eight_bit=True).alias("r")))
+
+
+@query(_bytes_resized(3, 4, "lanczos"))
+def resize_bytes_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smaller by a Lanczos filter, likewise."""
+    rows = decoded_files(spark, sf_dir, png, "png", "rgb")
+    return pixel_rows(rows.select("k", rasters.resized(F.col("r"), 3, 4, "lanczos", eight_bit=True).alias("r")))
+
+
 @query(f"WITH {PIXELS} SELECT k, yy AS y, xx AS x, c, round(v / 255, 6) + 0.0 AS v FROM p JOIN range(8) a(yy) ON yy // 2 = y JOIN range(3) b(xx) ON 2 * xx + 1 = x")
 def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decoded_files(spark, sf_dir, png, "png", "rgb")
@@ -272,7 +301,7 @@ def gray_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(gray.select("k", rasters.decoded(F.col("content"), "gray").alias("r")))
 
 
-@query(f"WITH {PIXELS}, {_axis(H, 2, 'wy', 3)}, {_axis(W, 3, 'wx', 3)} SELECT k, wy.i AS y, wx.i AS x, c, round(round(least(1, greatest(0, sum(v / 255 * wy.w * wx.w))) * 255) / 255, 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
+@query(f"WITH {PIXELS}, {_axis(H, 2, 'wy', 'lanczos')}, {_axis(W, 3, 'wx', 'lanczos')} SELECT k, wy.i AS y, wx.i AS x, c, round(round(least(1, greatest(0, sum(v / 255 * wy.w * wx.w))) * 255) / 255, 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
 def data_uri_downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of at most three pixels a side as data URIs, and the pixels that these decode to."""
     from ..functions.texts import data_uri

@@ -205,15 +205,20 @@ def masked(mask: Column, threshold: float = 0.5, strict: bool = False) -> Column
     return F.transform(mask, lambda v: (v > threshold) if strict else (v >= threshold))
 
 
-def resized(raster: Column, height: int, width: int, method: str = "bilinear") -> Column:
-    """A raster struct resized."""
-    from ..functions.kernels import resize
+def resized(raster: Column, height: int, width: int, method: str = "bilinear", eight_bit: bool = False) -> Column:
+    """A raster struct resized; with ``eight_bit`` as the bytes that its values in 0..1 stand for, in whole numbers."""
+    from ..functions.kernels import resize, resize_bytes
+
+    def sized(image: np.ndarray) -> np.ndarray:
+        if not eight_bit:
+            return resize(image, height, width, method)
+        return resize_bytes(np.rint(np.clip(image, 0, 1) * 255).astype(np.uint8), height, width, method) / 255
 
     @F.pandas_udf(RASTER)
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for h, w, c, data, error in rows.itertuples(index=False):
-            out.append((height, width, c, resize(np.array(data).reshape(int(h), int(w), int(c)), height, width, method).ravel(), None) if error is None else (None, None, None, None, error))
+            out.append((height, width, c, sized(np.array(data).reshape(int(h), int(w), int(c))).ravel(), None) if error is None else (None, None, None, None, error))
         return pd.DataFrame(out, columns=RASTER.names)
 
     return run(raster)

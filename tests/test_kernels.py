@@ -90,3 +90,21 @@ def test_letterbox_and_back():
     assert canvas.shape == (100, 100) and box == (0, 38, 100, 63) or box == (0, 37, 100, 62)
     assert np.allclose(canvas, 3)
     assert np.allclose(K.crop_back(canvas, box, (100, 100), 10, 40), 3)
+
+
+def test_bytes_are_resampled_in_whole_numbers():
+    step = np.array([[0, 255]], np.uint8)
+    assert K.resize_bytes(step, 1, 4).tolist() == [[0, 64, 191, 255]]
+    assert K.resize_bytes(np.array([[0, 255, 0, 255]], np.uint8), 1, 2).tolist() == [[109, 146]]  # weights 3, 3, 1 and 1, 3, 3 of 7
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (9, 13, 3)).astype(np.uint8)
+    for method in ("nearest", "bilinear", "bicubic", "lanczos"):
+        for shape in ((4, 5), (20, 31), (9, 7), (3, 13)):
+            got = K.resize_bytes(image, *shape, method)
+            assert got.shape == (*shape, 3)
+            exact = np.clip(K.resize(image, *shape, method), 0, 255)
+            assert np.abs(got - exact).max() <= (0 if method == "nearest" else 60 if method == "lanczos" else 45)
+            assert np.mean(np.abs(got - exact)) < 1.5
+        assert np.array_equal(K.resize_bytes(image, 9, 13, method), image)
+    flat = np.full((5, 6), 77, np.uint8)
+    assert all((K.resize_bytes(flat, h, w, m) == 77).all() for h, w in ((2, 3), (11, 14)) for m in ("bilinear", "bicubic", "lanczos"))
