@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import paths as P
 from ..functions import texts as X
-from ..operators import images, manifest, matching, pixels, records, settings
+from ..operators import images, manifest, matching, pixels, records, settings, tiles
 from ..operators.settings import DepthSettings
 from ..sources.tables import SIDE, embedding_maps, lineitem_pixels, table
 from . import file_queries, more_queries
@@ -274,6 +274,18 @@ def region_component_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("image", F.posexplode("filled").alias("pos", "filled"))
 
 
+@query
+def region_fill_across_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of 4 x 4 maps as tiles of one image, whose regions cross their edges."""
+    n = F.col("vec_id")
+    values = F.transform("embedding", lambda v: F.floor((v.cast("double") + 0.6) * 200).cast("int"))
+    segments = F.transform("embedding", lambda v: (v > 0.05).cast("int") + (v > -0.1).cast("int"))
+    place = [F.expr("vec_id div 16").alias("image"), F.expr("vec_id % 16 div 4").cast("int").alias("ty"), (n % 4).cast("int").alias("tx"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width")]
+    maps = table(spark, sf_dir, "embeddings").select(*place, values.alias("value"), segments.alias("segment"))
+    filled = tiles.fill_regions(maps, ["image"])
+    return filled.select("image", "ty", "tx", F.posexplode("filled").alias("pos", "filled"))
+
+
 # paths and matching
 
 

@@ -373,6 +373,20 @@ WITH RECURSIVE v AS (
 SELECT c.image, c.p::INT AS pos, greatest(0, least(255, round_even(m.m, 0)))::INT AS filled FROM comp c JOIN mean m ON m.image = c.image AND m.root = c.root
 """
 
+ORACLE_SQL["region_fill_across_tiles"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id // 16 AS image, vec_id % 16 // 4 AS ty, vec_id % 4 AS tx, i, vec_id % 16 // 4 * 8 + i // 8 AS y, vec_id % 4 * 8 + i % 8 AS x,
+         floor((embedding[i + 1]::DOUBLE + 0.6) * 200)::INT AS value, (embedding[i + 1] > 0.05::DOUBLE)::INT + (embedding[i + 1] > -0.1::DOUBLE)::INT AS seg FROM embeddings, range(64) t(i)
+), px AS (SELECT *, y * 32 + x AS pos FROM v
+), near(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)
+), nb AS (SELECT a.image, a.pos AS p, b.pos AS q FROM px a, near d JOIN px b ON a.image = b.image AND a.seg = b.seg AND b.y = a.y + d.dy AND b.x = a.x + d.dx
+), reach(image, p, root) AS (SELECT image, pos, pos FROM px UNION SELECT r.image, n.q, r.root FROM reach r JOIN nb n ON n.image = r.image AND n.p = r.p WHERE n.q > r.root
+), comp AS (SELECT image, p, min(root) AS root FROM reach GROUP BY ALL
+), mean AS (SELECT c.image, c.root, avg(v.value) AS m FROM comp c JOIN px v ON v.image = c.image AND v.pos = c.p GROUP BY ALL)
+SELECT v.image, v.ty::INT AS ty, v.tx::INT AS tx, v.i::INT AS pos, greatest(0, least(255, round_even(m.m, 0)))::INT AS filled
+FROM px v JOIN comp c ON c.image = v.image AND c.p = v.pos JOIN mean m ON m.image = c.image AND m.root = c.root
+"""
+
 PAGES = "pg AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path FROM pages), sp AS (SELECT *, string_split(path, '/') AS parts, regexp_replace(path, '/?[^/]*$', '') AS parent FROM pg)"
 
 ORACLE_SQL["match_key_normalise"] = f"""
