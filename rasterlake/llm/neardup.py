@@ -53,8 +53,8 @@ SPARSE = 8
 BLOCK = 125_000
 #: Bytes of labels that a task sorts, about.
 TASK_BYTES = 128 << 20
-#: Bits of the filter that keeps most documents without a candidate out of the shuffle of sets: 1 MB at any size.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps most documents without a candidate out of the shuffle of sets: 16 for each candidate, from 128 KB to 8 MB.
+FILTER_BITS = (1 << 20, 1 << 26)
 
 _rng = np.random.default_rng(52)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -352,9 +352,10 @@ def _links(docs: DataFrame, members: DataFrame, number: int, words: int, percent
     """Links (a, b) between representatives of one region that join up all its components."""
     spark = docs.sparkSession
     placed = staged(_dealt(members.withColumn("size", size_class(F.col("n_shingles"), percent)), "region", "size"), "placed", number)
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # FILTER_BITS / 32 rows at most
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * number).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    words_set = placed.select(bit("rep").alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits")).toArrow()  # bits / 32 rows at most
+    bitmap = np.zeros(bits // 32, np.uint32)
     bitmap[words_set["word"].to_numpy()] = words_set["bits"].to_numpy().astype(np.uint32)
     set_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
