@@ -154,20 +154,27 @@ def boundary_f1(rows: DataFrame, keys: list[str], height: int, width: int) -> Da
     return map_stacks(rows, keys, height, width, ["gt", "pred", "valid"], make, T.StructField("boundary_f1", T.DoubleType()))
 
 
-def ssim(rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Full-frame structural similarity with pixels outside ``valid`` set to 0."""
+def _with_channels(valid: np.ndarray, channels: int, *stacks: np.ndarray) -> list[np.ndarray]:
+    """Stacks as (n, h, w), or of several values a pixel as (n, h, w, c)."""
+    return [s if channels == 1 else s.reshape(*valid.shape, channels) for s in stacks]
+
+
+def ssim(rows: DataFrame, keys: list[str], height: int, width: int, channels: int = 1) -> DataFrame:
+    """Full-frame structural similarity with pixels outside ``valid`` set to 0; of several ``channels`` (values a pixel), their mean."""
 
     def make(gt, pred, valid):
-        ok = valid.astype(bool)
+        gt, pred = _with_channels(valid, channels, gt, pred)
+        ok = valid.astype(bool) if channels == 1 else valid.astype(bool)[..., None]
         return kernels.ssim(np.where(ok, gt, 0.0), np.where(ok, pred, 0.0))
 
     return map_stacks(rows, keys, height, width, ["gt", "pred", "valid"], make, T.StructField("ssim", T.DoubleType()))
 
 
-def masked_ssim(rows: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Structural similarity within the mask's bounding box."""
+def masked_ssim(rows: DataFrame, keys: list[str], height: int, width: int, channels: int = 1) -> DataFrame:
+    """Structural similarity within the mask's bounding box; of several ``channels`` (values a pixel), their mean."""
 
     def make(gt, pred, valid):
+        gt, pred = _with_channels(valid, channels, gt, pred)
         return np.array([kernels.masked_ssim(g, p, v.astype(bool)) for g, p, v in zip(gt, pred, valid, strict=True)], float)
 
     return map_stacks(rows, keys, height, width, ["gt", "pred", "valid"], make, T.StructField("ssim", T.DoubleType()))

@@ -157,6 +157,14 @@ def ssim_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images.ssim(embedding_maps(spark, sf_dir), ["image"], SIDE, SIDE))
 
 
+@query
+def masked_ssim_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of maps of three colours within the mask's box; null where that is smaller than a window."""
+    colours = lambda c: F.flatten(F.transform(c, lambda v: F.array(v, v / 2 + 0.3, 1 - v)))
+    maps = embedding_maps(spark, sf_dir).withColumns({"gt": colours("gt"), "pred": colours("pred")})
+    return rounded(images.masked_ssim(maps, ["image"], SIDE, SIDE, channels=3))
+
+
 @query
 def unit_scale_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("image"), (F.col("l_quantity") * F.when(F.col("l_suppkey") % 2 == 0, 10.0).otherwise(0.1)).alias("depth"))

@@ -196,6 +196,17 @@ SELECT image, {r("avg(((2 * ma * mb + 0.0001) * (2 * vab + 0.0009)) / ((ma * ma
 """
 
 _SSIM = "avg(((2 * ma * mb + 0.0001) * (2 * vab + 0.0009)) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)))"
+_COLOURS = "[{v}, {v} / 2 + 0.3::DOUBLE, 1 - {v}]"
+ORACLE_SQL["masked_ssim_colour"] = f"""
+WITH {px()}, box AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px WHERE valid GROUP BY image
+), ch AS (SELECT image, y, x, c, {_COLOURS.format(v="gt")}[c] AS a, CASE WHEN valid THEN {_COLOURS.format(v="pred")}[c] ELSE {_COLOURS.format(v="gt")}[c] END AS b FROM px, range(1, 4) t(c)
+), w AS (
+  SELECT image, c, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM ch JOIN box USING (image), range(2) p(cy), range(2) q(cx)
+  WHERE y BETWEEN y0 + cy AND y0 + cy + 6 AND y0 + cy + 6 <= y1 AND x BETWEEN x0 + cx AND x0 + cx + 6 AND x0 + cx + 6 <= x1 GROUP BY ALL
+), s AS (SELECT image, c, {_SSIM} AS s FROM w GROUP BY image, c)
+SELECT image, {r("avg(s)", "ssim")} FROM (SELECT DISTINCT image FROM px) LEFT JOIN s USING (image) GROUP BY image
+"""
+
 ORACLE_SQL["albedo_summary"] = f"""
 WITH {px()}, {errors("px", "image, category")}, z AS (SELECT image, y, x, CASE WHEN valid THEN gt ELSE 0 END AS a, CASE WHEN valid THEN pred ELSE 0 END AS b FROM px
 ), w AS (
