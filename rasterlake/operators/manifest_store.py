@@ -97,12 +97,12 @@ class ManifestStore:
     def _touched(self, folder: str) -> list[int]:
         return sorted(int(s.getPath().getName().split("=")[1]) for s in self.fs.listStatus(self._file(f"{self.path}/{folder}")) if "=" in s.getPath().getName())
 
-    def commit(self, batch: int, entries: DataFrame) -> bool:
-        """Add a batch; False, and nothing changes, if one of its number was committed before."""
+    def commit(self, batch: int, entries: DataFrame, after: int | None = None) -> bool:
+        """Add a batch; False, and nothing changes, if one of its number was committed before, or if version ``after`` (where given) isn't the newest any more."""
         folder = None
         for _ in range(TRIES):
             number, now = self.version()
-            if any(a <= batch <= b for a, b in now["batches"]):
+            if any(a <= batch <= b for a, b in now["batches"]) or (after is not None and number != after):
                 break
             if folder is None:
                 folder = f"deltas/{batch}-{uuid.uuid4().hex}"

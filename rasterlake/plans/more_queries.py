@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import texts as X
 from ..operators import manifest, matching, records, settings
 from ..operators.manifest_store import ManifestStore
+from ..operators.retry_queue import RetryQueue, exponential
 from ..sources import scan, sinks, staging
 from ..sources.tables import table
 
@@ -206,6 +207,23 @@ def manifest_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+@query("""
+WITH t AS (SELECT DISTINCT user_id, user_id % 5 AS fails, user_id % 7 = 0 AS hard FROM events
+), n AS (SELECT user_id, fails, hard, CASE WHEN hard AND fails > 0 THEN 0 ELSE least(fails, 3) END AS again FROM t)
+SELECT user_id, CASE WHEN (hard AND fails > 0) OR fails > 3 THEN 'failed' ELSE 'done' END AS state, again::INTEGER AS attempt, list_sum([0.0::DOUBLE] || list_transform(range(again), lambda k: least(20, 5 * pow(2, k))::DOUBLE)) AS finished FROM n
+""")
+def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as tasks that fail so many times, some of them for good; the waits double up to 20 seconds."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    queue = RetryQueue(ManifestStore(spark, staging.new_folder(spark), ["user_id"], "seq", buckets=8), retries=3, wait=exponential(5, 20))
+    queue.add(users)
+    while (now := queue.next_due()) is not None:
+        claimed = queue.claim(now)
+        error = F.when(F.col("attempt") < F.col("user_id") % 5, "late")
+        queue.report(claimed.withColumns({"error": error, "retryable": F.col("user_id") % 7 != 0}), now)
+    return queue.tasks().select("user_id", "state", "attempt", F.col("due").alias("finished"))
+
+
 @query("SELECT max(event_id) AS event_id, user_id, event_type FROM events WHERE user_id % 97 = 3 GROUP BY user_id, event_type")
 def manifest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of some keys from a store that reads only their buckets."""
