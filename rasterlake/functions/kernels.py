@@ -210,7 +210,10 @@ def depth_metrics(gt: np.ndarray, pred: np.ndarray, valid: np.ndarray, polarity:
     g, a, e = np.maximum(gt, 1e-6), np.maximum(aligned, 1e-6), np.abs(aligned - gt)
     ratio = np.maximum(a / g, g / a)
     rmse = np.sqrt(_mean(e * e, ok, n))
-    out = {"valid_pixels": n, "mask_excluded": (~valid).sum(1), "polarity": np.where(near, "near_white", "far_white"), "rho": np.where(near, -rho, rho), "scale": scale, "shift": shift, "absrel": _mean(e / g, ok, n), "rmse": rmse, "rms": rmse, "mae": _mean(e, ok, n)}
+    out = {
+        "valid_pixels": n, "mask_excluded": (~valid).sum(1), "polarity": np.where(near, "near_white", "far_white"), "rho": np.where(near, -rho, rho), "scale": scale,
+        "shift": shift, "absrel": _mean(e / g, ok, n), "rmse": rmse, "rms": rmse, "mae": _mean(e, ok, n)
+    }
     out |= {k: _mean(ratio < t, ok, n) for k, t in (("delta1", 1.25), ("delta2", 1.25**2), ("delta3", 1.25**3), ("delta05", delta05))}
     out |= {"log10": _mean(np.abs(np.log10(a) - np.log10(g)), ok, n), "mean_oriented": mx}
     few = n < 2

@@ -14,8 +14,14 @@ MIN_PIXELS, MAX_PIXELS, MAX_RATIO = 768 * 768, 2048 * 2048, 8.0
 DEFAULT_SIZE = (1280, 720)
 
 # fixed values: messages by which an error is skipped or tried again
-SKIP_MESSAGES = ["InputTextSensitiveContentDetected", "InputImageSensitiveContentDetected", "SensitiveContentDetected", "sensitive information", "sensitive content", "moderation_blocked", "rejected by the safety system", "image_generation_user_error"]
-RETRY_MESSAGES = ["APITimeoutError", "APIConnectionError", "RateLimitError", "ConnectError", "ReadTimeout", "timed out", "Connection refused", "Connection reset", "connection aborted", "temporarily unavailable", "rate limit", "rate_limit", "Too Many Requests"]
+SKIP_MESSAGES = [
+    "InputTextSensitiveContentDetected", "InputImageSensitiveContentDetected", "SensitiveContentDetected", "sensitive information", "sensitive content",
+    "moderation_blocked", "rejected by the safety system", "image_generation_user_error"
+]
+RETRY_MESSAGES = [
+    "APITimeoutError", "APIConnectionError", "RateLimitError", "ConnectError", "ReadTimeout", "timed out", "Connection refused", "Connection reset", "connection aborted",
+    "temporarily unavailable", "rate limit", "rate_limit", "Too Many Requests"
+]
 RETRY_STATUS = [429, 500, 502, 503, 504]
 
 

@@ -70,7 +70,10 @@ def depth_metrics(rows: DataFrame, keys: list[str], settings: DepthSettings, ful
         if full:
             found["tau"] = _tau(gt, found["oriented"], found["ok"], names, settings.max_pixels, settings.seed)
             shape = (len(gt), settings.height, settings.width)
-            found["boundary_f1"] = kernels.boundary_f1(found["aligned"].reshape(shape), np.where(found["ok"], gt, 1.0).reshape(shape), found["ok"].reshape(shape), settings.t_min, settings.t_max, settings.thresholds)
+            found["boundary_f1"] = kernels.boundary_f1(
+                found["aligned"].reshape(shape), np.where(found["ok"], gt, 1.0).reshape(shape), found["ok"].reshape(shape), settings.t_min, settings.t_max,
+                settings.thresholds
+            )
         return found
 
     more = {"tau": "double", "boundary_f1": "double"} if full else {}

@@ -102,4 +102,7 @@ def progress(inputs: DataFrame, done: DataFrame, group: str, keys: list[str], sk
     out = flags.rollup(group).agg(F.count("*").alias("n_input"), F.count("__done").alias("n_done"), *extra, F.grouping(group).alias("__all"))
     gone = F.col("n_done") + (F.col("n_skipped") if extra else F.lit(0))
     percent = F.when(F.col("n_input") > 0, F.col("n_done") * 100.0 / F.col("n_input")).otherwise(0.0)
-    return out.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n_input", "n_done", *(["n_skipped"] if extra else []), F.greatest(F.lit(0), F.col("n_input") - gone).cast("long").alias("n_remaining"), F.round(percent, 2).alias("percent"))
+    return out.select(
+        F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n_input", "n_done", *(["n_skipped"] if extra else []),
+        F.greatest(F.lit(0), F.col("n_input") - gone).cast("long").alias("n_remaining"), F.round(percent, 2).alias("percent")
+    )

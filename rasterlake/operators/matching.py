@@ -75,7 +75,16 @@ def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame,
     if never:
         placed = F.filter(placed, lambda c: ~c["path"].eqNullSafe(F.col(never)))
     stems = F.array_distinct(F.transform(placed, lambda c: c["stem"]))
-    of_stem = F.transform(stems, lambda s: F.struct(s.alias("stem"), F.transform(F.filter(placed, lambda c: c["stem"] == s), lambda c: F.struct(F.substring(c["path"], F.length(s) + 1, F.length(c["path"])).alias("ext"), c["place"].alias("place"))).alias("tries")))
+    of_stem = F.transform(
+        stems,
+        lambda s: F.struct(
+            s.alias("stem"),
+            F.transform(
+                F.filter(placed, lambda c: c["stem"] == s),
+                lambda c: F.struct(F.substring(c["path"], F.length(s) + 1, F.length(c["path"])).alias("ext"), c["place"].alias("place"))
+            ).alias("tries")
+        )
+    )
     sent = rows.select(key, F.explode(of_stem).alias("t")).select(key, F.col("t.stem").alias("__stem"), F.col("t.tries").alias("__tries"))
     met = sent.join(files.withColumn("__stem", _index(F.col(path))), "__stem")
     ext = F.substring(F.col(path), F.length("__stem") + 1, F.length(path))

@@ -126,7 +126,8 @@ def metallic_errors(pixels: DataFrame, keys: list[str], min_weight: float = 10.0
     e = p - g
     out = pixels.groupBy(*keys).agg(
         F.count(e).alias("valid_pixels"), F.sum(F.abs(e)).alias("sum_abs"), F.sum(e * e).alias("sum_sq"), F.sum(g).alias("metal_weight"), F.sum(1 - g).alias("nonmetal_weight"),
-        F.sum(g * F.abs(e)).alias("metal_abs"), F.sum((1 - g) * F.abs(e)).alias("nonmetal_abs"), F.sum(e).alias("signed_sum"), F.sum(F.greatest(e, F.lit(0.0))).alias("over_sum"), F.sum(F.greatest(-e, F.lit(0.0))).alias("under_sum"), F.avg(p).alias("pred_mean"),
+        F.sum(g * F.abs(e)).alias("metal_abs"), F.sum((1 - g) * F.abs(e)).alias("nonmetal_abs"), F.sum(e).alias("signed_sum"), F.sum(F.greatest(e, F.lit(0.0))).alias("over_sum"),
+        F.sum(F.greatest(-e, F.lit(0.0))).alias("under_sum"), F.avg(p).alias("pred_mean"),
     ).filter("valid_pixels > 0")
     n = F.col("valid_pixels")
     gate = lambda s, w: F.when(F.col(w) >= min_weight, safe_div(F.col(s), F.col(w)))
@@ -157,8 +158,10 @@ def metallic_summary(rows: DataFrame, groups: DataFrame | None, *levels: list[st
         out = renamed.join(out, same, "left").select(*[F.col(f"__k_{k}").alias(k) for k in keys], *[c for c in out.columns if c not in keys])
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(
-        *keys, count("n").alias("n_images"), count("v").alias("valid_total"), "gt_mean_mean", "pred_mean_mean", "mae_mean", "mae_median", "mae_std", "rmse_mean", "psnr_mean", *[f"{m}_mean" for m in present], "metal_mae_mean", "nonmetal_mae_mean",
-        safe_div(F.col("metal_abs"), F.col("metal_weight")).alias("metal_mae_micro"), safe_div(F.col("nonmetal_abs"), F.col("nonmetal_weight")).alias("nonmetal_mae_micro"), safe_div(F.col("over_sum"), F.col("v")).alias("over_micro"), safe_div(F.col("under_sum"), F.col("v")).alias("under_micro"),
+        *keys, count("n").alias("n_images"), count("v").alias("valid_total"), "gt_mean_mean", "pred_mean_mean", "mae_mean", "mae_median", "mae_std", "rmse_mean", "psnr_mean",
+        *[f"{m}_mean" for m in present], "metal_mae_mean", "nonmetal_mae_mean",
+        safe_div(F.col("metal_abs"), F.col("metal_weight")).alias("metal_mae_micro"), safe_div(F.col("nonmetal_abs"), F.col("nonmetal_weight")).alias("nonmetal_mae_micro"),
+        safe_div(F.col("over_sum"), F.col("v")).alias("over_micro"), safe_div(F.col("under_sum"), F.col("v")).alias("under_micro"),
         count("nm").alias("n_metal_weighted"), count("nn").alias("n_nonmetal_weighted"),
     )
 
@@ -178,6 +181,12 @@ def lighting_statistics(luma: DataFrame, by: list[str], linear: str = "y_lin", s
     run = w.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumns({"cum": F.sum("n").over(run), "total": F.sum("n").over(w)})
     at = lambda q: F.min(F.when(F.col("cum") >= F.col("total") * q, F.col("__bin"))) / (bins - 1)
-    out = cells.groupBy(*by).agg(F.sum("n").alias("n_pixels"), F.sum("sl").alias("sl"), F.sum("ss").alias("ss"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), at(0.05).alias("p5"), at(0.95).alias("p95"))
+    out = cells.groupBy(*by).agg(
+        F.sum("n").alias("n_pixels"), F.sum("sl").alias("sl"), F.sum("ss").alias("ss"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), at(0.05).alias("p5"),
+        at(0.95).alias("p95")
+    )
     n = F.col("n_pixels")
-    return out.select(*by, "n_pixels", (F.col("sl") / n).alias("mean_luminance"), (F.col("ss") / n).alias("mean_luma_srgb"), "p5", "p95", F.log2((F.col("p95") + 1e-6) / (F.col("p5") + 1e-6)).alias("stops"), (F.col("hi") / n).alias("highlight_ratio"), (F.col("lo") / n).alias("dark_ratio"))
+    return out.select(
+        *by, "n_pixels", (F.col("sl") / n).alias("mean_luminance"), (F.col("ss") / n).alias("mean_luma_srgb"), "p5", "p95",
+        F.log2((F.col("p95") + 1e-6) / (F.col("p5") + 1e-6)).alias("stops"), (F.col("hi") / n).alias("highlight_ratio"), (F.col("lo") / n).alias("dark_ratio")
+    )

@@ -33,7 +33,9 @@ def with_defaults(parsed: Column) -> dict[str, Column]:
     """An analysis's five fields from its JSON text: missing ones empty, single notes as lists, a malformed view list empty."""
     get = lambda path: F.get_json_object(parsed, f"$.{path}")
     as_list = lambda v: F.when(v.isNull(), F.array().cast("array<string>")).when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
-    views = F.when(get("per_view").startswith("["), F.from_json(get("per_view"), "array<struct<image_name:string,albedo_hint:string>>")).otherwise(F.array().cast("array<struct<image_name:string,albedo_hint:string>>"))
+    views = F.when(
+        get("per_view").startswith("["), F.from_json(get("per_view"), "array<struct<image_name:string,albedo_hint:string>>")
+    ).otherwise(F.array().cast("array<struct<image_name:string,albedo_hint:string>>"))
     return {
         "scene_summary": F.coalesce(get("scene_summary"), F.lit("")), "material_notes": as_list(get("albedo_material_notes")), "lighting_notes": as_list(get("albedo_lighting_notes")),
         "prompt_suffix": F.coalesce(get("albedo_prompt_suffix"), F.lit("")), "per_view": views,
@@ -48,7 +50,10 @@ def hint_of(views: Column, image: Column) -> Column:
 def disagreement(rows: DataFrame, keys: list[str], field: str, value: str) -> DataFrame:
     """Fields for which a scene's auditors gave more than one distinct value, from rows (keys, field, value)."""
     per = rows.groupBy(*keys, field).agg(F.count("*").alias("n_votes"), F.size(F.collect_set(value)).alias("n_distinct"))
-    return per.groupBy(*keys).agg(F.count("*").alias("n_fields"), F.count_if(F.col("n_distinct") > 1).alias("n_disagreeing"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n_distinct") > 1, F.col(field)))), ",").alias("fields"))
+    return per.groupBy(*keys).agg(
+        F.count("*").alias("n_fields"), F.count_if(F.col("n_distinct") > 1).alias("n_disagreeing"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("n_distinct") > 1, F.col(field)))), ",").alias("fields")
+    )
 
 
 def review_context(merged: DataFrame, fields: list[str], disagreeing: str) -> Column:

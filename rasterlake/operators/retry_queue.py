@@ -75,7 +75,10 @@ class RetryQueue:
             spent = lost & (F.col("attempt") >= self.retries)
             ready = held.filter(((F.col("state") == "waiting") & (F.col("due") <= now)) | lost)
             state, attempt = F.when(spent, "failed").otherwise("claimed"), F.col("attempt") + (lost & ~spent).cast("int")
-            return ready.select(*self.store.keys, *_state(state, attempt, F.col("due"), F.when(~spent, now + self.lease), F.when(~spent, claim), F.when(spent, "the lease ended")), F.lit(seq).cast("long").alias("seq"))
+            return ready.select(
+                *self.store.keys, *_state(state, attempt, F.col("due"), F.when(~spent, now + self.lease), F.when(~spent, claim), F.when(spent, "the lease ended")),
+                F.lit(seq).cast("long").alias("seq")
+            )
 
         return self._step(due).filter("state = 'claimed'").select(*self.store.keys, "attempt", "claim")
 

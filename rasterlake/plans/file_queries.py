@@ -89,7 +89,10 @@ def scan_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.preferred_inputs(named_files(spark, sf_dir)).select("path")
 
 
-@query(f"WITH {NAMES}, q AS (SELECT path, {_RANK} + CASE WHEN folder <> '' THEN 1 ELSE 0 END AS rank FROM f WHERE NOT ends_with(low, '_im.png')) SELECT path FROM q WHERE rank = (SELECT min(rank) FROM q)")
+@query(f"""
+WITH {NAMES}, q AS (SELECT path, {_RANK} + CASE WHEN folder <> '' THEN 1 ELSE 0 END AS rank FROM f WHERE NOT ends_with(low, '_im.png')) SELECT path FROM q
+       WHERE rank = (SELECT min(rank) FROM q)
+""")
 def scan_preferred_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without files that end with _im, the next class is that of Image_ at the top, then deeper."""
     rows = named_files(spark, sf_dir).filter(~F.lower("path").endswith("_im.png"))
@@ -189,7 +192,10 @@ def npy(k: int) -> bytes:
     return out.getvalue()
 
 
-@query(f"WITH {GT} SELECT k, y, x, round(v, 6)::DOUBLE AS v, NULL AS error FROM z WHERE k % 2 = 1 OR k % 3 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'ValueError: expected a 2-D array, found shape (4, 6, 2)' FROM supplier WHERE s_suppkey % 6 = 0")
+@query(f"""
+WITH {GT} SELECT k, y, x, round(v, 6)::DOUBLE AS v, NULL AS error FROM z WHERE k % 2 = 1 OR k % 3 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL,
+       'ValueError: expected a 2-D array, found shape (4, 6, 2)' FROM supplier WHERE s_suppkey % 6 = 0
+""")
 def read_npy_squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of one channel, and those that aren't, with the error in place of values."""
     rows = decoded_files(spark, sf_dir, npy, "npy", "npy")
@@ -201,7 +207,10 @@ def dat(k: int) -> bytes:
     return struct.pack("<II", H, W + (k % 5 == 0)) + (depths(k) * (1000 if k % 2 else 1)).astype("<f4").tobytes()
 
 
-@query(f"WITH {GT} SELECT k, y, x, v::DOUBLE AS v, NULL AS error FROM z WHERE k % 5 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'ValueError: header says 4 x 7, the file has 24 values' FROM supplier WHERE s_suppkey % 5 = 0")
+@query(f"""
+WITH {GT} SELECT k, y, x, v::DOUBLE AS v, NULL AS error FROM z WHERE k % 5 <> 0 UNION ALL SELECT s_suppkey, NULL, NULL, NULL,
+       'ValueError: header says 4 x 7, the file has 24 values' FROM supplier WHERE s_suppkey % 5 = 0
+""")
 def read_dat_in_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw depths with a header; millimetres are recognised, a wrong size is an error of that file alone."""
     rows = decoded_files(spark, sf_dir, dat, "dat", "dat")
@@ -237,7 +246,9 @@ def _axis(size: int, target: int, name: str, kind: str = "bilinear") -> str:
 ), {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}0 WHERE w <> 0)"""
 
 
-@query(f"WITH {PIXELS}, {_axis(H, 2, 'wy')}, {_axis(W, 3, 'wx')} SELECT k, wy.i AS y, wx.i AS x, c, round(sum(v / 255 * wy.w * wx.w), 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
+@query(
+    f"WITH {PIXELS}, {_axis(H, 2, 'wy')}, {_axis(W, 3, 'wx')} SELECT k, wy.i AS y, wx.i AS x, c, round(sum(v / 255 * wy.w * wx.w), 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c"
+)
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decoded_files(spark, sf_dir, png, "png", "rgb")
     return pixel_rows(rows.select("k", rasters.resized(F.col("r"), 2, 3).alias("r")))
@@ -301,7 +312,11 @@ def gray_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(gray.select("k", rasters.decoded(F.col("content"), "gray").alias("r")))
 
 
-@query(f"WITH {PIXELS}, {_axis(H, 2, 'wy', 'lanczos')}, {_axis(W, 3, 'wx', 'lanczos')} SELECT k, wy.i AS y, wx.i AS x, c, round(round(least(1, greatest(0, sum(v / 255 * wy.w * wx.w))) * 255) / 255, 6) + 0.0 AS v FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c")
+@query(
+    f"WITH {PIXELS}, {_axis(H, 2, 'wy', 'lanczos')}, {_axis(W, 3, 'wx', 'lanczos')} "
+    "SELECT k, wy.i AS y, wx.i AS x, c, round(round(least(1, greatest(0, sum(v / 255 * wy.w * wx.w))) * 255) / 255, 6) + 0.0 AS v "
+    "FROM p JOIN wy ON wy.j = p.y JOIN wx ON wx.j = p.x GROUP BY k, wy.i, wx.i, c"
+)
 def data_uri_downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of at most three pixels a side as data URIs, and the pixels that these decode to."""
     from ..functions.texts import data_uri
@@ -312,7 +327,10 @@ def data_uri_downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(uris.select("k", rasters.decoded(content, "rgb").alias("r")))
 
 
-@query(f"WITH {GT}, s AS (SELECT *, min(v) OVER (PARTITION BY k) AS lo, max(v) OVER (PARTITION BY k) AS hi FROM z) SELECT k, y, x, c, round((v - lo) / (hi - lo), 6)::DOUBLE AS v FROM s, range(3) t(c)")
+@query(f"""
+WITH {GT}, s AS (SELECT *, min(v) OVER (PARTITION BY k) AS lo, max(v) OVER (PARTITION BY k) AS hi FROM z) SELECT k, y, x, c, round((v - lo) / (hi - lo), 6)::DOUBLE AS v
+       FROM s, range(3) t(c)
+""")
 def pseudo_rgb_of_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decoded_files(spark, sf_dir, lambda k: struct.pack("<II", H, W) + depths(k).astype("<f4").tobytes(), "dat", "dat")
     return pixel_rows(rows.select("k", F.col("r").withField("data", N.pseudo_rgb(F.col("r.data"))).withField("channels", F.lit(3)).alias("r")))
@@ -340,7 +358,9 @@ def read_json_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS text FROM supplier")
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts trimmed; blank ones are empty."""
-    return key_of(json_files.texts(spark, text_files(spark, sf_dir, lambda k, n, r: "  \n" if k % 4 == 0 else f"  {n} ", "{k}.txt"))).select("k", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text"))
+    return key_of(
+        json_files.texts(spark, text_files(spark, sf_dir, lambda k, n, r: "  \n" if k % 4 == 0 else f"  {n} ", "{k}.txt"))
+    ).select("k", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text"))
 
 
 def record(k: int, name: str, region: int) -> str:
@@ -348,13 +368,19 @@ def record(k: int, name: str, region: int) -> str:
     return json.dumps(out | ({"metadata": {"source": "synthetic"}} if k % 2 else {}))
 
 
-@query("SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS sample_id, s_name || '.png' AS image_path, s_suppkey / 8 AS roughness, (s_nationkey % 5) / 4 AS metallic, s_suppkey % 2 AS n_metadata FROM supplier")
+@query("""
+SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS sample_id, s_name || '.png' AS image_path, s_suppkey / 8 AS roughness, (s_nationkey % 5) / 4 AS metallic,
+       s_suppkey % 2 AS n_metadata FROM supplier
+""")
 def load_annotation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = json_files.records(json_files.texts(spark, text_files(spark, sf_dir, record)))
     return rows.select("sample_id", "image_path", "physical_properties.roughness", "physical_properties.metallic", F.size("metadata").alias("n_metadata"))
 
 
-@query("SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS id, s_name || '.png' AS image, s_name AS albedo, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey / 2 ELSE 0 END AS mae, 0.0::DOUBLE AS rmse FROM supplier")
+@query("""
+SELECT 'sample_' || lpad(s_suppkey::VARCHAR, 8, '0') AS id, s_name || '.png' AS image, s_name AS albedo, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey / 2 ELSE 0 END AS mae,
+       0.0::DOUBLE AS rmse FROM supplier
+""")
 def baseline_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and metrics under the names that comparisons use; metrics that lack are 0."""
     from ..operators import records
@@ -377,7 +403,10 @@ def collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'r' || (s_nationkey % 5) AS relative_image_path, max_by('p' || s_suppkey, lpad(s_suppkey::VARCHAR, 8, '0')) AS prompt FROM supplier GROUP BY (s_nationkey % 5)")
 def manifest_prompt_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts by image from many manifests; of equal images the last counts."""
-    root = text_files(spark, sf_dir, lambda k, n, r: json.dumps([{"relative_image_path": f"r{r}", "prompt": "early"}, {"relative_image_path": f"r{r}", "prompt": f"p{k}"}, {"prompt": "no path"}]), "{k:08d}.json")
+    root = text_files(
+        spark, sf_dir, lambda k, n,
+        r: json.dumps([{"relative_image_path": f"r{r}", "prompt": "early"}, {"relative_image_path": f"r{r}", "prompt": f"p{k}"}, {"prompt": "no path"}]), "{k:08d}.json"
+    )
     return json_files.manifest_entries(json_files.texts(spark, root)).select("relative_image_path", F.get_json_object("entry", "$.prompt").alias("prompt"))
 
 
@@ -391,7 +420,10 @@ def config_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.unionByName(rows.filter("k % 3 <> 0").select("k", F.array_join(json_files.missing_config_keys(F.col("text")), ",").alias("missing")))
 
 
-@query("SELECT s.split, 's' || s_suppkey AS sample_id FROM supplier, (VALUES ('train'), ('val'), ('test')) s(split) WHERE (s.split = 'train' AND s_suppkey % 25 < 20) OR (s.split = 'val' AND s_suppkey % 25 >= 15) OR (s.split = 'test' AND s_suppkey % 5 = 0)")
+@query("""
+SELECT s.split, 's' || s_suppkey AS sample_id FROM supplier, (VALUES ('train'), ('val'), ('test')) s(split) WHERE (s.split = 'train'
+       AND s_suppkey % 25 < 20) OR (s.split = 'val' AND s_suppkey % 25 >= 15) OR (s.split = 'test' AND s_suppkey % 5 = 0)
+""")
 def read_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memberships of split files, one for each nation; splits overlap."""
     k = F.col("s_suppkey")
@@ -413,7 +445,8 @@ def out_folder(spark) -> str:
 def metric_rows(spark, sf_dir) -> DataFrame:
     v = F.col("s_suppkey") / 8
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("k"), "s_name", F.when(F.col("s_suppkey") % 4 == 0, float("inf")).otherwise(v).alias("psnr"), F.when(F.col("s_suppkey") % 2 == 0, "mainaxis").when(F.col("s_suppkey") % 3 == 0, "unknown").otherwise("stresstest").alias("split")
+        F.col("s_suppkey").alias("k"), "s_name", F.when(F.col("s_suppkey") % 4 == 0, float("inf")).otherwise(v).alias("psnr"),
+        F.when(F.col("s_suppkey") % 2 == 0, "mainaxis").when(F.col("s_suppkey") % 3 == 0, "unknown").otherwise("stresstest").alias("split")
     )
 
 
@@ -430,7 +463,10 @@ def sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
     sinks.write_summary(metric_rows(spark, sf_dir).select("k", "s_name", F.struct(F.array("psnr").alias("values")).alias("inner")), path)
     rows = spark.read.text(path)
-    return rows.select(F.get_json_object("value", "$.k").cast("int").alias("k"), F.get_json_object("value", "$.inner.values[0]").try_cast("double").alias("psnr"), F.size(F.json_object_keys("value")).alias("n_fields"))
+    return rows.select(
+        F.get_json_object("value", "$.k").cast("int").alias("k"), F.get_json_object("value", "$.inner.values[0]").try_cast("double").alias("psnr"),
+        F.size(F.json_object_keys("value")).alias("n_fields")
+    )
 
 
 @query("SELECT (s_nationkey % 5) AS region, count(*) AS n, max(s_suppkey) AS top FROM supplier GROUP BY (s_nationkey % 5)")
@@ -487,7 +523,9 @@ def sink_manifest_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS scene, s_name AS images, 'failed' AS error FROM supplier WHERE s_suppkey % 3 = 0")
 def sink_failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = out_folder(spark)
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scene"), F.col("s_name").alias("images"), F.when(F.col("s_suppkey") % 3 == 0, "failed").alias("error"), F.lit(1).alias("more"))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("scene"), F.col("s_name").alias("images"), F.when(F.col("s_suppkey") % 3 == 0, "failed").alias("error"), F.lit(1).alias("more")
+    )
     sinks.append_lines(sinks.failure_rows(rows), path)
     return spark.read.schema("scene int, images string, error string").json(path)
 

@@ -36,7 +36,10 @@ def labels(spark, sf_dir) -> DataFrame:
 # filters
 
 
-@query("WITH f AS (SELECT p_partkey, p_size % 4 AS k FROM part) SELECT 'auto' AS kind, count(*) FILTER (WHERE k < 2) AS n FROM f UNION ALL SELECT 'dat', count(*) FILTER (WHERE k = 0) FROM f UNION ALL SELECT 'exr', count(*) FILTER (WHERE k = 1) FROM f")
+@query("""
+WITH f AS (SELECT p_partkey, p_size % 4 AS k FROM part) SELECT 'auto' AS kind, count(*) FILTER (WHERE k < 2) AS n FROM f UNION ALL SELECT 'dat',
+       count(*) FILTER (WHERE k = 0) FROM f UNION ALL SELECT 'exr', count(*) FILTER (WHERE k = 1) FROM f
+""")
 def format_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ground truth by format: either, or one of both."""
     k = F.col("p_size") % 4
@@ -51,11 +54,18 @@ SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN
 def metallic_prediction_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 6
     camera = F.concat(F.lit("cam"), F.col("p_partkey").cast("string"))
-    last = F.when(k == 0, "metallic/Image_1_metallic.png").when(k == 1, "metallic/other_metallic.png").when(k == 2, F.concat(F.lit("Image/"), camera, F.lit("/x_metallic.PNG"))).when(k == 3, F.concat(F.lit("Image/"), camera, F.lit("/Image_7.png"))).when(k == 4, F.concat(F.lit("Image/"), camera, F.lit("/Image_7_albedo.png"))).otherwise(F.concat(F.lit("Image/"), camera, F.lit("/Image_7.jpg")))
+    below = lambda name: F.concat(F.lit("Image/"), camera, F.lit(name))
+    last = (
+        F.when(k == 0, "metallic/Image_1_metallic.png").when(k == 1, "metallic/other_metallic.png").when(k == 2, below("/x_metallic.PNG"))
+        .when(k == 3, below("/Image_7.png")).when(k == 4, below("/Image_7_albedo.png")).otherwise(below("/Image_7.jpg"))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", P.is_metallic_prediction(F.concat(F.lit("s/r/"), last)).alias("wanted"))
 
 
-@query("SELECT n_name, CAST(CASE n_name WHEN 'KENYA' THEN 0 WHEN 'FRANCE' THEN 1 END AS INTEGER) AS place FROM nation WHERE n_name IN ('KENYA', 'FRANCE') UNION ALL SELECT 'ATLANTIS', 2 UNION ALL SELECT n, p FROM (VALUES ('KENYA', 0), ('FRANCE', 1)) t(n, p) WHERE n NOT IN (SELECT n_name FROM nation)")
+@query("""
+SELECT n_name, CAST(CASE n_name WHEN 'KENYA' THEN 0 WHEN 'FRANCE' THEN 1 END AS INTEGER) AS place FROM nation WHERE n_name IN ('KENYA',
+       'FRANCE') UNION ALL SELECT 'ATLANTIS', 2 UNION ALL SELECT n, p FROM (VALUES ('KENYA', 0), ('FRANCE', 1)) t(n, p) WHERE n NOT IN (SELECT n_name FROM nation)
+""")
 def include_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a requested list in its order, then the names that no row has."""
     found, missing = matching.include_list(table(spark, sf_dir, "nation").select("n_name"), "n_name", ["KENYA", "FRANCE", "ATLANTIS", "KENYA"])
@@ -65,12 +75,15 @@ def include_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT false AS overwrite, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT true, count(*) FROM documents")
 def pending_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs without a complete output, and all of them where outputs are overwritten."""
-    done = lambda overwrite: manifest.pending(docs(spark, sf_dir), labels(spark, sf_dir), ["doc_id"], F.col("quality") == 1, overwrite).agg(F.count("*").alias("n")).select(F.lit(overwrite).alias("overwrite"), "n")
+    done = lambda overwrite: manifest.pending(
+        docs(spark, sf_dir), labels(spark, sf_dir), ["doc_id"], F.col("quality") == 1, overwrite
+    ).agg(F.count("*").alias("n")).select(F.lit(overwrite).alias("overwrite"), "n")
     return done(False).unionByName(done(True))
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_size % 9 - 4 AS width, 1 + (p_size % 5) * 0.1::DOUBLE AS t_min, CASE p_size % 7 WHEN 0 THEN 'up' WHEN 1 THEN 'near_white' ELSE 'auto' END AS polarity, CASE WHEN p_size % 11 = 0 THEN 'area' ELSE 'bicubic' END AS resize FROM part)
+WITH s AS (SELECT p_partkey, p_size % 9 - 4 AS width, 1 + (p_size % 5) * 0.1::DOUBLE AS t_min, CASE p_size % 7 WHEN 0 THEN 'up'
+       WHEN 1 THEN 'near_white' ELSE 'auto' END AS polarity, CASE WHEN p_size % 11 = 0 THEN 'area' ELSE 'bicubic' END AS resize FROM part)
 SELECT p_partkey, array_to_string(list_filter([
   CASE WHEN width <= 0 THEN 'width and height must be positive' END, CASE WHEN NOT (t_min > 1 AND t_min < 1.25) THEN 'thresholds must rise from above 1' END,
   CASE WHEN polarity = 'up' THEN 'polarity must be auto, far_white or near_white' END, CASE WHEN resize = 'area' THEN 'resize must be nearest, bilinear, bicubic or lanczos' END
@@ -92,11 +105,13 @@ def settings_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH m AS (
-  SELECT CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '.png' WHEN 1 THEN 'd' || doc_id || '.jpg' WHEN 2 THEN 'd' || doc_id || '.tiff' WHEN 3 THEN 'd' || doc_id || '_mask.png' ELSE 'd' || doc_id || '_mask.webp' END AS mask FROM labels
+  SELECT CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '.png' WHEN 1 THEN 'd' || doc_id || '.jpg' WHEN 2 THEN 'd' || doc_id || '.tiff'
+         WHEN 3 THEN 'd' || doc_id || '_mask.png' ELSE 'd' || doc_id || '_mask.webp' END AS mask FROM labels
 ), r AS (SELECT doc_id, 'd' || doc_id || '.png' AS rel, CASE WHEN doc_id % 10 = 0 THEN 'd' || doc_id || '.png' END AS own FROM documents
 ), t AS (
   SELECT doc_id, mask, 0 AS tier, 0 AS place FROM r JOIN m ON mask = rel WHERE mask IS DISTINCT FROM own
-  UNION ALL SELECT doc_id, mask, 1, list_position(['png', 'jpg', 'jpeg', 'webp', 'bmp', 'tif', 'tiff'], string_split(mask, '.')[-1]) FROM r JOIN m ON regexp_replace(mask, '\.[a-z]+$', '') = 'd' || doc_id WHERE mask IS DISTINCT FROM own
+  UNION ALL SELECT doc_id, mask, 1, list_position(['png', 'jpg', 'jpeg', 'webp', 'bmp', 'tif', 'tiff'], string_split(mask, '.')[-1]) FROM r JOIN m ON regexp_replace(mask,
+         '\.[a-z]+$', '') = 'd' || doc_id WHERE mask IS DISTINCT FROM own
   UNION ALL SELECT doc_id, mask, 2, 0 FROM r JOIN m ON regexp_replace(regexp_replace(mask, '\.[a-z]+$', ''), '_mask$', '') = 'd' || doc_id
 ), b AS (SELECT doc_id, min((tier, place, mask)) AS best FROM t GROUP BY doc_id)
 SELECT doc_id, best[3] AS path, best[1] AS tier FROM r LEFT JOIN b USING (doc_id)
@@ -120,7 +135,9 @@ def two_tier_source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of the first tier before all others, then by their place, then by the candidate's."""
     at = lambda n: F.concat(F.lit("S"), (F.col("page_id") % n).cast("string"))
     rows = table(spark, sf_dir, "pages").select("page_id", F.array(at(60), at(25)).alias("candidates"))
-    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("S"), (F.col("s_suppkey") % 40).cast("string")).alias("path"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1).alias("tier"))
+    files = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.concat(F.lit("S"), (F.col("s_suppkey") % 40).cast("string")).alias("path"), F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(1).alias("tier")
+    )
     return matching.first_existing(rows, "page_id", "candidates", files, order=("tier", "s_suppkey")).select("page_id", "path", "tier", "s_suppkey")
 
 
@@ -160,7 +177,10 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skip_by_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both the run's signature and the inputs' fingerprint must be those of the earlier run."""
     now = table(spark, sf_dir, "part").select("p_partkey", X.signature("p_brand", "p_size").alias("signature"), F.sha2("p_name", 256).alias("print"))
-    before = now.filter("p_partkey % 5 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "old").otherwise(F.col("signature")).alias("signature"), F.when(F.col("p_partkey") % 7 == 0, "old").otherwise(F.col("print")).alias("print"))
+    before = now.filter("p_partkey % 5 <> 0").select(
+        "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "old").otherwise(F.col("signature")).alias("signature"),
+        F.when(F.col("p_partkey") % 7 == 0, "old").otherwise(F.col("print")).alias("print")
+    )
     return manifest.skip_state(now, before, ["p_partkey"], "signature", "print").select("p_partkey", "state")
 
 
@@ -188,7 +208,9 @@ def retry_fixed_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey AS scene, n_name AS images, 'late' AS error FROM nation WHERE n_regionkey = 2")
 def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.failure_rows(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scene"), F.col("n_name").alias("images"), F.when(F.col("n_regionkey") == 2, "late").alias("error"), F.lit(1).alias("more")))
+    return sinks.failure_rows(
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scene"), F.col("n_name").alias("images"), F.when(F.col("n_regionkey") == 2, "late").alias("error"), F.lit(1).alias("more"))
+    )
 
 
 @query("""
@@ -210,7 +232,8 @@ def manifest_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT DISTINCT user_id, user_id % 5 AS fails, user_id % 7 = 0 AS hard FROM events
 ), n AS (SELECT user_id, fails, hard, CASE WHEN hard AND fails > 0 THEN 0 ELSE least(fails, 3) END AS again FROM t)
-SELECT user_id, CASE WHEN (hard AND fails > 0) OR fails > 3 THEN 'failed' ELSE 'done' END AS state, again::INTEGER AS attempt, list_sum([0.0::DOUBLE] || list_transform(range(again), lambda k: least(20, 5 * pow(2, k))::DOUBLE)) AS finished FROM n
+SELECT user_id, CASE WHEN (hard AND fails > 0) OR fails > 3 THEN 'failed' ELSE 'done' END AS state, again::INTEGER AS attempt,
+       list_sum([0.0::DOUBLE] || list_transform(range(again), lambda k: least(20, 5 * pow(2, k))::DOUBLE)) AS finished FROM n
 """)
 def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as tasks that fail so many times, some of them for good; the waits double up to 20 seconds."""
@@ -244,7 +267,8 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT p_partkey, trim(lower(CASE p_size % 10 WHEN 0 THEN ' None ' WHEN 1 THEN '_SEG' WHEN 2 THEN ' mask' WHEN 3 THEN '-' WHEN 4 THEN 'Bare' WHEN 5 THEN 'NO_SUFFIX ' WHEN 6 THEN 'noSuffix' WHEN 7 THEN 'null' WHEN 8 THEN '  ' ELSE p_brand END)) AS t FROM part)
+WITH g AS (SELECT p_partkey, trim(lower(CASE p_size % 10 WHEN 0 THEN ' None ' WHEN 1 THEN '_SEG' WHEN 2 THEN ' mask' WHEN 3 THEN '-' WHEN 4 THEN 'Bare'
+       WHEN 5 THEN 'NO_SUFFIX ' WHEN 6 THEN 'noSuffix' WHEN 7 THEN 'null' WHEN 8 THEN '  ' ELSE p_brand END)) AS t FROM part)
 SELECT p_partkey, CASE WHEN t IN ('', 'none', 'bare', 'no_suffix', 'nosuffix') THEN '' WHEN starts_with(t, '_') THEN t ELSE '_' || t END AS suffix FROM g
 """)
 def segmentation_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +290,10 @@ def paired_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour and segmentation folders by the last part of that name, and the paired file."""
     k = F.col("p_partkey").cast("string")
     path = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("a/Image/b/ObjectSegmentation/c_"), k, F.lit("_im.png"))).otherwise(F.concat(F.lit("a/image/c_"), k, F.lit(".png")))
-    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).select("p_partkey", "path", P.swap_folder(F.col("path"), "Image", "ObjectSegmentation").alias("segments"), P.swap_folder(F.col("path"), "ObjectSegmentation", "Image").alias("colours"), P.paired_segment(F.col("path")).alias("paired"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).select(
+        "p_partkey", "path", P.swap_folder(F.col("path"), "Image", "ObjectSegmentation").alias("segments"),
+        P.swap_folder(F.col("path"), "ObjectSegmentation", "Image").alias("colours"), P.paired_segment(F.col("path")).alias("paired")
+    )
 
 
 @query("""
@@ -293,7 +320,9 @@ def segmentation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '1536x1024' WHEN 1 THEN '1024x1024' WHEN 2 THEN '1536x1024' ELSE '1536x1024' END AS size FROM part")
 def size_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 4
-    return table(spark, sf_dir, "part").select("p_partkey", X.size_alias(F.when(k == 0, "2K").when(k == 1, " 1024X1024 ").when(k == 2, "adaptive"), "1536x1024", ["1024x1024", "1536x1024"]).alias("size"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.size_alias(F.when(k == 0, "2K").when(k == 1, " 1024X1024 ").when(k == 2, "adaptive"), "1536x1024", ["1024x1024", "1536x1024"]).alias("size")
+    )
 
 
 @query("SELECT page_id, 'HTTP ' || 400 + page_id % 200 || ' Gone: ' || CASE WHEN length(html) > 300 THEN substr(html, 1, 300) || '...<truncated>' ELSE html END AS summary FROM pages")
@@ -332,20 +361,32 @@ def fence_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "text", "r.json", "r.error")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || 'two' WHEN 2 THEN event_type ELSE 'one' || chr(10) || event_type END AS text, 'http://x/' || event_id AS url FROM events")
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || 'two'
+       WHEN 2 THEN event_type ELSE 'one' || chr(10) || event_type END AS text, 'http://x/' || event_id AS url FROM events
+""")
 def response_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and image addresses from the shapes that answers come in."""
     k, kind = F.col("event_id") % 4, F.col("event_type")
     said = (
-        F.when(k == 0, F.concat(F.lit('{"output_text": "'), kind, F.lit('"}'))).when(k == 1, F.concat(F.lit('{"output": [{"content": [{"text": "'), kind, F.lit('"}, {"text": ""}, {"text": "two"}]}]}')))
-        .when(k == 2, F.concat(F.lit('{"choices": [{"message": {"content": "'), kind, F.lit('"}}]}'))).otherwise(F.concat(F.lit('{"choices": [{"message": {"content": [{"type": "text", "text": "one"}, {"text": "'), kind, F.lit('"}]}}]}')))
+        F.when(k == 0, F.concat(F.lit('{"output_text": "'), kind, F.lit('"}'))).when(
+            k == 1, F.concat(F.lit('{"output": [{"content": [{"text": "'), kind, F.lit('"}, {"text": ""}, {"text": "two"}]}]}'))
+        )
+        .when(k == 2, F.concat(F.lit('{"choices": [{"message": {"content": "'), kind, F.lit('"}}]}'))).otherwise(
+            F.concat(F.lit('{"choices": [{"message": {"content": [{"type": "text", "text": "one"}, {"text": "'), kind, F.lit('"}]}}]}'))
+        )
     )
     image = F.concat(F.lit('{"output": {"choices": [{"message": {"content": [{"text": "t"}, {"image": "http://x/'), F.col("event_id").cast("string"), F.lit('"}]}}]}}'))
     return table(spark, sf_dir, "events").select("event_id", X.answer_text(said).alias("text"), X.image_url(image).alias("url"))
 
 
-@query("""SELECT doc_id, '{"scene_category":"' || source || '","issues":["' || lang || '"],"disagreement_fields":["issues"]}' AS context FROM (SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang FROM documents)""")
+@query(
+    """SELECT doc_id, '{"scene_category":"' || source || '","issues":["' || lang || '"],"disagreement_fields":["issues"]}' AS context FROM (SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang FROM documents)"""
+)
 def review_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda c: F.coalesce(c, F.lit("-"))
-    merged = docs(spark, sf_dir).select("doc_id", said("source").alias("scene_category"), F.array(said("lang")).alias("issues"), F.array(F.lit("issues")).alias("disagreement_fields"), F.lit("x").alias("raw"))
+    merged = docs(spark, sf_dir).select(
+        "doc_id", said("source").alias("scene_category"), F.array(said("lang")).alias("issues"), F.array(F.lit("issues")).alias("disagreement_fields"),
+        F.lit("x").alias("raw")
+    )
     return merged.select("doc_id", records.review_context(merged, ["scene_category", "issues", "absent"], "disagreement_fields").alias("context"))

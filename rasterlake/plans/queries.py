@@ -50,7 +50,9 @@ def colour_error_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 colours of each map; a pixel's error is the mean over its channels."""
     maps = embedding_maps(spark, sf_dir)
     at = lambda c, k: F.element_at(c, (F.col("i") * 3 + k).cast("int"))
-    px = maps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).select("image", F.element_at("valid", F.col("i") + 1).alias("valid"), *[at(c, k).alias(f"{c}{k}") for c in ("gt", "pred") for k in (1, 2, 3)])
+    px = maps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).select(
+        "image", F.element_at("valid", F.col("i") + 1).alias("valid"), *[at(c, k).alias(f"{c}{k}") for c in ("gt", "pred") for k in (1, 2, 3)]
+    )
     return rounded(pixels.masked_errors(px, ["image"], [(f"gt{k}", f"pred{k}") for k in (1, 2, 3)]))
 
 
@@ -215,7 +217,10 @@ def metric_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def metallic_split_lighting_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels.metallic_errors(lineitem_pixels(spark, sf_dir), ["image"], min_weight=5.0)
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.concat_ws("/", F.when(F.col("p_size") <= 25, "mainaxis").otherwise("stresstest"), F.concat(F.lit("room_L"), (F.col("p_size") % 8).cast("string"), F.lit("_a")), "p_name").alias("path"))
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("image"),
+        F.concat_ws("/", F.when(F.col("p_size") <= 25, "mainaxis").otherwise("stresstest"), F.concat(F.lit("room_L"), (F.col("p_size") % 8).cast("string"), F.lit("_a")), "p_name").alias("path")
+    )
     part = part.withColumn("split", P.split_of(F.col("path"))).withColumn("lighting", P.lighting_of(F.col("path"), F.col("split")))
     rows = rows.join(part.select("image", "split", "lighting"), "image")
     groups = spark.createDataFrame([(None, None), ("mainaxis", None), ("stresstest", None), *[("stresstest", f"L{i}") for i in range(6)], ("stresstest", "unknown")], "split string, lighting string")
@@ -277,7 +282,10 @@ def lighting_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_component_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of equal sign, filled with the mean of a byte map."""
     e = table(spark, sf_dir, "embeddings")
-    maps = e.select(F.col("vec_id").alias("image"), F.transform("embedding", lambda v: F.floor((v.cast("double") + 0.6) * 200).cast("int")).alias("value"), F.transform("embedding", lambda v: (v > 0.05).cast("int") + (v > -0.1).cast("int")).alias("segment"))
+    maps = e.select(
+        F.col("vec_id").alias("image"), F.transform("embedding", lambda v: F.floor((v.cast("double") + 0.6) * 200).cast("int")).alias("value"),
+        F.transform("embedding", lambda v: (v > 0.05).cast("int") + (v > -0.1).cast("int")).alias("segment")
+    )
     filled = images.fill_regions(maps, ["image"], SIDE, SIDE)
     return filled.select("image", F.posexplode("filled").alias("pos", "filled"))
 
@@ -305,7 +313,8 @@ def _pages(spark, sf_dir):
 def match_key_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     return _pages(spark, sf_dir).select(
-        "page_id", P.match_key(p, "5").alias("key"), P.drop_part(p, "en").alias("without_en"), P.category(p).alias("category"), P.scene(p).alias("scene"), F.coalesce(P.strip_suffix(p, [".html", "/"]), F.lit("-")).alias("stripped"), P.mime_type(p).alias("mime"),
+        "page_id", P.match_key(p, "5").alias("key"), P.drop_part(p, "en").alias("without_en"), P.category(p).alias("category"), P.scene(p).alias("scene"),
+        F.coalesce(P.strip_suffix(p, [".html", "/"]), F.lit("-")).alias("stripped"), P.mime_type(p).alias("mime"),
     )
 
 
@@ -320,7 +329,9 @@ def pair_inner_left_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt = _doc_files(spark, sf_dir).select("key", "doc_id", F.col("path").alias("gt_path"))
     labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
     pred = labels.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("key"), "quality")
-    mask = pred.join(labels.filter("toxic = 1").select(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("key")), "key", "left_semi").select("key", F.concat("key", F.lit("_mask.png")).alias("mask_path"))
+    mask = pred.join(
+        labels.filter("toxic = 1").select(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("key")), "key", "left_semi"
+    ).select("key", F.concat("key", F.lit("_mask.png")).alias("mask_path"))
     return matching.match(gt, pred, ["key"], mask)
 
 
@@ -363,9 +374,22 @@ def coalesce_candidate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def derived_key_two_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as predictions that need a customer of the lower half and a nation of an even key."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.lit("s"), F.concat(F.lit("r"), (F.col("o_custkey") % 30).cast("string")), F.lit("a"), F.lit("b"), F.lit("Image"), F.concat(F.lit("cam"), F.col("o_custkey").cast("string")), F.lit("Image_1.png")).alias("pred_path"), "o_custkey")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat_ws(
+            "/", F.lit("s"), F.concat(F.lit("r"), (F.col("o_custkey") % 30).cast("string")), F.lit("a"), F.lit("b"), F.lit("Image"),
+            F.concat(F.lit("cam"), F.col("o_custkey").cast("string")), F.lit("Image_1.png")
+        ).alias("pred_path"),
+        "o_custkey"
+    )
     preds = orders.withColumn("gt_path", P.gt_path(F.col("pred_path"))).withColumn("mask_path", P.mask_path(F.col("gt_path")))
-    have = table(spark, sf_dir, "customer").select(F.concat_ws("/", F.lit("s"), F.concat(F.lit("r"), (F.col("c_custkey") % 30).cast("string")), F.lit("a/b/Metallic"), F.concat(F.lit("cam"), F.col("c_custkey").cast("string")), F.lit("Metallic_0001.png")).alias("gt_path"), "c_acctbal", "c_nationkey")
+    have = table(spark, sf_dir, "customer").select(
+        F.concat_ws(
+            "/", F.lit("s"), F.concat(F.lit("r"), (F.col("c_custkey") % 30).cast("string")), F.lit("a/b/Metallic"),
+            F.concat(F.lit("cam"), F.col("c_custkey").cast("string")), F.lit("Metallic_0001.png")
+        ).alias("gt_path"),
+        "c_acctbal", "c_nationkey"
+    )
     gts, masks = have.filter("c_acctbal > 0").select("gt_path"), have.filter("c_nationkey % 2 = 0").select(P.mask_path(F.col("gt_path")).alias("mask_path"))
     return matching.two_lookups(preds, gts, masks, "gt_path", "mask_path").groupBy("status").agg(F.count("*").alias("n"), F.min("pred_path").alias("first_path"))
 
@@ -405,12 +429,17 @@ def analysis_defaulting(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     k = F.col("event_id") % 4
     name = F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string"))
-    text = F.when(k == 0, "{}").when(k == 1, F.concat(F.lit('{"scene_summary": "'), "event_type", F.lit('", "albedo_material_notes": "one"}'))).when(k == 2, '{"albedo_material_notes": ["a", "b"], "albedo_lighting_notes": [], "per_view": "bad"}').otherwise(
+    text = F.when(k == 0, "{}").when(
+        k == 1, F.concat(F.lit('{"scene_summary": "'), "event_type", F.lit('", "albedo_material_notes": "one"}'))
+    ).when(k == 2, '{"albedo_material_notes": ["a", "b"], "albedo_lighting_notes": [], "per_view": "bad"}').otherwise(
         F.concat(F.lit('{"albedo_prompt_suffix": "s", "per_view": [{"image_name": "v1", "albedo_hint": "x"}, {"image_name": "v1", "albedo_hint": "'), "event_type", F.lit('"}]}'))
     )
     fields = records.with_defaults(F.col("t"))
     out = e.select("event_id", name.alias("image"), text.alias("t")).withColumns(fields)
-    return out.select("event_id", "scene_summary", F.array_join("material_notes", "|").alias("material_notes"), F.size("lighting_notes").alias("n_lighting"), "prompt_suffix", records.hint_of(F.col("per_view"), F.col("image")).alias("hint"))
+    return out.select(
+        "event_id", "scene_summary", F.array_join("material_notes", "|").alias("material_notes"), F.size("lighting_notes").alias("n_lighting"), "prompt_suffix",
+        records.hint_of(F.col("per_view"), F.col("image")).alias("hint")
+    )
 
 
 @query
@@ -426,20 +455,35 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         member("metallic", F.when(k % 4 == 0, "true").when(k % 4 == 1, F.lit("0.25")).otherwise(number), F.lit(True)),
     )
     # properties of the record itself count for nothing
-    record = whole(member("sample_id", said(F.col("p_partkey")), k % 7 != 0), member("image_path", said(F.col("p_name")), k % 5 != 0), member("physical_properties", properties, k % 11 != 0), member("albedo", F.lit('"x"'), F.lit(True)))
+    record = whole(
+        member("sample_id", said(F.col("p_partkey")), k % 7 != 0), member("image_path", said(F.col("p_name")), k % 5 != 0),
+        member("physical_properties", properties, k % 11 != 0), member("albedo", F.lit('"x"'), F.lit(True))
+    )
     return p.select("p_partkey", F.array_join(records.record_errors(record), "; ").alias("errors"))
 
 
 @query
 def audit_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    votes = c.select("conv_id", F.explode(F.array(F.struct(F.lit("scene_category").alias("field"), F.col("role").alias("value")), F.struct(F.lit("confidence").alias("field"), (F.length("text") % 2).cast("string").alias("value")), F.struct(F.lit("issues").alias("field"), F.lit("none").alias("value")))).alias("v")).select("conv_id", "v.field", "v.value")
+    votes = c.select(
+        "conv_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("scene_category").alias("field"), F.col("role").alias("value")),
+                F.struct(F.lit("confidence").alias("field"), (F.length("text") % 2).cast("string").alias("value")),
+                F.struct(F.lit("issues").alias("field"), F.lit("none").alias("value"))
+            )
+        ).alias("v")
+    ).select("conv_id", "v.field", "v.value")
     return records.disagreement(votes, ["conv_id"], "field", "value")
 
 
 @query
 def programmatic_preserve_and_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scene"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("brightness_level"), F.when(F.col("doc_id") % 3 == 0, "kept").alias("scene_category"), F.when(F.col("doc_id") % 5 == 0, 0.5).alias("confidence"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("scene"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("brightness_level"),
+        F.when(F.col("doc_id") % 3 == 0, "kept").alias("scene_category"), F.when(F.col("doc_id") % 5 == 0, 0.5).alias("confidence")
+    )
     merged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scene"), F.when(F.col("quality") == 1, "high").alias("brightness_level"))
     out = records.complete(records.preserve(d, merged, ["scene"], ["brightness_level"]), ["brightness_level", "scene_category", "confidence", "issues"])
     return out.select("scene", "brightness_level", "scene_category", "confidence", F.size("issues").alias("n_issues"))
@@ -483,7 +527,9 @@ def _messages(spark, sf_dir):
 @query
 def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("message")
-    return _messages(spark, sf_dir).select("event_id", X.error_code(m, F.col("kind")).alias("code"), X.skippable(m).alias("skip"), X.retryable(m).alias("retry"), X.client_error(m).alias("client_error"))
+    return _messages(spark, sf_dir).select(
+        "event_id", X.error_code(m, F.col("kind")).alias("code"), X.skippable(m).alias("skip"), X.retryable(m).alias("retry"), X.client_error(m).alias("client_error")
+    )
 
 
 @query
@@ -532,7 +578,10 @@ def data_uri_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits may overlap: each membership is a row."""
-    d = table(spark, sf_dir, "documents").select("source", F.array_compact(F.array(F.when(F.col("doc_id") % 10 < 8, "train"), F.when(F.col("doc_id") % 10 >= 7, "val"), F.when(F.col("doc_id") % 4 == 0, "test"))).alias("splits"))
+    d = table(spark, sf_dir, "documents").select(
+        "source",
+        F.array_compact(F.array(F.when(F.col("doc_id") % 10 < 8, "train"), F.when(F.col("doc_id") % 10 >= 7, "val"), F.when(F.col("doc_id") % 4 == 0, "test"))).alias("splits")
+    )
     return d.select("source", F.explode("splits").alias("split")).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
 
 

@@ -50,7 +50,8 @@ SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "m
 
 ORACLE_SQL["error_macro_micro_summary"] = f"""
 WITH {px()}, {errors("px", "image, category")}, g AS (
-  SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse")}, {macro("psnr", "mean")}, sum(sum_abs) AS sa, sum(sum_sq) / sum(valid_pixels) AS mse FROM e GROUP BY category
+  SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse")}, {macro("psnr", "mean")}, sum(sum_abs) AS sa,
+         sum(sum_sq) / sum(valid_pixels) AS mse FROM e GROUP BY category
 )
 SELECT * EXCLUDE (sa, mse), {r("sa / valid_total", "mae_micro")}, {r("mse", "mse_micro")}, {r(PSNR, "psnr_micro")} FROM g
 """
@@ -67,7 +68,8 @@ def depth(keys: str, polarity: str = "") -> str:
          rank() OVER (PARTITION BY {keys} ORDER BY norm) - 1 + (count(*) OVER (PARTITION BY {keys}, norm) - 1) / 2.0 AS rn FROM n
 ), c AS (SELECT *, count(*) {w} AS cnt, var_pop(rg) {w} AS vg, var_pop(rn) {w} AS vn, covar_pop(rg, rn) {w} AS cv FROM k
 ), h AS (SELECT *, CASE WHEN cnt >= 2 THEN CASE WHEN sqrt(vg * vn) > 0 THEN cv / sqrt(vg * vn) ELSE 0.0 END END AS rho FROM c
-), o AS (SELECT {keys}, gt, pos, CASE WHEN {near} THEN 'near_white' ELSE 'far_white' END AS polarity, CASE WHEN {near} THEN -rho ELSE rho END AS score, CASE WHEN {near} THEN 1 - norm ELSE norm END AS oriented FROM h
+), o AS (SELECT {keys}, gt, pos, CASE WHEN {near} THEN 'near_white' ELSE 'far_white' END AS polarity, CASE WHEN {near} THEN -rho ELSE rho END AS score, CASE
+       WHEN {near} THEN 1 - norm ELSE norm END AS oriented FROM h
 ), f AS (SELECT *, CASE WHEN var_pop(oriented) {w} > 0 THEN covar_pop(oriented, gt) {w} / var_pop(oriented) {w} ELSE 0.0 END AS scale, avg(gt) {w} AS mg, avg(oriented) {w} AS mx FROM o
 ), a AS (SELECT *, mg - scale * mx AS shift, scale * oriented + mg - scale * mx AS aligned FROM f
 ), q AS (SELECT *, greatest(gt, 1e-6) AS gp, greatest(aligned, 1e-6) AS ap, abs(aligned - gt) AS err FROM a
@@ -97,7 +99,8 @@ SELECT image, polarity, {r("any_value(score)", "score")}, {r("avg(oriented)", "m
 
 ORACLE_SQL["depth_category_scene_rollup"] = f"""
 WITH {depth("image, category, scene")}
-SELECT category, scene, count(*) AS n_images, count(*) FILTER (WHERE valid_pixels < 64) AS masks_used, {", ".join(r(f'avg("{c}")', f"{c}_mean") for c in ("absrel", "rmse", "mae", "delta1", "log10", "rho"))}
+SELECT category, scene, count(*) AS n_images, count(*) FILTER (WHERE valid_pixels < 64) AS masks_used,
+       {", ".join(r(f'avg("{c}")', f"{c}_mean") for c in ("absrel", "rmse", "mae", "delta1", "log10", "rho"))}
 FROM d GROUP BY GROUPING SETS ((), (category), (category, scene))
 """
 
@@ -147,7 +150,8 @@ WITH {depth("image, category")}, bv AS (SELECT image, pos // 8 AS y, pos % 8 AS
 ), t AS (SELECT image, CASE WHEN nx > 0 AND ny > 0 THEN s / sqrt(nx::DOUBLE * ny) END AS tau FROM ks
 ), me AS (SELECT image, count(*) FILTER (WHERE NOT valid) AS mask_excluded FROM px GROUP BY image
 ), al AS (SELECT d.*, rmse AS rms, tau, mask_excluded, boundary_f1 FROM d LEFT JOIN t USING (image) JOIN me USING (image) LEFT JOIN edges USING (image))
-SELECT category, count(*) AS n_images, count(*) FILTER (WHERE mask_excluded > 0) AS masks_used, {", ".join(r(f'avg("{c}")', f"{c}_mean") for c in _SIXTEEN)} FROM al GROUP BY GROUPING SETS ((), (category))
+SELECT category, count(*) AS n_images, count(*) FILTER (WHERE mask_excluded > 0) AS masks_used, {", ".join(r(f'avg("{c}")', f"{c}_mean") for c in _SIXTEEN)} FROM al
+       GROUP BY GROUPING SETS ((), (category))
 """
 
 ORACLE_SQL["depth_too_few_pixels"] = f"""
@@ -170,7 +174,8 @@ WITH {px()}, t8 AS (
   SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) q(b)
 ), named AS (SELECT DISTINCT image, image::VARCHAR AS name FROM px
 ), crc AS (
-  SELECT image, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM named, t8
+  SELECT image, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)), lambda a,
+         x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM named, t8
 ), x0 AS (SELECT image, pos, gt, pred, ((pos + 12345 + crc) % 4294967296)::BIGINT AS x FROM px JOIN crc USING (image) WHERE valid
 ), x1 AS (SELECT * REPLACE ({_MIX.format(x="x")} AS x) FROM x0), x2 AS (SELECT * REPLACE ({_MIX.format(x="x")} AS x) FROM x1
 ), t AS (SELECT * FROM x2 QUALIFY row_number() OVER (PARTITION BY image ORDER BY xor(x, x >> 16)) <= 20
@@ -210,10 +215,12 @@ SELECT image, {r("avg(s)", "ssim")} FROM (SELECT DISTINCT image FROM px) LEFT JO
 ORACLE_SQL["albedo_summary"] = f"""
 WITH {px()}, {errors("px", "image, category")}, z AS (SELECT image, y, x, CASE WHEN valid THEN gt ELSE 0 END AS a, CASE WHEN valid THEN pred ELSE 0 END AS b FROM px
 ), w AS (
-  SELECT image, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM z, range(2) p(cy), range(2) q(cx) WHERE y BETWEEN cy AND cy + 6 AND x BETWEEN cx AND cx + 6 GROUP BY ALL
+  SELECT image, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM z, range(2) p(cy), range(2) q(cx)
+         WHERE y BETWEEN cy AND cy + 6 AND x BETWEEN cx AND cx + 6 GROUP BY ALL
 ), si AS (SELECT image, {_SSIM} AS ssim FROM w GROUP BY image
 ), g AS (
-  SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse")}, {macro("psnr", "mean")}, {macro("ssim")}, NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std,
+  SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mae")}, {macro("rmse")}, {macro("psnr", "mean")}, {macro("ssim")},
+         NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std,
          sum(sum_abs) AS sa, sum(sum_sq) / sum(valid_pixels) AS mse FROM e JOIN si USING (image) GROUP BY category
 )
 SELECT * EXCLUDE (sa, mse), {r("sa / valid_total", "mae_micro")}, {r("mse", "mse_micro")}, {r(PSNR, "psnr_micro")} FROM g
@@ -221,7 +228,8 @@ SELECT * EXCLUDE (sa, mse), {r("sa / valid_total", "mae_micro")}, {r("mse", "mse
 
 ORACLE_SQL["colour_error_per_image"] = f"""
 WITH {px()}, c AS (
-  SELECT image, k[i + 1] > 0 AS valid, g[3 * i + 1]::DOUBLE AS g1, g[3 * i + 2]::DOUBLE AS g2, g[3 * i + 3]::DOUBLE AS g3, p[3 * i + 1]::DOUBLE AS p1, p[3 * i + 2]::DOUBLE AS p2, p[3 * i + 3]::DOUBLE AS p3 FROM m, range(21) t(i)
+  SELECT image, k[i + 1] > 0 AS valid, g[3 * i + 1]::DOUBLE AS g1, g[3 * i + 2]::DOUBLE AS g2, g[3 * i + 3]::DOUBLE AS g3, p[3 * i + 1]::DOUBLE AS p1,
+         p[3 * i + 2]::DOUBLE AS p2, p[3 * i + 3]::DOUBLE AS p3 FROM m, range(21) t(i)
 ), s AS (
   SELECT image, count(*) FILTER (WHERE valid) AS valid_pixels, sum((abs(p1 - g1) + abs(p2 - g2) + abs(p3 - g3)) / 3) FILTER (WHERE valid) AS sum_abs,
          sum(((p1 - g1) * (p1 - g1) + (p2 - g2) * (p2 - g2) + (p3 - g3) * (p3 - g3)) / 3) FILTER (WHERE valid) AS sum_sq FROM c GROUP BY image
@@ -231,13 +239,15 @@ SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "m
 
 ORACLE_SQL["roughness_summary_with_similarity"] = f"""
 WITH {px()}, {errors("px", "image")}, bx AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px WHERE valid GROUP BY image
-), z AS (SELECT image, y - y0 AS y, x - x0 AS x, y1 - y0 + 1 AS h, x1 - x0 + 1 AS wd, gt AS a, CASE WHEN valid THEN pred ELSE gt END AS b FROM px JOIN bx USING (image) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1
+), z AS (SELECT image, y - y0 AS y, x - x0 AS x, y1 - y0 + 1 AS h, x1 - x0 + 1 AS wd, gt AS a, CASE WHEN valid THEN pred ELSE gt END AS b FROM px JOIN bx USING (image)
+       WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1
 ), w AS (
   SELECT image, cy, cx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM z, range(2) p(cy), range(2) q(cx)
   WHERE cy + 7 <= h AND cx + 7 <= wd AND y BETWEEN cy AND cy + 6 AND x BETWEEN cx AND cx + 6 GROUP BY ALL
 ), si AS (SELECT image, {_SSIM} AS ssim FROM w GROUP BY image
 ), g AS (
-  SELECT CASE image % 3 WHEN 0 THEN 'mainaxis' WHEN 1 THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")}, {macro("psnr")}, {macro("ssim")}, NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std
+  SELECT CASE image % 3 WHEN 0 THEN 'mainaxis' WHEN 1 THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")},
+         {macro("psnr")}, {macro("ssim")}, NULL::DOUBLE AS lpips_mean, NULL::DOUBLE AS lpips_median, NULL::DOUBLE AS lpips_std
   FROM e LEFT JOIN si USING (image) GROUP BY 1
 )
 SELECT * FROM (SELECT 'mainaxis' AS split UNION ALL SELECT 'stresstest') k LEFT JOIN g USING (split)
@@ -278,25 +288,33 @@ SELECT image, coalesce(valid_pixels, 0) AS valid_pixels, {r("mean_angle", "mean_
 _SHARES = ("acc_5", "acc_7_5", "acc_11_25", "acc_22_5", "acc_30")
 ORACLE_SQL["normal_summary"] = f"""
 WITH {angles("image, category")}
-SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mean_angle")}, {macro("median_angle", "mean")}, {macro("rms_angle", "mean")}, {", ".join(macro(a, "mean") for a in _SHARES)},
-       {r("sum(sum_angle) / sum(valid_pixels)", "mean_angle_micro")}, {r("sqrt(sum(sum_sq) / sum(valid_pixels))", "rmse_angle_micro")}, {", ".join(r(f"sum({a} * valid_pixels) / sum(valid_pixels)", f"{a}_micro") for a in _SHARES)}
+SELECT category, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("mean_angle")}, {macro("median_angle", "mean")}, {macro("rms_angle", "mean")},
+       {", ".join(macro(a, "mean") for a in _SHARES)},
+       {r("sum(sum_angle) / sum(valid_pixels)", "mean_angle_micro")}, {r("sqrt(sum(sum_sq) / sum(valid_pixels))", "rmse_angle_micro")},
+              {", ".join(r(f"sum({a} * valid_pixels) / sum(valid_pixels)", f"{a}_micro") for a in _SHARES)}
 FROM mt GROUP BY category
 """
 
 LI = "li AS (SELECT l_partkey AS image, l_quantity / 50 AS gt, l_discount * 10 AS pred, l_tax > 0.02::DOUBLE AS valid FROM lineitem)"
 METALLIC = f"""{LI}, s AS (
-  SELECT image, count(*) AS valid_pixels, sum(abs(pred - gt)) AS sum_abs, sum((pred - gt) * (pred - gt)) AS sum_sq, sum(gt) AS metal_weight, sum(1 - gt) AS nonmetal_weight, sum(gt * abs(pred - gt)) AS metal_abs,
+  SELECT image, count(*) AS valid_pixels, sum(abs(pred - gt)) AS sum_abs, sum((pred - gt) * (pred - gt)) AS sum_sq, sum(gt) AS metal_weight,
+         sum(1 - gt) AS nonmetal_weight, sum(gt * abs(pred - gt)) AS metal_abs,
          sum((1 - gt) * abs(pred - gt)) AS nonmetal_abs, sum(pred - gt) AS signed_sum, sum(greatest(pred - gt, 0)) AS over_sum, sum(greatest(gt - pred, 0)) AS under_sum, avg(pred) AS pred_mean
   FROM li WHERE valid GROUP BY image
 ), s2 AS (SELECT *, sum_sq / valid_pixels AS mse FROM s
 ), mm AS (
   SELECT *, sum_abs / valid_pixels AS mae, sqrt(mse) AS rmse, {PSNR} AS psnr, metal_weight / valid_pixels AS gt_mean, CASE WHEN metal_weight >= 5 THEN metal_abs / metal_weight END AS metal_mae,
-         CASE WHEN nonmetal_weight >= 5 THEN nonmetal_abs / nonmetal_weight END AS nonmetal_mae, signed_sum / valid_pixels AS signed_mean, over_sum / valid_pixels AS over_mean, under_sum / valid_pixels AS under_mean FROM s2
+         CASE WHEN nonmetal_weight >= 5 THEN nonmetal_abs / nonmetal_weight END AS nonmetal_mae, signed_sum / valid_pixels AS signed_mean,
+                over_sum / valid_pixels AS over_mean, under_sum / valid_pixels AS under_mean FROM s2
 )"""
 
+_METALLIC_COLUMNS = (
+    "sum_abs", "sum_sq", "metal_weight", "nonmetal_weight", "metal_abs", "nonmetal_abs", "signed_sum", "over_sum", "under_sum", "pred_mean",
+    "mae", "rmse", "psnr", "gt_mean", "metal_mae", "nonmetal_mae", "signed_mean", "over_mean", "under_mean",
+)
 ORACLE_SQL["metallic_weighted_bias"] = f"""
 WITH {METALLIC}
-SELECT image, valid_pixels, {", ".join(r(c, c) for c in ("sum_abs", "sum_sq", "metal_weight", "nonmetal_weight", "metal_abs", "nonmetal_abs", "signed_sum", "over_sum", "under_sum", "pred_mean", "mae", "rmse", "psnr", "gt_mean", "metal_mae", "nonmetal_mae", "signed_mean", "over_mean", "under_mean"))} FROM mm
+SELECT image, valid_pixels, {", ".join(r(c, c) for c in _METALLIC_COLUMNS)} FROM mm
 """
 
 _GROUPS = {
@@ -313,21 +331,28 @@ ORACLE_SQL["metric_groups"] = f"WITH {METALLIC} " + " UNION ALL ".join(
 
 ORACLE_SQL["metallic_split_lighting_summary"] = f"""
 WITH {METALLIC}, pt AS (
-  SELECT p_partkey AS image, CASE WHEN p_size <= 25 THEN 'mainaxis' ELSE 'stresstest' END AS split, CASE WHEN p_size <= 25 THEN '' WHEN p_size % 8 <= 5 THEN 'L' || p_size % 8 ELSE 'unknown' END AS lighting FROM part
-), gr AS (SELECT NULL AS split, NULL AS lighting UNION ALL SELECT 'mainaxis', NULL UNION ALL SELECT 'stresstest', NULL UNION ALL SELECT 'stresstest', 'L' || i FROM range(6) q(i) UNION ALL SELECT 'stresstest', 'unknown'
+  SELECT p_partkey AS image, CASE WHEN p_size <= 25 THEN 'mainaxis' ELSE 'stresstest' END AS split, CASE WHEN p_size <= 25 THEN ''
+         WHEN p_size % 8 <= 5 THEN 'L' || p_size % 8 ELSE 'unknown' END AS lighting FROM part
+), gr AS (SELECT NULL AS split, NULL AS lighting UNION ALL SELECT 'mainaxis', NULL UNION ALL SELECT 'stresstest', NULL UNION ALL SELECT 'stresstest', 'L' || i
+       FROM range(6) q(i) UNION ALL SELECT 'stresstest', 'unknown'
 ), ag AS (
-  SELECT split, lighting, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("gt_mean", "mean")}, {macro("pred_mean", "mean")}, {macro("mae")}, {macro("rmse", "mean")}, {macro("psnr", "mean")}, {macro("metal_mae", "mean")}, {macro("nonmetal_mae", "mean")},
-         {r("sum(metal_abs) / sum(metal_weight)", "metal_mae_micro")}, {r("sum(nonmetal_abs) / sum(nonmetal_weight)", "nonmetal_mae_micro")}, {r("sum(over_sum) / sum(valid_pixels)", "over_micro")}, {r("sum(under_sum) / sum(valid_pixels)", "under_micro")},
+  SELECT split, lighting, count(*) AS n_images, sum(valid_pixels)::BIGINT AS valid_total, {macro("gt_mean", "mean")}, {macro("pred_mean", "mean")}, {macro("mae")},
+         {macro("rmse", "mean")}, {macro("psnr", "mean")}, {macro("metal_mae", "mean")}, {macro("nonmetal_mae", "mean")},
+         {r("sum(metal_abs) / sum(metal_weight)", "metal_mae_micro")}, {r("sum(nonmetal_abs) / sum(nonmetal_weight)", "nonmetal_mae_micro")},
+                {r("sum(over_sum) / sum(valid_pixels)", "over_micro")}, {r("sum(under_sum) / sum(valid_pixels)", "under_micro")},
          count(metal_mae) AS n_metal_weighted, count(nonmetal_mae) AS n_nonmetal_weighted
   FROM mm JOIN pt USING (image) GROUP BY GROUPING SETS ((), (split), (split, lighting))
 )
-SELECT gr.split, gr.lighting, ag.* EXCLUDE (split, lighting) REPLACE (coalesce(n_images, 0) AS n_images, coalesce(valid_total, 0) AS valid_total, coalesce(n_metal_weighted, 0) AS n_metal_weighted, coalesce(n_nonmetal_weighted, 0) AS n_nonmetal_weighted)
+SELECT gr.split, gr.lighting, ag.* EXCLUDE (split, lighting) REPLACE (coalesce(n_images, 0) AS n_images, coalesce(valid_total, 0) AS valid_total,
+       coalesce(n_metal_weighted, 0) AS n_metal_weighted, coalesce(n_nonmetal_weighted, 0) AS n_nonmetal_weighted)
 FROM gr LEFT JOIN ag ON ag.split IS NOT DISTINCT FROM gr.split AND ag.lighting IS NOT DISTINCT FROM gr.lighting
 """
 
 ORACLE_SQL["roughness_summary_by_split"] = f"""
-WITH li AS (SELECT l_orderkey AS image, o_orderstatus AS st, l_quantity / 50 AS gt, l_discount * 10 AS pred, l_tax > 0.02::DOUBLE AS valid FROM lineitem JOIN orders ON l_orderkey = o_orderkey), {errors("li", "image, st")}, g AS (
-  SELECT CASE st WHEN 'F' THEN 'mainaxis' WHEN 'O' THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")}, {macro("psnr")} FROM e WHERE valid_pixels > 0 GROUP BY 1
+WITH li AS (SELECT l_orderkey AS image, o_orderstatus AS st, l_quantity / 50 AS gt, l_discount * 10 AS pred, l_tax > 0.02::DOUBLE AS valid FROM lineitem
+       JOIN orders ON l_orderkey = o_orderkey), {errors("li", "image, st")}, g AS (
+  SELECT CASE st WHEN 'F' THEN 'mainaxis' WHEN 'O' THEN 'stresstest' ELSE 'unknown' END AS split, count(*) AS n_images, {macro("mae")}, {macro("rmse")}, {macro("psnr")}
+         FROM e WHERE valid_pixels > 0 GROUP BY 1
 )
 SELECT * REPLACE (coalesce(n_images, 0) AS n_images) FROM (SELECT 'mainaxis' AS split UNION ALL SELECT 'stresstest') k LEFT JOIN g USING (split)
 """
@@ -351,10 +376,12 @@ SELECT image, {r("rl", "r_lin")}, {r("0.2126 * r + 0.7152 * g + 0.0722 * b", "y_
 
 def lighting(source: str) -> str:
     return f"""px AS ({source}), l AS (SELECT scene, y_srgb, {lin("y_srgb")} AS y_lin FROM px
-), c AS (SELECT scene, floor(y_lin * 1023)::INT AS bin, count(*) AS n, sum(y_lin) AS sl, sum(y_srgb) AS ss, count(*) FILTER (WHERE y_lin >= 0.85) AS hi, count(*) FILTER (WHERE y_lin <= 0.10) AS lo FROM l GROUP BY ALL
+), c AS (SELECT scene, floor(y_lin * 1023)::INT AS bin, count(*) AS n, sum(y_lin) AS sl, sum(y_srgb) AS ss, count(*) FILTER (WHERE y_lin >= 0.85) AS hi,
+       count(*) FILTER (WHERE y_lin <= 0.10) AS lo FROM l GROUP BY ALL
 ), k AS (SELECT *, sum(n) OVER (PARTITION BY scene ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY scene) AS total FROM c
 ), g AS (
-  SELECT scene, sum(n)::BIGINT AS n_pixels, sum(sl) / sum(n) AS mean_luminance, sum(ss) / sum(n) AS mean_luma_srgb, min(bin) FILTER (WHERE cum >= total * 0.05::DOUBLE) / 1023 AS p5, min(bin) FILTER (WHERE cum >= total * 0.95::DOUBLE) / 1023 AS p95,
+  SELECT scene, sum(n)::BIGINT AS n_pixels, sum(sl) / sum(n) AS mean_luminance, sum(ss) / sum(n) AS mean_luma_srgb,
+         min(bin) FILTER (WHERE cum >= total * 0.05::DOUBLE) / 1023 AS p5, min(bin) FILTER (WHERE cum >= total * 0.95::DOUBLE) / 1023 AS p95,
          sum(hi) / sum(n) AS highlight_ratio, sum(lo) / sum(n) AS dark_ratio FROM k GROUP BY scene
 ), st AS (SELECT *, log2((p95 + 1e-6) / (p5 + 1e-6)) AS stops FROM g)"""
 
@@ -376,7 +403,8 @@ FROM ev
 
 ORACLE_SQL["region_component_fill"] = """
 WITH RECURSIVE v AS (
-  SELECT vec_id AS image, i AS pos, i // 8 AS y, i % 8 AS x, floor((embedding[i + 1]::DOUBLE + 0.6) * 200)::INT AS value, (embedding[i + 1] > 0.05::DOUBLE)::INT + (embedding[i + 1] > -0.1::DOUBLE)::INT AS seg FROM embeddings, range(64) t(i)
+  SELECT vec_id AS image, i AS pos, i // 8 AS y, i % 8 AS x, floor((embedding[i + 1]::DOUBLE + 0.6) * 200)::INT AS value,
+         (embedding[i + 1] > 0.05::DOUBLE)::INT + (embedding[i + 1] > -0.1::DOUBLE)::INT AS seg FROM embeddings, range(64) t(i)
 ), nb AS (SELECT a.image, a.pos AS p, b.pos AS q FROM v a JOIN v b ON a.image = b.image AND a.seg = b.seg AND abs(a.x - b.x) + abs(a.y - b.y) = 1
 ), reach(image, p, root) AS (SELECT image, pos, pos FROM v UNION SELECT r.image, n.q, r.root FROM reach r JOIN nb n ON n.image = r.image AND n.p = r.p WHERE n.q > r.root
 ), comp AS (SELECT image, p, min(root) AS root FROM reach GROUP BY ALL
@@ -401,17 +429,20 @@ FROM px v JOIN comp c ON c.image = v.image AND c.p = v.pos JOIN mean m ON m.imag
 PAGES = "pg AS (SELECT page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path FROM pages), sp AS (SELECT *, string_split(path, '/') AS parts, regexp_replace(path, '/?[^/]*$', '') AS parent FROM pg)"
 
 ORACLE_SQL["match_key_normalise"] = f"""
-WITH {PAGES}, st AS (SELECT *, parts[-1] AS name, CASE WHEN length(parts[-1]) > 0 AND regexp_matches(parts[-1], '^.+\\.[^.]*$') THEN regexp_replace(parts[-1], '\\.[^.]*$', '') ELSE parts[-1] END AS stem FROM sp
+WITH {PAGES}, st AS (SELECT *, parts[-1] AS name, CASE WHEN length(parts[-1]) > 0 AND regexp_matches(parts[-1], '^.+\\.[^.]*$') THEN regexp_replace(parts[-1], '\\.[^.]*$',
+       '') ELSE parts[-1] END AS stem FROM sp
 ), k AS (SELECT *, CASE WHEN ends_with(stem, '5') THEN left(stem, length(stem) - 1) ELSE stem END AS base, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM st)
 SELECT page_id, CASE WHEN parent = '' THEN base ELSE parent || '/' || base END AS key, array_to_string(list_filter(parts, lambda p: p <> 'en'), '/') AS without_en,
        CASE WHEN len(parts) >= 3 THEN parts[1] ELSE '' END AS category, CASE WHEN len(parts) >= 3 THEN parts[2] ELSE parent END AS scene,
        CASE WHEN ends_with(path, '.html') THEN left(path, length(path) - 5) WHEN ends_with(path, '/') THEN left(path, length(path) - 1) ELSE '-' END AS stripped,
-       CASE WHEN ext = 'png' THEN 'image/png' WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext = 'webp' THEN 'image/webp' WHEN ext = 'bmp' THEN 'image/bmp' ELSE 'application/octet-stream' END AS mime
+       CASE WHEN ext = 'png' THEN 'image/png' WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext = 'webp' THEN 'image/webp'
+              WHEN ext = 'bmp' THEN 'image/bmp' ELSE 'application/octet-stream' END AS mime
 FROM k
 """
 
 ORACLE_SQL["pair_inner_left_mask"] = """
-SELECT source || '/' || lang || '/d' || d.doc_id AS key, d.doc_id, source || '/' || lang || '/d' || d.doc_id || '_im.png' AS gt_path, quality, CASE WHEN toxic = 1 THEN source || '/' || lang || '/d' || d.doc_id || '_mask.png' END AS mask_path
+SELECT source || '/' || lang || '/d' || d.doc_id AS key, d.doc_id, source || '/' || lang || '/d' || d.doc_id || '_im.png' AS gt_path, quality, CASE
+       WHEN toxic = 1 THEN source || '/' || lang || '/d' || d.doc_id || '_mask.png' END AS mask_path
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id
 """
 
@@ -481,13 +512,15 @@ SELECT p_partkey, array_to_string(list_filter([
 
 ORACLE_SQL["audit_disagreement"] = """
 WITH v AS (
-  SELECT conv_id, 'scene_category' AS field, role AS value FROM conversations UNION ALL SELECT conv_id, 'confidence', (length(text) % 2)::VARCHAR FROM conversations UNION ALL SELECT conv_id, 'issues', 'none' FROM conversations
+  SELECT conv_id, 'scene_category' AS field, role AS value FROM conversations UNION ALL SELECT conv_id, 'confidence', (length(text) % 2)::VARCHAR
+         FROM conversations UNION ALL SELECT conv_id, 'issues', 'none' FROM conversations
 ), f AS (SELECT conv_id, field, count(DISTINCT value) AS n FROM v GROUP BY ALL)
 SELECT conv_id, count(*) AS n_fields, count(*) FILTER (WHERE n > 1) AS n_disagreeing, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE n > 1), '') AS fields FROM f GROUP BY conv_id
 """
 
 ORACLE_SQL["programmatic_preserve_and_complete"] = """
-SELECT d.doc_id AS scene, coalesce(CASE WHEN quality = 1 THEN 'high' END, CASE WHEN d.doc_id % 2 = 0 THEN lang END, 'uncertain') AS brightness_level, CASE WHEN d.doc_id % 3 = 0 THEN 'kept' ELSE 'uncertain' END AS scene_category,
+SELECT d.doc_id AS scene, coalesce(CASE WHEN quality = 1 THEN 'high' END, CASE WHEN d.doc_id % 2 = 0 THEN lang END, 'uncertain') AS brightness_level, CASE
+       WHEN d.doc_id % 3 = 0 THEN 'kept' ELSE 'uncertain' END AS scene_category,
        CASE WHEN d.doc_id % 5 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence, 0::INT AS n_issues
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
@@ -505,18 +538,21 @@ ORACLE_SQL["pending_by_signature"] = """
 WITH b AS (SELECT max(event_id) // 2 AS half FROM events
 ), l AS (SELECT user_id, event_type, arg_max(props, event_id) AS p FROM events GROUP BY ALL
 ), e AS (SELECT user_id, event_type, arg_max(props, event_id) AS q FROM events, b WHERE event_id <= half GROUP BY ALL)
-SELECT event_type, CASE WHEN q IS NULL THEN 'new' WHEN p = q THEN 'current' ELSE 'changed' END AS state, count(*) AS n, min(sha256(p)) AS first_signature FROM l LEFT JOIN e USING (user_id, event_type) GROUP BY ALL
+SELECT event_type, CASE WHEN q IS NULL THEN 'new' WHEN p = q THEN 'current' ELSE 'changed' END AS state, count(*) AS n, min(sha256(p)) AS first_signature FROM l LEFT
+       JOIN e USING (user_id, event_type) GROUP BY ALL
 """
 
 MESSAGES = """msg AS (
-  SELECT event_id, event_type AS kind, CASE event_id % 8 WHEN 0 THEN 'Error: {''code'': ''moderation_blocked'', ''x'': 1}' WHEN 1 THEN 'bad {"code": "rate_limit_exceeded"}' WHEN 2 THEN 'HTTP 404 Not Found' WHEN 3 THEN 'HTTP 500: {''status_code'': 500}'
+  SELECT event_id, event_type AS kind, CASE event_id % 8 WHEN 0 THEN 'Error: {''code'': ''moderation_blocked'', ''x'': 1}'
+         WHEN 1 THEN 'bad {"code": "rate_limit_exceeded"}' WHEN 2 THEN 'HTTP 404 Not Found' WHEN 3 THEN 'HTTP 500: {''status_code'': 500}'
          WHEN 4 THEN 'request timed out' WHEN 5 THEN 'rejected by the safety system' WHEN 6 THEN 'plain ' || event_type ELSE 'Connection reset by peer' END AS m FROM events)"""
 SKIP = "(contains(m, 'moderation_blocked') OR contains(m, 'rejected by the safety system') OR contains(m, 'sensitive content'))"
 RETRY = "(contains(m, 'timed out') OR contains(m, 'Connection reset') OR contains(m, 'rate_limit') OR regexp_matches(m, '''status_code'': (429|500|502|503|504)'))"
 
 ORACLE_SQL["error_classification"] = f"""
 WITH {MESSAGES}
-SELECT event_id, coalesce(nullif(regexp_extract(m, '''code'':\\s*''([^'']+)''', 1), ''), nullif(regexp_extract(m, '"code":\\s*"([^"]+)"', 1), ''), kind) AS code, {SKIP} AS skip, {RETRY} AS retry, regexp_matches(m, '^HTTP 4\\d\\d\\b') AS client_error FROM msg
+SELECT event_id, coalesce(nullif(regexp_extract(m, '''code'':\\s*''([^'']+)''', 1), ''), nullif(regexp_extract(m, '"code":\\s*"([^"]+)"', 1), ''), kind) AS code,
+       {SKIP} AS skip, {RETRY} AS retry, regexp_matches(m, '^HTTP 4\\d\\d\\b') AS client_error FROM msg
 """
 
 ORACLE_SQL["retry_backoff_schedule"] = f"""
@@ -527,7 +563,8 @@ SELECT kind, attempt, count(*) AS n, sum(w)::DOUBLE AS wait_seconds FROM a GROUP
 
 ORACLE_SQL["progress_rollup"] = """
 WITH x AS (SELECT d.source, l.doc_id IS NOT NULL AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)
-SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n_input, count(*) FILTER (WHERE done) AS n_done, greatest(0, count(*) - count(*) FILTER (WHERE done))::BIGINT AS n_remaining,
+SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n_input, count(*) FILTER (WHERE done) AS n_done, greatest(0,
+       count(*) - count(*) FILTER (WHERE done))::BIGINT AS n_remaining,
        round(count(*) FILTER (WHERE done) * 100.0::DOUBLE / count(*), 2) AS percent
 FROM x GROUP BY ROLLUP (source)
 """
@@ -537,21 +574,25 @@ ORACLE_SQL["variant_cross_product"] = "SELECT r_name, p_brand, count(*) AS n, su
 ORACLE_SQL["prompt_clamp"] = r"""
 WITH t AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(text, '[^ -~\n\t]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(left(t, 117), ' ,;:') || '...' END AS clamped,
-       concat_ws(' ', 'Notes:', coalesce(nullif(array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN source END, CASE WHEN doc_id % 3 = 0 THEN 'third' END], lambda x: x IS NOT NULL), '; '), ''), 'N/A'), CASE WHEN doc_id % 5 = 0 THEN 'end' END) AS prompt
+       concat_ws(' ', 'Notes:', coalesce(nullif(array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN source END, CASE WHEN doc_id % 3 = 0 THEN 'third' END],
+              lambda x: x IS NOT NULL), '; '), ''), 'N/A'), CASE WHEN doc_id % 5 = 0 THEN 'end' END) AS prompt
 FROM t
 """
 
 ORACLE_SQL["size_parse_validate"] = """
 WITH s AS (
-  SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 1280 WHEN 1 THEN NULL ELSE (p_partkey % 40 + 1) * 64 END AS width, CASE p_size % 6 WHEN 0 THEN 720 WHEN 1 THEN NULL ELSE p_size * 48 END AS height FROM part
+  SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 1280 WHEN 1 THEN NULL ELSE (p_partkey % 40 + 1) * 64 END AS width, CASE p_size % 6 WHEN 0 THEN 720
+         WHEN 1 THEN NULL ELSE p_size * 48 END AS height FROM part
 )
-SELECT p_partkey, width::BIGINT AS width, height::BIGINT AS height, CASE WHEN width IS NULL THEN 'format' WHEN width * height < 768 * 768 OR width * height > 2048 * 2048 THEN 'pixels' WHEN width / height < 0.125 OR width / height > 8 THEN 'ratio' END AS error FROM s
+SELECT p_partkey, width::BIGINT AS width, height::BIGINT AS height, CASE WHEN width IS NULL THEN 'format'
+       WHEN width * height < 768 * 768 OR width * height > 2048 * 2048 THEN 'pixels' WHEN width / height < 0.125 OR width / height > 8 THEN 'ratio' END AS error FROM s
 """
 
 ORACLE_SQL["data_uri_and_hash"] = "SELECT page_id, sha256(html) AS sha256, 'data:text/plain;base64,' || base64(encode(url)) AS uri FROM pages"
 
 ORACLE_SQL["split_membership"] = """
-WITH s AS (SELECT source, 'train' AS split FROM documents WHERE doc_id % 10 < 8 UNION ALL SELECT source, 'val' FROM documents WHERE doc_id % 10 >= 7 UNION ALL SELECT source, 'test' FROM documents WHERE doc_id % 4 = 0)
+WITH s AS (SELECT source, 'train' AS split FROM documents WHERE doc_id % 10 < 8 UNION ALL SELECT source, 'val' FROM documents
+       WHERE doc_id % 10 >= 7 UNION ALL SELECT source, 'test' FROM documents WHERE doc_id % 4 = 0)
 SELECT split, count(*) AS n, count(DISTINCT source) AS n_sources FROM s GROUP BY split
 """
 

@@ -32,7 +32,9 @@ def records(rows: DataFrame, text: str = "text") -> DataFrame:
     r = F.from_json(F.col(text), RECORD)
     out = rows.select(r.alias("r")).select("r.*")
     bad = F.col("sample_id").isNull() | F.col("image_path").isNull() | F.col("physical_properties").isNull()
-    return out.withColumn("sample_id", F.when(bad, F.raise_error(F.lit("record without a required key")).cast("string")).otherwise(F.col("sample_id"))).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    return out.withColumn(
+        "sample_id", F.when(bad, F.raise_error(F.lit("record without a required key")).cast("string")).otherwise(F.col("sample_id"))
+    ).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
 
 
 def missing_config_keys(text: Column) -> Column:

@@ -13,7 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RASTER = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+RASTER = T.StructType(
+    [
+        T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()),
+        T.StructField("data", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())
+    ]
+)
 
 #: Channels by PNG colour type.
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -274,7 +279,11 @@ def cropped_back(raster: Column, box: Column, canvas: tuple[int, int], height: i
     def run(rows: pd.DataFrame, boxes: pd.Series) -> pd.DataFrame:
         out = []
         for (h, w, c, data, error), b in zip(rows.itertuples(index=False), boxes, strict=True):
-            out.append((height, width, c, crop_back(np.array(data).reshape(int(h), int(w), int(c)), tuple(map(int, b)), canvas, height, width).ravel(), None) if error is None else (None, None, None, None, error))
+            out.append(
+                (
+                    height, width, c, crop_back(np.array(data).reshape(int(h), int(w), int(c)), tuple(map(int, b)), canvas, height, width).ravel(), None
+                ) if error is None else (None, None, None, None, error)
+            )
         return pd.DataFrame(out, columns=RASTER.names)
 
     return run(raster, box)

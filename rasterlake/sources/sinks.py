@@ -82,7 +82,9 @@ def write_metrics(df: DataFrame, path: str) -> None:
     write_rows(df, f"{path}/summary")
 
 
-def write_images(df: DataFrame, root: str, raster: str | None = "raster", content: str | None = None, path: str = "path", size: tuple[int, int] | None = None, overwrite: bool = True) -> dict[str, int]:
+def write_images(
+    df: DataFrame, root: str, raster: str | None = "raster", content: str | None = None, path: str = "path", size: tuple[int, int] | None = None, overwrite: bool = True
+) -> dict[str, int]:
     """A PNG file below ``root`` for each row: of a raster struct (resized to (height, width) where a size is given), or of bytes that are an image already.
 
     Encoded and written in tasks (``files.write_files``); rows without a raster or bytes

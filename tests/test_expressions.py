@@ -22,9 +22,14 @@ def test_paths(spark):
     assert values(spark, P.scene(p), "a/b/c", "a/b") == ["b", "a"]
     assert values(spark, P.split_of(p), "x/MainAxis_1/y", "stresstest/z", "q") == ["mainaxis", "stresstest", "unknown"]
     assert values(spark, P.lighting_of(p, F.lit("stresstest")), "a/x_L3_b", "L9/L0", "q") == ["L3", "L0", "unknown"]
-    assert values(spark, P.gt_path(p), "s/v/a/b/c/Image/cam/x.png", "s/r/t/u/Image/cam/metallic/Image_1_metallic.png", "short/x.png") == ["s/v/a/b/c/Metallic/cam/Metallic_0001.png", "s/r/t/u/Metallic/cam/Metallic_0001.png", None]
+    assert values(
+        spark, P.gt_path(p), "s/v/a/b/c/Image/cam/x.png", "s/r/t/u/Image/cam/metallic/Image_1_metallic.png", "short/x.png"
+    ) == ["s/v/a/b/c/Metallic/cam/Metallic_0001.png", "s/r/t/u/Metallic/cam/Metallic_0001.png", None]
     assert values(spark, P.mask_path(p), "s/Metallic/cam/Metallic_0001.png") == ["s/MetallicEvalMask/cam/MetallicEvalMask_0001.png"]
-    assert values(spark, P.is_metallic_prediction(p), "v/Image/c/Image_1.png", "v/Image/c/Image_1_depth.png", "v/Image/c/metallic/Image_1_metallic.png", "v/Image/c/metallic/x.png", "v/Image/c/a.txt") == [True, False, True, False, False]
+    assert values(
+        spark, P.is_metallic_prediction(p), "v/Image/c/Image_1.png", "v/Image/c/Image_1_depth.png", "v/Image/c/metallic/Image_1_metallic.png", "v/Image/c/metallic/x.png",
+        "v/Image/c/a.txt"
+    ) == [True, False, True, False, False]
     assert values(spark, P.candidate_paths(p, ["ds"]), "root/ds/a/b.png") == [["root/ds/a/b.png", "a/b.png", "ds/a/b.png", "b.png"]]
     assert values(spark, P.swap_folder(p, "Image", "ObjectSegmentation"), "image/x/Image/a.png") == ["image/x/ObjectSegmentation/a.png"]
     assert values(spark, P.paired_segment(p), "a/1_im.png") == ["a/1_seg.png"]
@@ -40,7 +45,11 @@ def test_texts(spark):
     assert values(spark, X.size_alias(p, "1x1", ["2x2"]), None, "2K", "2x2") == ["1x1", "1x1", "2x2"]
     with pytest.raises(Exception, match="unsupported size"):
         values(spark, X.size_alias(p, "1x1", ["2x2"]), "9")
-    assert values(spark, X.extract_json(p), '{"a": 1}', 'x {"a": 1} y', '[{"a": 1}]', "{a}", "no", "", None) == [('{"a": 1}', None), ('{"a": 1}', None), ('{"a": 1}', None), (None, "json_parse_error: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"), (None, "json_not_found"), (None, "empty_response"), (None, "empty_response")]
+    assert values(spark, X.extract_json(p), '{"a": 1}', 'x {"a": 1} y', '[{"a": 1}]', "{a}", "no", "", None) == [
+        ('{"a": 1}', None), ('{"a": 1}', None), ('{"a": 1}', None),
+        (None, "json_parse_error: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"), (None, "json_not_found"), (None, "empty_response"),
+        (None, "empty_response")
+    ]
     assert values(spark, X.without_fence(p), "```json\n{}\n```", "{}") == ["{}", "{}"]
     assert values(spark, X.http_summary(F.lit(404), F.lit("NF"), p, 3), "abcd") == ["HTTP 404 NF: abc...<truncated>"]
     assert values(spark, X.append_within(p, F.lit("xx"), 5), "ab", "abcd") == ["ab xx", "abcd"]
@@ -87,7 +96,10 @@ def test_manifest_operators(spark):
 
 
 def test_records(spark):
-    views = F.from_json(F.lit('[{"image_name": "a", "albedo_hint": "1"}, {"image_name": "a", "albedo_hint": "2"}, {"image_name": "", "albedo_hint": "3"}]'), "array<struct<image_name:string,albedo_hint:string>>")
+    views = F.from_json(
+        F.lit('[{"image_name": "a", "albedo_hint": "1"}, {"image_name": "a", "albedo_hint": "2"}, {"image_name": "", "albedo_hint": "3"}]'),
+        "array<struct<image_name:string,albedo_hint:string>>"
+    )
     assert values(spark, records.hint_of(views, F.col("p")), "a", "b", "") == ["2", "", ""]
     merged = spark.createDataFrame([(1, "high", ["x"])], "scene int, brightness_level string, disagreement_fields array<string>")
     assert '"high"' in merged.select(records.review_context(merged, ["brightness_level"], "disagreement_fields")).first()[0]
@@ -101,7 +113,10 @@ def test_constant_prediction_and_empty_mask(spark):
     px = spark.createDataFrame([(1, float(g), 2.0, True) for g in (1, 2, 3)] + [(2, 1.0, 1.0, False)], "image int, gt double, pred double, valid boolean")
     rows = {r.image: r for r in pixels.masked_errors(px, ["image"]).collect()}
     assert rows[2].valid_pixels == 0 and rows[2].mae is None and rows[1].mae == pytest.approx(2 / 3)
-    maps = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [2.0, 2.0, 2.0], [True] * 3), (2, [1.0], [1.0], [False]), (3, [1.0, 2.0], [float("nan"), 1.0], [True, True])], "image int, gt array<double>, pred array<double>, valid array<boolean>")
+    maps = spark.createDataFrame(
+        [(1, [1.0, 2.0, 3.0], [2.0, 2.0, 2.0], [True] * 3), (2, [1.0], [1.0], [False]), (3, [1.0, 2.0], [float("nan"), 1.0], [True, True])],
+        "image int, gt array<double>, pred array<double>, valid array<boolean>"
+    )
     out = {r.image: r for r in images.depth_metrics(maps, ["image"], DepthSettings(width=3, height=1)).collect()}
     assert (out[1].polarity, out[1].scale, out[1]["shift"], out[1].error) == ("far_white", 0.0, 2.0, None)
     assert out[2].error and out[3].error and out[2].valid_pixels == 0 and out[3].valid_pixels == 1
@@ -123,7 +138,10 @@ def test_taus_are_masked_before_they_are_sampled(spark):
 
 def test_answers_and_urls(spark):
     p = F.col("p")
-    shapes = ['{"output_text": "a"}', '{"output": [{"content": [{"text": "b"}, {"text": ""}, {"text": "c"}]}, {}]}', '{"choices": [{"message": {"content": "d"}}]}', '{"choices": [{"message": {"content": [{"type": "text", "text": "e"}]}}]}', '{"x": 1}']
+    shapes = [
+        '{"output_text": "a"}', '{"output": [{"content": [{"text": "b"}, {"text": ""}, {"text": "c"}]}, {}]}', '{"choices": [{"message": {"content": "d"}}]}',
+        '{"choices": [{"message": {"content": [{"type": "text", "text": "e"}]}}]}', '{"x": 1}'
+    ]
     assert values(spark, X.answer_text(p), *shapes) == ["a", "b\nc", "d", "e", '{"x": 1}']
     assert values(spark, X.image_url(p), '{"output": {"choices": [{"message": {}}, {"message": {"content": [{"text": "t"}, {"image": "u"}]}}]}}') == ["u"]
     with pytest.raises(Exception, match="no image"):

@@ -141,7 +141,8 @@ def plain_repair(text):
 
 ANSWERS = [
     "", " ", "no", "{}", '{"a": 1}', ' {"a": [1, {"b": null}]} ', '{"a": 1} {"b": 2}', 'x {"a": 1} y', '{"a": 1}, {"b": 2}', '{"a": 1}],["', '{"a": 1},"__end_of_value__"], [{"q": 2}', '{"a": NaN}', '{"a": 1, "a": 2}', '[{"a": 1}]',
-    "[1, 2]", "3", '"{}"', "{a}", "{'a': 1}", '{"a": 1', 'a": 1}', '{"a": "}"} z', "```json\n{\"a\": 1}\n```", "Sure: ```json {\"a\": 1}``` bye", "```{\"a\": 1} ```x```", "``` [1] ```", "```\nnot {\"a\": 2} quite\n```", '{"a": "\\u00e9 é"}',
+    "[1, 2]", "3", '"{}"', "{a}", "{'a': 1}", '{"a": 1', 'a": 1}', '{"a": "}"} z', "```json\n{\"a\": 1}\n```", "Sure: ```json {\"a\": 1}``` bye", "```{\"a\": 1} ```x```",
+    "``` [1] ```", "```\nnot {\"a\": 2} quite\n```", '{"a": "\\u00e9 é"}',
     '{"a": 1e400}', '{"a": 123456789012345678901234567890123456789012345678901234567890}', '{"a": 01}', '{"a": "\n"}', '{"a": true}}', "{{}}", '﻿{"a": 1}', "{" * 50 + "}" * 50, '{"a":{"b":{"c":[[[1]]]}}}',
 ]
 
@@ -163,7 +164,10 @@ def test_python_sees_only_what_spark_refuses(spark, monkeypatch):
     seen = []
     df = spark.createDataFrame([('{"a": 1}',), ('x {"a": 2} y',), ("none",)], "t string")
     assert [r.e.json for r in df.select(X.extract_json(F.col("t")).alias("e")).collect()] == ['{"a": 1}', '{"a": 2}', None]
-    monkeypatch.setattr(X, "_reparsed", lambda c: (seen.append(c), F.struct(F.when(c.isNotNull(), F.raise_error(F.lit("sent"))).cast("string").alias("json"), F.lit(None).cast("string").alias("error")))[1])
+    monkeypatch.setattr(
+        X, "_reparsed",
+        lambda c: (seen.append(c), F.struct(F.when(c.isNotNull(), F.raise_error(F.lit("sent"))).cast("string").alias("json"), F.lit(None).cast("string").alias("error")))[1]
+    )
     assert df.select(X.extract_json(F.col("t")).alias("e")).collect()
     with pytest.raises(Exception, match="sent"):
         spark.createDataFrame([("{a}",)], "t string").select(X.extract_json(F.col("t")).alias("e")).collect()
@@ -177,8 +181,14 @@ def test_records_are_checked_within_their_properties(spark):
         errors += [f"missing physical property: {k}" for k in ("albedo", "roughness", "metallic") if k not in p]
         return errors + [f"{k} must be numeric" for k in ("roughness", "metallic") if k in p and not isinstance(p[k], int | float)]
 
-    props = [None, {}, {"albedo": "x", "roughness": 0.5, "metallic": 1}, {"roughness": "0.5", "metallic": True}, {"albedo": None, "roughness": None, "metallic": [1]}, {"metallic": 1e30, "roughness": 123456789012345678901}]
-    texts = [json.dumps({"albedo": 1, "roughness": "x"} | ({"sample_id": "s", "image_path": None} if i % 2 else {}) | ({} if p is None else {"physical_properties": p})) for i, p in enumerate(props * 2 + props[:1])]
+    props = [
+        None, {}, {"albedo": "x", "roughness": 0.5, "metallic": 1}, {"roughness": "0.5", "metallic": True}, {"albedo": None, "roughness": None, "metallic": [1]},
+        {"metallic": 1e30, "roughness": 123456789012345678901}
+    ]
+    texts = [
+        json.dumps({"albedo": 1, "roughness": "x"} | ({"sample_id": "s", "image_path": None} if i % 2 else {}) | ({} if p is None else {"physical_properties": p})) for i,
+        p in enumerate(props * 2 + props[:1])
+    ]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", records.record_errors(F.col("t")).alias("e")).collect()
     assert all(r.e == plain(r.t) for r in rows)
     assert len(spark.createDataFrame([("{broken",)], "t string").select(records.record_errors(F.col("t")).alias("e")).first().e) == 6
@@ -228,7 +238,10 @@ def test_a_row_is_sent_once_for_a_stem(spark):
 
 
 def test_masks_by_name_stem_and_key(spark):
-    rows = spark.createDataFrame([(1, "a/1.png", "a/1", "a/1.png"), (2, "a/2.png", "a/2", None), (3, "a/3.png", "a/3", None), (4, "a/4.png", "a/4", None), (5, "a/5.png", "a/5", "a/5.png")], "k int, rel string, pair string, own string")
+    rows = spark.createDataFrame(
+        [(1, "a/1.png", "a/1", "a/1.png"), (2, "a/2.png", "a/2", None), (3, "a/3.png", "a/3", None), (4, "a/4.png", "a/4", None), (5, "a/5.png", "a/5", "a/5.png")],
+        "k int, rel string, pair string, own string"
+    )
     files = spark.createDataFrame([("a/1.png",), ("a/1.bmp",), ("a/2.png",), ("a/2.jpg",), ("a/3_mask.png",), ("a/3_mask.tif",), ("a/5.png",)], "path string")
     got = {r.k: (r["mask"], r.tier) for r in matching.resolved_masks(rows, "k", "rel", "pair", files, own="own", suffix="_mask").collect()}
     assert got == {1: ("a/1.bmp", 1), 2: ("a/2.png", 0), 3: ("a/3_mask.tif", 2), 4: (None, None), 5: ("a/5.png", 2)}
