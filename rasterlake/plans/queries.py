@@ -252,10 +252,13 @@ def roughness_summary_with_similarity(spark: SparkSession, sf_dir: str) -> DataF
 
 @query
 def srgb_linear_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), *[(F.element_at("embedding", i).cast("double") + 0.55).alias(c) for i, c in ((1, "r"), (2, "g"), (3, "b"))])
+    """21 colours of each vector."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pos")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), "embedding", at)
+    e = e.select("image", "pos", *[(F.element_at("embedding", F.col("pos") * 3 + i).cast("double") + 0.55).alias(c) for i, c in ((1, "r"), (2, "g"), (3, "b"))])
     lin = {c: N.srgb_to_linear(F.col(c)) for c in "rgb"}
     y = N.luma(lin["r"], lin["g"], lin["b"])
-    return rounded(e.select("image", lin["r"].alias("r_lin"), N.luma(F.col("r"), F.col("g"), F.col("b")).alias("y_srgb"), y.alias("y_lin"), N.linear_to_srgb(y).alias("y_back")))
+    return rounded(e.select("image", "pos", lin["r"].alias("r_lin"), N.luma(F.col("r"), F.col("g"), F.col("b")).alias("y_srgb"), y.alias("y_lin"), N.linear_to_srgb(y).alias("y_back")))
 
 
 def _lighting(spark, sf_dir):
@@ -337,7 +340,7 @@ def pair_inner_left_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' customers and all customers: some order nothing, and none is unknown; suppliers' keys lack on both sides."""
+    """Orders' customers against all customers' keys moved by seven: some have no partner on either side."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     have = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 7).alias("key"))
     return matching.match_report(orders, have, ["key"])
@@ -555,7 +558,7 @@ def variant_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace("text", r"[^ -~\n\t]", "").alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     notes = F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.when(F.col("doc_id") % 3 == 0, F.lit("third"))))
     return d.select("doc_id", X.clamp(F.col("text"), 120).alias("clamped"), X.prompt("Notes:", notes, F.when(F.col("doc_id") % 5 == 0, "end").otherwise("")).alias("prompt"))
 

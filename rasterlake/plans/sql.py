@@ -367,10 +367,11 @@ def srgb(c: str) -> str:
 
 
 ORACLE_SQL["srgb_linear_luma"] = f"""
-WITH c AS (SELECT vec_id AS image, embedding[1]::DOUBLE + 0.55 AS r, embedding[2]::DOUBLE + 0.55 AS g, embedding[3]::DOUBLE + 0.55 AS b FROM embeddings
+WITH c AS (
+  SELECT vec_id AS image, pos::INT AS pos, embedding[3 * pos + 1]::DOUBLE + 0.55 AS r, embedding[3 * pos + 2]::DOUBLE + 0.55 AS g, embedding[3 * pos + 3]::DOUBLE + 0.55 AS b FROM embeddings, range(21) t(pos)
 ), l AS (SELECT *, {lin("r")} AS rl, {lin("g")} AS gl, {lin("b")} AS bl FROM c
 ), y AS (SELECT *, 0.2126 * rl + 0.7152 * gl + 0.0722 * bl AS yl FROM l)
-SELECT image, {r("rl", "r_lin")}, {r("0.2126 * r + 0.7152 * g + 0.0722 * b", "y_srgb")}, {r("yl", "y_lin")}, {r(srgb("yl"), "y_back")} FROM y
+SELECT image, pos, {r("rl", "r_lin")}, {r("0.2126 * r + 0.7152 * g + 0.0722 * b", "y_srgb")}, {r("yl", "y_lin")}, {r(srgb("yl"), "y_back")} FROM y
 """
 
 
@@ -572,7 +573,7 @@ FROM x GROUP BY ROLLUP (source)
 ORACLE_SQL["variant_cross_product"] = "SELECT r_name, p_brand, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM part, region GROUP BY ALL"
 
 ORACLE_SQL["prompt_clamp"] = r"""
-WITH t AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(text, '[^ -~\n\t]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+WITH t AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '[\s\x0b]+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(left(t, 117), ' ,;:') || '...' END AS clamped,
        concat_ws(' ', 'Notes:', coalesce(nullif(array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN source END, CASE WHEN doc_id % 3 = 0 THEN 'third' END],
               lambda x: x IS NOT NULL), '; '), ''), 'N/A'), CASE WHEN doc_id % 5 = 0 THEN 'end' END) AS prompt
