@@ -10,6 +10,10 @@ when it is whole.  The rename fails where the name is taken, so of two writers o
 batch number one commits, and what a failed attempt leaves is never read.  ``compact``
 puts the totals so far in the place of their batches, whose numbers it remembers.
 
+The folder needs a rename that is atomic and fails where the name is taken, as HDFS and
+shared POSIX folders have it; object stores don't.  A batch's deltas, at most a row for each
+source, language and version, are written as one file.
+
 Defined cases: null counts add nothing; null sources and languages are groups of their
 own; groups whose documents are all deleted vanish; repeated rows count each; an empty
 batch commits and adds nothing; other columns are not read.
