@@ -9,6 +9,9 @@ that is tried again changes nothing, and of two writers one takes the next numbe
 ``compact`` folds deltas into new base folders of the buckets that they touch; no other
 bucket is read or written.  ``vacuum`` deletes what the newest version no longer names.
 
+The folder needs a rename that is atomic and fails where the name is taken, as HDFS and
+shared POSIX folders have it; object stores don't.
+
 The version file grows with the buckets and with the deltas since the last compaction, never
 with the entries; numbers of committed batches are kept as ranges.
 """
