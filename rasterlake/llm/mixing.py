@@ -39,6 +39,8 @@ from .common import WORD_PATTERN, staged, table, text_of
 BUCKETS = 256
 #: Words on either side of the budget that the dynamic programme's sums may reach, besides the longest document.
 DP_WORDS = 1 << 17
+#: Cut buckets that may be broadcast (about 100 bytes each); more are joined by shuffle.
+BROADCAST_CELLS = 50_000
 
 
 def word_count(col: str = "text") -> Column:
@@ -155,10 +157,13 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     cell = ["__source", "__size", "__bucket"]
     clash = {"source_size", "target", "repeats", "taken"}
     kept = [c for c in rows.columns if c not in clash]
-    out = marked.select(*kept, *marks).join(plan, cell)
-    whole = out.filter("not __cut").withColumn("repeats", F.col("__full") + (F.col("__room") > 0).cast("long"))
+    out = marked.select(*kept, *marks)
+    whole = out.join(plan.filter("not __cut"), cell).withColumn("repeats", F.col("__full") + (F.col("__room") > 0).cast("long"))
     # a number of the row itself parts rows that share id and draw, once it is written
-    cut = staged(out.filter("__cut").withColumn("__row", F.monotonically_increasing_id()), "cut")
+    cells_cut = plan.filter("__cut")
+    if cells_cut.count() <= BROADCAST_CELLS:
+        cells_cut = F.broadcast(cells_cut)  # all rows need not be dealt a second time for the few that they find
+    cut = staged(out.join(cells_cut, cell).withColumn("__row", F.monotonically_increasing_id()), "cut")
     ranked = ranks(cut, *cell, "__draw", "__row")
     first = ranked.groupBy(*cell).agg(F.min("position").alias("__first"))
     ranked = ranked.join(first, cell).withColumn("repeats", F.col("__full") + (F.col("position") - F.col("__first") < F.col("__room")).cast("long"))
