@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,9 @@ def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def trim() -> None:
-    """Hand freed memory back to the system, where the C library can."""
+    """Hand freed memory, Arrow's too, back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release is not None:
         release(0)
