@@ -11,13 +11,12 @@ import json
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..sources import json_files, rasters, scan, sinks, staging
-from ..sources.files import write_files
+from ..sources.files import write_files, write_made
 from ..sources.tables import embedding_maps, table
 
 QUERIES: dict = {}
@@ -37,16 +36,11 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_files(spark: SparkSession, sf_dir: str, make, name) -> str:
-    """A folder with a file for every supplier, written in tasks: ``make`` and ``name`` (or a pattern) take key, name and region."""
+    """A folder with a file for every supplier, made and written in tasks: ``make`` and ``name`` (or a pattern) take key, name and region."""
     named = name if callable(name) else lambda k, n, r: name.format(k=k, name=n.replace("#", "_"), region=r)
-
-    @F.pandas_udf("path string, content binary")
-    def file(k: pd.Series, n: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = list(zip(k.tolist(), n, r.tolist(), strict=True))
-        return pd.DataFrame({"path": [named(*x) for x in rows], "content": [make(*x) for x in rows]})
-
     root = staging.new_folder(spark)
-    write_files(suppliers(spark, sf_dir).select(file("k", "name", "region").alias("f")).select("f.*"), root)
+    rows = suppliers(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    write_made(rows, lambda *x: (named(*x), make(*x)), root)
     return root
 
 

@@ -15,14 +15,17 @@ import functools
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import staged
+
 #: Bytes of content that a batch holds, besides its last file.
 BATCH = 16 << 20
 #: Bytes that a reading task is dealt, about.
@@ -58,7 +61,13 @@ def filesystem(location: str) -> tuple[pafs.FileSystem, str]:
     return found, posixpath.join(top, location[len(start) :].lstrip("/"))
 
 
-def _put(where: pafs.FileSystem, content: bytes, attempt: str, target: str) -> None:
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root with its scheme and authority, by Spark's default file system where it names none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _put(where: pafs.FileSystem, content: pa.Buffer | bytes, attempt: str, target: str) -> None:
     with where.open_output_stream(attempt) as out:
         out.write(content)
     if not isinstance(where, pafs.LocalFileSystem) and where.get_file_info(target).type == pafs.FileType.File:
@@ -66,45 +75,54 @@ def _put(where: pafs.FileSystem, content: bytes, attempt: str, target: str) -> N
     where.move(attempt, target)
 
 
-def put_batches(batches: Iterator[pa.RecordBatch], root: str, attempts: str, overwrite: bool) -> Iterator[pa.RecordBatch]:
-    """Write rows (``path`` below the root, ``content``); yields the numbers of files and bytes written, and of files kept, by batch."""
+def _put_each(named: Iterable[tuple[str, pa.Buffer | bytes | None]], root: str, attempts: str, overwrite: bool, made: set[str]) -> pa.RecordBatch:
+    """Write files one at a time; ``made`` holds the folders that are there."""
+    where, base = filesystem(root)
+    files = size = kept = 0
+    for path, content in named:
+        target = posixpath.normpath(f"{base}/{path}")
+        if not target.startswith(base.rstrip("/") + "/"):
+            raise ValueError(f"{path} is not below {root}")
+        if content is None:
+            continue
+        if not overwrite and where.get_file_info(target).size:
+            kept += 1
+            continue
+        folder = posixpath.dirname(target)
+        if folder not in made:
+            where.create_dir(folder, recursive=True)
+            made.add(folder)
+        _put(where, content, f"{base}/{attempts}/{uuid.uuid4().hex}", target)
+        files, size = files + 1, size + len(content)
+    return pa.RecordBatch.from_pydict({"files": [files], "bytes": [size], "kept": [kept]})
+
+
+def _prepared(root: str, attempts: str) -> None:
     where, base = filesystem(root)
     where.create_dir(f"{base}/{attempts}", recursive=True)
-    made = set()
+
+
+def put_batches(batches: Iterator[pa.RecordBatch], root: str, attempts: str, overwrite: bool) -> Iterator[pa.RecordBatch]:
+    """Write rows (``path`` below the root, ``content``); yields the numbers of files and bytes written, and of files kept, by batch."""
+    _prepared(root, attempts)
+    made: set[str] = set()
     for batch in batches:
-        files = size = kept = 0
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            target = posixpath.normpath(f"{base}/{path}")
-            if not target.startswith(base.rstrip("/") + "/"):
-                raise ValueError(f"{path} is not below {root}")
-            if not content.is_valid:
-                continue
-            if not overwrite and where.get_file_info(target).size:
-                kept += 1
-                continue
-            folder = posixpath.dirname(target)
-            if folder not in made:
-                where.create_dir(folder, recursive=True)
-                made.add(folder)
-            data = content.as_buffer()
-            _put(where, data, f"{base}/{attempts}/{uuid.uuid4().hex}", target)
-            files, size = files + 1, size + data.size
-        yield pa.RecordBatch.from_pydict({"files": [files], "bytes": [size], "kept": [kept]})
+        content = (c.as_buffer() if c.is_valid else None for c in batch.column(1))
+        yield _put_each(zip(batch.column(0).to_pylist(), content, strict=True), root, attempts, overwrite, made)
 
 
-def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content", overwrite: bool = True) -> dict[str, int]:
-    """Write a file for each row; the numbers of ``files`` and ``bytes`` written and of files ``kept``.
+def make_batches(batches: Iterator[pa.RecordBatch], make: Callable[..., tuple[str, bytes | None]], root: str, attempts: str, overwrite: bool) -> Iterator[pa.RecordBatch]:
+    """As ``put_batches``, of files that ``make`` gives for a row's values: each is written before the next is made."""
+    _prepared(root, attempts)
+    made: set[str] = set()
+    for batch in batches:
+        yield _put_each((make(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), root, attempts, overwrite, made)
 
-    Without ``overwrite`` a file that exists and is not empty stays.  Rows of null content
-    write none.  Paths must tell rows apart (of two rows with one path either may stay).
-    """
+
+def _written(rows: DataFrame, root: str, put: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]) -> dict[str, int]:
     attempts = f"_attempts/{uuid.uuid4().hex}"
     filesystem(root)  # an unknown scheme raises before the job
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return put_batches(batches, root, attempts, overwrite)
-
-    done = rows.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "files long, bytes long, kept long")
+    done = rows.mapInArrow(lambda batches: put(batches, attempts), "files long, bytes long, kept long")
     try:
         sums = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns]).first()
     finally:
@@ -114,6 +132,65 @@ def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "
     return sums.asDict()
 
 
+def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content", overwrite: bool = True) -> dict[str, int]:
+    """Write a file for each row; the numbers of ``files`` and ``bytes`` written and of files ``kept``.
+
+    Without ``overwrite`` a file that exists and is not empty stays.  Rows of null content
+    write none.  Paths must tell rows apart (of two rows with one path either may stay).
+    """
+    put = lambda batches, attempts: put_batches(batches, root, attempts, overwrite)
+    return _written(rows.select(F.col(path).cast("string"), F.col(content).cast("binary")), root, put)
+
+
+def write_made(rows: DataFrame, make: Callable[..., tuple[str, bytes | None]], root: str, overwrite: bool = True) -> dict[str, int]:
+    """As ``write_files``, of the path and bytes that ``make`` gives for the values of a row's columns.
+
+    Bytes are made where they are written, so a task holds one file, however large the
+    files and however many rows a batch has.
+    """
+    return _written(rows, root, lambda batches, attempts: make_batches(batches, make, root, attempts, overwrite))
+
+
+#: Folders that a listing task is dealt, about.
+FOLDERS = 1_000
+
+
+def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """``location`` and ``length`` of the files below a root that tasks can reach, listed in tasks: a round for each depth of folders.
+
+    As Spark's readers, without empty files and without names that begin with a dot or an
+    underscore (unless they hold "="), of files and folders alike.
+    """
+    where, base = filesystem(root)
+    if where.get_file_info(base).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                where, at = filesystem(folder)
+                found = where.get_file_info(pafs.FileSelector(at))
+                for k in range(0, len(found), 10_000):
+                    part = [f for f in found[k : k + 10_000] if not _hidden(f.base_name) and (f.type == pafs.FileType.Directory or f.size)]
+                    names = [f"{folder.rstrip('/')}/{f.base_name}" for f in part]
+                    yield pa.RecordBatch.from_pydict(
+                        {"location": pa.array(names, pa.string()), "length": pa.array([f.size for f in part], pa.int64()), "folder": pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_())}
+                    )
+
+    folders, n, found = spark.range(1).select(F.lit(root).alias("location")), 1, []
+    while n:
+        dealt = folders.repartition(max(spark.sparkContext.defaultParallelism, n // FOLDERS + 1), "location") if found else folders
+        level = staged(dealt.mapInArrow(run, "location string, length long, folder boolean"), "listing")
+        found.append(level.filter("not folder").select("location", "length"))
+        folders = level.filter("folder").select("location")
+        n = folders.count() if recursive else 0
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
 def read_files(rows: DataFrame, location: str = "location", length: str = "length", column: str = "content") -> DataFrame:
     """``rows`` with the bytes of their files, read in tasks that get about ``TASK`` bytes each; only these files are opened.
 

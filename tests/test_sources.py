@@ -205,3 +205,18 @@ def test_only_chosen_files_are_opened(spark, tmp_path):
     with pytest.raises(Exception, match="No such file|not exist|cannot find"):
         scan.contents(spark, listed, f"file://{tmp_path}").collect()
     assert scan.contents(spark, chosen.limit(0), f"file://{tmp_path}").count() == 0
+
+
+def test_metrics_files_are_opened_once(spark, tmp_path):
+    for i in range(12):
+        p = tmp_path / f"g{i % 3}" / f"{i}" / "metrics.json"
+        p.parent.mkdir(parents=True)
+        text = '{\n"exp_group": "g%d", "run_name": "é%02d",\n "mae": %d}' % (i % 3, i, i)
+        p.write_bytes(text.encode("utf-16" if i == 5 else "utf-8-sig" if i == 4 else "utf-8"))
+        (p.parent / "other.json").write_text("{}")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden/metrics.json").write_text('{"exp_group": "no"}')
+    found = json_files.metrics(spark, str(tmp_path))
+    for p in tmp_path.rglob("metrics.json"):
+        p.unlink()  # the schema was found from these bytes; no later pass opens them again
+    assert [(r.exp_group, r.run_name, r.mae) for r in found.collect()] == sorted((f"g{i % 3}", f"é{i:02d}", i) for i in range(12))
