@@ -9,14 +9,15 @@ from __future__ import annotations
 import io
 import json
 import struct
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..sources import json_files, rasters, scan, sinks, staging
-from ..sources.files import write_files, write_made
+from ..sources.files import delete_folder, write_files, write_made
 from ..sources.tables import embedding_maps, table
 
 QUERIES: dict = {}
@@ -35,12 +36,12 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("name"), (F.col("s_nationkey") % 5).cast("int").alias("region"))
 
 
-def made_files(spark: SparkSession, sf_dir: str, make, name) -> str:
-    """A folder with a file for every supplier, made and written in tasks: ``make`` and ``name`` (or a pattern) take key, name and region."""
+def made_files(spark: SparkSession, sf_dir: str, make, name, chosen: Column | None = None) -> str:
+    """A folder with a file for every supplier (or every ``chosen`` one), made and written in tasks: ``make`` and ``name`` (or a pattern) take key, name and region."""
     named = name if callable(name) else lambda k, n, r: name.format(k=k, name=n.replace("#", "_"), region=r)
     root = staging.new_folder(spark)
-    rows = suppliers(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
-    write_made(rows, lambda *x: (named(*x), make(*x)), root)
+    rows = suppliers(spark, sf_dir) if chosen is None else suppliers(spark, sf_dir).filter(chosen)
+    write_made(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k"), lambda *x: (named(*x), make(*x)), root)
     return root
 
 
@@ -62,12 +63,34 @@ def file_name(k: int, name: str, region: int) -> str:
 
 
 def named_files(spark, sf_dir) -> DataFrame:
-    return scan.files(spark, made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1), file_name))
+    """A file of one byte for every supplier: for results that have names alone."""
+    return scan.files(spark, made_files(spark, sf_dir, lambda k, n, r: b"x", file_name))
+
+
+#: Bytes of sized files that are on disk at a time, about.
+PORTION = 4 << 30
+
+
+def sized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of k + 1 bytes for every supplier.
+
+    Such files grow with the square of the table.  So a portion of the suppliers is
+    written, what is found there is staged, and the files go before the next portion.
+    """
+    total = suppliers(spark, sf_dir).agg(F.coalesce(F.sum(F.col("k").cast("long") + 1), F.lit(0))).first()[0]
+    parts, found = total // PORTION + 1, []
+    for i in range(parts):
+        root = made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1), file_name, F.pmod(F.hash("k"), F.lit(parts)) == i)
+        try:
+            found.append(staging.staged(scan.files(spark, root), "portion"))
+        finally:
+            delete_folder(root)
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(f"WITH {NAMES} SELECT path, (k + 1)::BIGINT AS length FROM f")
 def scan_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.completed(named_files(spark, sf_dir)).select("path", "length")
+    return scan.completed(sized_files(spark, sf_dir)).select("path", "length")
 
 
 @query(f"WITH {NAMES} SELECT path FROM f WHERE path LIKE '%\\_im.png' ESCAPE '\\'")
@@ -110,8 +133,8 @@ def scan_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NAMES} SELECT path, repeat('x', k + 1) AS text FROM f WHERE ends_with(path, '.jpg')")
 def scan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of the matched files alone."""
-    root = made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1), file_name)
+    """Bytes of the matched files alone; the others, which are not opened, hold one byte."""
+    root = made_files(spark, sf_dir, lambda k, n, r: b"x" * (k + 1 if EXTENSION.get(k % 7) == ".jpg" else 1), file_name)
     chosen = scan.files(spark, root).filter(F.col("path").endswith(".jpg"))
     return scan.contents(spark, chosen, root).select("path", F.col("content").cast("string").alias("text"))
 

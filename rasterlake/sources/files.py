@@ -121,7 +121,7 @@ def make_batches(batches: Iterator[pa.RecordBatch], make: Callable[..., tuple[st
 
 def _written(rows: DataFrame, root: str, put: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]) -> dict[str, int]:
     attempts = f"_attempts/{uuid.uuid4().hex}"
-    filesystem(root)  # an unknown scheme raises before the job
+    _prepared(root, attempts)  # an unknown scheme raises before the job
     done = rows.mapInArrow(lambda batches: put(batches, attempts), "files long, bytes long, kept long")
     try:
         sums = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns]).first()
@@ -191,6 +191,12 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
+def delete_folder(root: str) -> None:
+    """A folder goes with all that is below it."""
+    where, base = filesystem(root)
+    where.delete_dir(base)
+
+
 def read_files(rows: DataFrame, location: str = "location", length: str = "length", column: str = "content") -> DataFrame:
     """``rows`` with the bytes of their files, read in tasks that get about ``TASK`` bytes each; only these files are opened.
 

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators.matching import preferred_class
-from .files import reachable, read_files
+from .files import list_files, qualified, reachable, read_files
 
 # fixed values: extensions of images
 EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
 
 
 def files(spark: SparkSession, root: str, recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """``path`` (relative to the root), ``location`` and ``length`` of the files with an extension, in any case; Spark lists no empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(F.col("path").alias("location"), "length")
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    """``path`` (relative to the root), ``location`` and ``length`` of the files with an extension, in any case; empty files are not listed."""
+    base = qualified(spark, root)
+    if reachable(base):
+        found = list_files(spark, base, recursive)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(F.col("path").alias("location"), "length")
     out = found.withColumn("path", F.expr(f"substring(location, {len(base) + 2})"))
     return out.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)).select("path", "location", "length")
 

@@ -220,3 +220,58 @@ def test_metrics_files_are_opened_once(spark, tmp_path):
     for p in tmp_path.rglob("metrics.json"):
         p.unlink()  # the schema was found from these bytes; no later pass opens them again
     assert [(r.exp_group, r.run_name, r.mae) for r in found.collect()] == sorted((f"g{i % 3}", f"é{i:02d}", i) for i in range(12))
+
+
+def test_files_are_made_one_at_a_time(tmp_path):
+    """Each is written before the next is made, so a batch of rows costs a task the memory of one file."""
+    import pyarrow as pa
+
+    from rasterlake.sources import files
+
+    def make(k):
+        assert k == 1 or (tmp_path / f"{(k - 1) % 3}/{k - 1}.bin").stat().st_size == k - 1
+        return f"{k % 3}/{k}.bin", b"x" * k
+
+    rows = pa.RecordBatch.from_pydict({"k": list(range(1, 101))})
+    done = list(files.make_batches(iter([rows]), make, str(tmp_path), "_attempts/x", True))
+    assert [b.to_pylist() for b in done] == [[{"files": 100, "bytes": 5050, "kept": 0}]]
+
+
+def test_listing_equals_sparks(spark, tmp_path):
+    from rasterlake.sources import files
+
+    for name in ("a/b/c/1.png", "a/2.png", "3.png", "_no/4.png", "a/.no/5.png", "a/_6.png", ".7.png", "k=1/8.png", "ä b/9%20#.png", "empty.png"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"" if p.stem == "empty" else b"x" * len(name))
+    for recursive in (True, False):
+        found = {(r.location, r.length) for r in files.list_files(spark, files.qualified(spark, str(tmp_path)), recursive).collect()}
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length").collect()
+        assert found == {(r.path, r.length) for r in read if recursive or r.path.endswith("/3.png")}
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path / "none"))
+
+
+def table_of_suppliers(spark, folder, n, first=0):
+    k = F.col("id") + first
+    spark.range(n).select(k.alias("s_suppkey"), F.format_string("Supplier#%010d", k).alias("s_name"), (k % 25).cast("int").alias("s_nationkey")).write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def in_sql(folder, name):
+    import duckdb
+
+    from rasterlake.plans.file_queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/supplier.parquet/*.parquet'")
+    return sorted(con.execute(ORACLE_SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["scan_folders"])
+def test_scans_of_names_hold_no_bytes_by_key(spark, tmp_path, name):
+    """Of keys that would make files of 2 GB each."""
+    from rasterlake.plans.file_queries import QUERIES
+
+    folder = table_of_suppliers(spark, tmp_path, 60, 2_000_000_000)
+    assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == in_sql(folder, name)
