@@ -64,7 +64,8 @@ def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame,
 
     Files are keyed by folder and stem, and so are candidates: a row is sent once for each
     stem that it tries, with the extensions to try there, not once for each path.  What a
-    stem has is ranked by the candidates' order after the join.
+    stem has is ranked by the candidates' order after the join.  Of files of one path only
+    the first by ``order`` can be chosen, so no more than one of them is joined.
 
     ``order`` may name columns of ``files`` that come before the candidates' own order;
     ``never`` a column of ``rows`` whose path is not to be chosen; ``otherwise`` one whose
@@ -86,14 +87,16 @@ def first_existing(rows: DataFrame, key: str, candidates: str, files: DataFrame,
         )
     )
     sent = rows.select(key, F.explode(of_stem).alias("t")).select(key, F.col("t.stem").alias("__stem"), F.col("t.tries").alias("__tries"))
-    met = sent.join(files.withColumn("__stem", _index(F.col(path))), "__stem")
+    more = [c for c in files.columns if c != path]
+    ranked = [*order, *[c for c in more if c not in order]]
+    firsts = files.select(path, F.struct(F.lit(0).alias("__one"), *ranked).alias("__file")).groupBy(path).agg(F.min("__file").alias("__file")).select(path, *[F.col(f"__file.{c}").alias(c) for c in more])
+    met = sent.join(firsts.withColumn("__stem", _index(F.col(path))), "__stem")
     ext = F.substring(F.col(path), F.length("__stem") + 1, F.length(path))
     place = F.array_min(F.transform(F.filter("__tries", lambda t: t["ext"] == ext), lambda t: t["place"]))
     met = met.withColumn("place", place).filter("place is not null")
-    extra = [c for c in files.columns if c != path]
-    best = met.groupBy(key).agg(F.min(F.struct(*order, "place", path, *[c for c in extra if c not in order])).alias("best"))
+    best = met.groupBy(key).agg(F.min(F.struct(*order, "place", path, *[c for c in more if c not in order])).alias("best"))
     chosen = F.coalesce(F.col(f"best.{path}"), F.col(otherwise)) if otherwise else F.col(f"best.{path}")
-    return rows.join(best, key, "left").select(*rows.columns, chosen.alias(path), *[F.col(f"best.{c}").alias(c) for c in extra], F.col("best.place").alias("place"))
+    return rows.join(best, key, "left").select(*rows.columns, chosen.alias(path), *[F.col(f"best.{c}").alias(c) for c in more], F.col("best.place").alias("place"))
 
 
 def resolved_masks(rows: DataFrame, key: str, rel: str, pair_key: str, files: DataFrame, by_name: bool = False, own: str | None = None, suffix: str = "") -> DataFrame:

@@ -262,3 +262,16 @@ def test_settings_of_rows_break_the_rules_that_raise(spark):
     assert settings.DepthSettings().seed == 12345 and settings.DepthSettings(max_pixels=0).max_pixels == 0
     with pytest.raises(ValueError, match="suffix"):
         settings.MatchSettings(mode="name", suffix="_im")
+
+
+def test_of_files_of_one_path_one_is_joined(spark):
+    """Rows that meet a path cost one row each, however many files have it."""
+    files = spark.range(3000).select((F.col("id") % 3).cast("string").alias("path"), (F.col("id") % 7).alias("tier"), (3000 - F.col("id")).alias("n"))
+    rows = spark.range(40).select("id", F.array((F.col("id") % 4).cast("string"), F.lit("1")).alias("c"))
+    found = matching.first_existing(rows, "id", "c", files, order=("tier", "n"))
+    best = {p: min((i % 7, 3000 - i) for i in range(3000) if i % 3 == p) for p in range(3)}
+    for r in found.collect():
+        tier, n, place = min((*best[p], at) for at, p in enumerate((r.id % 4, 1)) if p in best)
+        assert (r.tier, r.n, r.path) == (tier, n, str((r.id % 4, 1)[place])) and r.place == place
+    joined = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "Aggregate [path" in joined  # below the join of candidates and files
