@@ -116,10 +116,16 @@ def angular_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 # metalness
 
 
+#: Places of a sum of weights that count when it is compared with the minimum.
+WEIGHT_DIGITS = 9
+
+
 def metallic_errors(pixels: DataFrame, keys: list[str], min_weight: float = 10.0) -> DataFrame:
     """Masked regression, errors weighted by metalness and by its complement, and bias.
 
     Weighted means of images below the minimum weight are null; their sums stay for the totals.
+    A weight is compared to ``WEIGHT_DIGITS`` places, so that the order of summation does not
+    decide which images count.
     """
     ok = F.col("valid")
     g, p = F.when(ok, F.col("gt")), F.when(ok, F.col("pred"))
@@ -130,7 +136,7 @@ def metallic_errors(pixels: DataFrame, keys: list[str], min_weight: float = 10.0
         F.sum(F.greatest(-e, F.lit(0.0))).alias("under_sum"), F.avg(p).alias("pred_mean"),
     ).filter("valid_pixels > 0")
     n = F.col("valid_pixels")
-    gate = lambda s, w: F.when(F.col(w) >= min_weight, safe_div(F.col(s), F.col(w)))
+    gate = lambda s, w: F.when(F.round(F.col(w), WEIGHT_DIGITS) >= min_weight, safe_div(F.col(s), F.col(w)))
     mse = safe_div(F.col("sum_sq"), n)
     return out.withColumns(
         {"mae": safe_div(F.col("sum_abs"), n), "rmse": F.sqrt(mse), "psnr": psnr(mse), "gt_mean": safe_div(F.col("metal_weight"), n), "metal_mae": gate("metal_abs", "metal_weight"), "nonmetal_mae": gate("nonmetal_abs", "nonmetal_weight"),

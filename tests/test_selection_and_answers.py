@@ -275,3 +275,16 @@ def test_of_files_of_one_path_one_is_joined(spark):
         assert (r.tier, r.n, r.path) == (tier, n, str((r.id % 4, 1)[place])) and r.place == place
     joined = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
     assert "Aggregate [path" in joined  # below the join of candidates and files
+
+
+def fifty_tenths(spark):
+    """Two images whose weights of metal, and of what is not, are 5 in tenths; in order their doubles add up to less."""
+    values = [(image, gt, 0.3, True) for image, gt in ((1, 0.1), (2, 0.9)) for _ in range(50)]
+    return spark.createDataFrame(values, "image int, gt double, pred double, valid boolean").coalesce(1)
+
+
+def test_summary_counts_images_of_the_least_weight(spark):
+    assert np.cumsum([0.1] * 50)[-1] < 5
+    rows = pixels.metallic_errors(fifty_tenths(spark), ["image"], min_weight=5.0)
+    out = pixels.metallic_summary(rows, None, []).first()
+    assert (out.n_images, out.n_metal_weighted, out.n_nonmetal_weighted) == (2, 2, 2)
