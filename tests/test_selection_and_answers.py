@@ -288,3 +288,10 @@ def test_summary_counts_images_of_the_least_weight(spark):
     rows = pixels.metallic_errors(fifty_tenths(spark), ["image"], min_weight=5.0)
     out = pixels.metallic_summary(rows, None, []).first()
     assert (out.n_images, out.n_metal_weighted, out.n_nonmetal_weighted) == (2, 2, 2)
+
+
+def test_weighted_means_of_images_of_the_least_weight(spark):
+    found = {r.image: r for r in pixels.metallic_errors(fifty_tenths(spark), ["image"], min_weight=5.0).collect()}
+    assert found[1].metal_mae == pytest.approx(0.2) and found[2].nonmetal_mae == pytest.approx(0.6)
+    above = pixels.metallic_errors(fifty_tenths(spark), ["image"], min_weight=5.0001).filter("image = 1").first()
+    assert above.metal_mae is None
