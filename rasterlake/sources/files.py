@@ -11,6 +11,7 @@ does not know a scheme, reading goes through Spark's own reader instead, and wri
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import posixpath
 import re
@@ -128,7 +129,8 @@ def _written(rows: DataFrame, root: str, put: Callable[[Iterator[pa.RecordBatch]
     finally:
         where, base = filesystem(root)
         if where.get_file_info(f"{base}/{attempts}").type == pafs.FileType.Directory:
-            where.delete_dir(f"{base}/{attempts}")
+            with contextlib.suppress(FileNotFoundError):  # a task that is being stopped may still move its file; the job's error counts
+                where.delete_dir(f"{base}/{attempts}")
     return sums.asDict()
 
 

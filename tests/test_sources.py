@@ -275,3 +275,14 @@ def test_scans_of_names_hold_no_bytes_by_key(spark, tmp_path, name):
 
     folder = table_of_suppliers(spark, tmp_path, 60, 2_000_000_000)
     assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == in_sql(folder, name)
+
+
+def test_contents_that_are_not_matched_hold_no_bytes_by_key(spark, tmp_path):
+    """Keys that would make files of 2 GB each, of other extensions than the matched one, besides small ones."""
+    from rasterlake.plans.file_queries import QUERIES
+
+    k = F.when(F.col("id") < 60, F.col("id")).otherwise(F.col("id") + 2_000_000_000)
+    rows = spark.range(120).select(k.alias("s_suppkey"), F.format_string("Supplier#%010d", k).alias("s_name"), (k % 25).cast("int").alias("s_nationkey"))
+    rows.filter("s_suppkey < 60 or s_suppkey % 7 <> 5").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, QUERIES["scan_contents"](spark, str(tmp_path)).collect()))
+    assert got == in_sql(tmp_path, "scan_contents") and max(len(r[1]) for r in got) == 55
