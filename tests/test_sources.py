@@ -286,3 +286,16 @@ def test_contents_that_are_not_matched_hold_no_bytes_by_key(spark, tmp_path):
     rows.filter("s_suppkey < 60 or s_suppkey % 7 <> 5").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted(map(tuple, QUERIES["scan_contents"](spark, str(tmp_path)).collect()))
     assert got == in_sql(tmp_path, "scan_contents") and max(len(r[1]) for r in got) == 55
+
+
+def test_sized_files_are_there_a_portion_at_a_time(spark, tmp_path, monkeypatch):
+    from rasterlake.plans import file_queries
+
+    folder, roots, deleted = table_of_suppliers(spark, tmp_path, 300), [], []
+    made, delete = file_queries.made_files, file_queries.delete_folder
+    monkeypatch.setattr(file_queries, "PORTION", 20_000)  # of 45150 bytes
+    monkeypatch.setattr(file_queries, "made_files", lambda *a: roots.append(made(*a)) or roots[-1])
+    monkeypatch.setattr(file_queries, "delete_folder", lambda root: deleted.append((root, len(roots))) or delete(root))
+    got = sorted(map(tuple, file_queries.QUERIES["scan_images"](spark, folder).collect()))
+    assert got == in_sql(folder, "scan_images") and len(roots) == 3
+    assert deleted == [(root, i + 1) for i, root in enumerate(roots[:-1])]  # each goes before the next is made
