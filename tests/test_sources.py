@@ -268,7 +268,7 @@ def in_sql(folder, name):
     return sorted(con.execute(ORACLE_SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["scan_folders", "scan_preferred", "scan_scenes", "scan_preferred_staged", "scan_by_mode"])
+@pytest.mark.parametrize("name", ["scan_folders", "scan_preferred", "scan_scenes", "scan_preferred_staged", "scan_by_mode", "scan_with_suffix"])
 def test_scans_of_names_hold_no_bytes_by_key(spark, tmp_path, name):
     """Of keys that would make files of 2 GB each."""
     from rasterlake.plans.file_queries import QUERIES
