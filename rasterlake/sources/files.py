@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import os
 import posixpath
 import re
+import stat
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -155,6 +158,39 @@ def write_made(rows: DataFrame, make: Callable[..., tuple[str, bytes | None]], r
 
 #: Folders that a listing task is dealt, about.
 FOLDERS = 1_000
+#: Files and folders that a listing task holds at a time.
+LISTED = 10_000
+
+
+def _entries(location: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether it is a folder, and size of what a folder holds.
+
+    A local or shared folder is read as it goes, however many files it has; of others
+    ``pyarrow.fs`` gives one list.
+    """
+    where, at = filesystem(location)
+    if not isinstance(where, pafs.LocalFileSystem):
+        yield from ((f.base_name, f.type == pafs.FileType.Directory, f.size or 0) for f in where.get_file_info(pafs.FileSelector(at)))
+        return
+    with os.scandir(at) as found:
+        for f in found:
+            try:
+                kind = f.stat()
+            except FileNotFoundError:  # a link to nothing, or gone meanwhile
+                continue
+            yield f.name, stat.S_ISDIR(kind.st_mode), kind.st_size if stat.S_ISREG(kind.st_mode) else 0
+
+
+def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``location``, ``length`` and whether it is a ``folder``, of what the folders of a column hold; a batch is given before the next is read."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            shown = (e for e in _entries(folder) if not _hidden(e[0]) and (e[1] or e[2]))
+            while part := list(islice(shown, LISTED)):
+                names, folders, sizes = zip(*part, strict=True)
+                yield pa.RecordBatch.from_pydict(
+                    {"location": pa.array([f"{folder.rstrip('/')}/{name}" for name in names], pa.string()), "length": pa.array(sizes, pa.int64()), "folder": pa.array(folders, pa.bool_())}
+                )
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -167,22 +203,10 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     if where.get_file_info(base).type == pafs.FileType.NotFound:
         raise FileNotFoundError(root)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                where, at = filesystem(folder)
-                found = where.get_file_info(pafs.FileSelector(at))
-                for k in range(0, len(found), 10_000):
-                    part = [f for f in found[k : k + 10_000] if not _hidden(f.base_name) and (f.type == pafs.FileType.Directory or f.size)]
-                    names = [f"{folder.rstrip('/')}/{f.base_name}" for f in part]
-                    yield pa.RecordBatch.from_pydict(
-                        {"location": pa.array(names, pa.string()), "length": pa.array([f.size for f in part], pa.int64()), "folder": pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_())}
-                    )
-
     folders, n, found = spark.range(1).select(F.lit(root).alias("location")), 1, []
     while n:
         dealt = folders.repartition(max(spark.sparkContext.defaultParallelism, n // FOLDERS + 1), "location") if found else folders
-        level = staged(dealt.mapInArrow(run, "location string, length long, folder boolean"), "listing")
+        level = staged(dealt.mapInArrow(list_batches, "location string, length long, folder boolean"), "listing")
         found.append(level.filter("not folder").select("location", "length"))
         folders = level.filter("folder").select("location")
         n = folders.count() if recursive else 0

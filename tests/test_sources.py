@@ -252,6 +252,43 @@ def test_listing_equals_sparks(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "none"))
 
 
+def test_folders_are_listed_as_they_are_read(tmp_path, monkeypatch):
+    """A task never holds a folder's whole list: what goes after the first batch is not in a later one."""
+    import pyarrow as pa
+
+    from rasterlake.sources import files
+
+    for i in range(25):
+        (tmp_path / f"{i}.png").write_bytes(b"x" * (i + 1))
+    monkeypatch.setattr(files, "LISTED", 10)
+    folders = pa.RecordBatch.from_pydict({"location": [f"file://{tmp_path}"]})
+    listed = files.list_batches(iter([folders]))
+    first = next(listed).to_pylist()
+    assert len(first) == 10 and all(int(r["location"].split("/")[-1][:-4]) + 1 == r["length"] and not r["folder"] for r in first)
+    for p in set(map(str, tmp_path.iterdir())) - {r["location"].removeprefix("file://") for r in first}:
+        (tmp_path / p).unlink()
+    assert list(listed) == []
+
+
+def test_listings_of_local_and_other_systems_agree(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+
+    from rasterlake.sources import files
+
+    (tmp_path / "deep").mkdir()
+    for name, size in (("a.png", 3), ("ä b.png", 2), ("empty.png", 0), (".dot.png", 1), ("_no.png", 1), ("k=1.png", 1), ("deep/c.png", 4)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    for name, to in (("gone.png", "none"), ("link.png", "a.png"), ("folder", "deep")):
+        (tmp_path / name).symlink_to(tmp_path / to)
+    rows = lambda: sorted((r["location"], r["folder"], r["folder"] or r["length"]) for b in files.list_batches(iter([pa.RecordBatch.from_pydict({"location": [f"file://{tmp_path}"]})])) for r in b.to_pylist())
+    local = rows()
+    monkeypatch.setattr(files, "filesystem", lambda location: (pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), ""))
+    assert rows() == local
+    assert [(at.split("/")[-1], size) for at, folder, size in local if not folder] == [("a.png", 3), ("k=1.png", 1), ("link.png", 3), ("ä b.png", 2)]
+    assert [at.split("/")[-1] for at, folder, _ in local if folder] == ["deep", "folder"]
+
+
 def table_of_suppliers(spark, folder, n, first=0):
     k = F.col("id") + first
     spark.range(n).select(k.alias("s_suppkey"), F.format_string("Supplier#%010d", k).alias("s_name"), (k % 25).cast("int").alias("s_nationkey")).write.parquet(f"{folder}/supplier.parquet")
